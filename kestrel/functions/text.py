@@ -259,12 +259,23 @@ def verbal_index(label) -> Column:
     return F.when(pos > 0, (pos - 1).cast("int"))
 
 
+C_TYPES = ("ling", "number", "ct")
+
+
+def _ctype(c_type) -> Column:
+    """A confidence type given as one of C_TYPES is a literal; any other
+    string names a column."""
+    if isinstance(c_type, str):
+        return F.lit(c_type) if c_type in C_TYPES else F.col(c_type)
+    return c_type
+
+
 def format_confidence(c, c_type) -> Column:
     """ling → label; number → '<c> (0-10)' with c rounded to 2;
     otherwise → '<round(100c, 2)> (0-100)', falling back to the raw text."""
     cc = _c(c)
     num = cc.cast("double")
-    t = _c(c_type) if not isinstance(c_type, str) else F.lit(c_type)
+    t = _ctype(c_type)
     pct = F.concat(F.round(num * 100, 2).cast("string"), F.lit(" (0-100)"))
     return (F.when(t == "ling", verbal_label(num.cast("int")))
             .when(t == "number", F.concat(F.round(num, 2).cast("string"), F.lit(" (0-10)")))
@@ -282,7 +293,7 @@ def number_bin_mid(n) -> Column:
 def parse_confidence(c_raw, c_type) -> Column:
     """Confidence string → probability in [0, 1]."""
     raw = _c(c_raw)
-    t = _c(c_type) if not isinstance(c_type, str) else F.lit(c_type)
+    t = _ctype(c_type)
     val = raw.try_cast("double")
     prefix = F.split_part(raw, F.lit(" ("), F.lit(1)).try_cast("double")
     is_int = val == F.floor(val)

@@ -93,7 +93,8 @@ def _order(names: list[str]) -> list[str]:
     return seen
 
 
-def sql(body: str, *fixtures: str) -> str:
+def sql(body: str, *fixtures: str | None) -> str:
+    fixtures = tuple(f for f in fixtures if f)
     if not fixtures:
         return body
     parts = [f"{n} AS ({FX[n][1]})" for n in _order(list(fixtures))]
