@@ -120,13 +120,13 @@ def rank_run(scores: DataFrame, k: int) -> DataFrame:
 # C2 dense exact inner-product top-k
 # ---------------------------------------------------------------------------
 
-def _local_topk_fn(qids: np.ndarray, qmat: np.ndarray, k: int, exclude_self: bool,
-                   block: int = 2048):
+def _local_topk_fn(bq, k: int, exclude_self: bool, block: int = 2048):
     """Per Arrow batch of corpus rows: scores against all queries (in query
     blocks), keep for each query every candidate scoring at least its k-th
     best (ties kept, so the global cut stays exact)."""
 
     def fn(batches):
+        qids, qmat = bq.value
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -175,7 +175,8 @@ def dense_topk(corpus_vec: DataFrame, query_vec: DataFrame, k: int = 40,
             return spark.createDataFrame([], schema)
         qids = pdf["qid"].to_numpy().astype(np.int64)
         qmat = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        fn = _local_topk_fn(qids, qmat, k, exclude_self)
+        bq = spark.sparkContext.broadcast((qids, qmat))
+        fn = _local_topk_fn(bq, k, exclude_self)
         return corpus.mapInPandas(fn, schema)
 
     if bounded(queries, MAX_QUERY_BLOCK):
@@ -257,3 +258,86 @@ def distinct_passages(retrievals: DataFrame) -> DataFrame:
     return ex.groupBy(F.col("c.text").alias("text")).agg(
         F.max_by(F.col("c.title"), F.struct("qid", "rank")).alias("title"),
         F.count(F.lit(1)).alias("n_refs"))
+
+
+# ---------------------------------------------------------------------------
+# C5 product-quantised search
+# ---------------------------------------------------------------------------
+
+def pq_train(corpus_vec: DataFrame, m: int, nbits: int, vec: str = "embedding", seed: int = 0,
+             max_iter: int = 20) -> np.ndarray:
+    """One Spark ML k-means (k = 2^nbits) per sub-vector; returns the
+    codebooks, shape (m, 2^nbits, dim/m) — bounded model metadata."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    dim = int(corpus_vec.select(F.size(vec)).first()[0])
+    if dim % m:
+        raise ValueError("dimension must be divisible by m")
+    dsub = dim // m
+    books = []
+    for s in range(m):
+        sub = corpus_vec.select(array_to_vector(F.slice(F.col(vec).cast("array<double>"), s * dsub + 1, dsub)).alias("features"))
+        model = KMeans(k=2 ** nbits, seed=seed, maxIter=max_iter, featuresCol="features").fit(sub)
+        centers = np.array([np.asarray(c) for c in model.clusterCenters()])
+        if len(centers) < 2 ** nbits:  # fewer distinct points than centroids
+            centers = np.vstack([centers, np.repeat(centers[-1:], 2 ** nbits - len(centers), axis=0)])
+        books.append(centers)
+    return np.stack(books)
+
+
+def pq_encode(corpus_vec: DataFrame, books: np.ndarray, pid: str = "pid", vec: str = "embedding") -> DataFrame:
+    """(pid, codes array<int>): nearest centroid per sub-vector."""
+    bb = corpus_vec.sparkSession.sparkContext.broadcast(books)
+
+    def fn(batches):
+        B = bb.value
+        m, K, dsub = B.shape
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            codes = np.empty((len(X), m), dtype=np.int32)
+            for s in range(m):
+                sub = X[:, s * dsub:(s + 1) * dsub]
+                d2 = (sub ** 2).sum(1)[:, None] - 2 * sub @ B[s].T + (B[s] ** 2).sum(1)[None, :]
+                codes[:, s] = d2.argmin(1)
+            yield pd.DataFrame({"pid": pdf["pid"].to_numpy(), "codes": list(codes)})
+
+    src = corpus_vec.select(F.col(pid).alias("pid"), F.col(vec).cast("array<double>").alias("vec"))
+    return src.mapInPandas(fn, "pid long, codes array<int>")
+
+
+def pq_topk(codes: DataFrame, books: np.ndarray, query_vec: DataFrame, k: int = 10,
+            qid: str = "qid", vec: str = "embedding") -> DataFrame:
+    """Approximate inner-product top-k: per query a lookup table
+    (m × 2^nbits, broadcast; size-checked query block), per passage the sum
+    of its codes' entries, local top-k per Arrow batch, global WindowGroupLimit."""
+    spark = codes.sparkSession
+    if not bounded(query_vec, MAX_QUERY_BLOCK):
+        raise ValueError("query block larger than MAX_QUERY_BLOCK")
+    q = query_vec.select(F.col(qid).alias("qid"), F.col(vec).cast("array<double>").alias("vec")).toPandas()
+    qids = q["qid"].to_numpy().astype(np.int64)
+    Q = np.stack(q["vec"].to_numpy()).astype(np.float64)
+    m, K, dsub = books.shape
+    lut = np.stack([Q[:, s * dsub:(s + 1) * dsub] @ books[s].T for s in range(m)], axis=1)  # nq × m × K
+    bl = spark.sparkContext.broadcast(lut)
+
+    def fn(batches):
+        T = bl.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            C = np.stack(pdf["codes"].to_numpy()).astype(np.int64)  # n × m
+            pids = pdf["pid"].to_numpy()
+            sc = np.zeros((T.shape[0], len(C)))
+            for s in range(m):
+                sc += T[:, s, :][:, C[:, s]]
+            sc = np.round(sc, SCORE_DIGITS)
+            kk = min(k, sc.shape[1])
+            kth = -np.partition(-sc, kk - 1, axis=1)[:, kk - 1]
+            qi, ci = np.nonzero(sc >= kth[:, None])
+            yield pd.DataFrame({"qid": qids[qi], "pid": pids[ci].astype(np.int64), "score": sc[qi, ci]})
+
+    cand = codes.mapInPandas(fn, "qid long, pid long, score double")
+    return top_k_per_group(cand, ["qid"], [F.col("score").desc(), F.col("pid").asc()], k)

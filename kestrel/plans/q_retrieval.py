@@ -24,3 +24,81 @@ def c8_assemble_contexts(spark, d):
     return ex.select("qid", F.col("rank").cast("int").alias("rank"), F.col("c.id").alias("id"),
                      F.col("c.title").alias("title"), F.col("c.text").alias("text"),
                      r6("c.score").alias("score"))
+
+
+# ---------------------------------------------------------------------------
+# C2 – C9 on embeddings / corpus
+# ---------------------------------------------------------------------------
+
+from kestrel.functions import arrays as ar  # noqa: E402
+from kestrel.plans.oracle import register  # noqa: E402
+
+
+def vecs(spark, d):
+    return fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("pid"), F.col("vec_id").alias("qid"),
+                                                   "embedding", "label")
+
+
+@query("c2_dense_topk", sql("""SELECT qid, pid, round(s9, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT qid, pid, s9, row_number() OVER (PARTITION BY qid ORDER BY s9 DESC, pid ASC) - 1 AS rank FROM (
+    SELECT a.vec_id AS qid, b.vec_id AS pid,
+           round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS s9
+    FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE rank < 10"""))
+def c2(spark, d):
+    v = vecs(spark, d)
+    r = rt.dense_topk(v, v, k=10, exclude_self=True)
+    return r.select("qid", "pid", r6("score").alias("score"), "rank")
+
+
+@query("c3_l2_normalize", sql("""SELECT vec_id AS id, CAST(i - 1 AS INTEGER) AS dim,
+  round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) + 0.0 AS value FROM (
+  SELECT vec_id, v, unnest(v) AS x, unnest(range(1, 9)) AS i FROM (
+    SELECT vec_id, CAST(list_slice(embedding, 1, 8) AS DOUBLE[]) AS v FROM embeddings))"""))
+def c3(spark, d):
+    e = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), ar.l2_normalize(F.slice("embedding", 1, 8)).alias("v"))
+    x = e.select("id", F.posexplode("v").alias("dim", "value"))
+    return x.select("id", F.col("dim").cast("int").alias("dim"), (r6("value") + F.lit(0.0)).alias("value"))
+
+
+@query("c4_pool_vectors", sql("""SELECT key, CAST(i - 1 AS INTEGER) AS dim, round(avg(x), 6) + 0.0 AS value FROM (
+  SELECT vec_id // 8 AS key, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(1, 65)) AS i FROM embeddings WHERE label <> 0)
+  GROUP BY key, i"""))
+def c4(spark, d):
+    e = fx.table(spark, d, "embeddings").select((F.col("vec_id") / 8).cast("long").alias("key"), "vec_id", "embedding",
+                                                (F.col("label") != 0).cast("int").alias("mask"))
+    p = rt.pool_vectors(e, "key", "vec_id", "embedding", mask="mask", mode="mean", dim=64)
+    x = p.select("key", F.posexplode("pooled").alias("dim", "value"))
+    return x.select("key", F.col("dim").cast("int").alias("dim"), (r6("value") + F.lit(0.0)).alias("value"))
+
+
+@query("c4b_pool_cls", sql("""SELECT vec_id // 8 AS key, round(arg_min(CAST(embedding[1] AS DOUBLE), vec_id), 6) AS first_value
+  FROM embeddings GROUP BY 1"""))
+def c4b(spark, d):
+    e = fx.table(spark, d, "embeddings").select((F.col("vec_id") / 8).cast("long").alias("key"), "vec_id", "embedding")
+    p = rt.pool_vectors(e, "key", "vec_id", "embedding", mode="cls")
+    return p.select("key", r6(F.element_at("pooled", 1)).alias("first_value"))
+
+
+@query("c5_pq_topk", None)
+def c5(spark, d):
+    v = vecs(spark, d)
+    books = rt.pq_train(v, m=8, nbits=4, seed=1)
+    codes = rt.pq_encode(v, books)
+    return rt.pq_topk(codes, books, v, k=10).select("qid", "pid", r6("score").alias("score"), "rank")
+
+
+@query("c6_sample_corpus", sql("SELECT doc_id AS pid FROM documents ORDER BY md5('3-' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 50"))
+def c6(spark, d):
+    return rt.sample_corpus(fx.corpus(spark, d), 50, seed=3).select("pid")
+
+
+@query("c7_assign_ids", sql("SELECT doc_id AS pid, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_id FROM documents"))
+def c7(spark, d):
+    return rt.assign_ids(fx.corpus(spark, d).select("pid"), "pid")
+
+
+@query("c9_distinct_passages", sql("""SELECT md5(text) AS text_md5, arg_max(title, qid * 1000 + rank) AS title, count(*) AS n_refs
+  FROM fx_ctx GROUP BY text""", "fx_ctx"))
+def c9(spark, d):
+    p = rt.distinct_passages(fx.retrievals(spark, d))
+    return p.select(F.md5("text").alias("text_md5"), "title", "n_refs")
