@@ -35,4 +35,4 @@ def r6(c) -> F.Column:
 
 
 # modules that register queries import this one; import them last
-from kestrel.plans import q_retrieval, q_calibration, q_rerank, q_text, q_datasets, q_models  # noqa: E402,F401
+from kestrel.plans import q_retrieval, q_calibration, q_rerank, q_text, q_datasets, q_models, q_io  # noqa: E402,F401
