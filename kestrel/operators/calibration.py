@@ -326,3 +326,21 @@ def queue_contrast(df: DataFrame, q: str, k: str, queue: DataFrame, qvec: str,
 
     x = df.select(F.col("row_id"), F.col(q).cast("array<double>").alias("_q"), F.col(k).cast("array<double>").alias("_k"))
     return x.mapInPandas(fn, "row_id long, hit double, loss double")
+
+
+def calibration_report(df: DataFrame, y: str, p: str, group: list[str] | None = None,
+                       n_bins: int = 15) -> DataFrame:
+    """n, acc, ece, brier, nll (one aggregate pass) and auroc per group for
+    numeric confidences."""
+    ungrouped = not group
+    group = list(group or ["_all_"])
+    if ungrouped:
+        df = df.withColumn("_all_", F.lit(1))
+    x = df.select(*group, F.col(y).cast("int").alias("_y"), F.col(p).cast("double").alias("_p"))
+    one = x.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_y").alias("acc"),
+        brier_col("_y", "_p").alias("brier"), nll_col("_y", "_p").alias("nll"),
+        *ece_aggs("_y", "_p", n_bins))
+    rep = one.select(*group, "n", "acc", ece_from_aggs(F.col("n"), n_bins).alias("ece"), "brier", "nll")
+    out = rep.join(auroc(x, "_y", "_p", group), group, "left")
+    return out.drop("_all_") if ungrouped else out

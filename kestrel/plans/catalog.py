@@ -8,31 +8,5 @@ from summation order cannot change the value hash.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from kestrel.plans import fixtures as fx
-from kestrel.plans.oracle import sql, u, toks, PAT
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-DIG = 6
-
-
-def query(key: str, oracle: str | None):
-    def deco(fn):
-        QUERIES[key] = fn
-        if oracle is not None:
-            ORACLES[key] = oracle
-        return fn
-    return deco
-
-
-def r6(c) -> F.Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, DIG)
-
-
-# modules that register queries import this one; import them last
-from kestrel.plans import q_retrieval, q_calibration, q_rerank, q_text, q_datasets, q_models, q_io  # noqa: E402,F401
+from kestrel.plans import q_calibration, q_datasets, q_io, q_models, q_rerank, q_retrieval, q_text  # noqa: F401
+from kestrel.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -8,7 +8,7 @@ from kestrel.functions import arrays as ar
 from kestrel.functions.hashing import uniform
 from kestrel.operators import datasets as ds
 from kestrel.plans import fixtures as fx
-from kestrel.plans.catalog import query, r6
+from kestrel.plans.registry import query, r6
 from kestrel.plans.oracle import register, sql, u
 
 SEED = 7

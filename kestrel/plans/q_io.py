@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kestrel.plans import fixtures as fx
-from kestrel.plans.catalog import query, r6
+from kestrel.plans.registry import query, r6
 from kestrel.plans.oracle import sql
 from kestrel.sources import io
 

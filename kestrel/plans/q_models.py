@@ -8,7 +8,7 @@ from kestrel.operators import calibration as cal
 from kestrel.operators import models as md
 from kestrel.operators import scoring as scr
 from kestrel.plans import fixtures as fx
-from kestrel.plans.catalog import query, r6
+from kestrel.plans.registry import query, r6
 from kestrel.plans.oracle import sql
 from kestrel.plans.q_rerank import prompts
 

@@ -10,7 +10,7 @@ from kestrel.functions.hashing import hash_int, uniform
 from kestrel.operators import ireval as ev
 from kestrel.operators import rerank as rr
 from kestrel.plans import fixtures as fx
-from kestrel.plans.catalog import query, r6
+from kestrel.plans.registry import query, r6
 from kestrel.plans.oracle import PAT, register, sql, toks, u
 
 # Prompt wording is a user parameter; this one is ours.
