@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark import StorageLevel
 
 from kestrel.functions import text as tx
 from kestrel.functions.hashing import order_key
@@ -52,58 +53,207 @@ def query_terms(queries: DataFrame, qid: str = "qid", q: str = "q",
     return qt
 
 
-def bm25_postings(corpus: DataFrame, vocab: DataFrame | None, pid: str = "pid",
-                  title: str | None = "title", text: str = "text") -> DataFrame:
-    """Postings ``(pid, dl, term, tf)`` restricted to ``vocab`` terms, plus one
-    ``term = null`` row per document carrying its length (corpus statistics
-    come out of the same single tokenisation pass).
+def _doc_tokens(corpus: DataFrame, pid: str, title: str | None, text: str) -> DataFrame:
+    passage = tx.compose_passage(title, text) if title else F.col(text)
+    return corpus.select(F.col(pid).alias("pid"), tx.word_tokens(passage, lower=False).alias("toks"))
 
-    Only the passage id and the token stream leave the scan; the text itself
-    never enters a shuffle.
+
+def bm25_postings(corpus: DataFrame, vocab: DataFrame | None, pid: str = "pid",
+                  title: str | None = "title", text: str = "text",
+                  vocab_is_small: bool | None = None, doc_rows: bool = False) -> DataFrame:
+    """Postings ``(pid, dl, term, tf)``, restricted to ``vocab`` terms.
+
+    Only the passage id and its token stream leave the scan; the text never
+    enters a shuffle. The vocabulary filter is a broadcast join when the
+    vocabulary is small (checked), so postings of other terms are dropped
+    map-side before the (pid, term) aggregation shuffle. With ``doc_rows``
+    every document also yields one ``term = null`` row carrying its length,
+    so corpus statistics come out of the same single tokenising pass.
     """
-    passage = tx.compose_passage(title, text) if title else F.col(text)
-    docs = corpus.select(F.col(pid).alias("pid"), tx.word_tokens(passage, lower=False).alias("toks"))
-    exploded = docs.select(
-        "pid", F.size("toks").alias("dl"),
-        F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("toks"))).alias("tok"))
+    docs = _doc_tokens(corpus, pid, title, text)
+    toks = F.concat(F.array(F.lit(None).cast("string")), F.col("toks")) if doc_rows else F.col("toks")
+    # explode_outer: a plain explode makes Catalyst infer size(toks) > 0 and
+    # re-run the tokenising regex inside that filter; the null row of an
+    # empty document is dropped by the vocabulary join anyway.
+    exploded = docs.select("pid", F.size("toks").alias("dl"), F.explode_outer(toks).alias("tok"))
     exploded = exploded.select("pid", "dl", F.lower("tok").alias("term"))
     if vocab is not None:
-        marks = vocab.select("term").distinct().withColumn("_hit", F.lit(True))
-        marks = _maybe_broadcast(marks, MAX_BROADCAST_TERMS)
-        exploded = (exploded.join(marks, "term", "left")
-                    .where(F.col("term").isNull() | F.col("_hit").isNotNull())
+        v = vocab.select("term").distinct()
+        small = bounded(v, MAX_BROADCAST_TERMS) if vocab_is_small is None else vocab_is_small
+        marks = v.withColumn("_hit", F.lit(True))
+        exploded = (exploded.join(F.broadcast(marks) if small else marks, "term", "left")
+                    .where(F.col("_hit").isNotNull() | (F.col("term").isNull() & F.lit(doc_rows)))
                     .drop("_hit"))
     return exploded.groupBy("pid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
-                count_repeats: bool = False, pid: str = "pid", title: str | None = "title",
-                text: str = "text", qid: str = "qid", q: str = "q") -> DataFrame:
-    """All positive BM25 scores ``(qid, pid, score)``.
+def corpus_stats(corpus: DataFrame, pid: str = "pid", title: str | None = "title",
+                 text: str = "text") -> tuple[float, float]:
+    """(N, average document length in tokens) — one aggregate pass; only
+    two scalars reach the driver."""
+    r = _doc_tokens(corpus, pid, title, text).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
+    return float(r["n"]), float(r["avgdl"] or 0.0)
 
-    score = Σ_t qtf·ln(1 + (N − df + .5)/(df + .5)) · tf / (tf + k1·(1 − b + b·dl/avgdl))
-    """
+
+def _bm25(corpus: DataFrame, queries: DataFrame, k1: float, b: float, count_repeats: bool,
+          pid: str, title: str | None, text: str, qid: str, q: str) -> tuple[DataFrame, DataFrame]:
     qt = query_terms(queries, qid, q, count_repeats)
-    postings = materialize(bm25_postings(corpus, qt, pid, title, text))
+    vocab = qt.select("term").distinct()
+    small_vocab = bounded(vocab, MAX_BROADCAST_TERMS)
+    # one tokenising pass feeds statistics, document frequencies and scoring
+    postings = bm25_postings(corpus, vocab, pid, title, text, vocab_is_small=small_vocab,
+                             doc_rows=True).persist(StorageLevel.MEMORY_AND_DISK)
     stats = postings.where(F.col("term").isNull()).agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n_docs, avgdl = float(stats["n"]), float(stats["avgdl"] or 0.0)
-
     terms = postings.where(F.col("term").isNotNull())
+    # df has at most one row per vocabulary term: bounded by the check above
     idf = (terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
            .select("term", F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
-    idf = _maybe_broadcast(idf, MAX_BROADCAST_TERMS)
-    qt_b = _maybe_broadcast(qt, MAX_BROADCAST_TERMS)
+    small_qt = small_vocab and bounded(qt, MAX_BROADCAST_TERMS)
     norm = F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
     w = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + norm)
-    return (terms.join(qt_b, "term").join(idf, "term")
-            .groupBy("qid", "pid").agg(F.sum(w).alias("score")))
+    scores = (terms.join(F.broadcast(idf) if small_vocab else idf, "term")
+              .join(F.broadcast(qt) if small_qt else qt, "term")
+              .groupBy("qid", "pid").agg(F.sum(w).alias("score")))
+    return scores, postings
+
 
+def bm25_scores(corpus: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
+                count_repeats: bool = False, pid: str = "pid", title: str | None = "title",
+                text: str = "text", qid: str = "qid", q: str = "q") -> tuple[DataFrame, DataFrame]:
+    """All positive BM25 scores ``(qid, pid, score)`` and the cached pruned
+    postings behind them (``unpersist`` it when done).
 
-def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 40, **kw) -> DataFrame:
-    """(qid, pid, score, rank) — top-k per query, score desc then pid asc."""
-    scores = bm25_scores(corpus, queries, **kw)
-    return rank_run(scores, k)
+    score = Σ_t qtf·ln(1 + (N − df + .5)/(df + .5)) · tf / (tf + k1·(1 − b + b·dl/avgdl))
+    """
+    return _bm25(corpus, queries, k1, b, count_repeats, pid, title, text, qid, q)
+
+
+MAX_DENSE_WEIGHTS = 20_000_000  # vocabulary × queries entries of the broadcast weight matrix
+
+
+def bm25_doc_terms(corpus: DataFrame, vocab: DataFrame, small_vocab: bool, pid: str = "pid",
+                   title: str | None = "title", text: str = "text") -> DataFrame:
+    """(pid, dl, terms): each passage's length and its token occurrences that
+    are query terms (repeats kept). Empty list when none — every passage keeps
+    its row, so corpus statistics come from the same single tokenising pass.
+    A passage is one group, bounded by its own length."""
+    docs = _doc_tokens(corpus, pid, title, text)
+    toks = F.concat(F.array(F.lit(None).cast("string")), F.col("toks"))
+    ex = docs.select("pid", F.size("toks").alias("dl"), F.explode_outer(toks).alias("tok"))
+    ex = ex.select("pid", "dl", F.lower("tok").alias("term"))
+    marks = vocab.select("term").distinct().withColumn("_hit", F.lit(True))
+    ex = (ex.join(F.broadcast(marks) if small_vocab else marks, "term", "left")
+          .where(F.col("_hit").isNotNull() | F.col("term").isNull()).drop("_hit"))
+    return ex.groupBy("pid", "dl").agg(F.collect_list("term").alias("terms"))
+
+
+def _bm25_block_fn(bstate, k: int, k1: float, b: float, avgdl: float, chunk: int):
+    """Per partition: score passages chunk by chunk as a (passages × query
+    terms) @ (query terms × queries) product and keep a running exact top-k
+    per query (score desc rounded to 9 digits, pid asc). Emits at most
+    queries × k rows per partition."""
+
+    def fn(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        vocab, W, qids = bstate.value
+        V, nq = W.shape
+        vocab_pa = pa.array(vocab)
+        best_s = np.full((nq, k), -np.inf)
+        best_p = np.full((nq, k), np.iinfo(np.int64).max, dtype=np.int64)
+        for pdf in batches:
+            pids_all = pdf["pid"].to_numpy().astype(np.int64)
+            dl_all = pdf["dl"].to_numpy().astype(np.float64)
+            terms_all = pdf["terms"].to_numpy()
+            for s0 in range(0, len(pdf), chunk):
+                terms = terms_all[s0:s0 + chunk]
+                lens = np.fromiter((len(t) for t in terms), dtype=np.int64, count=len(terms))
+                if lens.sum() == 0:
+                    continue
+                flat = pa.array(np.concatenate([np.asarray(t, dtype=object) for t in terms if len(t)]))
+                j = pc.index_in(flat, value_set=vocab_pa).to_numpy(zero_copy_only=False).astype(np.int64)
+                d = np.repeat(np.arange(len(terms)), lens)
+                uk, tf = np.unique(d * V + j, return_counts=True)
+                dd, jj = uk // V, uk % V
+                norm = k1 * (1 - b + b * dl_all[s0:s0 + chunk][dd] / avgdl)
+                g = tf / (tf + norm)
+                uj, jinv = np.unique(jj, return_inverse=True)
+                G = np.zeros((len(terms), len(uj)))
+                G[dd, jinv] = g
+                S = np.round(G @ W[uj], SCORE_DIGITS)  # passages × queries
+                S[S <= 0] = -np.inf  # no shared term: not a candidate
+                cand_s = np.concatenate([best_s, S.T], axis=1)
+                cand_p = np.concatenate([best_p, np.broadcast_to(pids_all[s0:s0 + chunk], (nq, len(terms)))], axis=1)
+                order = np.lexsort((cand_p, -cand_s), axis=-1)[:, :k]
+                best_s = np.take_along_axis(cand_s, order, axis=1)
+                best_p = np.take_along_axis(cand_p, order, axis=1)
+        qi, ci = np.nonzero(np.isfinite(best_s))
+        if len(qi):
+            yield pd.DataFrame({"qid": qids[qi], "pid": best_p[qi, ci], "score": best_s[qi, ci]})
+
+    return fn
+
+
+def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 40, k1: float = 1.2, b: float = 0.75,
+              count_repeats: bool = False, pid: str = "pid", title: str | None = "title",
+              text: str = "text", qid: str = "qid", q: str = "q", chunk: int = 512) -> DataFrame:
+    """(qid, pid, score, rank) — top-k per query, score desc then pid asc.
+
+    1. one JVM pass: tokenise, keep query-term occurrences (broadcast
+       vocabulary, size-checked), one row per passage — cached;
+    2. corpus statistics and document frequencies from the cache (≤ one row
+       per vocabulary term reaches the driver);
+    3. scoring: when the query-term weight matrix (vocabulary × queries) is
+       within ``MAX_DENSE_WEIGHTS`` it is broadcast and an Arrow
+       ``mapInPandas`` scores passages in blocks with a running exact top-k
+       per partition; beyond the bound the pure join plan of ``bm25_scores``
+       runs instead;
+    4. a ``WindowGroupLimit`` top-k over the per-partition candidates.
+    The result (queries × k rows) is written to the checkpoint folder and the
+    cache released.
+    """
+    spark = corpus.sparkSession
+    qt = query_terms(queries, qid, q, count_repeats)
+    vocab = qt.select("term").distinct()
+    small_vocab = bounded(vocab, MAX_BROADCAST_TERMS)
+    nq_small = bounded(qt.select("qid").distinct(), MAX_QUERY_BLOCK)
+    n_terms = vocab.count() if small_vocab else None
+    n_q = qt.select("qid").distinct().count() if nq_small else None
+    if not (small_vocab and nq_small and n_terms * n_q <= MAX_DENSE_WEIGHTS):
+        scores, postings = bm25_scores(corpus, queries, k1, b, count_repeats, pid, title, text, qid, q)
+        try:
+            return materialize(rank_run(scores, k))
+        finally:
+            postings.unpersist()
+
+    doc_terms = bm25_doc_terms(corpus, vocab, True, pid, title, text).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        st = doc_terms.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+        n_docs, avgdl = float(st["n"]), float(st["avgdl"] or 0.0) or 1.0
+        dfreq = (doc_terms.select(F.explode(F.array_distinct("terms")).alias("term"))
+                 .groupBy("term").agg(F.count(F.lit(1)).alias("df")).toPandas())
+        qtp = qt.toPandas()
+        vocab_list = np.array(sorted(qtp["term"].unique()), dtype=object)
+        qids = np.array(sorted(qtp["qid"].unique()), dtype=np.int64)
+        jpos = {t: i for i, t in enumerate(vocab_list)}
+        qpos = {x: i for i, x in enumerate(qids)}
+        df_map = dict(zip(dfreq["term"], dfreq["df"]))
+        W = np.zeros((len(vocab_list), len(qids)))
+        for t, x, f in zip(qtp["term"], qtp["qid"], qtp["qtf"]):
+            dfv = df_map.get(t, 0)
+            if dfv:
+                W[jpos[t], qpos[x]] = f * np.log(1 + (n_docs - dfv + 0.5) / (dfv + 0.5))
+        bstate = spark.sparkContext.broadcast((vocab_list, W, qids))
+        fn = _bm25_block_fn(bstate, k, k1, b, avgdl, chunk)
+        cand = doc_terms.mapInPandas(fn, "qid long, pid long, score double")
+        ranked = top_k_per_group(cand, ["qid"], [F.col("score").desc(), F.col("pid").asc()], k)
+        return materialize(ranked)
+    finally:
+        doc_terms.unpersist()
 
 
 def rank_run(scores: DataFrame, k: int) -> DataFrame:

@@ -54,14 +54,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by an eager reliable checkpoint in the checkpoint dir.
+    """Cut lineage: write ``df`` once as a parquet table in the shared
+    checkpoint folder and read it back.
 
-    Used where one expensive intermediate feeds several consumers (e.g.
-    pruned postings feeding both corpus statistics and scoring). A reliable
-    checkpoint survives executor loss; ``localCheckpoint`` would not.
+    One job (``Dataset.checkpoint`` runs the final stage twice: once to count,
+    once to write). The folder is the cluster's ``spark.checkpoint.dir``, so
+    the table survives executor loss; ``localCheckpoint`` would not.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kestrel-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def bounded(df: DataFrame, max_rows: int) -> bool:
