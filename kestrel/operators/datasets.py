@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kestrel.functions import text as tx
 from kestrel.functions.hashing import hash_int, order_key, uniform
 from kestrel.operators.ordering import dense_index, prefix_sums
-from kestrel.session import bounded
+from kestrel.session import bounded, materialize
 
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -82,27 +82,35 @@ def soft_rows(df: DataFrame, v: str, label: str = "label", weight: str = "weight
 
 # H8 / H9 / H10 -------------------------------------------------------------------
 
-def pack_chunks(df: DataFrame, key: str, tokens: str, chunk_len: int, offset: int) -> DataFrame:
+def pack_chunks(df: DataFrame, key: str, tokens: str, chunk_len: int, offset: int,
+                materialize_input: bool = True) -> DataFrame:
     """Concatenate every row's tokens in ``key`` order, skip ``offset``
     tokens, cut fixed chunks of ``chunk_len`` and drop the short tail.
 
-    Each row is sliced into the pieces that fall into each chunk it touches
-    (a row may span many chunks, a chunk many rows); pieces are regrouped by
-    chunk id — a group never holds more than ``chunk_len`` tokens.
+    Start positions are a two-level prefix sum over (key, length) only; the
+    token arrays join their start back by key. Each row is then sliced into
+    the pieces that fall into each chunk it touches (a row may span many
+    chunks, a chunk many rows); pieces are regrouped by chunk id — a group
+    never holds more than ``chunk_len`` tokens. The input is written once
+    (``materialize_input``) because two passes read it.
     """
     L = chunk_len
-    x = df.select(F.col(key).alias("_k"), F.col(tokens).alias("_t"), F.size(tokens).cast("long").alias("_len"))
-    x = prefix_sums(x, [F.col("_k")], ["_len"], prefix="_cum_", inclusive=False)
-    x = x.withColumnRenamed("_cum__len", "_start")
-    total = x.agg(F.max(F.col("_start") + F.col("_len"))).first()[0] or 0
+    src = df.select(F.col(key).alias("_k"), F.col(tokens).alias("_t"))
+    if materialize_input:
+        src = materialize(src)
+    lens = src.select("_k", F.size("_t").cast("long").alias("_len"))
+    starts = prefix_sums(lens, [F.col("_k")], ["_len"], prefix="_cum_", inclusive=False) \
+        .withColumnRenamed("_cum__len", "_start")
+    total = starts.agg(F.max(F.col("_start") + F.col("_len"))).first()[0] or 0
     n_chunks = max(0, (int(total) - offset) // L)
     if n_chunks == 0:
         return df.sparkSession.createDataFrame([], "chunk_id long, tokens array<int>")
     end = F.col("_start") + F.col("_len")
     first = F.greatest(F.lit(0), F.floor((F.col("_start") - offset) / L))
     last = F.least(F.lit(n_chunks - 1), F.floor((end - 1 - offset) / L))
-    x = x.where((F.col("_len") > 0) & (last >= first) & (end > offset))
-    x = x.select("_k", "_t", "_start", "_len", F.explode(F.sequence(first, last)).alias("chunk_id"))
+    starts = starts.where((F.col("_len") > 0) & (last >= first) & (end > offset))
+    x = src.join(starts.select("_k", "_start", "_len", first.alias("_first"), last.alias("_last")), "_k")
+    x = x.select("_t", "_start", "_len", F.explode(F.sequence("_first", "_last")).alias("chunk_id"))
     lo = F.greatest(F.col("_start"), F.lit(offset) + F.col("chunk_id") * L)
     hi = F.least(F.col("_start") + F.col("_len"), F.lit(offset) + (F.col("chunk_id") + 1) * L)
     x = x.select("chunk_id", lo.alias("_lo"), F.slice("_t", (lo - F.col("_start") + 1).cast("int"),

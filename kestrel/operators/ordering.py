@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.session import bounded
+from kestrel.session import bounded, materialize
 
 MAX_OFFSET_ROWS = 1_000_000
 
@@ -46,8 +46,10 @@ def prefix_sums(df: DataFrame, order_cols: list, value_cols: list[str],
     group_cols = list(group_cols or [])
     n = _n_ranges(df, n_ranges)
     order = [_col(c) for c in order_cols]
-    ranged = df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order) \
-        .withColumn("_rng", F.spark_partition_id())
+    # written once: range sampling, range totals and the local windows all
+    # read this table instead of re-evaluating the input three times
+    ranged = materialize(df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order)
+                         .withColumn("_rng", F.spark_partition_id()))
 
     totals = ranged.groupBy(*group_cols, "_rng").agg(
         *[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
