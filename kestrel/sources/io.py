@@ -57,7 +57,10 @@ def read_passages(spark: SparkSession, path: str, fmt: str | None = None) -> Dat
         df = spark.read.schema("id long, title string, text string").json(path)
         return df.select(F.col("id").alias("pid"), "title", "text")
     df = _csv_reader(spark, "id string, text string, title string", sep="\t").csv(path)
-    return df.where(F.col("id") != "id").select(F.col("id").cast("long").alias("pid"), "title", "text")
+    # like Python's csv module an empty field is "", never null
+    return df.where(F.col("id") != "id").select(
+        F.col("id").cast("long").alias("pid"), F.coalesce("title", F.lit("")).alias("title"),
+        F.coalesce("text", F.lit("")).alias("text"))
 
 
 def write_passages(df: DataFrame, path: str, fmt: str = "tsv") -> None:
