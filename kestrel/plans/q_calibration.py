@@ -244,7 +244,16 @@ def g15(spark, d):
     return r.groupBy("batch_id").agg(r6(F.avg("hit")).alias("acc"), r6(F.avg("loss")).alias("loss"))
 
 
-@query("g16_queue_contrast", None)
+register("g16_queue", [], """SELECT label, list(v ORDER BY i) AS qv FROM (
+  SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings)
+  GROUP BY label, i) GROUP BY label""")
+register("g16_s", ["fx_pairs", "g16_queue"], """SELECT p.row_id, list_dot_product(p.q, p.k) / 0.1 AS pos,
+  list(list_dot_product(p.q, g.qv) / 0.1) AS negs FROM fx_pairs p, g16_queue g GROUP BY p.row_id, p.q, p.k""")
+
+
+@query("g16_queue_contrast", sql("""SELECT row_id, CAST(CASE WHEN pos >= list_max(negs) THEN 1 ELSE 0 END AS DOUBLE) AS hit,
+  round(m + ln(exp(pos - m) + list_sum(list_transform(negs, lambda x: exp(x - m)))) - pos, 6) AS loss
+  FROM (SELECT *, greatest(pos, list_max(negs)) AS m FROM g16_s)""", "g16_s"))
 def g16(spark, d):
     e = fx.table(spark, d, "embeddings")
     queue = rt.pool_vectors(e, "label", "vec_id", "embedding", dim=64).select(F.col("pooled").alias("qv"))
