@@ -59,12 +59,27 @@ def duck_rows(con, q):
     return cols, rows
 
 
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "FloatType()": "FLOAT"}
+
+
+def type_diff(df, con, q) -> dict:
+    """Columns whose Spark type and DuckDB type differ."""
+    s = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
+    rel = con.sql(q)
+    o = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (s.get(c), o.get(c)) for c in set(s) | set(o) if s.get(c) != o.get(c)}
+
+
 def compare(df, con, q, show: int = 5) -> dict:
     sc, sr = spark_rows(df)
     dc, dr = duck_rows(con, q)
     res = {"spark_rows": len(sr), "oracle_rows": len(dr), "cols_match": sc == dc}
+    td = type_diff(df, con, q)
+    if td:
+        res["type_diff"] = td
     cs, cd = Counter(sr), Counter(dr)
-    res["values_match"] = cs == cd and sc == dc
+    res["values_match"] = cs == cd and sc == dc and not td
     if not res["values_match"]:
         res["spark_cols"], res["oracle_cols"] = sc, dc
         res["only_spark"] = list((cs - cd).elements())[:show]

@@ -104,7 +104,7 @@ def chunks(spark, d):
     return ds.pack_chunks(fx.tokens(spark, d), "doc_id", "tokens", CHUNK, OFFSET)
 
 
-@query("h8_pack_chunks", sql("SELECT chunk_id, len(tokens) AS n, md5(array_to_string(tokens, ',')) AS tokens_md5 FROM fx_chunks",
+@query("h8_pack_chunks", sql("SELECT chunk_id, CAST(len(tokens) AS INTEGER) AS n, md5(array_to_string(tokens, ',')) AS tokens_md5 FROM fx_chunks",
                              "fx_chunks"))
 def h8(spark, d):
     c = chunks(spark, d)
@@ -182,7 +182,7 @@ def h11(spark, d):
 
 @query("h12_pad_with_mask", sql("""SELECT chunk_id, md5(array_to_string(list_concat(q_tokens, list_resize([]::INTEGER[], mx - len(q_tokens), 0)), ',')) AS ids_md5,
   md5(array_to_string(list_concat(list_resize([]::INTEGER[], len(q_tokens), 1), list_resize([]::INTEGER[], mx - len(q_tokens), 0)), ',')) AS mask_md5,
-  mx AS width FROM (SELECT *, max(len(q_tokens)) OVER (PARTITION BY chunk_id // 8) AS mx FROM fx_crops)""", "fx_crops"))
+  CAST(mx AS INTEGER) AS width FROM (SELECT *, max(len(q_tokens)) OVER (PARTITION BY chunk_id // 8) AS mx FROM fx_crops)""", "fx_crops"))
 def h12(spark, d):
     c = crops(spark, d).withColumn("batch", (F.col("chunk_id") / 8).cast("long"))
     p = ds.pad_with_mask(c, "q_tokens", "batch")
@@ -279,7 +279,7 @@ def h16(spark, d):
     return ds.union_samples(a, b)
 
 
-@query("h17_truncate_tokens", sql("""SELECT doc_id, len(list_slice(tokens, 1, 32)) AS n,
+@query("h17_truncate_tokens", sql("""SELECT doc_id, CAST(len(list_slice(tokens, 1, 32)) AS INTEGER) AS n,
   md5(array_to_string(list_slice(tokens, 1, 32), ',')) AS tokens_md5 FROM fx_tokens""", "fx_tokens"))
 def h17(spark, d):
     t = fx.tokens(spark, d).select("doc_id", ar.truncate_tokens("tokens", 32).alias("t"))

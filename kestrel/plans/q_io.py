@@ -74,7 +74,7 @@ def a4(spark, d):
     return io.pair_datasets(q, other).select("dataset", "row_id", "id", "partner")
 
 
-@query("a5_read_train_examples", sql("SELECT qid, len(pos) AS n_pos, len(neg) AS n_neg FROM fx_contrast", "fx_contrast"))
+@query("a5_read_train_examples", sql("SELECT qid, CAST(len(pos) AS INTEGER) AS n_pos, CAST(len(neg) AS INTEGER) AS n_neg FROM fx_contrast", "fx_contrast"))
 def a5(spark, d):
     from kestrel.plans.q_datasets import contrast_table
     t = contrast_table(spark, d)

@@ -68,7 +68,7 @@ def prompts(spark, d):
 # ---------------------------------------------------------------------------
 
 @query("e1_explode_attempts", sql(
-    "SELECT qid, rank, pid, d_t, md5(z_prompt) AS z_md5, length(z_prompt) AS z_len FROM fx_prompts", "fx_prompts"))
+    "SELECT qid, rank, pid, d_t, md5(z_prompt) AS z_md5, CAST(length(z_prompt) AS INTEGER) AS z_len FROM fx_prompts", "fx_prompts"))
 def e1(spark, d):
     p = prompts(spark, d)
     return p.select("qid", "rank", "pid", "d_t", F.md5("z_prompt").alias("z_md5"), F.length("z_prompt").alias("z_len"))

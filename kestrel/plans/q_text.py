@@ -41,7 +41,7 @@ def b1(spark, d):
     return docs.select("doc_id", F.md5(tx.normalize_text("text")).alias("norm_md5"))
 
 
-@query("b2_word_tokens", sql(f"""SELECT doc_id, len({toks('text', False)}) AS n_tokens,
+@query("b2_word_tokens", sql(f"""SELECT doc_id, CAST(len({toks('text', False)}) AS INTEGER) AS n_tokens,
   md5(array_to_string({toks('text')}, ' ')) AS tokens_md5 FROM documents"""))
 def b2(spark, d):
     docs = fx.table(spark, d, "documents")
@@ -155,7 +155,7 @@ def b14(spark, d):
 WORD = r"^\p{L}+$"
 
 
-@query("b15_parse_list", sql(f"""SELECT item_id AS qid, len(w) AS n, array_to_string(w, '|') AS items FROM (
+@query("b15_parse_list", sql(f"""SELECT item_id AS qid, CAST(len(w) AS INTEGER) AS n, array_to_string(w, '|') AS items FROM (
   SELECT item_id, list_slice(list_filter({toks('text', False)}, lambda t: regexp_matches(t, '{WORD}')), 1, 3) AS w FROM benchmark)"""))
 def b15(spark, d):
     b = fx.table(spark, d, "benchmark")
