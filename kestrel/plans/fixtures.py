@@ -79,7 +79,7 @@ def preds(spark, d) -> DataFrame:
                    F.when(u_c < 0.5, F.floor(u_c * 22).cast("string"))
                    .otherwise(F.concat(F.floor(u_c * 20 - 10).cast("string"), F.lit(".5"))))
              .otherwise(F.concat(F.round(u_c * 100, 1).cast("string"), F.lit(" (0-100)"))))
-    first_word = F.element_at(tx.word_tokens("text", lower=False), 1)
+    first_word = F.regexp_extract("text", tx.TOKEN_PATTERN, 1)  # first token only
     return j.select(
         F.col("lang").alias("dataset"), F.col("doc_id").alias("id"),
         F.col("quality").alias("y"),

@@ -59,7 +59,7 @@ _fx("fx_attempts", ["fx_run"], f"""SELECT qid, rank, pid, t, (t + 10) / 10.0 AS
 _fx("fx_preds", [], f"""SELECT lang AS dataset, doc_id AS id, quality AS y,
   round({u('p', 'doc_id')}, 2) AS p,
   CASE WHEN {u('na', 'doc_id')} < 0.1 THEN 'No answer'
-       ELSE 'The answer is ' || regexp_extract_all(text, '{PAT}', 1)[1] END AS y_pred,
+       ELSE 'The answer is ' || regexp_extract(text, '{PAT}', 1) END AS y_pred,
   CASE WHEN {u('ctype', 'doc_id')} < 0.34 THEN 'ling' WHEN {u('ctype', 'doc_id')} < 0.67 THEN 'number' ELSE 'ct' END AS c_type,
   CASE WHEN {u('ctype', 'doc_id')} < 0.34 THEN {LABELS_SQL}[CAST(floor({u('craw', 'doc_id')} * 11) AS BIGINT) + 1]
        WHEN {u('ctype', 'doc_id')} < 0.67 THEN
