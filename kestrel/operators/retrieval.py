@@ -134,20 +134,43 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, k1: float = 1.2, b: float
 MAX_DENSE_WEIGHTS = 20_000_000  # vocabulary × queries entries of the broadcast weight matrix
 
 
-def bm25_doc_terms(corpus: DataFrame, vocab: DataFrame, small_vocab: bool, pid: str = "pid",
-                   title: str | None = "title", text: str = "text") -> DataFrame:
-    """(pid, dl, terms): each passage's length and its token occurrences that
-    are query terms (repeats kept). Empty list when none — every passage keeps
-    its row, so corpus statistics come from the same single tokenising pass.
-    A passage is one group, bounded by its own length."""
-    docs = _doc_tokens(corpus, pid, title, text)
-    toks = F.concat(F.array(F.lit(None).cast("string")), F.col("toks"))
-    ex = docs.select("pid", F.size("toks").alias("dl"), F.explode_outer(toks).alias("tok"))
-    ex = ex.select("pid", "dl", F.lower("tok").alias("term"))
-    marks = vocab.select("term").distinct().withColumn("_hit", F.lit(True))
-    ex = (ex.join(F.broadcast(marks) if small_vocab else marks, "term", "left")
-          .where(F.col("_hit").isNotNull() | F.col("term").isNull()).drop("_hit"))
-    return ex.groupBy("pid", "dl").agg(F.collect_list("term").alias("terms"))
+def bm25_doc_index(corpus: DataFrame, vocab: np.ndarray, pid: str = "pid", title: str | None = "title",
+                   text: str = "text") -> DataFrame:
+    """(pid, dl, idx array<int>): passage length in tokens and the vocabulary
+    index of each query-term occurrence (repeats kept).
+
+    Tokenising stays in the JVM (one regex pass over lower-cased text);
+    an Arrow ``mapInArrow`` maps tokens to vocabulary indices with a
+    vectorised hash lookup against the broadcast vocabulary. One row in, one
+    row out: no shuffle, and only small integer lists leave the pass.
+    """
+    spark = corpus.sparkSession
+    passage = tx.compose_passage(title, text) if title else F.col(text)
+    docs = corpus.select(F.col(pid).alias("pid"), tx.word_tokens(F.lower(passage), lower=False).alias("toks"))
+    bv = spark.sparkContext.broadcast(vocab)
+
+    def fn(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        vocab_pa = pa.array(bv.value, type=pa.string())
+        for rb in batches:
+            toks = rb.column(1)
+            if isinstance(toks, pa.ChunkedArray):
+                toks = toks.combine_chunks()
+            offsets = toks.offsets.to_numpy()
+            lens = np.diff(offsets)
+            idx = pc.index_in(toks.flatten(), value_set=vocab_pa)
+            valid = idx.is_valid().to_numpy(zero_copy_only=False)
+            vals = idx.to_numpy(zero_copy_only=False)
+            keep_cum = np.concatenate([[0], np.cumsum(valid)])
+            new_off = keep_cum[offsets].astype(np.int32)
+            kept = pa.array(vals[valid].astype(np.int32), type=pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(new_off, type=pa.int32()), kept)
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(lens.astype(np.int32)), lists],
+                                             names=["pid", "dl", "idx"])
+
+    return docs.mapInArrow(fn, "pid long, dl int, idx array<int>")
 
 
 def _bm25_block_fn(bstate, k: int, k1: float, b: float, avgdl: float, chunk: int):
@@ -157,43 +180,43 @@ def _bm25_block_fn(bstate, k: int, k1: float, b: float, avgdl: float, chunk: int
     queries × k rows per partition."""
 
     def fn(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        vocab, W, qids = bstate.value
+        W, qids = bstate.value
         V, nq = W.shape
-        vocab_pa = pa.array(vocab)
         best_s = np.full((nq, k), -np.inf)
         best_p = np.full((nq, k), np.iinfo(np.int64).max, dtype=np.int64)
-        for pdf in batches:
-            pids_all = pdf["pid"].to_numpy().astype(np.int64)
-            dl_all = pdf["dl"].to_numpy().astype(np.float64)
-            terms_all = pdf["terms"].to_numpy()
-            for s0 in range(0, len(pdf), chunk):
-                terms = terms_all[s0:s0 + chunk]
-                lens = np.fromiter((len(t) for t in terms), dtype=np.int64, count=len(terms))
-                if lens.sum() == 0:
+        for rb in batches:
+            pids_all = rb.column(0).to_numpy().astype(np.int64)
+            dl_all = rb.column(1).to_numpy().astype(np.float64)
+            lst = rb.column(2)
+            offsets = lst.offsets.to_numpy()
+            flat = lst.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            for s0 in range(0, len(pids_all), chunk):
+                s1 = min(s0 + chunk, len(pids_all))
+                lo, hi = offsets[s0], offsets[s1]
+                if hi == lo:
                     continue
-                flat = pa.array(np.concatenate([np.asarray(t, dtype=object) for t in terms if len(t)]))
-                j = pc.index_in(flat, value_set=vocab_pa).to_numpy(zero_copy_only=False).astype(np.int64)
-                d = np.repeat(np.arange(len(terms)), lens)
+                lens = np.diff(offsets[s0:s1 + 1])
+                j = flat[lo:hi]
+                d = np.repeat(np.arange(s1 - s0), lens)
                 uk, tf = np.unique(d * V + j, return_counts=True)
                 dd, jj = uk // V, uk % V
-                norm = k1 * (1 - b + b * dl_all[s0:s0 + chunk][dd] / avgdl)
+                norm = k1 * (1 - b + b * dl_all[s0:s1][dd] / avgdl)
                 g = tf / (tf + norm)
                 uj, jinv = np.unique(jj, return_inverse=True)
-                G = np.zeros((len(terms), len(uj)))
+                G = np.zeros((s1 - s0, len(uj)))
                 G[dd, jinv] = g
                 S = np.round(G @ W[uj], SCORE_DIGITS)  # passages × queries
                 S[S <= 0] = -np.inf  # no shared term: not a candidate
                 cand_s = np.concatenate([best_s, S.T], axis=1)
-                cand_p = np.concatenate([best_p, np.broadcast_to(pids_all[s0:s0 + chunk], (nq, len(terms)))], axis=1)
+                cand_p = np.concatenate([best_p, np.broadcast_to(pids_all[s0:s1], (nq, s1 - s0))], axis=1)
                 order = np.lexsort((cand_p, -cand_s), axis=-1)[:, :k]
                 best_s = np.take_along_axis(cand_s, order, axis=1)
                 best_p = np.take_along_axis(cand_p, order, axis=1)
         qi, ci = np.nonzero(np.isfinite(best_s))
         if len(qi):
-            yield pd.DataFrame({"qid": qids[qi], "pid": best_p[qi, ci], "score": best_s[qi, ci]})
+            import pyarrow as pa
+            yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(best_p[qi, ci]), pa.array(best_s[qi, ci])],
+                                             names=["qid", "pid", "score"])
 
     return fn
 
@@ -203,57 +226,54 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 40, k1: float = 1.
               text: str = "text", qid: str = "qid", q: str = "q", chunk: int = 512) -> DataFrame:
     """(qid, pid, score, rank) — top-k per query, score desc then pid asc.
 
-    1. one JVM pass: tokenise, keep query-term occurrences (broadcast
-       vocabulary, size-checked), one row per passage — cached;
-    2. corpus statistics and document frequencies from the cache (≤ one row
-       per vocabulary term reaches the driver);
-    3. scoring: when the query-term weight matrix (vocabulary × queries) is
-       within ``MAX_DENSE_WEIGHTS`` it is broadcast and an Arrow
-       ``mapInPandas`` scores passages in blocks with a running exact top-k
-       per partition; beyond the bound the pure join plan of ``bm25_scores``
-       runs instead;
-    4. a ``WindowGroupLimit`` top-k over the per-partition candidates.
-    The result (queries × k rows) is written to the checkpoint folder and the
-    cache released.
+    1. query terms (size-checked) reach the driver as bounded metadata;
+    2. one pass over the corpus: JVM tokenising + Arrow vocabulary lookup,
+       one cached row per passage ``(pid, dl, idx)``, no shuffle;
+    3. corpus statistics and document frequencies from the cache (at most one
+       row per vocabulary term reaches the driver);
+    4. scoring: the query-term weight matrix (vocabulary × queries, bounded by
+       ``MAX_DENSE_WEIGHTS``) is broadcast and an Arrow ``mapInArrow`` scores
+       passages in blocks with a running exact top-k per partition; beyond the
+       bound the pure join plan of ``bm25_scores`` runs instead;
+    5. a ``WindowGroupLimit`` top-k over the per-partition candidates, written
+       to the checkpoint folder; the cache is released.
     """
     spark = corpus.sparkSession
     qt = query_terms(queries, qid, q, count_repeats)
-    vocab = qt.select("term").distinct()
-    small_vocab = bounded(vocab, MAX_BROADCAST_TERMS)
-    nq_small = bounded(qt.select("qid").distinct(), MAX_QUERY_BLOCK)
-    n_terms = vocab.count() if small_vocab else None
-    n_q = qt.select("qid").distinct().count() if nq_small else None
-    if not (small_vocab and nq_small and n_terms * n_q <= MAX_DENSE_WEIGHTS):
+    fits = bounded(qt, MAX_BROADCAST_TERMS)
+    qtp = qt.toPandas() if fits else None
+    if fits:
+        vocab_list = np.array(sorted(qtp["term"].unique()), dtype=object)
+        qids = np.array(sorted(qtp["qid"].unique()), dtype=np.int64)
+        fits = len(qids) <= MAX_QUERY_BLOCK and len(vocab_list) * len(qids) <= MAX_DENSE_WEIGHTS
+    if not fits:
         scores, postings = bm25_scores(corpus, queries, k1, b, count_repeats, pid, title, text, qid, q)
         try:
             return materialize(rank_run(scores, k))
         finally:
             postings.unpersist()
 
-    doc_terms = bm25_doc_terms(corpus, vocab, True, pid, title, text).persist(StorageLevel.MEMORY_AND_DISK)
+    doc_idx = bm25_doc_index(corpus, vocab_list, pid, title, text).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        st = doc_terms.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+        st = doc_idx.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
         n_docs, avgdl = float(st["n"]), float(st["avgdl"] or 0.0) or 1.0
-        dfreq = (doc_terms.select(F.explode(F.array_distinct("terms")).alias("term"))
-                 .groupBy("term").agg(F.count(F.lit(1)).alias("df")).toPandas())
-        qtp = qt.toPandas()
-        vocab_list = np.array(sorted(qtp["term"].unique()), dtype=object)
-        qids = np.array(sorted(qtp["qid"].unique()), dtype=np.int64)
+        dfreq = (doc_idx.select(F.explode(F.array_distinct("idx")).alias("j"))
+                 .groupBy("j").agg(F.count(F.lit(1)).alias("df")).toPandas())
+        df_arr = np.zeros(len(vocab_list))
+        df_arr[dfreq["j"].to_numpy()] = dfreq["df"].to_numpy()
+        idf = np.where(df_arr > 0, np.log(1 + (n_docs - df_arr + 0.5) / (df_arr + 0.5)), 0.0)
         jpos = {t: i for i, t in enumerate(vocab_list)}
         qpos = {x: i for i, x in enumerate(qids)}
-        df_map = dict(zip(dfreq["term"], dfreq["df"]))
         W = np.zeros((len(vocab_list), len(qids)))
-        for t, x, f in zip(qtp["term"], qtp["qid"], qtp["qtf"]):
-            dfv = df_map.get(t, 0)
-            if dfv:
-                W[jpos[t], qpos[x]] = f * np.log(1 + (n_docs - dfv + 0.5) / (dfv + 0.5))
-        bstate = spark.sparkContext.broadcast((vocab_list, W, qids))
-        fn = _bm25_block_fn(bstate, k, k1, b, avgdl, chunk)
-        cand = doc_terms.mapInPandas(fn, "qid long, pid long, score double")
+        ji = np.fromiter((jpos[t] for t in qtp["term"]), dtype=np.int64, count=len(qtp))
+        qi = np.fromiter((qpos[x] for x in qtp["qid"]), dtype=np.int64, count=len(qtp))
+        W[ji, qi] = qtp["qtf"].to_numpy() * idf[ji]
+        bstate = spark.sparkContext.broadcast((W, qids))
+        cand = doc_idx.mapInArrow(_bm25_block_fn(bstate, k, k1, b, avgdl, chunk), "qid long, pid long, score double")
         ranked = top_k_per_group(cand, ["qid"], [F.col("score").desc(), F.col("pid").asc()], k)
         return materialize(ranked)
     finally:
-        doc_terms.unpersist()
+        doc_idx.unpersist()
 
 
 def rank_run(scores: DataFrame, k: int) -> DataFrame:
