@@ -57,9 +57,12 @@ def reliability_bins(df: DataFrame, y: str, p: str, n_bins: int = 15,
             .agg(F.count(F.lit(1)).alias("n"), F.avg("_p").alias("mean_p"), F.avg("_y").alias("mean_y")))
 
 
-def ece_aggs(y, p, n_bins: int = 15, prefix: str = "") -> list[Column]:
-    """Per-bin partial sums as plain aggregate columns (one pass)."""
-    b = bin_index(p, n_bins)
+def ece_aggs(y, p, n_bins: int = 15, prefix: str = "", bin_col=None) -> list[Column]:
+    """Per-bin partial sums as plain aggregate columns (one pass).
+
+    Pass ``bin_col`` (a column holding ``bin_index(p)`` projected before the
+    aggregate) so the bin is computed once per row, not once per bin."""
+    b = _c(bin_col) if bin_col is not None else bin_index(p, n_bins)
     pc, yc = _c(p).cast("double"), _c(y).cast("double")
     out = []
     for i in range(n_bins):
@@ -86,7 +89,8 @@ def ece_from_aggs(total: Column, n_bins: int = 15, prefix: str = "") -> Column:
 
 def ece(df: DataFrame, y: str, p: str, n_bins: int = 15, group: list[str] | None = None) -> DataFrame:
     group = list(group or [])
-    agg = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *ece_aggs(y, p, n_bins))
+    x = df.withColumn("_bin", bin_index(p, n_bins))
+    agg = x.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *ece_aggs(y, p, n_bins, bin_col="_bin"))
     return agg.select(*group, ece_from_aggs(F.col("_n"), n_bins).alias("ece"))
 
 
@@ -162,6 +166,7 @@ def evaluate_predictions(df: DataFrame, y: str = "y", c_raw: str = "c_raw", c_ty
     x = df.select(*group, F.col(y).cast("int").alias("_y"),
                   tx.parse_confidence(c_raw, c_type).alias("_p"),
                   tx.is_abstain(y_pred).alias("_na"))
+    x = x.withColumn("_bin", F.when(F.col("_na") == False, bin_index("_p", n_bins)))  # noqa: E712
     kept = F.col("_na") == False  # noqa: E712
     kp = F.when(kept, F.col("_p"))
     ky = F.when(kept, F.col("_y"))
@@ -171,7 +176,7 @@ def evaluate_predictions(df: DataFrame, y: str = "y", c_raw: str = "c_raw", c_ty
         F.sum(F.when(kept, F.col("_y")).otherwise(0)).alias("_correct"),
         brier_col(ky, kp).alias("brier"),
         nll_col(ky, kp).alias("nll"),
-        *ece_aggs(ky, kp, n_bins))
+        *ece_aggs(ky, kp, n_bins, bin_col="_bin"))
     bundle = one.select(*group,
                         (F.col("_correct") / F.col("_all")).alias("acc"),
                         ece_from_aggs(F.col("_kept"), n_bins).alias("ece"),
@@ -199,10 +204,11 @@ def multiclass_metrics(df: DataFrame, logits: str, y: str, n_bins: int = 15, gro
                      F.lit(0.0).cast("double"), lambda a, v: a + v)
     ce = ar.logsumexp("_l") - F.element_at("_l", yy + 1)
     x = x.select(*group, pred.alias("_pred"), yy, conf.alias("_conf"), sq.alias("_sq"), ce.alias("_ce"))
+    x = x.withColumn("_bin", bin_index("_conf", n_bins))
     correct = (F.col("_pred") == yy).cast("double")
     agg = x.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.avg(correct).alias("acc"), F.avg("_ce").alias("loss"),
-        F.avg("_sq").alias("brier"), *ece_aggs(correct, F.col("_conf"), n_bins))
+        F.avg("_sq").alias("brier"), *ece_aggs(correct, F.col("_conf"), n_bins, bin_col="_bin"))
     return agg.select(*group, "n", "acc", "loss", "brier", ece_from_aggs(F.col("n"), n_bins).alias("ece"))
 
 
@@ -221,12 +227,13 @@ def soft_label_metrics(df: DataFrame, logits: str, s: str, n_bins: int = 15, gro
     target_cls = F.when(t0 >= t1, 0).otherwise(1)  # ties go to class 0
     conf = F.array_max("_pr")
     corr = F.when(pred == 0, t0).otherwise(t1)
+    x = x.withColumn("_bin", bin_index(conf, n_bins))
     agg = x.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg((pred == target_cls).cast("double")).alias("acc"),
         F.avg(-(t0 * lp0 + t1 * lp1)).alias("loss"),
         F.avg(F.pow(p0 - t0, 2) + F.pow(p1 - t1, 2)).alias("brier"),
-        *ece_aggs(corr, conf, n_bins))
+        *ece_aggs(corr, conf, n_bins, bin_col="_bin"))
     return agg.select(*group, "n", "acc", "loss", "brier", ece_from_aggs(F.col("n"), n_bins).alias("ece"))
 
 
@@ -337,10 +344,11 @@ def calibration_report(df: DataFrame, y: str, p: str, group: list[str] | None =
     if ungrouped:
         df = df.withColumn("_all_", F.lit(1))
     x = df.select(*group, F.col(y).cast("int").alias("_y"), F.col(p).cast("double").alias("_p"))
-    one = x.groupBy(*group).agg(
+    xb = x.withColumn("_bin", bin_index("_p", n_bins))
+    one = xb.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.avg("_y").alias("acc"),
         brier_col("_y", "_p").alias("brier"), nll_col("_y", "_p").alias("nll"),
-        *ece_aggs("_y", "_p", n_bins))
+        *ece_aggs("_y", "_p", n_bins, bin_col="_bin"))
     rep = one.select(*group, "n", "acc", ece_from_aggs(F.col("n"), n_bins).alias("ece"), "brier", "nll")
     out = rep.join(auroc(x, "_y", "_p", group), group, "left")
     return out.drop("_all_") if ungrouped else out

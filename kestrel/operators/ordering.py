@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from kestrel.session import bounded, materialize
 
 MAX_OFFSET_ROWS = 1_000_000
+# Inputs up to this many rows use one window per group directly (a whole
+# group of at most this size fits one task); larger inputs take the
+# two-level plan.
+SMALL_INPUT_ROWS = 1_000_000
 
 
 def _n_ranges(df: DataFrame, n_ranges: int | None) -> int:
@@ -46,6 +50,10 @@ def prefix_sums(df: DataFrame, order_cols: list, value_cols: list[str],
     group_cols = list(group_cols or [])
     n = _n_ranges(df, n_ranges)
     order = [_col(c) for c in order_cols]
+    if n_ranges is None and bounded(df, SMALL_INPUT_ROWS):
+        frame = (Window.partitionBy(*group_cols).orderBy(*order)
+                 .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+        return df.select("*", *[F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(prefix + v) for v in value_cols])
     # written once: range sampling, range totals and the local windows all
     # read this table instead of re-evaluating the input three times
     ranged = materialize(df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order)

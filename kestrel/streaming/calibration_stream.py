@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kestrel.operators.calibration import EPS, ece_aggs, ece_from_aggs
+from kestrel.operators.calibration import EPS, bin_index, ece_aggs, ece_from_aggs
 
 N_BINS = 15
 
@@ -23,12 +23,13 @@ def running_sums(stream: DataFrame, y: str = "y", p: str = "p", group: str = "da
                  n_bins: int = N_BINS) -> DataFrame:
     pc = F.least(F.greatest(F.col(p).cast("double"), F.lit(EPS)), F.lit(1 - EPS))
     yc = F.col(y).cast("double")
+    stream = stream.withColumn("_bin", bin_index(p, n_bins))
     return stream.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(yc).alias("s_y"),
         F.sum(F.pow(F.col(p).cast("double") - yc, 2)).alias("s_sq"),
         F.sum(-(yc * F.log(pc) + (1 - yc) * F.log(1 - pc))).alias("s_nll"),
-        *ece_aggs(y, p, n_bins))
+        *ece_aggs(y, p, n_bins, bin_col="_bin"))
 
 
 def report(sums: DataFrame, group: str = "dataset", n_bins: int = N_BINS) -> DataFrame:

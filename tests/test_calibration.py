@@ -110,3 +110,14 @@ def test_multiclass_metrics_against_numpy(spark):
 def test_ece_is_at_most_one(spark):
     df = frame(spark, [0, 0, 1, 1], [1.0, 0.99, 0.01, 0.02])
     assert cal.ece(df, "y", "p").first()[0] <= 1.0
+
+
+def test_auroc_two_level_path_matches(spark, monkeypatch):
+    from kestrel.operators import ordering
+
+    rng = random.Random(8)
+    y = [rng.randint(0, 1) for _ in range(400)]
+    p = [rng.random() for _ in range(400)]  # all distinct: every score its own row
+    monkeypatch.setattr(ordering, "SMALL_INPUT_ROWS", 0)
+    got = cal.auroc(frame(spark, y, p), "y", "p").first()[0]
+    assert abs(got - pairwise_auroc(y, p)) < 1e-12
