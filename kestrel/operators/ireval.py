@@ -109,10 +109,12 @@ def ir_metrics(run: DataFrame, qrels: DataFrame, ks: list[int], group: list[str]
                F.sum("hit").alias("hits"),
                F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first_hit"),
                F.sum("hole").alias("holes")))
-    # ideal DCG from the qrels themselves
-    wi = Window.partitionBy("qid").orderBy(F.col("rel").desc(), F.col("pid").asc())
-    ideal = (q_rel.where(F.col("rel") > 0).withColumn("_i", F.row_number().over(wi))
-             .select("qid", "rel", "_i", F.explode(ksarr).alias("k")).where(F.col("_i") <= F.col("k"))
+    # ideal DCG from the qrels themselves: only the best max(ks) judgments of
+    # a query matter, so the WindowGroupLimit form keeps a query with a huge
+    # number of judgments from landing whole in one task
+    best = top_k_per_group(q_rel.where(F.col("rel") > 0), ["qid"], [F.col("rel").desc(), F.col("pid").asc()],
+                           kmax, rank_col="_i0").withColumn("_i", F.col("_i0") + 1)
+    ideal = (best.select("qid", "rel", "_i", F.explode(ksarr).alias("k")).where(F.col("_i") <= F.col("k"))
              .groupBy("qid", "k").agg(F.sum(F.col("rel") / F.log2(F.col("_i") + 1)).alias("idcg")))
     queries = ranked.join(judged_q, "qid", "left_semi").select(*group, "qid").distinct() \
         .select("*", F.explode(ksarr).alias("k"))

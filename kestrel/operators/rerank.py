@@ -103,3 +103,27 @@ def ensemble_class_prob(attempts: DataFrame, probs: str = "probs", keys: list[st
     keys = list(keys or ["qid", "rank"])
     cls = (F.array_position(F.col(probs), F.array_max(probs)) - 1).cast("double")
     return attempts.groupBy(*keys).agg(F.avg(cls).alias("c"), F.avg(F.array_max(probs)).alias("prob"))
+
+
+def threshold_stop_waves(candidates: DataFrame, score, threshold: float = 1.0, top_k: int = 20,
+                         by: str = "c", key: str = "qid") -> DataFrame:
+    """Threshold stop when scoring is the costly step: score rank 0 for every
+    question, then rank r only for questions still open (``left_semi`` on the
+    open set, which drops those whose prob reached the threshold). At most
+    ``top_k`` waves; each wave's scores are written to the checkpoint folder
+    so lineage stays one wave deep. ``score(df)`` adds ``c`` and ``prob``.
+    Same answer as ``threshold_stop`` over fully scored attempts."""
+    from kestrel.session import materialize
+
+    scored = None
+    open_q = None
+    for r in range(top_k):
+        wave = candidates.where(F.col("rank") == r)
+        if open_q is not None:
+            wave = wave.join(open_q, key, "left_semi")
+        s = materialize(score(wave))
+        scored = s if scored is None else scored.unionByName(s)
+        open_q = s.where(F.col("prob") < threshold).select(key)
+        if open_q.limit(1).count() == 0:
+            break
+    return select_best(scored, by, key)

@@ -336,3 +336,15 @@ FROM fx_x GROUP BY qid""", "fx_x"))
 def d10(spark, d):
     s = score_lists(spark, d).select("qid", ar.rank_by_score("scores").alias("x"))
     return s.select("qid", ar.depth_to_cover("x", 5).cast("int").alias("depth"))
+
+
+@query("e4b_threshold_stop_waves", sql(BEST_SQL.format(src="""(SELECT a.* FROM fx_amean a
+  LEFT JOIN (SELECT qid, min(rank) AS stop FROM fx_amean WHERE prob >= 0.6 AND rank < 20 GROUP BY qid) s USING (qid)
+  WHERE a.rank < 20 AND (s.stop IS NULL OR a.rank <= s.stop))"""), "fx_amean"))
+def e4b(spark, d):
+    """Wave mode: only open questions are scored at each rank; the scorer
+    here looks up the temperature-ensembled confidences."""
+    scores = attempts_mean(spark, d)
+    cands = fx.run(spark, d).select("qid", "rank")
+    b = rr.threshold_stop_waves(cands, lambda w: w.join(scores, ["qid", "rank"]), threshold=0.6, top_k=20)
+    return b.select("qid", "rank", r6("c").alias("c"))

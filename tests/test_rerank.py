@@ -65,3 +65,13 @@ def test_explode_attempts_uses_each_rows_depth(spark):
                                f"qid long, q string, contexts {ctx}")
     out = rr.explode_attempts(df, "<question>|<title>|<context>").orderBy("qid", "rank").collect()
     assert [(r.qid, r.rank, r.z_prompt) for r in out] == [(1, 0, "q|a|x"), (2, 0, "r|b|y")]  # null text dropped
+
+
+def test_wave_mode_equals_relational(spark):
+    rng = random.Random(2)
+    rows = [(q, r, round(rng.random(), 1), round(rng.random(), 1)) for q in range(60) for r in range(rng.randint(1, 8))]
+    df = spark.createDataFrame(rows, "qid long, rank int, c double, prob double")
+    cands = df.select("qid", "rank")
+    waves = rr.threshold_stop_waves(cands, lambda w: w.join(df, ["qid", "rank"]), threshold=0.7, top_k=6)
+    got = {r.qid: r.rank for r in waves.collect()}
+    assert got == walk(rows, 0.7, 6)
