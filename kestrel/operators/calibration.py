@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kestrel.functions import arrays as ar
 from kestrel.functions import text as tx
 from kestrel.operators.ordering import prefix_sums
-from kestrel.session import bounded
+from kestrel.session import bounded, materialize
 
 EPS = 1e-15
 MAX_QUEUE_ROWS = 262_144
@@ -150,14 +150,60 @@ def auroc(df: DataFrame, y: str, p: str, group: list[str] | None = None) -> Data
 # G7 bundle
 # ---------------------------------------------------------------------------
 
+def score_counts(x: DataFrame, group: list[str], y: str = "_y", p: str = "_p",
+                 kept: str | None = None) -> DataFrame:
+    """Sufficient statistics of every binary calibration metric: one row per
+    (group…, [kept,] score) with ``cnt`` rows and ``pos`` positives. One pass
+    over the (possibly costly) input, partial aggregation map-side."""
+    keys = [*group, *([kept] if kept else []), p]
+    return x.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("cnt"),
+                                F.sum(F.col(y).cast("long")).cast("long").alias("pos"))
+
+
+def _metrics_from_counts(c: DataFrame, group: list[str], n_bins: int, kept: str | None) -> DataFrame:
+    """acc over all rows, na rate, and brier / nll / ece / auroc over kept
+    rows with a score (``kept`` = None: every row counts)."""
+    k = F.col(kept) if kept else F.lit(True)
+    pc = F.col("_p")
+    neg = F.col("cnt") - F.col("pos")
+    scored = k & pc.isNotNull()
+    clip = F.least(F.greatest(pc, F.lit(EPS)), F.lit(1 - EPS))
+    b = bin_index(pc, n_bins)
+    c = c.withColumn("_bin", F.when(scored, b))
+    aggs = [F.sum("cnt").alias("_all"), F.sum(F.when(k, F.col("cnt")).otherwise(0)).alias("_kept"),
+            F.sum(F.when(k, F.col("pos")).otherwise(0)).alias("_correct"),
+            F.sum(F.when(scored, F.col("cnt")).otherwise(0)).alias("_scored"),
+            F.sum(F.when(scored, F.col("pos") * F.pow(pc - 1, 2) + neg * F.pow(pc, 2))).alias("_sq"),
+            F.sum(F.when(scored, -(F.col("pos") * F.log(clip) + neg * F.log(1 - clip)))).alias("_nl")]
+    for i in range(n_bins):
+        hit = F.col("_bin") == i
+        aggs += [F.sum(F.when(hit, F.col("cnt")).otherwise(0)).alias(f"_bn{i}"),
+                 F.sum(F.when(hit, pc * F.col("cnt"))).alias(f"_bp{i}"),
+                 F.sum(F.when(hit, F.col("pos").cast("double"))).alias(f"_by{i}")]
+    one = c.groupBy(*group).agg(*aggs)
+    rep = one.select(*group, "_all", "_kept", (F.col("_correct") / F.col("_all")).alias("acc"),
+                     ece_from_aggs(F.col("_kept"), n_bins).alias("ece"),
+                     (F.col("_sq") / F.col("_scored")).alias("brier"), (F.col("_nl") / F.col("_scored")).alias("nll"),
+                     ((F.col("_all") - F.col("_kept")) / F.col("_all")).alias("na"))
+    sc = c.where(scored).groupBy(*group, "_p").agg(F.sum("pos").alias("pos"), F.sum(neg).alias("neg"))
+    cum = prefix_sums(sc, [F.col("_p").desc()], ["pos"], group, prefix="above_", inclusive=False)
+    area = cum.groupBy(*group).agg(
+        F.sum(F.col("neg") * (F.col("above_pos") + F.col("pos") / 2.0)).alias("_a"),
+        F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    au = area.select(*group, F.when((F.col("_P") > 0) & (F.col("_N") > 0),
+                                    F.col("_a") / (F.col("_P") * F.col("_N"))).alias("auroc"))
+    return rep.join(au, group, "left")
+
+
 def evaluate_predictions(df: DataFrame, y: str = "y", c_raw: str = "c_raw", c_type: str = "c_type",
                          y_pred: str = "y_pred", group: list[str] | None = None,
                          n_bins: int = 15) -> DataFrame:
     """auroc, acc, ece, brier, nll, na per group.
 
     Abstained rows ('no answer' in the prediction) leave every metric but
-    accuracy, whose divisor is all rows. Everything except AUROC is one
-    aggregate pass.
+    accuracy, whose divisor is all rows. The input is read once into
+    per-(group, abstained, score) counts (written to the checkpoint folder);
+    every metric, AUROC included, derives from that table.
     """
     ungrouped = not group
     group = list(group or ["_all_"])
@@ -165,25 +211,10 @@ def evaluate_predictions(df: DataFrame, y: str = "y", c_raw: str = "c_raw", c_ty
         df = df.withColumn("_all_", F.lit(1))
     x = df.select(*group, F.col(y).cast("int").alias("_y"),
                   tx.parse_confidence(c_raw, c_type).alias("_p"),
-                  tx.is_abstain(y_pred).alias("_na"))
-    x = x.withColumn("_bin", F.when(F.col("_na") == False, bin_index("_p", n_bins)))  # noqa: E712
-    kept = F.col("_na") == False  # noqa: E712
-    kp = F.when(kept, F.col("_p"))
-    ky = F.when(kept, F.col("_y"))
-    one = x.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_all"),
-        F.sum(F.when(kept, 1).otherwise(0)).alias("_kept"),
-        F.sum(F.when(kept, F.col("_y")).otherwise(0)).alias("_correct"),
-        brier_col(ky, kp).alias("brier"),
-        nll_col(ky, kp).alias("nll"),
-        *ece_aggs(ky, kp, n_bins, bin_col="_bin"))
-    bundle = one.select(*group,
-                        (F.col("_correct") / F.col("_all")).alias("acc"),
-                        ece_from_aggs(F.col("_kept"), n_bins).alias("ece"),
-                        "brier", "nll",
-                        ((F.col("_all") - F.col("_kept")) / F.col("_all")).alias("na"))
-    au = auroc(x.where(kept), "_y", "_p", group)
-    out = bundle.join(au, group, "left")
+                  (~tx.is_abstain(y_pred)).alias("_kept"))
+    counts = materialize(score_counts(x, group, kept="_kept"))
+    out = _metrics_from_counts(counts, group, n_bins, "_kept").select(
+        *group, "acc", "ece", "brier", "nll", "na", "auroc")
     return out.drop("_all_") if ungrouped else out
 
 
@@ -337,18 +368,14 @@ def queue_contrast(df: DataFrame, q: str, k: str, queue: DataFrame, qvec: str,
 
 def calibration_report(df: DataFrame, y: str, p: str, group: list[str] | None = None,
                        n_bins: int = 15) -> DataFrame:
-    """n, acc, ece, brier, nll (one aggregate pass) and auroc per group for
-    numeric confidences."""
+    """n, acc, ece, brier, nll, auroc per group for numeric confidences — one
+    read of the input into per-(group, score) counts, metrics from those."""
     ungrouped = not group
     group = list(group or ["_all_"])
     if ungrouped:
         df = df.withColumn("_all_", F.lit(1))
     x = df.select(*group, F.col(y).cast("int").alias("_y"), F.col(p).cast("double").alias("_p"))
-    xb = x.withColumn("_bin", bin_index("_p", n_bins))
-    one = xb.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_y").alias("acc"),
-        brier_col("_y", "_p").alias("brier"), nll_col("_y", "_p").alias("nll"),
-        *ece_aggs("_y", "_p", n_bins, bin_col="_bin"))
-    rep = one.select(*group, "n", "acc", ece_from_aggs(F.col("n"), n_bins).alias("ece"), "brier", "nll")
-    out = rep.join(auroc(x, "_y", "_p", group), group, "left")
+    counts = materialize(score_counts(x, group))
+    out = _metrics_from_counts(counts, group, n_bins, None).select(
+        *group, F.col("_all").alias("n"), "acc", "ece", "brier", "nll", "auroc")
     return out.drop("_all_") if ungrouped else out

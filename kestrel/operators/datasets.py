@@ -204,7 +204,10 @@ def mixture_sample(df: DataFrame, dataset: str, key: str, coeff: float, n_draws:
     then an equi-join on (dataset, row index) fetches the row.
     """
     spark = df.sparkSession
-    probs = mixture_probs(df, dataset, coeff).orderBy(dataset).collect()
+    table = mixture_probs(df, dataset, coeff)
+    if not bounded(table, MAX_BROADCAST_ROWS):
+        raise ValueError("too many datasets for an in-plan probability table")
+    probs = table.orderBy(dataset).collect()
     names = [r[dataset] for r in probs]
     sizes = [int(r["n"]) for r in probs]
     cum, acc = [], 0.0

@@ -23,7 +23,7 @@ from kestrel.session import bounded, materialize
 # Broadcast bounds (rows). Above them the join shuffles instead.
 MAX_BROADCAST_TERMS = 2_000_000
 MAX_BROADCAST_RUN = 5_000_000
-MAX_QUERY_BLOCK = 65_536
+MAX_QUERY_BLOCK = 16_384  # rows of a broadcast query block (≈50 MB at 384-d doubles)
 SCORE_DIGITS = 9
 
 CONTEXT_TYPE = T.ArrayType(T.StructType([
