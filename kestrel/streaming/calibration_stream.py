@@ -41,11 +41,21 @@ def report(sums: DataFrame, group: str = "dataset", n_bins: int = N_BINS) -> Dat
 
 def start_calibration_stream(spark: SparkSession, path: str, schema: str, checkpoint: str,
                              query_name: str, y: str = "y", p: str = "p", group: str = "dataset",
-                             max_files_per_trigger: int = 1) -> StreamingQuery:
+                             max_files_per_trigger: int = 1, state_partitions: int = 16) -> StreamingQuery:
     """Start the stream over parquet files under ``path``; the running sums
-    land in the in-memory table ``query_name`` (complete mode)."""
+    land in the in-memory table ``query_name`` (complete mode).
+
+    The state is one row per dataset, so the aggregate's state store gets
+    ``state_partitions`` partitions (fixed in the checkpoint at first start)
+    instead of the session's batch shuffle width."""
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(path))
     sums = running_sums(src, y, p, group)
-    return (sums.writeStream.outputMode("complete").format("memory").queryName(query_name)
-            .option("checkpointLocation", checkpoint).start())
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return (sums.writeStream.outputMode("complete").format("memory").queryName(query_name)
+                .option("checkpointLocation", checkpoint).start())
+    finally:
+        spark.conf.set(key, before)
