@@ -11,7 +11,6 @@ import contextlib
 import io
 import sys
 
-from pyspark.sql import functions as F
 
 NOTES = {
     "c1_bm25_topk": "Eager operator: the plan shown is the final read of the written top-k table; the scoring "

@@ -10,7 +10,7 @@ from kestrel.operators import calibration as cal
 from kestrel.operators import retrieval as rt
 from kestrel.plans import fixtures as fx
 from kestrel.plans.registry import query, r6
-from kestrel.plans.oracle import register, sql, u
+from kestrel.plans.oracle import register, sql
 
 
 def edges_sql(n: int) -> str:

@@ -12,7 +12,7 @@ from kestrel.operators import rerank as rr
 from kestrel.plans import fixtures as fx
 from kestrel.plans.registry import query, r6
 from kestrel.session import materialize
-from kestrel.plans.oracle import PAT, register, sql, toks, u
+from kestrel.plans.oracle import register, sql, toks, u
 
 # Prompt wording is a user parameter; this one is ours.
 TEMPLATE = "Question: <question>\nContext: <title> - <context>\nAnswer:"

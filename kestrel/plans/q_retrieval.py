@@ -31,7 +31,7 @@ def c8_assemble_contexts(spark, d):
 # ---------------------------------------------------------------------------
 
 from kestrel.functions import arrays as ar  # noqa: E402
-from kestrel.plans.oracle import register  # noqa: E402
+
 
 
 def vecs(spark, d):

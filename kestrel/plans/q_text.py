@@ -11,9 +11,9 @@ from kestrel.functions import text as tx
 from kestrel.operators import prompts as pr
 from kestrel.plans import fixtures as fx
 from kestrel.plans.registry import query
-from kestrel.plans.oracle import LABELS_SQL, PAT, register, sql, toks
+from kestrel.plans.oracle import LABELS_SQL, register, sql, toks
 from kestrel.plans.q_calibration import parse_sql
-from kestrel.plans.q_rerank import END, START, TEMPLATE, prompts
+from kestrel.plans.q_rerank import END, START, prompts
 
 
 def chars_sql(s: str) -> str:
