@@ -22,6 +22,7 @@ from kestrel.session import bounded, materialize
 
 EPS = 1e-15
 MAX_QUEUE_ROWS = 262_144
+MAX_BATCH_ROWS = 65_536
 
 
 def _c(x) -> Column:
@@ -319,6 +320,9 @@ def inbatch_contrast(df: DataFrame, batch: str, row: str, q: str, k: str,
     is the arg-max, first index on ties) and cross-entropy with label
     smoothing. Keys are gathered per batch (bounded by the batch size) and
     each query row scores that array — no pair rows are emitted."""
+    biggest = df.groupBy(batch).count().agg(F.max("count")).first()[0] or 0
+    if biggest > MAX_BATCH_ROWS:
+        raise ValueError(f"batch of {biggest} rows exceeds MAX_BATCH_ROWS; in-batch contrast gathers a batch's keys")
     keys = df.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct(row, F.col(k).cast("array<double>").alias("kv")))).alias("_keys"))
     x = df.select(batch, row, F.col(q).cast("array<double>").alias("_q")).join(keys, batch)
     scores = F.transform("_keys", lambda kk: ar.dot(F.col("_q"), kk["kv"]) / temperature)

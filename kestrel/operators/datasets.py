@@ -170,10 +170,13 @@ def augment_tokens(tokens, mode: str, p: float, seed, key, mask_id: int = 0,
 
 def pad_with_mask(df: DataFrame, tokens: str, batch: str, side: str = "right",
                   pad_id: int = 0) -> DataFrame:
-    """Pad each row to its batch's longest row; 1/0 mask."""
-    w = Window.partitionBy(batch)
-    m = F.max(F.size(tokens)).over(w)
-    x = df.withColumn("_max", m)
+    """Pad each row to its batch's longest row; 1/0 mask.
+
+    The batch width is a grouped ``max`` (partial aggregation, so a huge
+    batch is never one task) joined back — broadcast when the batch table is
+    small (checked)."""
+    widths = df.groupBy(batch).agg(F.max(F.size(tokens)).alias("_max"))
+    x = df.join(F.broadcast(widths) if bounded(widths, MAX_BROADCAST_ROWS) else widths, batch)
     pad = F.array_repeat(F.lit(pad_id), F.col("_max") - F.size(tokens))
     ones = F.array_repeat(F.lit(1), F.size(tokens))
     zeros = F.array_repeat(F.lit(0), F.col("_max") - F.size(tokens))
