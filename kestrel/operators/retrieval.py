@@ -481,33 +481,46 @@ def pq_encode(corpus_vec: DataFrame, books: np.ndarray, pid: str = "pid", vec: s
 def pq_topk(codes: DataFrame, books: np.ndarray, query_vec: DataFrame, k: int = 10,
             qid: str = "qid", vec: str = "embedding") -> DataFrame:
     """Approximate inner-product top-k: per query a lookup table
-    (m × 2^nbits, broadcast; size-checked query block), per passage the sum
-    of its codes' entries, local top-k per Arrow batch, global WindowGroupLimit."""
+    (m × 2^nbits), per passage the sum of its codes' entries, local top-k per
+    Arrow batch, global WindowGroupLimit. Query blocks of at most
+    ``MAX_QUERY_BLOCK`` rows are broadcast one at a time (dense index of the
+    queries), so the broadcast never grows with the query set."""
     spark = codes.sparkSession
-    if not bounded(query_vec, MAX_QUERY_BLOCK):
-        raise ValueError("query block larger than MAX_QUERY_BLOCK")
-    q = query_vec.select(F.col(qid).alias("qid"), F.col(vec).cast("array<double>").alias("vec")).toPandas()
-    qids = q["qid"].to_numpy().astype(np.int64)
-    Q = np.stack(q["vec"].to_numpy()).astype(np.float64)
     m, K, dsub = books.shape
-    lut = np.stack([Q[:, s * dsub:(s + 1) * dsub] @ books[s].T for s in range(m)], axis=1)  # nq × m × K
-    bl = spark.sparkContext.broadcast(lut)
+    queries = query_vec.select(F.col(qid).alias("qid"), F.col(vec).cast("array<double>").alias("vec"))
 
-    def fn(batches):
-        T = bl.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            C = np.stack(pdf["codes"].to_numpy()).astype(np.int64)  # n × m
-            pids = pdf["pid"].to_numpy()
-            sc = np.zeros((T.shape[0], len(C)))
-            for s in range(m):
-                sc += T[:, s, :][:, C[:, s]]
-            sc = np.round(sc, SCORE_DIGITS)
-            kk = min(k, sc.shape[1])
-            kth = -np.partition(-sc, kk - 1, axis=1)[:, kk - 1]
-            qi, ci = np.nonzero(sc >= kth[:, None])
-            yield pd.DataFrame({"qid": qids[qi], "pid": pids[ci].astype(np.int64), "score": sc[qi, ci]})
-
-    cand = codes.mapInPandas(fn, "qid long, pid long, score double")
+    def run_block(qdf: DataFrame) -> DataFrame:
+        q = qdf.toPandas()
+        qids = q["qid"].to_numpy().astype(np.int64)
+        Q = np.stack(q["vec"].to_numpy()).astype(np.float64)
+        lut = np.stack([Q[:, s * dsub:(s + 1) * dsub] @ books[s].T for s in range(m)], axis=1)  # nq × m × K
+        bl = spark.sparkContext.broadcast((qids, lut))
+
+        def fn(batches):
+            qids_b, T = bl.value
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                C = np.stack(pdf["codes"].to_numpy()).astype(np.int64)  # n × m
+                pids = pdf["pid"].to_numpy()
+                sc = np.zeros((T.shape[0], len(C)))
+                for s in range(m):
+                    sc += T[:, s, :][:, C[:, s]]
+                sc = np.round(sc, SCORE_DIGITS)
+                kk = min(k, sc.shape[1])
+                kth = -np.partition(-sc, kk - 1, axis=1)[:, kk - 1]
+                qi, ci = np.nonzero(sc >= kth[:, None])
+                yield pd.DataFrame({"qid": qids_b[qi], "pid": pids[ci].astype(np.int64), "score": sc[qi, ci]})
+
+        return codes.mapInPandas(fn, "qid long, pid long, score double")
+
+    if bounded(queries, MAX_QUERY_BLOCK):
+        cand = run_block(queries)
+    else:
+        indexed = dense_index(queries, [F.col("qid")], out="_qi")
+        n_blocks = indexed.agg(F.max("_qi")).first()[0] // MAX_QUERY_BLOCK + 1
+        cand = None
+        for blk in range(int(n_blocks)):
+            part = run_block(indexed.where((F.col("_qi") / MAX_QUERY_BLOCK).cast("long") == blk).select("qid", "vec"))
+            cand = part if cand is None else cand.unionByName(part)
     return top_k_per_group(cand, ["qid"], [F.col("score").desc(), F.col("pid").asc()], k)

@@ -106,3 +106,12 @@ def test_pq_recall_against_exact(spark):
     a = set(zip(approx.qid, approx.pid))
     x = set(zip(exact.qid, exact.pid))
     assert len(a & x) / len(x) > 0.3  # recall@10 of an 8×4-bit code on 64-d vectors
+
+
+def test_query_blocks_equal_single_block(spark, monkeypatch):
+    e = spark.read.parquet(f"{SF001}/embeddings.parquet").select(
+        F.col("vec_id").alias("pid"), F.col("vec_id").alias("qid"), "embedding")
+    one = sorted(tuple(r) for r in rt.dense_topk(e, e, k=3).collect())
+    monkeypatch.setattr(rt, "MAX_QUERY_BLOCK", 128)
+    many = sorted(tuple(r) for r in rt.dense_topk(e, e, k=3).collect())
+    assert one == many
