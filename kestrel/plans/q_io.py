@@ -35,7 +35,7 @@ def qa_dir(spark, d):
     lab = fx.table(spark, d, "labels")
     qa = lab.join(docs, "doc_id").select(
         F.col("lang").alias("dataset"), F.col("doc_id").alias("id"),
-        F.substring("text", 1, 80).alias("x"), F.col("quality").cast("string").alias("y"))
+        F.col("text").alias("x"), F.col("quality").cast("string").alias("y"))
     path = io.scratch_path(spark, "qa")
     ordered = qa.repartitionByRange(4, "dataset", "id").sortWithinPartitions("dataset", "id")
     io.write_by_dataset(ordered, path, fmt="csv")
@@ -43,7 +43,7 @@ def qa_dir(spark, d):
 
 
 QA_ORACLE = """SELECT lang AS dataset, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS BIGINT) AS row_id,
-  doc_id AS id, CAST(quality AS VARCHAR) AS y, md5(substr(text, 1, 80)) AS x_md5 FROM labels JOIN documents USING (doc_id)"""
+  doc_id AS id, CAST(quality AS VARCHAR) AS y, md5(text) AS x_md5 FROM labels JOIN documents USING (doc_id)"""
 
 
 @query("a2_read_qa_dir", sql(QA_ORACLE))

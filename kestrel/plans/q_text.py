@@ -156,10 +156,10 @@ WORD = r"^\p{L}+$"
 
 
 @query("b15_parse_list", sql(f"""SELECT item_id AS qid, CAST(len(w) AS INTEGER) AS n, array_to_string(w, '|') AS items FROM (
-  SELECT item_id, list_slice(list_filter({toks('text', False)}, lambda t: regexp_matches(t, '{WORD}')), 1, 3) AS w FROM benchmark)"""))
+  SELECT item_id, list_filter({toks('text', False)}, lambda t: regexp_matches(t, '{WORD}')) AS w FROM benchmark)"""))
 def b15(spark, d):
     b = fx.table(spark, d, "benchmark")
-    words = F.slice(F.filter(tx.word_tokens("text", lower=False), lambda t: t.rlike(WORD)), 1, 3)
+    words = F.filter(tx.word_tokens("text", lower=False), lambda t: t.rlike(WORD))
     lit = F.concat(F.lit("['"), F.array_join(words, "', '"), F.lit("']"))
     parsed = tx.parse_list(lit)
     return b.select(F.col("item_id").alias("qid"), F.size(parsed).alias("n"), F.array_join(parsed, "|").alias("items"))
