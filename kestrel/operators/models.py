@@ -16,12 +16,24 @@ from pyspark.sql import functions as F
 from kestrel.functions import arrays as ar
 
 
+def probe_features(features: str, temperature: str | None = None, fourier_k: int = 6,
+                   t_range: tuple[float, float] = (1.0, 2.0)):
+    """Feature column: the hidden vector, optionally followed by the sin/cos
+    Fourier features of a temperature column (F5)."""
+    f = F.col(features).cast("array<double>")
+    if temperature is not None:
+        f = F.concat(f, ar.fourier_features(temperature, fourier_k, t_range))
+    return f
+
+
 def fit_probe(df: DataFrame, features: str, label: str, weight: str | None = None,
-              max_iter: int = 100, reg: float = 0.0):
+              max_iter: int = 100, reg: float = 0.0, temperature: str | None = None, fourier_k: int = 6):
+    """Multinomial logistic regression probe (2 or 11 classes). ``weight``
+    takes class weights (G13) or soft-label row weights (H7)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    x = df.withColumn("_f", array_to_vector(F.col(features).cast("array<double>"))) \
+    x = df.withColumn("_f", array_to_vector(probe_features(features, temperature, fourier_k))) \
         .withColumn("_y", F.col(label).cast("double"))
     lr = LogisticRegression(featuresCol="_f", labelCol="_y", family="multinomial",
                             maxIter=max_iter, regParam=reg)
@@ -30,11 +42,12 @@ def fit_probe(df: DataFrame, features: str, label: str, weight: str | None = Non
     return lr.fit(x)
 
 
-def probe_predict(model, df: DataFrame, features: str) -> DataFrame:
+def probe_predict(model, df: DataFrame, features: str, temperature: str | None = None,
+                  fourier_k: int = 6) -> DataFrame:
     """Adds ``probs`` (array<double>, one entry per class) and ``pred``."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    x = df.withColumn("_f", array_to_vector(F.col(features).cast("array<double>")))
+    x = df.withColumn("_f", array_to_vector(probe_features(features, temperature, fourier_k)))
     out = model.transform(x)
     return out.withColumn("probs", vector_to_array("probability")) \
         .withColumn("pred", F.col("prediction").cast("int")) \

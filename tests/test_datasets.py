@@ -92,3 +92,29 @@ def test_mixture_probs_uniform_when_coeff_zero(spark):
     df = spark.createDataFrame([("a",)] * 9 + [("b",)], "d string")
     p = {r.d: r.prob for r in ds.mixture_probs(df, "d", 0.0).collect()}
     assert abs(p["a"] - 0.5) < 1e-12 and abs(p["b"] - 0.5) < 1e-12
+
+
+def test_pick_contrast_eval_and_training_bounds(spark):
+    ctx = "array<struct<title:string,text:string>>"
+    rows = [(1, "q1", [("T", "gold a"), ("", "gold b")], [("N", "neg 1"), ("", "neg 2")], [("H", "h0"), ("H", "h1"), ("H", "h2")]),
+            (2, "q2", [("", "only gold")], [], [("H", "h0")])]
+    df = spark.createDataFrame(rows, f"qid long, question string, positive_ctxs {ctx}, negative_ctxs {ctx}, "
+                                     f"hard_negative_ctxs {ctx}")
+    ev = {r.qid: (r.gold, r.negatives) for r in ds.pick_contrast(df, "qid", 4, 0.5, training=False).collect()}
+    assert ev[1] == ("T gold a", ["N neg 1"]) and ev[2] == ("only gold", [])
+    tr = {r.qid: r for r in ds.pick_contrast(df, "qid", 4, 1.0, hard_min=1, training=True, seed=3).collect()}
+    assert tr[1].n_hard == 2 and tr[1].n_rand == 2 and len(tr[1].negatives) == 4   # hard capped by pool past hard_min
+    assert tr[2].n_hard == 0 and tr[2].n_rand == 0 and tr[2].negatives == []
+    assert set(tr[1].negatives[2:]) == {"H h1", "H h2"}
+
+
+def test_probe_on_soft_rows(spark):
+    from kestrel.operators import models as md
+    rows = [(i, [float(i % 2), 1.0 - (i % 2)], (i % 2) * 8 + 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, f array<double>, votes int").withColumn("v", F.col("votes") / 10.0)
+    soft = ds.soft_rows(df, "v")
+    model = md.fit_probe(soft, "f", "label", weight="weight", max_iter=50)
+    p = md.probe_predict(model, df, "f").select("id", F.element_at("probs", 2).alias("p1")).collect()
+    hi = [r.p1 for r in p if r.id % 2 == 1]
+    lo = [r.p1 for r in p if r.id % 2 == 0]
+    assert min(hi) > 0.8 and max(lo) < 0.2   # recovers the soft targets 0.9 / 0.1

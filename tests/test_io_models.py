@@ -70,3 +70,12 @@ def test_score_stage_dedupes_and_caches(spark, tmp_path):
     again = {r.i: r.score for r in scr.score_stage(df, "p", scr.hash_scorer, cache_path=cache).collect()}
     assert again == out
     assert spark.read.parquet(cache).count() == 2  # nothing re-scored on the second run
+
+
+def test_probe_with_temperature_features(spark):
+    df = spark.createDataFrame([(i, [float(i % 3)], i % 2, 1.0 + (i % 6) / 10.0) for i in range(60)],
+                               "id long, f array<double>, y int, t double")
+    model = md.fit_probe(df, "f", "y", temperature="t", max_iter=20)
+    assert model.numFeatures == 1 + 12
+    out = md.probe_predict(model, df, "f", temperature="t")
+    assert out.count() == 60 and len(out.first()["probs"]) == 2
