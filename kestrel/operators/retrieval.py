@@ -134,7 +134,7 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, k1: float = 1.2, b: float
 MAX_DENSE_WEIGHTS = 20_000_000  # vocabulary × queries entries of the broadcast weight matrix
 
 
-def bm25_doc_index(corpus: DataFrame, vocab: np.ndarray, pid: str = "pid", title: str | None = "title",
+def bm25_doc_index(corpus: DataFrame, vocab, pid: str = "pid", title: str | None = "title",
                    text: str = "text") -> DataFrame:
     """(pid, dl, idx array<int>): passage length in tokens and the vocabulary
     index of each query-term occurrence (repeats kept).
@@ -147,7 +147,8 @@ def bm25_doc_index(corpus: DataFrame, vocab: np.ndarray, pid: str = "pid", title
     spark = corpus.sparkSession
     passage = tx.compose_passage(title, text) if title else F.col(text)
     docs = corpus.select(F.col(pid).alias("pid"), tx.word_tokens(F.lower(passage), lower=False).alias("toks"))
-    bv = spark.sparkContext.broadcast(vocab)
+    # ``vocab``: numpy array of terms, or an existing broadcast of one
+    bv = vocab if hasattr(vocab, "value") else spark.sparkContext.broadcast(vocab)
 
     def fn(batches):
         import pyarrow as pa
@@ -253,7 +254,9 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 40, k1: float = 1.
         finally:
             postings.unpersist()
 
-    doc_idx = bm25_doc_index(corpus, vocab_list, pid, title, text).persist(StorageLevel.MEMORY_AND_DISK)
+    bv = spark.sparkContext.broadcast(vocab_list)
+    bstate = None
+    doc_idx = bm25_doc_index(corpus, bv, pid, title, text).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         st = doc_idx.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
         n_docs, avgdl = float(st["n"]), float(st["avgdl"] or 0.0) or 1.0
@@ -273,7 +276,11 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 40, k1: float = 1.
         ranked = top_k_per_group(cand, ["qid"], [F.col("score").desc(), F.col("pid").asc()], k)
         return materialize(ranked)
     finally:
+        # the result is a written table: cache and broadcasts can go
         doc_idx.unpersist()
+        bv.destroy()
+        if bstate is not None:
+            bstate.destroy()
 
 
 def rank_run(scores: DataFrame, k: int) -> DataFrame:
