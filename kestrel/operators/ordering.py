@@ -4,17 +4,19 @@
 The helpers here compute exact positions and prefix sums in two levels:
 
 1. ``repartitionByRange`` splits the total order into contiguous, balanced
-   ranges (Spark samples the keys to pick the bounds);
+   ranges (Spark samples the keys to pick the bounds); the range-tagged input
+   is written once to the checkpoint folder so sampling, totals and windows
+   do not re-evaluate it;
 2. per-range totals — one small row per (group, range) — are turned into
-   exclusive offsets with a window over that tiny table;
+   exclusive offsets with a window over that tiny table (broadcast after a
+   size check);
 3. inside each range a window (partitioned by the range id) gives local
    positions / sums, and the offset is added back.
 
-The only data moved twice is the input itself (range exchange + the window
-exchange on the range id); the offset table is bounded by
-``#groups + n_ranges`` rows and is broadcast after a size check.
-Order keys must be total (include a unique tie-breaker) for positions to be
-deterministic, and so that a hot key can still be split across ranges.
+Inputs of at most ``SMALL_INPUT_ROWS`` rows (checked) take one window per
+group directly. Order keys must be total (include a unique tie-breaker) for
+positions to be deterministic, and so that a hot key can still be split
+across ranges.
 """
 
 from __future__ import annotations
