@@ -121,3 +121,25 @@ def test_auroc_two_level_path_matches(spark, monkeypatch):
     monkeypatch.setattr(ordering, "SMALL_INPUT_ROWS", 0)
     got = cal.auroc(frame(spark, y, p), "y", "p").first()[0]
     assert abs(got - pairwise_auroc(y, p)) < 1e-12
+
+
+def test_bundle_with_hot_dataset_two_level(spark, monkeypatch):
+    from kestrel.operators import ordering
+
+    rng = random.Random(13)
+    rows = []
+    for i in range(900):
+        ds_name = "hot" if i % 3 == 0 else f"d{i % 5}"
+        rows.append((ds_name, rng.randint(0, 1), f"{round(rng.random() * 100, 1)} (0-100)", "ct",
+                     "No answer" if i % 17 == 0 else "x"))
+    df = spark.createDataFrame(rows, "dataset string, y int, c_raw string, c_type string, y_pred string")
+    ref = {r.dataset: r for r in cal.evaluate_predictions(df, group=["dataset"]).collect()}
+    monkeypatch.setattr(ordering, "SMALL_INPUT_ROWS", 0)
+    got = {r.dataset: r for r in cal.evaluate_predictions(df.repartition(7), group=["dataset"]).collect()}
+    for k, r in ref.items():
+        for m in ["acc", "ece", "brier", "nll", "na", "auroc"]:
+            assert abs(r[m] - got[k][m]) < 1e-12
+    hot = [r for r in rows if r[0] == "hot" and r[4] != "No answer"]
+    y = [r[1] for r in hot]
+    p = [float(r[2].split(" (")[0]) / 100 for r in hot]
+    assert abs(got["hot"]["auroc"] - pairwise_auroc(y, p)) < 1e-12

@@ -115,3 +115,14 @@ def test_query_blocks_equal_single_block(spark, monkeypatch):
     monkeypatch.setattr(rt, "MAX_QUERY_BLOCK", 128)
     many = sorted(tuple(r) for r in rt.dense_topk(e, e, k=3).collect())
     assert one == many
+
+
+def test_bm25_unchanged_by_repartition(spark):
+    c = spark.read.parquet(f"{SF001}/documents.parquet").select(
+        F.col("doc_id").alias("pid"), F.col("source").alias("title"), "text")
+    q = spark.read.parquet(f"{SF001}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
+    base = sorted((r.qid, r.pid, round(r.score, 9), r.rank) for r in rt.bm25_topk(c, q, k=5).collect())
+    for n in (1, 7):
+        other = sorted((r.qid, r.pid, round(r.score, 9), r.rank)
+                       for r in rt.bm25_topk(c.repartition(n), q.repartition(n), k=5).collect())
+        assert other == base
