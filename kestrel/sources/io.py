@@ -90,18 +90,18 @@ def with_positions(df: DataFrame, dataset_col: str = "dataset") -> DataFrame:
 def read_qa_dir(spark: SparkSession, path: str, schema: str | T.StructType, dropna: bool = True,
                 dataset_from: str = "file") -> DataFrame:
     """Every CSV under ``path`` with a ``dataset`` column (from the file name,
-    or from a ``dataset=…`` partition folder) and per-dataset ``row_id``;
-    rows with any null dropped."""
+    or from a ``dataset=…`` partition folder); rows with any null dropped, then
+    per-dataset ``row_id`` over the remaining rows."""
     df = _csv_reader(spark, schema, header=True).csv(path)
     if dataset_from == "partition":
         ds = F.regexp_extract(F.col("_metadata.file_path"), r"dataset=([^/]+)/", 1)
     else:
         ds = dataset_key(F.col("_metadata.file_name"))
     df = df.withColumn("dataset", ds)
-    df = with_positions(df)
     if dropna:
         df = df.na.drop("any")
-    return df
+    # positions count the rows that remain, like dropna + a fresh index
+    return with_positions(df)
 
 
 def pair_datasets(raw: DataFrame, retrieved: DataFrame) -> DataFrame:

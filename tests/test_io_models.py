@@ -79,3 +79,14 @@ def test_probe_with_temperature_features(spark):
     assert model.numFeatures == 1 + 12
     out = md.probe_predict(model, df, "f", temperature="t")
     assert out.count() == 60 and len(out.first()["probs"]) == 2
+
+
+def test_read_qa_dir_file_names_positions_and_dropna(spark, tmp_path):
+    d = tmp_path / "raw"
+    d.mkdir()
+    (d / "oe_nq.csv").write_text('id,x,y\n1,"q one","a"\n3,,c\n2,"q\ntwo",b\n', encoding="utf-8")
+    (d / "oe_tqa.csv").write_text("id,x,y\n7,q7,a7\n", encoding="utf-8")
+    df = io.read_qa_dir(spark, str(d), "id long, x string, y string")
+    got = sorted((r.dataset, r.row_id, r.id, r.x) for r in df.collect())
+    # the row with a null x is dropped before positions are taken
+    assert got == [("nq", 0, 1, "q one"), ("nq", 1, 2, "q\ntwo"), ("tqa", 0, 7, "q7")]
