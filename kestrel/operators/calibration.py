@@ -35,12 +35,16 @@ def bin_edges(n_bins: int) -> list[float]:
     return [i * step for i in range(n_bins)] + [1.0]
 
 
-def bin_index(p, n_bins: int) -> Column:
+def bin_index(p, n_bins: int, zero_in_first_bin: bool = False) -> Column:
     """Bin i holds (edge_i, edge_{i+1}]; p <= 0 gives -1 and p > 1 gives n
-    (both outside every bin)."""
+    (both outside every bin). ``zero_in_first_bin`` puts p = 0 into bin 0
+    (the surveyed behaviour drops it, so the default keeps parity)."""
     edges = F.array(*[F.lit(e) for e in bin_edges(n_bins)])
     pc = _c(p).cast("double")
-    return (F.size(F.filter(edges, lambda e: e < pc)) - 1).cast("int")
+    b = (F.size(F.filter(edges, lambda e: e < pc)) - 1).cast("int")
+    if zero_in_first_bin:
+        b = F.when(pc == 0, F.lit(0)).otherwise(b)
+    return b
 
 
 # ---------------------------------------------------------------------------
@@ -48,10 +52,10 @@ def bin_index(p, n_bins: int) -> Column:
 # ---------------------------------------------------------------------------
 
 def reliability_bins(df: DataFrame, y: str, p: str, n_bins: int = 15,
-                     group: list[str] | None = None) -> DataFrame:
+                     group: list[str] | None = None, zero_in_first_bin: bool = False) -> DataFrame:
     """(group…, bin, n, mean_p, mean_y) for the bins that hold rows."""
     group = list(group or [])
-    b = df.select(*group, bin_index(p, n_bins).alias("bin"), F.col(p).cast("double").alias("_p"),
+    b = df.select(*group, bin_index(p, n_bins, zero_in_first_bin).alias("bin"), F.col(p).cast("double").alias("_p"),
                   F.col(y).cast("double").alias("_y"))
     return (b.where((F.col("bin") >= 0) & (F.col("bin") < n_bins))
             .groupBy(*group, "bin")
@@ -88,9 +92,10 @@ def ece_from_aggs(total: Column, n_bins: int = 15, prefix: str = "") -> Column:
     return out
 
 
-def ece(df: DataFrame, y: str, p: str, n_bins: int = 15, group: list[str] | None = None) -> DataFrame:
+def ece(df: DataFrame, y: str, p: str, n_bins: int = 15, group: list[str] | None = None,
+        zero_in_first_bin: bool = False) -> DataFrame:
     group = list(group or [])
-    x = df.withColumn("_bin", bin_index(p, n_bins))
+    x = df.withColumn("_bin", bin_index(p, n_bins, zero_in_first_bin))
     agg = x.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *ece_aggs(y, p, n_bins, bin_col="_bin"))
     return agg.select(*group, ece_from_aggs(F.col("_n"), n_bins).alias("ece"))
 
@@ -161,7 +166,8 @@ def score_counts(x: DataFrame, group: list[str], y: str = "_y", p: str = "_p",
                                 F.sum(F.col(y).cast("long")).cast("long").alias("pos"))
 
 
-def _metrics_from_counts(c: DataFrame, group: list[str], n_bins: int, kept: str | None) -> DataFrame:
+def _metrics_from_counts(c: DataFrame, group: list[str], n_bins: int, kept: str | None,
+                         zero_in_first_bin: bool = False) -> DataFrame:
     """acc over all rows, na rate, and brier / nll / ece / auroc over kept
     rows with a score (``kept`` = None: every row counts)."""
     k = F.col(kept) if kept else F.lit(True)
@@ -169,7 +175,7 @@ def _metrics_from_counts(c: DataFrame, group: list[str], n_bins: int, kept: str
     neg = F.col("cnt") - F.col("pos")
     scored = k & pc.isNotNull()
     clip = F.least(F.greatest(pc, F.lit(EPS)), F.lit(1 - EPS))
-    b = bin_index(pc, n_bins)
+    b = bin_index(pc, n_bins, zero_in_first_bin)
     c = c.withColumn("_bin", F.when(scored, b))
     aggs = [F.sum("cnt").alias("_all"), F.sum(F.when(k, F.col("cnt")).otherwise(0)).alias("_kept"),
             F.sum(F.when(k, F.col("pos")).otherwise(0)).alias("_correct"),
@@ -198,7 +204,7 @@ def _metrics_from_counts(c: DataFrame, group: list[str], n_bins: int, kept: str
 
 def evaluate_predictions(df: DataFrame, y: str = "y", c_raw: str = "c_raw", c_type: str = "c_type",
                          y_pred: str = "y_pred", group: list[str] | None = None,
-                         n_bins: int = 15) -> DataFrame:
+                         n_bins: int = 15, zero_in_first_bin: bool = False) -> DataFrame:
     """auroc, acc, ece, brier, nll, na per group.
 
     Abstained rows ('no answer' in the prediction) leave every metric but
@@ -214,7 +220,7 @@ def evaluate_predictions(df: DataFrame, y: str = "y", c_raw: str = "c_raw", c_ty
                   tx.parse_confidence(c_raw, c_type).alias("_p"),
                   (~tx.is_abstain(y_pred)).alias("_kept"))
     counts = materialize(score_counts(x, group, kept="_kept"))
-    out = _metrics_from_counts(counts, group, n_bins, "_kept").select(
+    out = _metrics_from_counts(counts, group, n_bins, "_kept", zero_in_first_bin).select(
         *group, "acc", "ece", "brier", "nll", "na", "auroc")
     return out.drop("_all_") if ungrouped else out
 
@@ -371,7 +377,7 @@ def queue_contrast(df: DataFrame, q: str, k: str, queue: DataFrame, qvec: str,
 
 
 def calibration_report(df: DataFrame, y: str, p: str, group: list[str] | None = None,
-                       n_bins: int = 15) -> DataFrame:
+                       n_bins: int = 15, zero_in_first_bin: bool = False) -> DataFrame:
     """n, acc, ece, brier, nll, auroc per group for numeric confidences — one
     read of the input into per-(group, score) counts, metrics from those."""
     ungrouped = not group
@@ -380,6 +386,6 @@ def calibration_report(df: DataFrame, y: str, p: str, group: list[str] | None =
         df = df.withColumn("_all_", F.lit(1))
     x = df.select(*group, F.col(y).cast("int").alias("_y"), F.col(p).cast("double").alias("_p"))
     counts = materialize(score_counts(x, group))
-    out = _metrics_from_counts(counts, group, n_bins, None).select(
+    out = _metrics_from_counts(counts, group, n_bins, None, zero_in_first_bin).select(
         *group, F.col("_all").alias("n"), "acc", "ece", "brier", "nll", "auroc")
     return out.drop("_all_") if ungrouped else out

@@ -143,3 +143,14 @@ def test_bundle_with_hot_dataset_two_level(spark, monkeypatch):
     y = [r[1] for r in hot]
     p = [float(r[2].split(" (")[0]) / 100 for r in hot]
     assert abs(got["hot"]["auroc"] - pairwise_auroc(y, p)) < 1e-12
+
+
+def test_zero_in_first_bin_flag(spark):
+    y = [1, 0, 1]
+    p = [0.0, 0.0, 0.5]
+    df = frame(spark, y, p)
+    bins = {r["bin"]: r["n"] for r in cal.reliability_bins(df, "y", "p", zero_in_first_bin=True).collect()}
+    assert bins[0] == 2
+    got = cal.ece(df, "y", "p", zero_in_first_bin=True).first()[0]
+    assert abs(got - (2 / 3 * abs(0.0 - 0.5) + 1 / 3 * abs(0.5 - 1.0))) < 1e-12
+    assert abs(cal.ece(df, "y", "p").first()[0] - 1 / 3 * 0.5) < 1e-12  # default: p = 0 in no bin

@@ -126,3 +126,17 @@ def test_bm25_unchanged_by_repartition(spark):
         other = sorted((r.qid, r.pid, round(r.score, 9), r.rank)
                        for r in rt.bm25_topk(c.repartition(n), q.repartition(n), k=5).collect())
         assert other == base
+
+
+def test_bm25_count_repeats(spark, monkeypatch):
+    q2 = spark.createDataFrame([(20, "apple apple cherry")], "qid long, q string")
+    once = {r.pid: r.score for r in rt.bm25_topk(_corpus(spark), q2, k=10).collect()}
+    twice = {r.pid: r.score for r in rt.bm25_topk(_corpus(spark), q2, k=10, count_repeats=True).collect()}
+    docs = [(1, "t", "apple banana apple"), (2, "t", "banana cherry"), (3, "", "cherry cherry apple date"),
+            (4, "u", "elder"), (5, None, "")]
+    apple_only = brute_bm25(docs, [(0, "apple")])
+    for pid, s in once.items():
+        assert abs(twice[pid] - s - apple_only.get((0, pid), 0.0)) < 1e-9
+    monkeypatch.setattr(rt, "MAX_DENSE_WEIGHTS", 0)
+    joined = {r.pid: r.score for r in rt.bm25_topk(_corpus(spark), q2, k=10, count_repeats=True).collect()}
+    assert all(abs(joined[k] - v) < 1e-9 for k, v in twice.items())
