@@ -47,6 +47,16 @@ def main(sf_dir: str = "/root/testdata/sf0.01") -> None:
     for name, note in NOTES.items():
         df = QUERIES[name](spark, sf_dir)
         parts.append(f"## {name}\n\n{note}\n\n```\n{tree(df)}\n```\n")
+        if name == "c1_bm25_topk":
+            import numpy as np
+
+            from kestrel.operators import retrieval as rt
+            from kestrel.plans import fixtures as fx
+
+            qt = rt.query_terms(fx.queries(spark, sf_dir)).toPandas()
+            di = rt.bm25_doc_index(fx.corpus(spark, sf_dir), np.array(sorted(qt["term"].unique()), dtype=object))
+            parts.append("### c1 corpus pass inside bm25_topk (one scan, no exchange)\n\n"
+                         f"```\n{tree(di)}\n```\n")
     with open("PLANS.md", "w") as f:
         f.write("\n".join(parts))
     spark.stop()
