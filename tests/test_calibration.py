@@ -1,7 +1,6 @@
 """Calibration metrics against independent numpy/brute-force definitions."""
 
 import itertools
-import math
 import random
 
 import numpy as np

@@ -1,10 +1,8 @@
 """Sources/sinks round trips, fitted models and the scoring stage."""
 
-import os
 
 from pyspark.sql import functions as F
 
-from kestrel.operators import calibration as cal
 from kestrel.operators import models as md
 from kestrel.operators import scoring as scr
 from kestrel.sources import io
