@@ -38,6 +38,8 @@ def main() -> None:
     from kestrel.plans.q_rerank import hits, qrels
 
     plans = {
+        # full inverted index of the corpus: (pid, dl, term, tf) for every term
+        "postings_all_terms": lambda: rt.bm25_postings(fx.corpus(spark, sf_dir), None),
         # documents × benchmark → BM25 top-40 for every query (the reference's retrieval default)
         "bm25_top40": lambda: rt.bm25_topk(fx.corpus(spark, sf_dir), fx.queries(spark, sf_dir), k=40),
         # retrieve → attempts → ensemble → threshold stop → grade → calibration per language

@@ -58,33 +58,72 @@ def _doc_tokens(corpus: DataFrame, pid: str, title: str | None, text: str) -> Da
     return corpus.select(F.col(pid).alias("pid"), tx.word_tokens(passage, lower=False).alias("toks"))
 
 
+def _postings_arrow_fn(bvocab, doc_rows: bool):
+    """Per Arrow batch of passages: (pid, dl, term, tf) by a hash group-by on
+    (row, token) — a passage is one input row, so counting its terms needs
+    no shuffle. Optional vocabulary filter; optional one null-term row per
+    passage carrying its length."""
+
+    def fn(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        vocab = None if bvocab is None else pa.array(bvocab.value, type=pa.string())
+        for rb in batches:
+            pids = rb.column(0)
+            toks = rb.column(1)
+            offsets = toks.offsets.to_numpy()
+            lens = np.diff(offsets).astype(np.int32)
+            flat = toks.flatten()
+            d = np.repeat(np.arange(len(lens)), lens)
+            if vocab is not None:
+                keep = pc.is_in(flat, value_set=vocab).to_numpy(zero_copy_only=False)
+                flat = flat.filter(pa.array(keep))
+                d = d[keep]
+            t = pa.table({"d": pa.array(d, type=pa.int64()), "term": flat})
+            g = t.group_by(["d", "term"]).aggregate([("term", "count")])
+            gd = g.column("d").to_numpy()
+            out = {"pid": pc.take(pids, pa.array(gd)), "dl": pa.array(lens[gd]),
+                   "term": g.column("term"), "tf": g.column("term_count").cast(pa.int64())}
+            res = pa.table(out)
+            if doc_rows:
+                extra = pa.table({"pid": pids, "dl": pa.array(lens), "term": pa.nulls(len(lens), pa.string()),
+                                  "tf": pa.array(np.ones(len(lens), dtype=np.int64))})
+                res = pa.concat_tables([res, extra])
+            for b in res.to_batches():
+                yield b
+
+    return fn
+
+
 def bm25_postings(corpus: DataFrame, vocab: DataFrame | None, pid: str = "pid",
                   title: str | None = "title", text: str = "text",
                   vocab_is_small: bool | None = None, doc_rows: bool = False) -> DataFrame:
-    """Postings ``(pid, dl, term, tf)``, restricted to ``vocab`` terms.
-
-    Only the passage id and its token stream leave the scan; the text never
-    enters a shuffle. The vocabulary filter is a broadcast join when the
-    vocabulary is small (checked), so postings of other terms are dropped
-    map-side before the (pid, term) aggregation shuffle. With ``doc_rows``
-    every document also yields one ``term = null`` row carrying its length,
-    so corpus statistics come out of the same single tokenising pass.
+    """Postings ``(pid, dl, term, tf)``, optionally restricted to ``vocab``.
+
+    Tokenising stays in the JVM (lower-cased text, one regex pass); term
+    frequencies are counted per passage inside an Arrow ``mapInArrow`` —
+    no shuffle, since a passage is one row. A vocabulary that is too large to
+    broadcast (checked) is applied with a shuffle join in the JVM instead.
+    With ``doc_rows`` every passage also yields one ``term = null`` row
+    carrying its length, so corpus statistics come out of the same pass.
     """
-    docs = _doc_tokens(corpus, pid, title, text)
-    toks = F.concat(F.array(F.lit(None).cast("string")), F.col("toks")) if doc_rows else F.col("toks")
-    # explode_outer: a plain explode makes Catalyst infer size(toks) > 0 and
-    # re-run the tokenising regex inside that filter; the null row of an
-    # empty document is dropped by the vocabulary join anyway.
-    exploded = docs.select("pid", F.size("toks").alias("dl"), F.explode_outer(toks).alias("tok"))
-    exploded = exploded.select("pid", "dl", F.lower("tok").alias("term"))
-    if vocab is not None:
-        v = vocab.select("term").distinct()
-        small = bounded(v, MAX_BROADCAST_TERMS) if vocab_is_small is None else vocab_is_small
-        marks = v.withColumn("_hit", F.lit(True))
-        exploded = (exploded.join(F.broadcast(marks) if small else marks, "term", "left")
-                    .where(F.col("_hit").isNotNull() | (F.col("term").isNull() & F.lit(doc_rows)))
-                    .drop("_hit"))
-    return exploded.groupBy("pid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    spark = corpus.sparkSession
+    passage = tx.compose_passage(title, text) if title else F.col(text)
+    docs = corpus.select(F.col(pid).alias("pid"), tx.word_tokens(F.lower(passage), lower=False).alias("toks"))
+    schema = "pid long, dl int, term string, tf long"
+    if vocab is None:
+        return docs.mapInArrow(_postings_arrow_fn(None, doc_rows), schema)
+    v = vocab.select("term").distinct()
+    small = bounded(v, MAX_BROADCAST_TERMS) if vocab_is_small is None else vocab_is_small
+    if small:
+        terms = np.array([r[0] for r in v.collect()], dtype=object)
+        return docs.mapInArrow(_postings_arrow_fn(spark.sparkContext.broadcast(terms), doc_rows), schema)
+    # large vocabulary: all postings, then a shuffle join on term (AQE splits hot terms)
+    allp = docs.mapInArrow(_postings_arrow_fn(None, doc_rows), schema)
+    marks = v.withColumn("_hit", F.lit(True))
+    return (allp.join(marks, "term", "left")
+            .where(F.col("_hit").isNotNull() | (F.col("term").isNull() & F.lit(doc_rows))).drop("_hit"))
 
 
 def corpus_stats(corpus: DataFrame, pid: str = "pid", title: str | None = "title",
