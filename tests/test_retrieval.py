@@ -140,3 +140,24 @@ def test_bm25_count_repeats(spark, monkeypatch):
     monkeypatch.setattr(rt, "MAX_DENSE_WEIGHTS", 0)
     joined = {r.pid: r.score for r in rt.bm25_topk(_corpus(spark), q2, k=10, count_repeats=True).collect()}
     assert all(abs(joined[k] - v) < 1e-9 for k, v in twice.items())
+
+
+def test_postings_counts_vocab_filter_and_doc_rows(spark):
+    import re
+    from collections import Counter
+    docs = [(1, "t", "apple banana apple"), (2, "t", "banana cherry"), (3, "", "cherry cherry apple date"),
+            (4, "u", "elder"), (5, None, "")]
+    tok = lambda s: [t.lower() for t in re.findall(r"\w+|[^\w\s]", s)]
+    ref = {}
+    for pid, t, x in docs:
+        toks = tok(((t + " ") if t else "") + x)
+        for term, n in Counter(toks).items():
+            ref[(pid, term)] = (len(toks), n)
+    allp = {(r.pid, r.term): (r.dl, r.tf) for r in rt.bm25_postings(_corpus(spark), None).collect()}
+    assert allp == ref
+    vocab = spark.createDataFrame([("apple",), ("cherry",)], "term string")
+    got = rt.bm25_postings(_corpus(spark), vocab, doc_rows=True).collect()
+    terms = {(r.pid, r.term): (r.dl, r.tf) for r in got if r.term is not None}
+    assert terms == {k: v for k, v in ref.items() if k[1] in ("apple", "cherry")}
+    lens = {r.pid: r.dl for r in got if r.term is None}
+    assert lens == {1: 4, 2: 3, 3: 4, 4: 2, 5: 0}
