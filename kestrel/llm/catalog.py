@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import (chat_trees, line_dedup, mixing, near_dups, piece_tokenizer, quality_rules, sharding)
+from kestrel.llm import (chat_trees, html_extract, line_dedup, mixing, near_dups, nn_descent, piece_tokenizer,
+                         quality_rules, sharding, toxicity)
 from kestrel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,31 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+# --- 1 -----------------------------------------------------------------
+
+@query("op1_html_extraction")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, d, "pages"))
+
+
+# --- 2 -----------------------------------------------------------------
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = toxicity.fit_on_labels(docs, table(spark, d, "labels"))
+    return toxicity.score_texts(docs, model).select(
+        "doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+# --- 3 -----------------------------------------------------------------
+
+@query("op3_nn_descent")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return nn_descent.nearest_neighbours(table(spark, d, "embeddings"))
+
+
 # --- 4 -----------------------------------------------------------------
 
 @query("op4_line_dedup", rf"""

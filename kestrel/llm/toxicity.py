@@ -13,12 +13,12 @@ each class, by a hash of the id); scoring maps over all rows with the model
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +27,9 @@ from kestrel.llm.common import fresh
 BUCKETS = 1 << 18
 FACTORS = 8
 FIT_ROWS = 4_000  # of each class
-FIT_TERMS = 1_500  # distinct terms of a fitted row, at most (by smallest hash); scoring takes all
-EPOCHS = 12
+EPOCHS = 8
 THRESHOLD = 0.3
-_word = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_word = re.compile(r"[^\W_]+")
 _MEMORY = 300_000
 _buckets: dict[str, tuple[int, ...]] = {}
 
@@ -41,16 +40,21 @@ def terms(text: str | None) -> np.ndarray:
     if len(known) > _MEMORY:
         known.clear()
     out: set[int] = set()
-    for w in set(_word.findall((text or "").lower())):
-        got = known.get(w)
+    for token in set((text or "").lower().split()):
+        got = known.get(token)
         if got is None:
-            got = known[w] = tuple(crc32(x.encode()) % BUCKETS for x in (f"w{w}", *(f"b{w[:k]}" for k in (4, 5) if len(w) >= k)))
+            got = known[token] = tuple(crc32(x.encode()) % BUCKETS for w in _word.findall(token)
+                                       for x in (f"w{w}", *(f"b{w[:k]}" for k in (4, 5) if len(w) >= k)))
         out.update(got)
     return np.sort(np.fromiter(out, np.int64, len(out)))
 
 
+def _scale(n: int) -> float:
+    return n ** -0.5
+
+
 class FactorizationMachine:
-    """Second-order machine over sets of buckets; x_i = 1/sqrt(terms)."""
+    """Second-order machine over sets of buckets; x_i = terms^-1/2."""
 
     def __init__(self, bias: float, weights: np.ndarray, factors: np.ndarray):
         self.bias, self.weights, self.factors = bias, weights, factors
@@ -59,7 +63,7 @@ class FactorizationMachine:
         if not len(x):
             return self.bias
         v = self.factors[x]
-        scale = 1 / np.sqrt(len(x))
+        scale = _scale(len(x))
         s = v.sum(0)
         return float(self.bias + scale * self.weights[x].sum() + 0.5 * scale**2 * (s @ s - (v * v).sum()))
 
@@ -83,7 +87,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate:
             m.bias -= rate * d / np.sqrt(gb)
             if not len(x):
                 continue
-            scale = 1 / np.sqrt(len(x))
+            scale = _scale(len(x))
             vx = v[x]
             dw = d * scale + decay * w[x]
             dv = d * scale**2 * (vx.sum(0) - vx) + decay * vx
@@ -113,7 +117,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [terms(t.as_py())[:FIT_TERMS].astype(np.int32).tobytes() for t in batch.column(2)]
+            x = [terms(t.as_py()).astype(np.int32).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["i", "y", "x"])
 
     got = sorted(rows.mapInArrow(buckets, "i bigint, y int, x binary").collect(), key=lambda r: (r.i, bytes(r.x)))
