@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.session import materialize
+from kestrel.session import materialize, ship_package
 
 #: The white space of every contract: ``[\x20\x09-\x0D]``.
 WHITE = " \t\n\x0b\x0c\r"
@@ -16,6 +16,7 @@ __all__ = ["WHITE", "WHITE_CLASS", "drop_table", "empty_if_null", "fresh", "mate
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
