@@ -8,15 +8,14 @@ The helpers here compute exact positions and prefix sums in two levels:
    is written once to the checkpoint folder so sampling, totals and windows
    do not re-evaluate it;
 2. per-range totals — one small row per (group, range) — are turned into
-   exclusive offsets with a window over that tiny table (broadcast after a
-   size check);
+   exclusive offsets with a window over that tiny table;
 3. inside each range a window (partitioned by the range id) gives local
    positions / sums, and the offset is added back.
 
-Inputs of at most ``SMALL_INPUT_ROWS`` rows (checked) take one window per
-group directly. Order keys must be total (include a unique tie-breaker) for
-positions to be deterministic, and so that a hot key can still be split
-across ranges.
+There is one plan for every size. Null group values form a group of their
+own (offsets join null-safe). Order keys must be total (include a unique
+tie-breaker) for positions to be deterministic, and so that a hot key can
+still be split across ranges.
 """
 
 from __future__ import annotations
@@ -24,13 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.session import bounded, materialize
-
-MAX_OFFSET_ROWS = 1_000_000
-# Inputs up to this many rows use one window per group directly (a whole
-# group of at most this size fits one task); larger inputs take the
-# two-level plan.
-SMALL_INPUT_ROWS = 1_000_000
+from kestrel.session import join_null_safe, materialize
 
 
 def _n_ranges(df: DataFrame, n_ranges: int | None) -> int:
@@ -52,10 +45,6 @@ def prefix_sums(df: DataFrame, order_cols: list, value_cols: list[str],
     group_cols = list(group_cols or [])
     n = _n_ranges(df, n_ranges)
     order = [_col(c) for c in order_cols]
-    if n_ranges is None and bounded(df, SMALL_INPUT_ROWS):
-        frame = (Window.partitionBy(*group_cols).orderBy(*order)
-                 .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-        return df.select("*", *[F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(prefix + v) for v in value_cols])
     # written once: range sampling, range totals and the local windows all
     # read this table instead of re-evaluating the input three times
     ranged = materialize(df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order)
@@ -68,14 +57,12 @@ def prefix_sums(df: DataFrame, order_cols: list, value_cols: list[str],
         *group_cols, "_rng",
         *[(F.sum(f"_tot_{v}").over(w_off) - F.col(f"_tot_{v}")).alias(f"_off_{v}")
           for v in value_cols])
-    if bounded(offsets, MAX_OFFSET_ROWS):
-        offsets = F.broadcast(offsets)
 
     frame = (Window.partitionBy(*group_cols, "_rng").orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     local = ranged.select("*", *[F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(f"_loc_{v}")
                                  for v in value_cols])
-    out = local.join(offsets, [*group_cols, "_rng"])
+    out = join_null_safe(local, offsets, [*group_cols, "_rng"])
     out = out.select(*df.columns, *[(F.col(f"_off_{v}") + F.col(f"_loc_{v}")).alias(prefix + v)
                                     for v in value_cols])
     return out

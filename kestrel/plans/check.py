@@ -99,7 +99,9 @@ def main(argv=None):
     ap.add_argument("names", nargs="*")
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     args = ap.parse_args(argv)
-    spark = get_spark("local[8]", 8)
+    import tempfile
+
+    spark = get_spark("local[8]", 8, extra={"spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='kestrel-check-')}"})
     con = duck(args.sf)
     names = [n for n in QUERIES if not args.names or any(n.startswith(p) for p in args.names)]
     bad = 0

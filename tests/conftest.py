@@ -10,9 +10,10 @@ SF01 = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from kestrel.session import get_spark
 
-    s = get_spark("local[4]", 8, app="kestrel-tests")
+    s = get_spark("local[4]", 8, app="kestrel-tests",
+                  extra={"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('checkpoints')}"})
     yield s
     s.stop()

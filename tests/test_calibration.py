@@ -111,20 +111,15 @@ def test_ece_is_at_most_one(spark):
     assert cal.ece(df, "y", "p").first()[0] <= 1.0
 
 
-def test_auroc_two_level_path_matches(spark, monkeypatch):
-    from kestrel.operators import ordering
-
+def test_auroc_matches_pairs(spark):
     rng = random.Random(8)
     y = [rng.randint(0, 1) for _ in range(400)]
     p = [rng.random() for _ in range(400)]  # all distinct: every score its own row
-    monkeypatch.setattr(ordering, "SMALL_INPUT_ROWS", 0)
     got = cal.auroc(frame(spark, y, p), "y", "p").first()[0]
     assert abs(got - pairwise_auroc(y, p)) < 1e-12
 
 
-def test_bundle_with_hot_dataset_two_level(spark, monkeypatch):
-    from kestrel.operators import ordering
-
+def test_bundle_with_hot_dataset(spark):
     rng = random.Random(13)
     rows = []
     for i in range(900):
@@ -133,7 +128,6 @@ def test_bundle_with_hot_dataset_two_level(spark, monkeypatch):
                      "No answer" if i % 17 == 0 else "x"))
     df = spark.createDataFrame(rows, "dataset string, y int, c_raw string, c_type string, y_pred string")
     ref = {r.dataset: r for r in cal.evaluate_predictions(df, group=["dataset"]).collect()}
-    monkeypatch.setattr(ordering, "SMALL_INPUT_ROWS", 0)
     got = {r.dataset: r for r in cal.evaluate_predictions(df.repartition(7), group=["dataset"]).collect()}
     for k, r in ref.items():
         for m in ["acc", "ece", "brier", "nll", "na", "auroc"]:
