@@ -18,12 +18,12 @@ from pyspark import StorageLevel
 from kestrel.functions import text as tx
 from kestrel.functions.hashing import order_key
 from kestrel.operators.ordering import dense_index, top_k_per_group
-from kestrel.session import bounded, materialize
+from kestrel.session import materialize
 
-# Broadcast bounds (rows). Above them the join shuffles instead.
-MAX_BROADCAST_TERMS = 2_000_000
-MAX_BROADCAST_RUN = 5_000_000
-MAX_QUERY_BLOCK = 16_384  # rows of a broadcast query block (≈50 MB at 384-d doubles)
+# Queries of one pass over the corpus: only a block's terms or vectors reach
+# the driver and the tasks, however many queries there are.
+TERM_QUERY_BLOCK = 512
+VECTOR_QUERY_BLOCK = 4_096
 SCORE_DIGITS = 9
 
 CONTEXT_TYPE = T.ArrayType(T.StructType([
@@ -34,8 +34,41 @@ CONTEXT_TYPE = T.ArrayType(T.StructType([
 ]))
 
 
-def _maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    return F.broadcast(df) if bounded(df, max_rows) else df
+def _query_blocks(queries: DataFrame, key: str, rows: int):
+    """Blocks of about ``rows`` queries each, by a hash of the key."""
+    n = max(1, -(-queries.count() // rows))
+    for b in range(n):
+        yield queries.where(F.coalesce(F.pmod(F.xxhash64(key), F.lit(n)) == b, F.lit(b == 0)))
+
+
+class _RunningTopK:
+    """The k best (score desc, pid asc) of each query over all batches of a
+    partition. Candidates below a query's present k-th score are never kept;
+    the rest are sorted only once enough have gathered."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k, self.kth = k, np.full(n_queries, -np.inf)
+        self.parts: list[tuple] = []
+        self.n, self.room = 0, max(4 * n_queries * k, 100_000)
+
+    def add(self, scores: np.ndarray, pids: np.ndarray) -> None:
+        """``scores``: queries × passages; -inf is no candidate."""
+        q, c = np.nonzero((scores >= self.kth[:, None]) & (scores > -np.inf))
+        self.parts.append((q, pids[c], scores[q, c]))
+        self.n += len(q)
+        if self.n > self.room:
+            self.compact()
+
+    def compact(self) -> tuple:
+        q, p, s = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        order = np.lexsort((p, -s, q))
+        q, p, s = q[order], p[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        self.kth[q[place == self.k - 1]] = s[place == self.k - 1]
+        self.parts = [(q[keep], p[keep], s[keep])]
+        self.n = int(keep.sum())
+        return self.parts[0]
 
 
 # ---------------------------------------------------------------------------
@@ -53,22 +86,16 @@ def query_terms(queries: DataFrame, qid: str = "qid", q: str = "q",
     return qt
 
 
-def _doc_tokens(corpus: DataFrame, pid: str, title: str | None, text: str) -> DataFrame:
-    passage = tx.compose_passage(title, text) if title else F.col(text)
-    return corpus.select(F.col(pid).alias("pid"), tx.word_tokens(passage, lower=False).alias("toks"))
-
-
-def _postings_arrow_fn(bvocab, doc_rows: bool):
+def _postings_arrow_fn(doc_rows: bool):
     """Per Arrow batch of passages: (pid, dl, term, tf) by a hash group-by on
     (row, token) — a passage is one input row, so counting its terms needs
-    no shuffle. Optional vocabulary filter; optional one null-term row per
-    passage carrying its length."""
+    no shuffle. Optionally one null-term row per passage carrying its
+    length."""
 
     def fn(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        vocab = None if bvocab is None else pa.array(bvocab.value, type=pa.string())
         for rb in batches:
             pids = rb.column(0)
             toks = rb.column(1)
@@ -76,10 +103,6 @@ def _postings_arrow_fn(bvocab, doc_rows: bool):
             lens = np.diff(offsets).astype(np.int32)
             flat = toks.flatten()
             d = np.repeat(np.arange(len(lens)), lens)
-            if vocab is not None:
-                keep = pc.is_in(flat, value_set=vocab).to_numpy(zero_copy_only=False)
-                flat = flat.filter(pa.array(keep))
-                d = d[keep]
             t = pa.table({"d": pa.array(d, type=pa.int64()), "term": flat})
             g = t.group_by(["d", "term"]).aggregate([("term", "count")])
             gd = g.column("d").to_numpy()
@@ -98,63 +121,45 @@ def _postings_arrow_fn(bvocab, doc_rows: bool):
 
 def bm25_postings(corpus: DataFrame, vocab: DataFrame | None, pid: str = "pid",
                   title: str | None = "title", text: str = "text",
-                  vocab_is_small: bool | None = None, doc_rows: bool = False) -> DataFrame:
+                  doc_rows: bool = False) -> DataFrame:
     """Postings ``(pid, dl, term, tf)``, optionally restricted to ``vocab``.
 
     Tokenising stays in the JVM (lower-cased text, one regex pass); term
     frequencies are counted per passage inside an Arrow ``mapInArrow`` —
-    no shuffle, since a passage is one row. A vocabulary that is too large to
-    broadcast (checked) is applied with a shuffle join in the JVM instead.
-    With ``doc_rows`` every passage also yields one ``term = null`` row
-    carrying its length, so corpus statistics come out of the same pass.
+    no shuffle, since a passage is one row. A vocabulary is applied by a join
+    on the term, which Spark broadcasts or shuffles by its size (AQE splits
+    hot terms). With ``doc_rows`` every passage also yields one
+    ``term = null`` row carrying its length, so corpus statistics come out of
+    the same pass.
     """
     spark = corpus.sparkSession
     passage = tx.compose_passage(title, text) if title else F.col(text)
     docs = corpus.select(F.col(pid).alias("pid"), tx.word_tokens(F.lower(passage), lower=False).alias("toks"))
     schema = "pid long, dl int, term string, tf long"
     if vocab is None:
-        return docs.mapInArrow(_postings_arrow_fn(None, doc_rows), schema)
+        return docs.mapInArrow(_postings_arrow_fn(doc_rows), schema)
+    allp = docs.mapInArrow(_postings_arrow_fn(doc_rows), schema)
     v = vocab.select("term").distinct()
-    small = bounded(v, MAX_BROADCAST_TERMS) if vocab_is_small is None else vocab_is_small
-    if small:
-        terms = np.array([r[0] for r in v.collect()], dtype=object)
-        return docs.mapInArrow(_postings_arrow_fn(spark.sparkContext.broadcast(terms), doc_rows), schema)
-    # large vocabulary: all postings, then a shuffle join on term (AQE splits hot terms)
-    allp = docs.mapInArrow(_postings_arrow_fn(None, doc_rows), schema)
     marks = v.withColumn("_hit", F.lit(True))
     return (allp.join(marks, "term", "left")
             .where(F.col("_hit").isNotNull() | (F.col("term").isNull() & F.lit(doc_rows))).drop("_hit"))
 
 
-def corpus_stats(corpus: DataFrame, pid: str = "pid", title: str | None = "title",
-                 text: str = "text") -> tuple[float, float]:
-    """(N, average document length in tokens) — one aggregate pass; only
-    two scalars reach the driver."""
-    r = _doc_tokens(corpus, pid, title, text).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
-    return float(r["n"]), float(r["avgdl"] or 0.0)
-
-
 def _bm25(corpus: DataFrame, queries: DataFrame, k1: float, b: float, count_repeats: bool,
           pid: str, title: str | None, text: str, qid: str, q: str) -> tuple[DataFrame, DataFrame]:
     qt = query_terms(queries, qid, q, count_repeats)
     vocab = qt.select("term").distinct()
-    small_vocab = bounded(vocab, MAX_BROADCAST_TERMS)
     # one tokenising pass feeds statistics, document frequencies and scoring
-    postings = bm25_postings(corpus, vocab, pid, title, text, vocab_is_small=small_vocab,
-                             doc_rows=True).persist(StorageLevel.MEMORY_AND_DISK)
+    postings = bm25_postings(corpus, vocab, pid, title, text, doc_rows=True).persist(StorageLevel.MEMORY_AND_DISK)
     stats = postings.where(F.col("term").isNull()).agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n_docs, avgdl = float(stats["n"]), float(stats["avgdl"] or 0.0)
     terms = postings.where(F.col("term").isNotNull())
-    # df has at most one row per vocabulary term: bounded by the check above
     idf = (terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
            .select("term", F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
-    small_qt = small_vocab and bounded(qt, MAX_BROADCAST_TERMS)
     norm = F.lit(k1) * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
     w = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + norm)
-    scores = (terms.join(F.broadcast(idf) if small_vocab else idf, "term")
-              .join(F.broadcast(qt) if small_qt else qt, "term")
+    scores = (terms.join(idf, "term").join(qt, "term")
               .groupBy("qid", "pid").agg(F.sum(w).alias("score")))
     return scores, postings
 
@@ -170,8 +175,6 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, k1: float = 1.2, b: float
     return _bm25(corpus, queries, k1, b, count_repeats, pid, title, text, qid, q)
 
 
-MAX_DENSE_WEIGHTS = 20_000_000  # vocabulary × queries entries of the broadcast weight matrix
-
 
 def bm25_doc_index(corpus: DataFrame, vocab, pid: str = "pid", title: str | None = "title",
                    text: str = "text") -> DataFrame:
@@ -214,16 +217,15 @@ def bm25_doc_index(corpus: DataFrame, vocab, pid: str = "pid", title: str | None
 
 
 def _bm25_block_fn(bstate, k: int, k1: float, b: float, avgdl: float, chunk: int):
-    """Per partition: score passages chunk by chunk as a (passages × query
-    terms) @ (query terms × queries) product and keep a running exact top-k
-    per query (score desc rounded to 9 digits, pid asc). Emits at most
+    """Per partition: score passages chunk by chunk as a (passages × terms) @
+    (terms × queries) product over the terms that the chunk has, and keep a
+    running exact top-k per query (score rounded to 9 digits). Emits at most
     queries × k rows per partition."""
 
     def fn(batches):
-        W, qids = bstate.value
-        V, nq = W.shape
-        best_s = np.full((nq, k), -np.inf)
-        best_p = np.full((nq, k), np.iinfo(np.int64).max, dtype=np.int64)
+        (ends, term_q, term_w), qids = bstate.value  # query weights by term, as a sparse matrix
+        nq, V = len(qids), len(ends) - 1
+        top = _RunningTopK(nq, k)
         for rb in batches:
             pids_all = rb.column(0).to_numpy().astype(np.int64)
             dl_all = rb.column(1).to_numpy().astype(np.float64)
@@ -236,63 +238,61 @@ def _bm25_block_fn(bstate, k: int, k1: float, b: float, avgdl: float, chunk: int
                 if hi == lo:
                     continue
                 lens = np.diff(offsets[s0:s1 + 1])
-                j = flat[lo:hi]
+                j = flat[lo - offsets[0]:hi - offsets[0]]
                 d = np.repeat(np.arange(s1 - s0), lens)
                 uk, tf = np.unique(d * V + j, return_counts=True)
                 dd, jj = uk // V, uk % V
                 norm = k1 * (1 - b + b * dl_all[s0:s1][dd] / avgdl)
-                g = tf / (tf + norm)
                 uj, jinv = np.unique(jj, return_inverse=True)
                 G = np.zeros((s1 - s0, len(uj)))
-                G[dd, jinv] = g
-                S = np.round(G @ W[uj], SCORE_DIGITS)  # passages × queries
+                G[dd, jinv] = tf / (tf + norm)
+                n = ends[uj + 1] - ends[uj]
+                at = np.arange(n.sum()) + np.repeat(ends[uj] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+                W = np.zeros((len(uj), nq))
+                W[np.repeat(np.arange(len(uj)), n), term_q[at]] = term_w[at]
+                S = np.round(G @ W, SCORE_DIGITS).T  # queries × passages
                 S[S <= 0] = -np.inf  # no shared term: not a candidate
-                cand_s = np.concatenate([best_s, S.T], axis=1)
-                cand_p = np.concatenate([best_p, np.broadcast_to(pids_all[s0:s1], (nq, s1 - s0))], axis=1)
-                order = np.lexsort((cand_p, -cand_s), axis=-1)[:, :k]
-                best_s = np.take_along_axis(cand_s, order, axis=1)
-                best_p = np.take_along_axis(cand_p, order, axis=1)
-        qi, ci = np.nonzero(np.isfinite(best_s))
-        if len(qi):
+                top.add(S, pids_all[s0:s1])
+        q, p, sc = top.compact()
+        if len(q):
             import pyarrow as pa
-            yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(best_p[qi, ci]), pa.array(best_s[qi, ci])],
-                                             names=["qid", "pid", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(p), pa.array(sc)], names=["qid", "pid", "score"])
 
     return fn
 
 
 def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 40, k1: float = 1.2, b: float = 0.75,
               count_repeats: bool = False, pid: str = "pid", title: str | None = "title",
-              text: str = "text", qid: str = "qid", q: str = "q", chunk: int = 512) -> DataFrame:
-    """(qid, pid, score, rank) — top-k per query, score desc then pid asc.
+              text: str = "text", qid: str = "qid", q: str = "q", chunk: int = 256,
+              block: int = TERM_QUERY_BLOCK) -> DataFrame:
+    """(qid, pid, score, rank) — top-k per query, score (rounded to 9 digits)
+    desc then pid asc. One plan for every size; for each block of queries:
 
-    1. query terms (size-checked) reach the driver as bounded metadata;
+    1. its terms and weights reach the driver (bounded by the block);
     2. one pass over the corpus: JVM tokenising + Arrow vocabulary lookup,
        one cached row per passage ``(pid, dl, idx)``, no shuffle;
     3. corpus statistics and document frequencies from the cache (at most one
-       row per vocabulary term reaches the driver);
-    4. scoring: the query-term weight matrix (vocabulary × queries, bounded by
-       ``MAX_DENSE_WEIGHTS``) is broadcast and an Arrow ``mapInArrow`` scores
-       passages in blocks with a running exact top-k per partition; beyond the
-       bound the pure join plan of ``bm25_scores`` runs instead;
+       row per term of the block reaches the driver);
+    4. the block's sparse query weights are broadcast and an Arrow
+       ``mapInArrow`` scores passages in chunks with a running exact top-k;
     5. a ``WindowGroupLimit`` top-k over the per-partition candidates, written
        to the checkpoint folder; the cache is released.
     """
-    spark = corpus.sparkSession
-    qt = query_terms(queries, qid, q, count_repeats)
-    fits = bounded(qt, MAX_BROADCAST_TERMS)
-    qtp = qt.toPandas() if fits else None
-    if fits:
-        vocab_list = np.array(sorted(qtp["term"].unique()), dtype=object)
-        qids = np.array(sorted(qtp["qid"].unique()), dtype=np.int64)
-        fits = len(qids) <= MAX_QUERY_BLOCK and len(vocab_list) * len(qids) <= MAX_DENSE_WEIGHTS
-    if not fits:
-        scores, postings = bm25_scores(corpus, queries, k1, b, count_repeats, pid, title, text, qid, q)
-        try:
-            return materialize(rank_run(scores, k))
-        finally:
-            postings.unpersist()
+    out = None
+    for part in _query_blocks(queries, qid, block):
+        qtp = query_terms(part, qid, q, count_repeats).toPandas()
+        ranked = _bm25_block(corpus, qtp, k, k1, b, pid, title, text, chunk)
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
+
 
+def _bm25_block(corpus: DataFrame, qtp: pd.DataFrame, k: int, k1: float, b: float, pid: str, title: str | None,
+                text: str, chunk: int) -> DataFrame:
+    spark = corpus.sparkSession
+    if qtp.empty:
+        return spark.createDataFrame([], "qid long, pid long, score double, rank int")
+    vocab_list = np.array(sorted(qtp["term"].unique()), dtype=object)
+    qids = np.array(sorted(qtp["qid"].unique()), dtype=np.int64)
     bv = spark.sparkContext.broadcast(vocab_list)
     bstate = None
     doc_idx = bm25_doc_index(corpus, bv, pid, title, text).persist(StorageLevel.MEMORY_AND_DISK)
@@ -304,16 +304,14 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 40, k1: float = 1.
         df_arr = np.zeros(len(vocab_list))
         df_arr[dfreq["j"].to_numpy()] = dfreq["df"].to_numpy()
         idf = np.where(df_arr > 0, np.log(1 + (n_docs - df_arr + 0.5) / (df_arr + 0.5)), 0.0)
-        jpos = {t: i for i, t in enumerate(vocab_list)}
-        qpos = {x: i for i, x in enumerate(qids)}
-        W = np.zeros((len(vocab_list), len(qids)))
-        ji = np.fromiter((jpos[t] for t in qtp["term"]), dtype=np.int64, count=len(qtp))
-        qi = np.fromiter((qpos[x] for x in qtp["qid"]), dtype=np.int64, count=len(qtp))
-        W[ji, qi] = qtp["qtf"].to_numpy() * idf[ji]
-        bstate = spark.sparkContext.broadcast((W, qids))
+        term = np.searchsorted(vocab_list, qtp["term"].to_numpy())
+        query = np.searchsorted(qids, qtp["qid"].to_numpy())
+        order = np.argsort(term, kind="stable")
+        weight = (qtp["qtf"].to_numpy() * idf[term])[order]
+        ends = np.searchsorted(term[order], np.arange(len(vocab_list) + 1))
+        bstate = spark.sparkContext.broadcast(((ends, query[order], weight), qids))
         cand = doc_idx.mapInArrow(_bm25_block_fn(bstate, k, k1, b, avgdl, chunk), "qid long, pid long, score double")
-        ranked = top_k_per_group(cand, ["qid"], [F.col("score").desc(), F.col("pid").asc()], k)
-        return materialize(ranked)
+        return materialize(top_k_per_group(cand, ["qid"], [F.col("score").desc(), F.col("pid").asc()], k))
     finally:
         # the result is a written table: cache and broadcasts can go
         doc_idx.unpersist()
@@ -325,86 +323,60 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 40, k1: float = 1.
 def rank_run(scores: DataFrame, k: int) -> DataFrame:
     """Top-k per query of a ``(qid, pid, score)`` table.
 
-    Ranking uses the score rounded to 9 digits so float noise from the
-    summation order cannot flip the order; ties go to the smaller pid.
+    Scores are rounded to 9 digits so float noise from the summation order
+    cannot flip the order; ties go to the smaller pid.
     """
-    keyed = scores.withColumn("_s", F.round("score", SCORE_DIGITS))
-    return top_k_per_group(keyed, ["qid"], [F.col("_s").desc(), F.col("pid").asc()], k).drop("_s")
+    rounded = scores.withColumn("score", F.round("score", SCORE_DIGITS)).where(F.col("score") > 0)
+    return top_k_per_group(rounded, ["qid"], [F.col("score").desc(), F.col("pid").asc()], k)
 
 
 # ---------------------------------------------------------------------------
 # C2 dense exact inner-product top-k
 # ---------------------------------------------------------------------------
 
-def _local_topk_fn(bq, k: int, exclude_self: bool, block: int = 2048):
-    """Per Arrow batch of corpus rows: scores against all queries (in query
-    blocks), keep for each query every candidate scoring at least its k-th
-    best (ties kept, so the global cut stays exact)."""
+def _dense_topk_fn(bq, k: int, exclude_self: bool):
+    """Per partition: each batch of corpus rows scored against the block's
+    queries, running exact top-k per query."""
 
     def fn(batches):
         qids, qmat = bq.value
+        top = _RunningTopK(len(qids), k)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            pids = pdf["pid"].to_numpy()
-            cmat = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            out_q, out_p, out_s = [], [], []
-            for s in range(0, len(qids), block):
-                qb = qmat[s:s + block]
-                sc = np.round(qb @ cmat.T, SCORE_DIGITS)
+            for s in range(0, len(pdf), 1024):
+                part = pdf.iloc[s:s + 1024]
+                pids = part["pid"].to_numpy().astype(np.int64)
+                sc = np.round(qmat @ np.stack(part["vec"].to_numpy()).astype(np.float64).T, SCORE_DIGITS)
                 if exclude_self:
-                    sc = np.where(qids[s:s + block, None] == pids[None, :], -np.inf, sc)
-                kk = min(k, sc.shape[1])
-                kth = -np.partition(-sc, kk - 1, axis=1)[:, kk - 1]
-                keep = (sc >= kth[:, None]) & np.isfinite(sc)
-                qi, ci = np.nonzero(keep)
-                out_q.append(qids[s:s + block][qi])
-                out_p.append(pids[ci])
-                out_s.append(sc[qi, ci])
-            if out_q:
-                yield pd.DataFrame({"qid": np.concatenate(out_q).astype(np.int64),
-                                    "pid": np.concatenate(out_p).astype(np.int64),
-                                    "score": np.concatenate(out_s).astype(np.float64)})
+                    sc[qids[:, None] == pids[None, :]] = -np.inf
+                top.add(sc, pids)
+        q, p, sc = top.compact()
+        yield pd.DataFrame({"qid": qids[q], "pid": p.astype(np.int64), "score": sc})
     return fn
 
 
 def dense_topk(corpus_vec: DataFrame, query_vec: DataFrame, k: int = 40,
                exclude_self: bool = False, pid: str = "pid", qid: str = "qid",
-               vec: str = "embedding") -> DataFrame:
+               vec: str = "embedding", block: int = VECTOR_QUERY_BLOCK) -> DataFrame:
     """Exact inner-product top-k.
 
-    The query block (size-checked, at most ``MAX_QUERY_BLOCK`` rows per pass)
-    is broadcast; the corpus is streamed once per block through an Arrow
-    ``mapInPandas`` that does a block matmul and emits only local top-k (never
-    all query × passage pairs); a final ``WindowGroupLimit`` window keeps the
-    global top-k. Query sets above the bound run block by block over a dense
-    index of the queries.
-    """
+    Queries go in blocks of about ``block`` rows, each broadcast once; the
+    corpus streams through an Arrow ``mapInPandas`` that does a matmul per
+    batch and keeps a running top-k per query and partition (never all
+    query × passage pairs); a ``WindowGroupLimit`` window keeps the global
+    top-k. One plan for every size."""
     spark = corpus_vec.sparkSession
     corpus = corpus_vec.select(F.col(pid).alias("pid"), F.col(vec).cast("array<double>").alias("vec"))
     queries = query_vec.select(F.col(qid).alias("qid"), F.col(vec).cast("array<double>").alias("vec"))
     schema = "qid long, pid long, score double"
-
-    def run_block(qdf: DataFrame) -> DataFrame:
-        pdf = qdf.toPandas()
+    cand = None
+    for part in _query_blocks(queries, "qid", block):
+        pdf = part.toPandas()
         if pdf.empty:
-            return spark.createDataFrame([], schema)
-        qids = pdf["qid"].to_numpy().astype(np.int64)
-        qmat = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        fn = _local_topk_fn(bq, k, exclude_self)
-        return corpus.mapInPandas(fn, schema)
-
-    if bounded(queries, MAX_QUERY_BLOCK):
-        cand = run_block(queries)
-    else:
-        indexed = dense_index(queries, [F.col("qid")], out="_qi")
-        n_blocks = indexed.agg(F.max("_qi")).first()[0] // MAX_QUERY_BLOCK + 1
-        cand = None
-        for blk in range(int(n_blocks)):
-            part = run_block(indexed.where((F.col("_qi") / MAX_QUERY_BLOCK).cast("long") == blk)
-                             .select("qid", "vec"))
-            cand = part if cand is None else cand.unionByName(part)
+            found = spark.createDataFrame([], schema)
+        else:
+            shared = spark.sparkContext.broadcast((pdf["qid"].to_numpy().astype(np.int64), np.stack(pdf["vec"].to_numpy()).astype(np.float64)))
+            found = corpus.mapInPandas(_dense_topk_fn(shared, k, exclude_self), schema)
+        cand = found if cand is None else cand.unionByName(found)
     return top_k_per_group(cand, ["qid"], [F.col("score").desc(), F.col("pid").asc()], k)
 
 
@@ -458,7 +430,7 @@ def assemble_contexts(run: DataFrame, corpus: DataFrame, pid: str = "pid",
     it is broadcast and the corpus is streamed through the join un-shuffled.
     """
     docs = corpus.select(F.col(pid).alias("pid"), F.col(title).alias("title"), F.col(text).alias("text"))
-    r = _maybe_broadcast(run.select("qid", "pid", "score", "rank"), MAX_BROADCAST_RUN)
+    r = run.select("qid", "pid", "score", "rank")
     joined = docs.join(r, "pid")
     nested = joined.groupBy("qid").agg(
         F.sort_array(F.collect_list(F.struct("rank", "pid", "title", "text", "score"))).alias("_c"))
@@ -525,48 +497,40 @@ def pq_encode(corpus_vec: DataFrame, books: np.ndarray, pid: str = "pid", vec: s
 
 
 def pq_topk(codes: DataFrame, books: np.ndarray, query_vec: DataFrame, k: int = 10,
-            qid: str = "qid", vec: str = "embedding") -> DataFrame:
+            qid: str = "qid", vec: str = "embedding", block: int = VECTOR_QUERY_BLOCK) -> DataFrame:
     """Approximate inner-product top-k: per query a lookup table
-    (m × 2^nbits), per passage the sum of its codes' entries, local top-k per
-    Arrow batch, global WindowGroupLimit. Query blocks of at most
-    ``MAX_QUERY_BLOCK`` rows are broadcast one at a time (dense index of the
-    queries), so the broadcast never grows with the query set."""
+    (m × 2^nbits), per passage the sum of its codes' entries, running top-k
+    per query and partition, global WindowGroupLimit. Queries go in blocks of
+    about ``block`` rows, so a broadcast never grows with the query set."""
     spark = codes.sparkSession
     m, K, dsub = books.shape
     queries = query_vec.select(F.col(qid).alias("qid"), F.col(vec).cast("array<double>").alias("vec"))
+    schema = "qid long, pid long, score double"
 
-    def run_block(qdf: DataFrame) -> DataFrame:
-        q = qdf.toPandas()
-        qids = q["qid"].to_numpy().astype(np.int64)
-        Q = np.stack(q["vec"].to_numpy()).astype(np.float64)
-        lut = np.stack([Q[:, s * dsub:(s + 1) * dsub] @ books[s].T for s in range(m)], axis=1)  # nq × m × K
-        bl = spark.sparkContext.broadcast((qids, lut))
-
+    def scorer(shared):
         def fn(batches):
-            qids_b, T = bl.value
+            qids, T = shared.value
+            top = _RunningTopK(len(qids), k)
             for pdf in batches:
-                if pdf.empty:
-                    continue
-                C = np.stack(pdf["codes"].to_numpy()).astype(np.int64)  # n × m
-                pids = pdf["pid"].to_numpy()
-                sc = np.zeros((T.shape[0], len(C)))
-                for s in range(m):
-                    sc += T[:, s, :][:, C[:, s]]
-                sc = np.round(sc, SCORE_DIGITS)
-                kk = min(k, sc.shape[1])
-                kth = -np.partition(-sc, kk - 1, axis=1)[:, kk - 1]
-                qi, ci = np.nonzero(sc >= kth[:, None])
-                yield pd.DataFrame({"qid": qids_b[qi], "pid": pids[ci].astype(np.int64), "score": sc[qi, ci]})
-
-        return codes.mapInPandas(fn, "qid long, pid long, score double")
-
-    if bounded(queries, MAX_QUERY_BLOCK):
-        cand = run_block(queries)
-    else:
-        indexed = dense_index(queries, [F.col("qid")], out="_qi")
-        n_blocks = indexed.agg(F.max("_qi")).first()[0] // MAX_QUERY_BLOCK + 1
-        cand = None
-        for blk in range(int(n_blocks)):
-            part = run_block(indexed.where((F.col("_qi") / MAX_QUERY_BLOCK).cast("long") == blk).select("qid", "vec"))
-            cand = part if cand is None else cand.unionByName(part)
+                for s in range(0, len(pdf), 1024):
+                    part = pdf.iloc[s:s + 1024]
+                    C = np.stack(part["codes"].to_numpy()).astype(np.int64)
+                    sc = np.zeros((T.shape[0], len(C)))
+                    for i in range(m):
+                        sc += T[:, i, :][:, C[:, i]]
+                    top.add(np.round(sc, SCORE_DIGITS), part["pid"].to_numpy().astype(np.int64))
+            q, p, sc = top.compact()
+            yield pd.DataFrame({"qid": qids[q], "pid": p.astype(np.int64), "score": sc})
+        return fn
+
+    cand = None
+    for part in _query_blocks(queries, "qid", block):
+        pdf = part.toPandas()
+        if pdf.empty:
+            found = spark.createDataFrame([], schema)
+        else:
+            Q = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            lut = np.stack([Q[:, s * dsub:(s + 1) * dsub] @ books[s].T for s in range(m)], axis=1)  # nq × m × K
+            found = codes.mapInPandas(scorer(spark.sparkContext.broadcast((pdf["qid"].to_numpy().astype(np.int64), lut))), schema)
+        cand = found if cand is None else cand.unionByName(found)
     return top_k_per_group(cand, ["qid"], [F.col("score").desc(), F.col("pid").asc()], k)

@@ -52,10 +52,10 @@ def c2(spark, d):
 
 @query("c3_l2_normalize", sql("""SELECT vec_id AS id, CAST(i - 1 AS INTEGER) AS dim,
   round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) + 0.0 AS value FROM (
-  SELECT vec_id, v, unnest(v) AS x, unnest(range(1, 9)) AS i FROM (
-    SELECT vec_id, CAST(list_slice(embedding, 1, 8) AS DOUBLE[]) AS v FROM embeddings))"""))
+  SELECT vec_id, v, unnest(v) AS x, unnest(range(1, 65)) AS i FROM (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))"""))
 def c3(spark, d):
-    e = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), ar.l2_normalize(F.slice("embedding", 1, 8)).alias("v"))
+    e = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), ar.l2_normalize("embedding").alias("v"))
     x = e.select("id", F.posexplode("v").alias("dim", "value"))
     return x.select("id", F.col("dim").cast("int").alias("dim"), (r6("value") + F.lit(0.0)).alias("value"))
 
@@ -71,12 +71,13 @@ def c4(spark, d):
     return x.select("key", F.col("dim").cast("int").alias("dim"), (r6("value") + F.lit(0.0)).alias("value"))
 
 
-@query("c4b_pool_cls", sql("""SELECT vec_id // 8 AS key, round(arg_min(CAST(embedding[1] AS DOUBLE), vec_id), 6) AS first_value
-  FROM embeddings GROUP BY 1"""))
+@query("c4b_pool_cls", sql("""SELECT vec_id // 8 AS key, CAST(i - 1 AS INTEGER) AS dim, round(arg_min(x, vec_id), 6) + 0.0 AS value FROM (
+  SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL"""))
 def c4b(spark, d):
     e = fx.table(spark, d, "embeddings").select((F.col("vec_id") / 8).cast("long").alias("key"), "vec_id", "embedding")
     p = rt.pool_vectors(e, "key", "vec_id", "embedding", mode="cls")
-    return p.select("key", r6(F.element_at("pooled", 1)).alias("first_value"))
+    x = p.select("key", F.posexplode("pooled").alias("dim", "value"))
+    return x.select("key", F.col("dim").cast("int").alias("dim"), (r6("value") + F.lit(0.0)).alias("value"))
 
 
 @query("c5_pq_topk", None)

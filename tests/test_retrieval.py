@@ -39,13 +39,16 @@ def brute_bm25(docs, queries, k1=1.2, b=0.75):
     return out
 
 
-def test_bm25_block_and_join_paths_agree_with_brute_force(spark, monkeypatch):
+def test_bm25_for_any_block_and_chunk_and_the_join_agree_with_brute_force(spark):
     docs = [(1, "t", "apple banana apple"), (2, "t", "banana cherry"), (3, "", "cherry cherry apple date"),
             (4, "u", "elder"), (5, None, "")]
     ref = brute_bm25(docs, [(10, "apple cherry"), (11, "banana"), (12, "zzz")])
     block = {(r.qid, r.pid): r.score for r in rt.bm25_topk(_corpus(spark), _queries(spark), k=10).collect()}
-    monkeypatch.setattr(rt, "MAX_DENSE_WEIGHTS", 0)
-    joined = {(r.qid, r.pid): r.score for r in rt.bm25_topk(_corpus(spark), _queries(spark), k=10).collect()}
+    small = {(r.qid, r.pid): r.score for r in rt.bm25_topk(_corpus(spark), _queries(spark), k=10, block=1, chunk=1).collect()}
+    assert small == block
+    scores, postings = rt.bm25_scores(_corpus(spark), _queries(spark))
+    joined = {(r.qid, r.pid): r.score for r in rt.rank_run(scores, 10).collect()}
+    postings.unpersist()
     assert block.keys() == ref.keys() == joined.keys()
     for key, v in ref.items():
         assert abs(block[key] - v) < 1e-9 and abs(joined[key] - v) < 1e-9
@@ -108,13 +111,29 @@ def test_pq_recall_against_exact(spark):
     assert len(a & x) / len(x) > 0.3  # recall@10 of an 8×4-bit code on 64-d vectors
 
 
-def test_query_blocks_equal_single_block(spark, monkeypatch):
+def test_query_blocks_equal_single_block(spark):
     e = spark.read.parquet(f"{SF001}/embeddings.parquet").select(
         F.col("vec_id").alias("pid"), F.col("vec_id").alias("qid"), "embedding")
     one = sorted(tuple(r) for r in rt.dense_topk(e, e, k=3).collect())
-    monkeypatch.setattr(rt, "MAX_QUERY_BLOCK", 128)
-    many = sorted(tuple(r) for r in rt.dense_topk(e, e, k=3).collect())
+    many = sorted(tuple(r) for r in rt.dense_topk(e, e, k=3, block=40).collect())
     assert one == many
+    books = rt.pq_train(e, m=8, nbits=3, seed=1)
+    codes = rt.pq_encode(e, books)
+    assert sorted(tuple(r) for r in rt.pq_topk(codes, books, e, k=3).collect()) == sorted(
+        tuple(r) for r in rt.pq_topk(codes, books, e, k=3, block=40).collect())
+
+
+def test_running_topk_equals_a_sort():
+    rng = np.random.default_rng(2)
+    top = rt._RunningTopK(5, 4)
+    top.room = 30
+    scores, pids = np.round(rng.random((5, 300)), 1), rng.permutation(300)
+    for s in range(0, 300, 17):
+        top.add(scores[:, s:s + 17], pids[s:s + 17])
+    q, p, s = top.compact()
+    for i in range(5):
+        want = sorted(zip(-scores[i], pids))[:4]
+        assert [(-b, a) for a, b in zip(p[q == i], s[q == i])] == want
 
 
 def test_bm25_unchanged_by_repartition(spark):
@@ -128,7 +147,7 @@ def test_bm25_unchanged_by_repartition(spark):
         assert other == base
 
 
-def test_bm25_count_repeats(spark, monkeypatch):
+def test_bm25_count_repeats(spark):
     q2 = spark.createDataFrame([(20, "apple apple cherry")], "qid long, q string")
     once = {r.pid: r.score for r in rt.bm25_topk(_corpus(spark), q2, k=10).collect()}
     twice = {r.pid: r.score for r in rt.bm25_topk(_corpus(spark), q2, k=10, count_repeats=True).collect()}
@@ -137,8 +156,8 @@ def test_bm25_count_repeats(spark, monkeypatch):
     apple_only = brute_bm25(docs, [(0, "apple")])
     for pid, s in once.items():
         assert abs(twice[pid] - s - apple_only.get((0, pid), 0.0)) < 1e-9
-    monkeypatch.setattr(rt, "MAX_DENSE_WEIGHTS", 0)
-    joined = {r.pid: r.score for r in rt.bm25_topk(_corpus(spark), q2, k=10, count_repeats=True).collect()}
+    scores, _ = rt.bm25_scores(_corpus(spark), q2, count_repeats=True)
+    joined = {r.pid: r.score for r in scores.collect()}
     assert all(abs(joined[k] - v) < 1e-9 for k, v in twice.items())
 
 
