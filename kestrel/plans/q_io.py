@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kestrel.functions import text as tx
 from kestrel.plans import fixtures as fx
 from kestrel.plans.registry import query, r6
 from kestrel.plans.oracle import sql
@@ -37,7 +38,7 @@ def qa_dir(spark, d):
         F.col("lang").alias("dataset"), F.col("doc_id").alias("id"),
         F.col("text").alias("x"), F.col("quality").cast("string").alias("y"))
     path = io.scratch_path(spark, "qa")
-    ordered = qa.repartitionByRange(4, "dataset", "id").sortWithinPartitions("dataset", "id")
+    ordered = qa.repartitionByRange("dataset", "id").sortWithinPartitions("dataset", "id")
     io.write_by_dataset(ordered, path, fmt="csv")
     return io.read_qa_dir(spark, path, QA_SCHEMA, dataset_from="partition")
 
@@ -63,6 +64,27 @@ def a3(spark, d):
                      F.md5("c.text").alias("text_md5"), r6("c.score").alias("score"))
 
 
+@query("a3b_read_retrieval_array", sql("""SELECT q.q, q.answer AS y, rank, CAST(pid AS VARCHAR) AS id, title, md5(text) AS text_md5,
+  round(score, 6) AS score FROM fx_ctx JOIN fx_queries q USING (qid)""", "fx_ctx", "fx_queries"))
+def a3b(spark, d):
+    """The layout of one array a file with q, y, x and contexts; string ids."""
+    path = io.scratch_path(spark, "retrievals-array")
+    r = fx.retrievals(spark, d)
+    io.write_retrieval_array(r.select("q", F.col("answer").alias("y"), F.col("q").alias("x"), "contexts"), path)
+    ex = io.read_retrieval_array(spark, path).select("q", "y", F.posexplode("contexts").alias("rank", "c"))
+    return ex.select("q", "y", "rank", "c.id", "c.title", F.md5("c.text").alias("text_md5"), r6("c.score").alias("score"))
+
+
+@query("a1c_read_passages_string_ids", sql("SELECT 'doc-' || doc_id AS pid, source AS title, md5(text) AS text_md5 FROM documents"))
+def a1c(spark, d):
+    """Ids that are no numbers, through both formats."""
+    p = fx.corpus(spark, d).withColumn("pid", F.concat(F.lit("doc-"), F.col("pid")))
+    path, lines = io.scratch_path(spark, "passages.tsv"), io.scratch_path(spark, "passages.jsonl")
+    io.write_passages(p, path, "tsv")
+    io.write_passages(io.read_passages(spark, path, id_type="string"), lines, "jsonl")
+    return io.read_passages(spark, lines, id_type="string").select("pid", "title", F.md5("text").alias("text_md5"))
+
+
 @query("a4_pair_datasets", sql(f"""SELECT q.dataset, q.row_id, q.id, r.doc_id AS partner FROM ({QA_ORACLE}) q
   JOIN (SELECT lang AS dataset, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) - 1 AS row_id FROM documents) r
   USING (dataset, row_id)"""))
@@ -74,15 +96,21 @@ def a4(spark, d):
     return io.pair_datasets(q, other).select("dataset", "row_id", "id", "partner")
 
 
-@query("a5_read_train_examples", sql("SELECT qid, CAST(len(pos) AS INTEGER) AS n_pos, CAST(len(neg) AS INTEGER) AS n_neg FROM fx_contrast", "fx_contrast"))
+@query("a5_read_train_examples", sql("""SELECT qid, kind, CAST(i - 1 AS INTEGER) AS pos, md5(c) AS passage_md5 FROM (
+  SELECT qid, 'pos' AS kind, unnest(pos) AS c, unnest(range(1, len(pos) + 1)) AS i FROM fx_contrast
+  UNION ALL SELECT qid, 'neg', unnest(neg), unnest(range(1, len(neg) + 1)) FROM fx_contrast)""", "fx_contrast"))
 def a5(spark, d):
+    """Half of the examples as JSON lines, half as a JSON array."""
     from kestrel.plans.q_datasets import contrast_table
     t = contrast_table(spark, d)
-    p1, p2 = io.scratch_path(spark, "ex1.jsonl"), io.scratch_path(spark, "ex2.jsonl")
+    p1, p2 = io.scratch_path(spark, "ex1.jsonl"), io.scratch_path(spark, "ex2.json")
     t.where(F.col("qid") % 2 == 0).write.json(p1)
-    t.where(F.col("qid") % 2 == 1).write.json(p2)
-    r = io.read_train_examples(spark, [p1, p2])
-    return r.select("qid", F.size("positive_ctxs").alias("n_pos"), F.size("negative_ctxs").alias("n_neg"))
+    io.write_retrieval_array(t.where(F.col("qid") % 2 == 1), p2)
+    r = io.read_train_examples(spark, [p1, p2], maxload=1_000_000)
+    both = [r.select("qid", F.lit(k).alias("kind"), F.posexplode(c).alias("pos", "c"))
+            for k, c in (("pos", "positive_ctxs"), ("neg", "negative_ctxs"))]
+    return both[0].unionByName(both[1]).select(
+        "qid", "kind", "pos", F.md5(tx.compose_passage(F.col("c.title"), F.col("c.text"))).alias("passage_md5"))
 
 
 @query("a6_write_by_dataset", sql("SELECT dataset, count(*) AS n, CAST(sum(y) AS BIGINT) AS correct FROM fx_preds GROUP BY dataset",

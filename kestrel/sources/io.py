@@ -1,10 +1,11 @@
 """Sources and sinks.
 
 Readers always take explicit schemas (no inference pass over 100 TB).
-Row positions inside files — needed to pair files row by row, like the
-reference's positional zips — come from the file name plus
-``monotonically_increasing_id`` (increasing in file order within a split),
-turned into dense per-dataset positions by the two-level index.
+Row positions inside files — needed to pair files row by row — come from the
+file name, the offset of the split in the file and
+``monotonically_increasing_id`` (increasing inside a split), turned into dense
+per-dataset positions by the two-level index. CSV with quoted newlines is not
+splittable: a file is one task, so large tables should come as many files.
 """
 
 from __future__ import annotations
@@ -46,20 +47,22 @@ def _csv_writer(df, sep=",", header=True):
 
 # A1 ---------------------------------------------------------------------------
 
-def read_passages(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+def read_passages(spark: SparkSession, path: str, fmt: str | None = None, id_type: str = "long") -> DataFrame:
     """Passage pool → (pid, title, text).
 
     TSV: columns id, text, title; doubled-quote escaping and quoted newlines;
     any row whose first cell is ``id`` is skipped. JSONL: one {id,title,text}
-    object per line."""
+    object per line; ids may be numbers or strings. ``id_type`` "string"
+    keeps ids as they are written; with "long" an id that is no number is an
+    error."""
     fmt = fmt or ("jsonl" if path.rstrip("/").endswith(".jsonl") else "tsv")
     if fmt == "jsonl":
-        df = spark.read.schema("id long, title string, text string").json(path)
-        return df.select(F.col("id").alias("pid"), "title", "text")
+        df = spark.read.schema("id string, title string, text string").json(path)
+        return df.select(F.col("id").cast(id_type).alias("pid"), "title", "text")
     df = _csv_reader(spark, "id string, text string, title string", sep="\t").csv(path)
     # like Python's csv module an empty field is "", never null
     return df.where(F.col("id") != "id").select(
-        F.col("id").cast("long").alias("pid"), F.coalesce("title", F.lit("")).alias("title"),
+        F.col("id").cast(id_type).alias("pid"), F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -82,9 +85,16 @@ def dataset_key(name) -> F.Column:
 def with_positions(df: DataFrame, dataset_col: str = "dataset") -> DataFrame:
     """Add 0-based ``row_id`` = position inside the dataset's files
     (file path order, then order inside the file)."""
-    x = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_mono", F.monotonically_increasing_id())
-    return dense_index(x, [F.col("_file"), F.col("_mono")], group_cols=[dataset_col], out="row_id") \
-        .drop("_file", "_mono")
+    return dense_index(_with_place(df), [F.col(c) for c in _PLACE], group_cols=[dataset_col], out="row_id").drop(*_PLACE)
+
+
+_PLACE = ["_file", "_offset", "_mono"]
+
+
+def _with_place(df: DataFrame) -> DataFrame:
+    """Where each row stands: file, offset of its split, order inside that."""
+    return (df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_offset", F.col("_metadata.file_block_start"))
+            .withColumn("_mono", F.monotonically_increasing_id()))
 
 
 def read_qa_dir(spark: SparkSession, path: str, schema: str | T.StructType, dropna: bool = True,
@@ -125,6 +135,29 @@ def read_retrievals(spark: SparkSession, path: str, schema: T.StructType = RETRI
     return spark.read.schema(schema).json(path)
 
 
+RETRIEVAL_ARRAY_SCHEMA = T.StructType([
+    T.StructField("q", T.StringType()), T.StructField("y", T.StringType()), T.StructField("x", T.StringType()),
+    T.StructField("contexts", T.ArrayType(T.StructType([
+        T.StructField("id", T.StringType()), T.StructField("title", T.StringType()),
+        T.StructField("text", T.StringType()), T.StructField("score", T.DoubleType())])))])
+
+
+def write_retrieval_array(df: DataFrame, path: str, indent: int = 4) -> None:
+    """One JSON array per output file, objects spread over indented lines."""
+    objects = df.select(F.to_json(F.struct(*df.columns)).alias("j"))
+    rows = F.concat(F.lit("[\n" + " " * indent), F.array_join(F.collect_list("j"), ",\n" + " " * indent), F.lit("\n]"))
+    parts = objects.withColumn("p", F.spark_partition_id()).groupBy("p").agg(rows.alias("value"))
+    parts.select("value").write.mode("overwrite").text(path)
+
+
+def read_retrieval_array(spark: SparkSession, path: str, schema: T.StructType = RETRIEVAL_ARRAY_SCHEMA) -> DataFrame:
+    """Files that hold one JSON array of {q, y, x, contexts} each (objects may
+    span lines), plus ``row_id``: the position over all files. Scores may be
+    written as strings. A file is one task."""
+    df = _with_place(spark.read.schema(schema).option("multiLine", "true").json(path))
+    return dense_index(df, [F.col(c) for c in _PLACE], out="row_id").drop(*_PLACE)
+
+
 # A5 ---------------------------------------------------------------------------
 
 EXAMPLE_SCHEMA = T.StructType([
@@ -139,17 +172,21 @@ EXAMPLE_SCHEMA = T.StructType([
 
 def read_train_examples(spark: SparkSession, paths: list[str], maxload: int | None = None,
                         schema: T.StructType = EXAMPLE_SCHEMA) -> DataFrame:
-    """JSON lines from several paths, in path order; ``maxload`` caps the
-    cumulative number of examples (the cap is the feature)."""
-    parts = [spark.read.schema(schema).json(p).withColumn("_src", F.lit(i)) for i, p in enumerate(paths)]
+    """JSON lines (``.jsonl``) or files of one JSON array (``.json``) from
+    several paths, in path order; ``maxload`` caps the cumulative number of
+    examples (the cap is the feature)."""
+    def load(path: str) -> DataFrame:
+        whole = path.rstrip("/").endswith(".json")
+        return _with_place(spark.read.schema(schema).option("multiLine", str(whole).lower()).json(path))
+
+    parts = [load(p).withColumn("_src", F.lit(i)) for i, p in enumerate(paths)]
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
     if maxload is not None and maxload > 0:
-        x = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_mono", F.monotonically_increasing_id())
-        x = dense_index(x, [F.col("_src"), F.col("_file"), F.col("_mono")], out="_pos")
-        df = x.where(F.col("_pos") < maxload).drop("_pos", "_file", "_mono")
-    return df.drop("_src")
+        x = dense_index(df, [F.col(c) for c in ("_src", *_PLACE)], out="_pos")
+        df = x.where(F.col("_pos") < maxload).drop("_pos")
+    return df.drop("_src", *_PLACE)
 
 
 # A6 / A7 / A8 --------------------------------------------------------------------
