@@ -21,6 +21,12 @@ def _lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def bind(value, f) -> Column:
+    """``f`` of ``value`` evaluated once per row: inside a lambda a plain
+    column expression would be evaluated for every element."""
+    return F.get(F.transform(F.array(_c(value)), f), F.lit(0))
+
+
 def array_sum(arr) -> Column:
     return F.aggregate(_c(arr), F.lit(0.0).cast("double"), lambda a, x: a + x)
 
@@ -31,25 +37,15 @@ def to_double_array(arr) -> Column:
 
 # F1
 def softmax(logits, temperature=1.0) -> Column:
-    x = to_double_array(logits)
-    m = F.array_max(x)
-    t = _lit(temperature).cast("double")
-    e = F.transform(x, lambda v: F.exp((v - m) / t))
-    s = array_sum(e)
-    return F.transform(e, lambda v: v / s)
-
-
-def log_softmax(logits, temperature=1.0) -> Column:
-    x = to_double_array(logits)
     t = _lit(temperature).cast("double")
-    z = F.transform(x, lambda v: v / t)
-    return F.transform(z, lambda v: v - logsumexp(z))
+    shares = lambda e: bind(array_sum(e), lambda s: F.transform(e, lambda v: v / s))
+    return bind(to_double_array(logits), lambda x: bind(F.array_max(x), lambda m: bind(
+        F.transform(x, lambda v: F.exp((v - m) / t)), shares)))
 
 
 def logsumexp(arr) -> Column:
-    x = to_double_array(arr)
-    m = F.array_max(x)
-    return m + F.log(array_sum(F.transform(x, lambda v: F.exp(v - m))))
+    return bind(to_double_array(arr), lambda x: bind(
+        F.array_max(x), lambda m: m + F.log(array_sum(F.transform(x, lambda v: F.exp(v - m))))))
 
 
 # F2
@@ -86,7 +82,7 @@ def fourier_features(t, K: int = 6, t_range: tuple[float, float] = (1.0, 2.0)) -
     return F.concat(sins, coss)
 
 
-# F6 (per position; the row reduction lives in calibration.divergence)
+# F6 (per position; the row reduction is calibration.divergence)
 def kl(p, q) -> Column:
     """KL(p‖q) = Σ p·(ln p − ln q), with 0·ln 0 = 0."""
     return F.aggregate(
@@ -119,9 +115,8 @@ def apply_temperature(logits, log_t) -> Column:
 # C3
 def l2_normalize(vec) -> Column:
     """v / ||v||; a zero vector gives null."""
-    v = to_double_array(vec)
-    n = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x * x))
-    return F.when(n > 0, F.transform(v, lambda x: x / n))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x * x))
+    return bind(to_double_array(vec), lambda v: bind(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n))))
 
 
 def dot(a, b) -> Column:

@@ -7,6 +7,8 @@ built-in higher-order functions), except ``canonical_unicode`` which needs
 
 from __future__ import annotations
 
+import re
+
 import string
 import unicodedata
 
@@ -231,14 +233,11 @@ def grade_substring(gold, pred) -> Column:
 
 
 def parse_list(col) -> Column:
-    """List literal → array<string>; never evaluates code. Single-quoted
-    Python-style literals are accepted by turning quotes into JSON quotes;
-    malformed input gives null."""
-    c = F.trim(_c(col))
-    jsonish = F.when(c.startswith("['") | c.startswith("[\""),
-                     F.regexp_replace(F.regexp_replace(c, r"\['", "[\""), r"'\]$", "\"]"))
-    jsonish = F.regexp_replace(F.coalesce(jsonish, c), r"',\s*'", "\", \"")
-    return F.from_json(jsonish, "array<string>")
+    """List literal → array<string>; never evaluates code. Items may be in
+    single or double quotes, mixed, with backslash escapes; malformed input
+    gives null."""
+    return F.from_json(F.trim(_c(col)), "array<string>",
+                       {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
 
 
 # ---------------------------------------------------------------------------
@@ -311,13 +310,16 @@ def judge_prompt(template: str, preds, question=None, gold=None) -> Column:
     """Fill <prediction1>..<predictionN> (1-based) plus question/gold.
 
     ``preds`` is an array<string> column; each numbered line is
-    "<i>. <pred>" and the whole list replaces ``<predictions>``; individual
-    ``<predictionI>`` placeholders are filled too.
+    "<i>. <pred>" and the whole list replaces ``<predictions>``; numbered
+    slots beyond the list's end become empty.
     """
     p = _c(preds)
     numbered = F.array_join(
         F.transform(p, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
     out = F.replace(F.lit(template), F.lit("<predictions>"), numbered)
+    for slot in dict.fromkeys(re.findall(r"<prediction(\d+)>", template)):
+        pred = F.coalesce(F.get(p, F.lit(int(slot) - 1)), F.lit(""))
+        out = F.replace(out, F.lit(f"<prediction{slot}>"), pred)
     if question is not None:
         out = F.replace(out, F.lit("<question>"), _c(question))
     if gold is not None:

@@ -18,11 +18,9 @@ from pyspark.sql import functions as F
 from kestrel.functions import arrays as ar
 from kestrel.functions import text as tx
 from kestrel.operators.ordering import prefix_sums
-from kestrel.session import bounded, materialize
+from kestrel.session import join_null_safe, materialize
 
 EPS = 1e-15
-MAX_QUEUE_ROWS = 262_144
-MAX_BATCH_ROWS = 65_536
 
 
 def _c(x) -> Column:
@@ -199,7 +197,7 @@ def _metrics_from_counts(c: DataFrame, group: list[str], n_bins: int, kept: str
         F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     au = area.select(*group, F.when((F.col("_P") > 0) & (F.col("_N") > 0),
                                     F.col("_a") / (F.col("_P") * F.col("_N"))).alias("auroc"))
-    return rep.join(au, group, "left")
+    return join_null_safe(rep, au, group, "left")
 
 
 def evaluate_predictions(df: DataFrame, y: str = "y", c_raw: str = "c_raw", c_type: str = "c_type",
@@ -293,14 +291,13 @@ def weighted_average(df: DataFrame, name: str, value: str, weight: str) -> DataF
 
 
 def class_weights(df: DataFrame, label: str, n_classes: int) -> DataFrame:
-    """weight_c = total / (C · count_c); a missing class counts as 1."""
-    spark = df.sparkSession
-    counts = df.groupBy(F.col(label).cast("int").alias("cls")).agg(F.count(F.lit(1)).alias("cnt"))
-    classes = spark.range(n_classes).select(F.col("id").cast("int").alias("cls"))
-    # counts has at most one row per label value: tiny, the window is over it
-    j = classes.join(F.broadcast(counts), "cls", "left")
-    total = F.sum("cnt").over(Window.partitionBy())
-    return j.select("cls", (total / (F.lit(n_classes) * F.coalesce("cnt", F.lit(1)))).alias("weight"))
+    """weight_c = total / (C · count_c); a missing class counts as 1. The
+    total is of all labelled rows, also those outside 0..C-1."""
+    y = F.col(label).cast("int")
+    counts = [F.count(F.when(y == c, 1)) for c in range(n_classes)]
+    one = df.agg(F.count(y).alias("_total"), F.array(*counts).alias("_counts"))
+    x = one.select("_total", F.posexplode("_counts").alias("cls", "cnt"))
+    return x.select("cls", (F.col("_total") / (F.lit(n_classes) * F.greatest("cnt", F.lit(1)))).alias("weight"))
 
 
 def embedding_spread(df: DataFrame, vec: str, group=None, dim: int | None = None) -> DataFrame:
@@ -316,64 +313,105 @@ def embedding_spread(df: DataFrame, vec: str, group=None, dim: int | None = None
     return g.select(*group, (total / dim).alias("spread"))
 
 
+DIVERGENCES = ("reverse_kl", "forward_kl", "jsd")
+
+
+def divergence(df: DataFrame, row: str, p: str, ref: str, label: str, kinds: tuple[str, ...] = DIVERGENCES) -> DataFrame:
+    """(kind, value): per position the divergence of ``p`` from ``ref``, 0
+    where the label is -100, summed over a row's positions, averaged over
+    rows. One pass for all kinds."""
+    kept = F.col(label) != ar.IGNORE_LABEL
+    per_row = df.groupBy(row).agg(*[F.sum(F.when(kept, ar.divergence(p, ref, k)).otherwise(0.0)).alias(k) for k in kinds])
+    one = per_row.agg(F.array(*[F.struct(F.lit(k).alias("kind"), F.avg(k).alias("value")) for k in kinds]).alias("all"))
+    return one.select(F.inline("all"))
+
+
 # ---------------------------------------------------------------------------
 # G15 in-batch contrast, G16 queue contrast
 # ---------------------------------------------------------------------------
 
+BLOCK_ROWS = 1024  # rows of a block of vectors; no task holds more than two blocks
+
+
+def _blocks(df: DataFrame, keys: list[str], cols: list, salt: str) -> DataFrame:
+    """Rows of each key bundled into blocks of about ``BLOCK_ROWS``."""
+    n = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("_n"))
+    dealt = join_null_safe(df, n, keys).withColumn("_blk", F.pmod(F.xxhash64(F.lit(salt), *cols), F.col("_n")))
+    return dealt.groupBy(*keys, "_blk").agg(F.collect_list(F.struct(*cols)).alias(salt))
+
+
+def _score_blocks(temperature: float):
+    """Query block × key block: per query the running maximum, the sum of
+    exponentials below it, the sum and count of scores, the first best key and
+    the score of its own key (null if not in this block)."""
+    def fn(batches):
+        for pdf in batches:
+            for batch, qs, ks in zip(pdf["_b"], pdf["qs"], pdf["ks"]):
+                q = np.array([x["v"] for x in qs], np.float64)
+                rows = np.array([x["r"] for x in qs])
+                keys = np.array([x["r"] for x in ks])
+                order = np.argsort(keys, kind="stable")
+                keys = keys[order]
+                s = q @ np.array([x["v"] for x in ks], np.float64)[order].T / temperature
+                m = s.max(axis=1)
+                at = np.searchsorted(keys, rows)
+                own = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == rows)
+                mine = np.where(own, s[np.arange(len(rows)), np.minimum(at, len(keys) - 1)], np.nan)
+                yield pd.DataFrame({"_b": batch, "_r": rows, "m": m, "e": np.exp(s - m[:, None]).sum(axis=1), "t": s.sum(axis=1),
+                                    "n": s.shape[1], "best": keys[s.argmax(axis=1)], "own": [None if np.isnan(x) else float(x) for x in mine]})
+    return fn
+
+
+def _combine(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks of one query to its log-sum-exp, mean, best key and own score."""
+    top = F.max(F.struct("m", (-F.col("best")).alias("b")))
+    g = parts.groupBy(*keys).agg(top.alias("_top"), F.collect_list(F.struct("m", "e")).alias("_me"), F.sum("t").alias("_t"),
+                                 F.sum("n").alias("_n"), F.max("own").alias("_own"))
+    lse = F.col("_top.m") + F.log(F.aggregate("_me", F.lit(0.0), lambda a, x: a + x["e"] * F.exp(x["m"] - F.col("_top.m"))))
+    return g.select(*keys, lse.alias("_lse"), (F.col("_t") / F.col("_n")).alias("_mean"), (-F.col("_top.b")).alias("_best"), "_own")
+
+
 def inbatch_contrast(df: DataFrame, batch: str, row: str, q: str, k: str,
                      temperature: float = 1.0, label_smoothing: float = 0.0) -> DataFrame:
     """Per batch: each query scores every key of its batch; accuracy (own key
-    is the arg-max, first index on ties) and cross-entropy with label
-    smoothing. Keys are gathered per batch (bounded by the batch size) and
-    each query row scores that array — no pair rows are emitted."""
-    biggest = df.groupBy(batch).count().agg(F.max("count")).first()[0] or 0
-    if biggest > MAX_BATCH_ROWS:
-        raise ValueError(f"batch of {biggest} rows exceeds MAX_BATCH_ROWS; in-batch contrast gathers a batch's keys")
-    keys = df.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct(row, F.col(k).cast("array<double>").alias("kv")))).alias("_keys"))
-    x = df.select(batch, row, F.col(q).cast("array<double>").alias("_q")).join(keys, batch)
-    scores = F.transform("_keys", lambda kk: ar.dot(F.col("_q"), kk["kv"]) / temperature)
-    x = x.select(batch, row, scores.alias("_s"),
-                 (F.array_position(F.transform("_keys", lambda kk: kk[row]), F.col(row)) - 1).cast("int").alias("_lab"))
-    lse = ar.logsumexp("_s")
-    n = F.size("_s")
-    nll_own = lse - F.element_at("_s", F.col("_lab") + 1)
-    mean_nll = lse - ar.array_sum("_s") / n
-    ce = (1 - label_smoothing) * nll_own + label_smoothing * mean_nll
-    hit = (ar.argmax_class("_s") == F.col("_lab")).cast("double")
-    return x.select(batch, row, hit.alias("hit"), ce.alias("loss"))
+    is the arg-max, smallest row on ties) and cross-entropy with label
+    smoothing. Queries and keys of a batch are met block by block with one
+    matmul each; blocks are combined by maximum and sum, so a batch may have
+    any size. ``row`` must be an integer, unique in its batch."""
+    src = df.select(F.col(batch).alias("_b"), F.col(row).cast("long").alias("r"), F.col(q).cast("array<double>").alias("_q"),
+                    F.col(k).cast("array<double>").alias("_k"))
+    qs = _blocks(src, ["_b"], [F.col("r"), F.col("_q").alias("v")], "qs")
+    ks = _blocks(src, ["_b"], [F.col("r"), F.col("_k").alias("v")], "ks")
+    pairs = join_null_safe(qs.select("_b", "qs"), ks.select("_b", "ks"), ["_b"])
+    kind = src.schema["_b"].dataType.simpleString()
+    parts = pairs.mapInPandas(_score_blocks(temperature),
+                              f"_b {kind}, _r long, m double, e double, t double, n long, best long, own double")
+    x = _combine(parts, ["_b", "_r"])
+    ce = (1 - label_smoothing) * (F.col("_lse") - F.col("_own")) + label_smoothing * (F.col("_lse") - F.col("_mean"))
+    return x.select(F.col("_b").alias(batch), F.col("_r").cast(df.schema[row].dataType).alias(row),
+                    (F.col("_best") == F.col("_r")).cast("double").alias("hit"), ce.alias("loss"))
 
 
 def queue_contrast(df: DataFrame, q: str, k: str, queue: DataFrame, qvec: str,
                    temperature: float = 1.0, label_smoothing: float = 0.0) -> DataFrame:
     """logits = [q·k, q·queue_j …] / T with label 0, per row: hit, loss.
 
-    The queue (size-checked) is broadcast as one matrix; rows are scored in
-    Arrow batches with one matmul each."""
-    spark = df.sparkSession
-    if not bounded(queue, MAX_QUEUE_ROWS):
-        raise ValueError("queue larger than MAX_QUEUE_ROWS")
-    qmat = np.stack(queue.select(F.col(qvec).cast("array<double>")).toPandas().iloc[:, 0].to_numpy()).astype(np.float64)
-    bq = spark.sparkContext.broadcast(qmat)
-    eps = label_smoothing
-
-    def fn(batches):
-        Q = bq.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            qv = np.stack(pdf["_q"].to_numpy())
-            kv = np.stack(pdf["_k"].to_numpy())
-            pos = np.einsum("nc,nc->n", qv, kv)[:, None]
-            neg = qv @ Q.T
-            lg = np.concatenate([pos, neg], axis=1) / temperature
-            m = lg.max(axis=1, keepdims=True)
-            lse = (m + np.log(np.exp(lg - m).sum(axis=1, keepdims=True)))[:, 0]
-            ce = (1 - eps) * (lse - lg[:, 0]) + eps * (lse - lg.mean(axis=1))
-            hit = (lg.argmax(axis=1) == 0).astype(np.float64)
-            yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "hit": hit, "loss": ce})
-
-    x = df.select(F.col("row_id"), F.col(q).cast("array<double>").alias("_q"), F.col(k).cast("array<double>").alias("_k"))
-    return x.mapInPandas(fn, "row_id long, hit double, loss double")
+    Query rows meet the queue in blocks of ``BLOCK_ROWS`` with one matmul
+    each; blocks are combined by maximum and sum. Nothing reaches the driver
+    and the queue may have any size."""
+    src = df.select(F.lit(0).alias("_b"), F.col("row_id").cast("long").alias("r"), F.col(q).cast("array<double>").alias("_q"),
+                    F.col(k).cast("array<double>").alias("_k"))
+    bank = queue.select(F.lit(0).alias("_b"), F.monotonically_increasing_id().alias("r"), F.col(qvec).cast("array<double>").alias("_v"))
+    qs = _blocks(src, ["_b"], [F.col("r"), F.col("_q").alias("v")], "qs")
+    ks = _blocks(bank, ["_b"], [F.col("_v").alias("v"), F.lit(-1).cast("long").alias("r")], "ks")
+    parts = qs.select("_b", "qs").join(ks.select(F.col("_b").alias("_kb"), "ks"), F.col("_b") == F.col("_kb")).drop("_kb")
+    parts = parts.mapInPandas(_score_blocks(temperature), "_b int, _r long, m double, e double, t double, n long, best long, own double")
+    own = src.select(F.col("r").alias("_r"), (ar.dot("_q", "_k") / temperature).alias("s"))
+    first = own.select(F.lit(0).alias("_b"), "_r", F.col("s").alias("m"), F.lit(1.0).alias("e"), F.col("s").alias("t"),
+                       F.lit(1).cast("long").alias("n"), F.lit(-2).cast("long").alias("best"), F.col("s").alias("own"))
+    x = _combine(parts.unionByName(first), ["_r"])
+    ce = (1 - label_smoothing) * (F.col("_lse") - F.col("_own")) + label_smoothing * (F.col("_lse") - F.col("_mean"))
+    return x.select(F.col("_r").alias("row_id"), (F.col("_best") == -2).cast("double").alias("hit"), ce.alias("loss"))
 
 
 def calibration_report(df: DataFrame, y: str, p: str, group: list[str] | None = None,

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions import text as tx
+from kestrel.functions.arrays import bind
 from kestrel.functions.hashing import hash_int, order_key, uniform
 from kestrel.operators.ordering import dense_index, prefix_sums
-from kestrel.session import bounded, materialize
+from kestrel.session import join_null_safe, materialize
 
-MAX_BROADCAST_ROWS = 1_000_000
 
 
 def _c(x) -> Column:
@@ -56,7 +56,7 @@ def schedule_join(rows: DataFrame, order_cols: list, temps: DataFrame, batch: in
         raise ValueError(f"schedule mismatch: {n} rows, batch {batch}, {n_t} temperatures")
     idx = dense_index(rows, order_cols, out="_i")
     idx = idx.withColumn(t_index, (F.col("_i") / batch).cast("long")).drop("_i")
-    t = F.broadcast(temps) if bounded(temps, MAX_BROADCAST_ROWS) else temps
+    t = temps
     return idx.join(t, t_index)
 
 
@@ -157,12 +157,17 @@ def augment_tokens(tokens, mode: str, p: float, seed, key, mask_id: int = 0,
         return F.transform(t, lambda x, i: F.when(u(i) > p, x).otherwise(
             (F.lit(min_id) + hash_int(f"aug-r-{seed}", key, i) % span).cast("int")))
     if mode == "shuffle":
-        sel = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: u(i) < p)
-        vals = F.transform(F.array_sort(F.transform(sel, lambda i: F.struct(
-            uniform(f"aug-s-{seed}", key, i).alias("h"), i.alias("i"), F.element_at(t, i + 1).alias("v")))),
-            lambda s: s["v"])
-        return F.when(F.size(t) == 0, t).otherwise(F.transform(
-            t, lambda x, i: F.when(u(i) < p, F.element_at(vals, F.array_position(sel, i).cast("int"))).otherwise(x)))
+        at = F.transform(t, lambda x, i: F.struct(i.alias("i"), x.alias("v"), (u(i) < p).alias("s")))
+
+        def shuffled(rows):
+            chosen = F.filter(rows, lambda r: r["s"])
+            mixed = F.array_sort(F.transform(chosen, lambda r: F.struct(
+                uniform(f"aug-s-{seed}", key, r["i"]).alias("h"), r["i"].alias("i"), r["v"].alias("v"))))
+            moved = F.zip_with(chosen, mixed, lambda r, m: F.struct(r["i"].alias("i"), m["v"].alias("v")))
+            stay = F.transform(F.filter(rows, lambda r: ~r["s"]), lambda r: F.struct(r["i"].alias("i"), r["v"].alias("v")))
+            return F.transform(F.array_sort(F.concat(moved, stay)), lambda r: r["v"])
+
+        return bind(at, shuffled)
     return t
 
 
@@ -176,7 +181,7 @@ def pad_with_mask(df: DataFrame, tokens: str, batch: str, side: str = "right",
     batch is never one task) joined back — broadcast when the batch table is
     small (checked)."""
     widths = df.groupBy(batch).agg(F.max(F.size(tokens)).alias("_max"))
-    x = df.join(F.broadcast(widths) if bounded(widths, MAX_BROADCAST_ROWS) else widths, batch)
+    x = join_null_safe(df, widths, [batch])
     pad = F.array_repeat(F.lit(pad_id), F.col("_max") - F.size(tokens))
     ones = F.array_repeat(F.lit(1), F.size(tokens))
     zeros = F.array_repeat(F.lit(0), F.col("_max") - F.size(tokens))
@@ -202,32 +207,30 @@ def mixture_sample(df: DataFrame, dataset: str, key: str, coeff: float, n_draws:
                    seed: int = 0) -> DataFrame:
     """With replacement: draw a dataset by p_d, then a uniform row of it.
 
-    The per-dataset table is bounded metadata (one row per dataset); each
-    draw finds its dataset by counting cumulative bounds below its uniform,
-    then an equi-join on (dataset, row index) fetches the row.
+    Each dataset owns an interval of [0, 1); intervals are cut at the borders
+    of as many equal cells as there are datasets, so a draw finds its dataset
+    by an equi-join on the cell and a comparison, and its row by an equi-join
+    on (dataset, row index). Rows without dataset are a dataset of their own.
     """
     spark = df.sparkSession
+    up_to = Window.orderBy(dataset)  # one row per dataset
     table = mixture_probs(df, dataset, coeff)
-    if not bounded(table, MAX_BROADCAST_ROWS):
-        raise ValueError("too many datasets for an in-plan probability table")
-    probs = table.orderBy(dataset).collect()
-    names = [r[dataset] for r in probs]
-    sizes = [int(r["n"]) for r in probs]
-    cum, acc = [], 0.0
-    for r in probs[:-1]:
-        acc += float(r["prob"])
-        cum.append(acc)
-    draws = spark.range(n_draws).withColumnRenamed("id", "draw_id")
+    table = (table.withColumn("_hi", F.sum("prob").over(up_to.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("_lo", F.coalesce(F.lag("_hi").over(up_to), F.lit(0.0)))
+             .withColumn("_cells", F.count(F.lit(1)).over(Window.partitionBy()))
+             .withColumn("_hi", F.when(F.lead("_hi").over(up_to).isNotNull(), F.col("_hi"))))  # the last one has no end
+    last = F.least(F.floor(F.coalesce("_hi", F.lit(1.0)) * F.col("_cells")), F.col("_cells") - 1)
+    table = materialize(table.withColumn("_cell", F.explode(F.sequence(F.least(F.floor(F.col("_lo") * F.col("_cells")), last), last))))
+    cells = table.select(F.max("_cells")).first()[0] or 1
     u1 = uniform(f"mix-d-{seed}", F.col("draw_id"))
-    di = F.size(F.filter(F.array(*[F.lit(c) for c in cum]), lambda c: c <= u1)) if cum else F.lit(0)
-    draws = draws.withColumn("_di", di)
-    name_arr = F.array(*[F.lit(x) for x in names])
-    size_arr = F.array(*[F.lit(x) for x in sizes])
-    draws = draws.select("draw_id", F.element_at(name_arr, F.col("_di") + 1).alias(dataset),
-                         F.floor(uniform(f"mix-r-{seed}", F.col("draw_id")) * F.element_at(size_arr, F.col("_di") + 1))
-                         .cast("long").alias("_ri"))
+    draws = (spark.range(n_draws).withColumnRenamed("id", "draw_id").withColumn("_u", u1)
+             .withColumn("_cell", F.floor(F.col("_u") * cells)))
+    hit = draws.join(table.select("_cell", F.col(dataset).alias("_name"), "n", "_lo", "_hi"), "_cell").where(
+        (F.col("_u") >= F.col("_lo")) & (F.col("_hi").isNull() | (F.col("_u") < F.col("_hi"))))
+    picked = hit.select("draw_id", F.col("_name").alias(dataset),
+                        F.floor(uniform(f"mix-r-{seed}", F.col("draw_id")) * F.col("n")).cast("long").alias("_ri"))
     indexed = dense_index(df, [F.col(key)], group_cols=[dataset], out="_ri")
-    return draws.join(indexed, [dataset, "_ri"]).drop("_ri")
+    return join_null_safe(picked, indexed, [dataset, "_ri"]).drop("_ri")
 
 
 # H15 -----------------------------------------------------------------------------
@@ -238,12 +241,14 @@ def _passage(c) -> Column:
 
 def pick_contrast(df: DataFrame, qid: str, n_neg: int, hard_ratio: float, hard_min: int = 0,
                   training: bool = True, seed: int = 0) -> DataFrame:
-    """(query, gold, negatives[]) per example.
+    """(query, gold, negatives[]) per example; missing lists are empty.
 
     Training: a random gold; n_hard = #(u_j < ratio, j < n_neg) capped by the
     hard negatives past ``hard_min``; the rest random negatives, capped.
     Eval: first gold, first negative."""
-    pos, neg, hard = F.col("positive_ctxs"), F.col("negative_ctxs"), F.col("hard_negative_ctxs")
+    kind = df.schema["hard_negative_ctxs"].dataType
+    neg, hard = (F.coalesce(c, F.array().cast(kind)) for c in ("negative_ctxs", "hard_negative_ctxs"))
+    pos = F.col("positive_ctxs")
     if not training:
         negs = F.when(F.size(neg) > 0, F.array(_passage(F.element_at(neg, 1)))).otherwise(F.array().cast("array<string>"))
         return df.select(qid, F.col("question").alias("query"), _passage(F.element_at(pos, 1)).alias("gold"),
@@ -262,7 +267,7 @@ def pick_contrast(df: DataFrame, qid: str, n_neg: int, hard_ratio: float, hard_m
         return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda s: s["p"])
 
     x = df.select(qid, "question", F.element_at(pos, g_idx + 1).alias("_g"), n_hard.alias("n_hard"),
-                  n_rand.alias("n_rand"), neg, hard_pool.alias("_hp"))
+                  n_rand.alias("n_rand"), neg.alias("negative_ctxs"), hard_pool.alias("_hp"))
     negs = F.concat(sample(F.col("negative_ctxs"), F.col("n_rand"), "rneg"), sample(F.col("_hp"), F.col("n_hard"), "hneg"))
     return x.select(qid, F.col("question").alias("query"), _passage(F.col("_g")).alias("gold"),
                     negs.alias("negatives"), "n_hard", "n_rand")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions import text as tx
+from kestrel.functions.arrays import bind
 from kestrel.operators.ordering import top_k_per_group
 
 
@@ -38,8 +39,8 @@ def joined_tokens(col) -> Column:
 def has_answer_expr(text, answers) -> Column:
     """Token-sublist match on already-canonical columns (pure JVM)."""
     t = _c(text)
-    hay = joined_tokens(t)
-    hit = F.exists(_c(answers), lambda ans: (F.size(tx.word_tokens(ans)) == 0) | hay.contains(joined_tokens(ans)))
+    hit = bind(joined_tokens(t), lambda hay: F.exists(
+        _c(answers), lambda ans: (F.size(tx.word_tokens(ans)) == 0) | hay.contains(joined_tokens(ans))))
     return F.when(t.isNull(), F.lit(False)).otherwise(F.coalesce(hit, F.lit(False)))
 
 

@@ -2,14 +2,12 @@
 
 The reference trains small heads on one GPU; here the probe is a Spark ML
 multinomial logistic regression (a linear probe — a stated simplification
-of its MLP head) and temperature scaling is Newton's method on log T where
-every step is one aggregate over the data (only scalars reach the driver).
+of its MLP head) and temperature scaling is a guarded Newton search on 1/T
+where every step is one aggregate over the data (only scalars reach the driver).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +57,7 @@ def _nll_terms(df: DataFrame, logits: str, label: str, a: float):
     z = F.col(logits).cast("array<double>")
     w = F.transform(z, lambda v: v * F.lit(a))
     lse = ar.logsumexp(w)
-    p = F.transform(w, lambda v: F.exp(v - lse))
+    p = ar.bind(lse, lambda top: F.transform(w, lambda v: F.exp(v - top)))
     ez = F.aggregate(F.zip_with(p, z, lambda pi, zi: pi * zi), F.lit(0.0).cast("double"), lambda s, v: s + v)
     ez2 = F.aggregate(F.zip_with(p, z, lambda pi, zi: pi * zi * zi), F.lit(0.0).cast("double"), lambda s, v: s + v)
     zy = F.element_at(z, F.col(label).cast("int") + 1)
@@ -71,24 +69,41 @@ def nll_at(df: DataFrame, logits: str, label: str, temperature: float) -> float:
 
 
 def fit_temperature(df: DataFrame, logits: str, label: str, tol: float = 1e-8,
-                    max_iter: int = 50) -> dict:
-    """Scalar T minimising mean NLL of softmax(logits / T), starting at T = 1.
-
-    Newton on s = log T (a = e^{-s}): dL/ds = −a·g, d²L/ds² = a²·h + a·g."""
-    s = 0.0
-    it = 0
-    nll0 = None
-    for it in range(1, max_iter + 1):
-        a = math.exp(-s)
+                    max_iter: int = 60, least: float = 1e-6, most: float = 1e6) -> dict:
+    """Scalar T minimising mean NLL of softmax(logits / T).
+
+    The mean NLL is convex in a = 1/T. Its slope is bracketed from a = 1 by
+    doubling or halving; inside the bracket Newton steps on a are taken where
+    they stay in it, bisection otherwise. Each evaluation is one aggregate.
+    ``converged`` is false if the minimum lies outside [least, most]."""
+    def at(a: float):
         r = _nll_terms(df, logits, label, a).agg(F.avg("nll"), F.avg("g"), F.avg("h")).first()
-        if nll0 is None:
-            nll0 = float(r[0])
-        g, h = float(r[1]), float(r[2])
-        grad = -a * g
-        hess = a * a * h + a * g
-        step = grad / hess if hess > 1e-12 else grad
-        s -= step
-        if abs(step) < tol:
-            break
-    t = math.exp(s)
-    return {"temperature": t, "nll_before": nll0, "nll_after": nll_at(df, logits, label, t), "iterations": it}
+        return tuple(float(x) for x in r)
+
+    nll0, g, h = at(1.0)
+    a, n, nll = 1.0, 1, nll0
+    low, high = (1.0, None) if g < 0 else (None, 1.0)
+    while (low is None or high is None) and g != 0 and least < a < most:
+        a = a * 2 if high is None else a / 2
+        nll, g, h = at(a)
+        n += 1
+        if g < 0:
+            low = a
+        else:
+            high = a
+    # (a slope that vanished with the curvature has run into the limits of doubles)
+    converged = h > 1e-12 and (g == 0 or (low is not None and high is not None))
+    if converged and g != 0:
+        for _ in range(max_iter):
+            step = a - g / h if h > 0 else low
+            nxt = step if low < step < high else (low + high) / 2
+            if abs(nxt - a) <= tol * a:
+                break
+            a = nxt
+            nll, g, h = at(a)
+            n += 1
+            if g < 0:
+                low = a
+            else:
+                high = a
+    return {"temperature": 1 / a, "nll_before": nll0, "nll_after": nll, "iterations": n, "converged": converged}

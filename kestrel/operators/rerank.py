@@ -108,22 +108,22 @@ def ensemble_class_prob(attempts: DataFrame, probs: str = "probs", keys: list[st
 def threshold_stop_waves(candidates: DataFrame, score, threshold: float = 1.0, top_k: int = 20,
                          by: str = "c", key: str = "qid") -> DataFrame:
     """Threshold stop when scoring is the costly step: score rank 0 for every
-    question, then rank r only for questions still open (``left_semi`` on the
-    open set, which drops those whose prob reached the threshold). At most
+    question, then rank r only for questions still open (``left_anti`` on
+    those whose prob reached the threshold). At most
     ``top_k`` waves; each wave's scores are written to the checkpoint folder
-    so lineage stays one wave deep. ``score(df)`` adds ``c`` and ``prob``.
-    Same answer as ``threshold_stop`` over fully scored attempts."""
+    so lineage stays one wave deep. ``score(df)`` adds ``c`` and ``prob``. A
+    question leaves only once a prob reached the threshold: missing ranks and
+    null probs keep it open. Same answer as ``threshold_stop`` over fully
+    scored attempts."""
     from kestrel.session import materialize
 
     scored = None
-    open_q = None
-    for r in range(top_k):
+    ranks = candidates.where(F.col("rank") < top_k).agg(F.max("rank")).first()[0]
+    for r in range((-1 if ranks is None else ranks) + 1):
         wave = candidates.where(F.col("rank") == r)
-        if open_q is not None:
-            wave = wave.join(open_q, key, "left_semi")
+        if scored is not None:
+            finished = scored.where(F.col("prob") >= threshold).select(F.col(key).alias("_done"))
+            wave = wave.join(finished, F.col(key).eqNullSafe(F.col("_done")), "left_anti")
         s = materialize(score(wave))
         scored = s if scored is None else scored.unionByName(s)
-        open_q = s.where(F.col("prob") < threshold).select(key)
-        if open_q.limit(1).count() == 0:
-            break
-    return select_best(scored, by, key)
+    return select_best(score(candidates.where(F.lit(False))) if scored is None else scored, by, key)

@@ -309,12 +309,12 @@ def f5(spark, d):
         .select(r6("temperature").alias("temperature"), F.col("k").cast("int").alias("k"), "n", r6("value").alias("value"))
 
 
-# per-position distributions from embeddings (4 positions per row)
+# per-position distributions from the halves of embeddings (4 positions per row)
 def div_table(spark, d):
     e = fx.table(spark, d, "embeddings")
     return e.select((F.col("vec_id") / 4).cast("long").alias("row_id"), "vec_id",
-                    ar.softmax(F.slice("embedding", 1, 8)).alias("p"),
-                    ar.softmax(F.slice("embedding", 9, 8)).alias("ref"),
+                    ar.softmax(F.slice("embedding", 1, 32)).alias("p"),
+                    ar.softmax(F.slice("embedding", 33, 32)).alias("ref"),
                     F.when(F.col("label") == 0, F.lit(-100)).otherwise(F.col("label")).alias("lab"))
 
 
@@ -323,8 +323,8 @@ def _kl_sql(a, b):
 
 
 register("fx_div", [], f"""SELECT CAST(floor(vec_id / 4) AS BIGINT) AS row_id, vec_id,
-  {SOFTMAX_SQL.format(l='CAST(list_slice(embedding, 1, 8) AS DOUBLE[])')} AS p,
-  {SOFTMAX_SQL.format(l='CAST(list_slice(embedding, 9, 16) AS DOUBLE[])')} AS ref,
+  {SOFTMAX_SQL.format(l='CAST(list_slice(embedding, 1, 32) AS DOUBLE[])')} AS p,
+  {SOFTMAX_SQL.format(l='CAST(list_slice(embedding, 33, 64) AS DOUBLE[])')} AS ref,
   CASE WHEN label = 0 THEN -100 ELSE label END AS lab FROM embeddings""")
 register("fx_div2", ["fx_div"], f"""SELECT *, list_transform(list_zip(p, ref), lambda z: (z[1] + z[2]) / 2) AS mix FROM fx_div""")
 
@@ -338,18 +338,8 @@ SELECT kind, round(avg(v), 6) AS value FROM (
   SELECT 'jsd', row_id, sum(CASE WHEN lab <> -100 THEN ({_kl_sql('p', 'mix')} + {_kl_sql('ref', 'mix')}) / 2 ELSE 0 END)
   FROM fx_div2 GROUP BY row_id) GROUP BY kind""", "fx_div2"))
 def f6(spark, d):
-    t = div_table(spark, d)
-    out = None
-    for kind in ["reverse_kl", "forward_kl", "jsd"]:
-        r = cal_divergence(t, kind)
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
-def cal_divergence(t, kind):
-    v = F.when(F.col("lab") != -100, ar.divergence("p", "ref", kind)).otherwise(0.0)
-    per_row = t.groupBy("row_id").agg(F.sum(v).alias("v"))
-    return per_row.agg(r6(F.avg("v")).alias("value")).select(F.lit(kind).alias("kind"), "value")
+    r = cal.divergence(div_table(spark, d), "row_id", "p", "ref", "lab")
+    return r.select("kind", r6("value").alias("value"))
 
 
 @query("f7_apply_temperature", sql("""

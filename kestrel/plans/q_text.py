@@ -152,15 +152,14 @@ def b14(spark, d):
                      tx.grade_substring(F.col("answer"), F.col("c.text")).alias("correct"))
 
 
-WORD = r"^\p{L}+$"
-
-
 @query("b15_parse_list", sql(f"""SELECT item_id AS qid, CAST(len(w) AS INTEGER) AS n, array_to_string(w, '|') AS items FROM (
-  SELECT item_id, list_filter({toks('text', False)}, lambda t: regexp_matches(t, '{WORD}')) AS w FROM benchmark)"""))
+  SELECT item_id, {toks('text', False)} AS w FROM benchmark)"""))
 def b15(spark, d):
+    """Every token of the text, in single and double quotes by turns."""
     b = fx.table(spark, d, "benchmark")
-    words = F.filter(tx.word_tokens("text", lower=False), lambda t: t.rlike(WORD))
-    lit = F.concat(F.lit("['"), F.array_join(words, "', '"), F.lit("']"))
+    item = lambda t, i: F.when(i % 2 == 0, F.concat(F.lit("'"), F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+                               ).otherwise(F.concat(F.lit('"'), F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
+    lit = F.concat(F.lit("["), F.array_join(F.transform(tx.word_tokens("text", lower=False), item), ", "), F.lit("]"))
     parsed = tx.parse_list(lit)
     return b.select(F.col("item_id").alias("qid"), F.size(parsed).alias("n"), F.array_join(parsed, "|").alias("items"))
 
@@ -202,10 +201,10 @@ JUDGE_TPL = "Question: <question>\nGold: <ground-truth>\nPredictions:\n<predicti
 @query("b19_judge_prompt", sql(f"""SELECT qid, md5(replace(replace(replace({lit_sql(JUDGE_TPL)}, '<predictions>', preds), '<question>', q), '<ground-truth>', answer)) AS prompt_md5
 FROM (SELECT c.qid, first(q.q) AS q, first(q.answer) AS answer,
              string_agg(CAST(c.rank + 1 AS VARCHAR) || '. ' || c.title, chr(10) ORDER BY c.rank) AS preds
-      FROM fx_ctx c JOIN fx_queries q USING (qid) WHERE c.rank < 3 GROUP BY c.qid)""", "fx_ctx", "fx_queries"))
+      FROM fx_ctx c JOIN fx_queries q USING (qid) GROUP BY c.qid)""", "fx_ctx", "fx_queries"))
 def b19(spark, d):
     r = fx.retrievals(spark, d)
-    preds = F.transform(F.slice("contexts", 1, 3), lambda c: c["title"])
+    preds = F.transform("contexts", lambda c: c["title"])
     return r.select("qid", F.md5(tx.judge_prompt(JUDGE_TPL, preds, F.col("q"), F.col("answer"))).alias("prompt_md5"))
 
 
