@@ -9,19 +9,22 @@ k - least_shared + 1 retained values in any fixed order: classes are listed
 under these values only, rarest first. For sets of at most k shingles the
 sketch is the whole set and the bound is exact.
 
-Lists are not expanded into pairs. In every round each list compares a few
-hubs (one, then four times as many each round) with all its members of other
-components; survivors of the sketch estimate are verified on whole sets;
-links are merged; a hub has then met its whole list and leaves it. A list
-ends once its members are one component, so a group of near copies takes one
-or two rounds of linear work, and no pair that might link two components is
-left out.
+Lists are not expanded into pairs. Each list has a hub, the class with most
+common values (so lists of one group mostly have the same), and the classes of
+all lists with one hub are a star group. First every class is compared with
+its hubs only: linear work, which joins all but the outer members of a group
+of near copies into one component. Then the loose members, those still outside
+their hub's component, meet the members of their groups in blocks of bounded
+size inside tasks; a block pair sends on one link for each loose class and
+component at most. Two classes of a list are both in its hub's group, so no
+pair that might link two components is left out. Estimates come from the
+sketches; links are confirmed on whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ from kestrel.llm.components import star_components
 
 SKETCH = 64
 MISS = 1e-8
+BLOCK = 128  # classes of a block
 _WORDS_KEPT = 400_000
 _word_hash: dict[bytes, int] = {}
 
@@ -86,52 +90,91 @@ def _sketches(width: int, k: int):
     return run
 
 
-def _estimate(k: int, shared: int, percent: int):
-    """Pairs with both sketches to those worth verifying; ``sure`` if the
-    sketches are the whole sets and prove the link."""
+def _sets(width: int):
+    """(cid, n, text) to (cid, n, codes): the whole set as sorted bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, sure = [], []
-            cols = [batch.column(i) for i in range(6)]
-            na, nb = cols[2].to_numpy(), cols[3].to_numpy()
-            sa, sb = ([np.asarray(x.values) for x in c] for c in cols[4:6])
-            for i in range(len(na)):
-                a, b = sa[i], sb[i]
-                if na[i] <= k and nb[i] <= k:
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    ok = whole = 100 * both >= percent * (na[i] + nb[i] - both)
-                else:
-                    last = np.union1d(a, b)[:k][-1]
-                    both = np.intersect1d(a, b, assume_unique=True)
-                    ok, whole = np.searchsorted(both, last, "right") >= shared, False
-                if ok:
-                    keep.append(i)
-                    sure.append(bool(whole))
-            out = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
+            codes = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["cid", "n", "codes"])
     return run
 
 
-def _verify(width: int, percent: int):
-    """Pairs with both texts to those that are linked. Consecutive rows
-    mostly share the first text."""
+def _least_common(n: int, k: int, shared: int, percent: int) -> int:
+    """Values that the sketch of a set of n must have in common with that of
+    a partner: exact if all possible partners' sketches are whole sets."""
+    return -(-n * percent // 100) if n * 100 <= k * percent else shared
+
+
+def _linked(a: np.ndarray, b: np.ndarray, k: int, shared: int, percent: int) -> bool:
+    """The estimate from the k smallest values of the union, then the sets."""
+    x, y = a[:k], b[:k]
+    last = np.union1d(x, y)[:k][-1]
+    both = np.intersect1d(x, y, assume_unique=True)
+    if np.searchsorted(both, last, "right") < min(_least_common(len(a), k, shared, percent), _least_common(len(b), k, shared, percent)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _verify(k: int, shared: int, percent: int):
+    """Rows (hub, cid, hub's codes, codes) to the linked pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, first = None, None
         for batch in batches:
-            keep = []
-            a, ta, tb = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
-            for i, x in enumerate(a):
-                if x != seen:
-                    seen, first = x, shingle_set(ta[i].as_py(), width)
-                second = shingle_set(tb[i].as_py(), width)
-                both = len(np.intersect1d(first, second, assume_unique=True))
-                if 100 * both >= percent * (len(first) + len(second) - both):
-                    keep.append(i)
+            keep = [i for i in range(batch.num_rows) if _linked(
+                np.frombuffer(batch.column(2)[i].as_buffer(), np.int64), np.frombuffer(batch.column(3)[i].as_buffer(), np.int64), k, shared, percent)]
             out = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], ["a", "b"])
     return run
 
 
+class _Block:
+    """Sets of a block, to be counted against one set at a time."""
+
+    def __init__(self, members: list[dict], k: int):
+        self.cid = np.array([m["cid"] for m in members], np.int64)
+        self.comp = np.array([m["comp"] for m in members], np.int64)
+        sets = [np.frombuffer(m["codes"], np.int64) for m in members]
+        self.sets, self.size = sets, np.array([len(x) for x in sets])
+        self.whole, self.short = self._index(sets), self._index([x[:k] for x in sets])
+
+    def _index(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(values, kind="stable")
+        return values[order], owner[order]
+
+    def shared(self, index: tuple[np.ndarray, np.ndarray], a: np.ndarray) -> np.ndarray:
+        """How many values of ``a`` each set of the block has."""
+        values, owner = index
+        lo, hi = np.searchsorted(values, a, "left"), np.searchsorted(values, a, "right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        return np.bincount(owner[at], minlength=len(self.sets))
+
+
+def _compare(k: int, shared: int, percent: int):
+    """Rows (loose block, member block) to links between components: for each
+    loose class one of each component that it is linked with."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                loose, block = _Block(batch.column(0)[i].as_py(), k), _Block(batch.column(1)[i].as_py(), k)
+                for cid, comp, a in zip(loose.cid, loose.comp, loose.sets):
+                    fit = (block.comp != comp) & (100 * np.minimum(block.size, len(a)) >= percent * np.maximum(block.size, len(a)))
+                    if not fit.any():
+                        continue
+                    least = np.array([min(_least_common(len(a), k, shared, percent), _least_common(n, k, shared, percent)) for n in block.size])
+                    fit &= block.shared(block.short, a[:k]) >= least
+                    if not fit.any():
+                        continue
+                    both = block.shared(block.whole, a)
+                    fit &= 100 * both >= percent * (block.size + len(a) - both)
+                    _, first = np.unique(block.comp[fit], return_index=True)
+                    out.extend((int(cid), int(x)) for x in block.cid[fit][first])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+    return run
+
+
 def _prefix_lists(classes: DataFrame, k: int, shared: int, percent: int) -> DataFrame:
     """(v, cid, n, common): classes under the rarest of their retained values
     that a partner must share one of; values of two classes or more."""
@@ -168,86 +211,54 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, k: int = S
                        .mapInArrow(_sketches(width, k), "doc bigint, rk bigint, n bigint, cid bigint, sketch array<bigint>"))
     classes = rows.where("n > 0").select("cid", "n", "sketch").dropDuplicates(["cid"])
     lists = materialize(_prefix_lists(classes, k, shared, percent))
-    longer = lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
-    live = materialize(lists.join(longer, "v").select("v", "cid", "n", "common", F.col("cid").alias("comp")))
-    drop_table(lists)
-    parts = materialize(_members(df, rows, live, id_col, text_col))
-    links, hubs = [], 1
-    while True:
-        live, found, pairs = _round(live, parts, hubs, width, percent, k, shared)
-        if pairs == 0:
-            break
-        if found is not None:
-            links.append(found)
-            roots = materialize(star_components(_union([x.select("a", "b") for x in links])))
-            new = materialize(live.join(roots, live["cid"] == roots["node"], "left")
-                              .select("v", "cid", "n", "common", F.coalesce("root", "cid").alias("comp")))
-            drop_table(live)
-            live = new
-            links = [roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))]
-        hubs *= 4
+    hubs = (lists.groupBy("v").agg(F.max(F.struct("common", F.bitwise_not("cid").alias("low"), "n")).alias("top"), F.count("*").alias("c"))
+            .where("c > 1").select("v", F.bitwise_not("top.low").alias("hub"), F.col("top.n").alias("hub_n")))
+    group = materialize(lists.join(hubs, "v").where("hub <> cid").select("hub", "cid", "n", "hub_n").distinct())
+    parts = materialize(_members(df, rows, group, width, id_col, text_col))
+    sets = parts.select("cid", "codes")
+    fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    stars = (group.where(fits).select("hub", "cid").join(sets, "cid")
+             .join(sets.select(F.col("cid").alias("hub"), F.col("codes").alias("hub_codes")), "hub").select("hub", "cid", "hub_codes", "codes"))
+    links = materialize(stars.mapInArrow(_verify(k, shared, percent), "a bigint, b bigint"))
+    first = materialize(star_components(links))
+    late = materialize(_loose_links(group, sets, first, k, shared, percent))
+    roots = star_components(links.unionByName(late))
     ids = rows.select("doc", "rk", F.col("n").alias("n_shingles"), "cid")
-    if links:
-        roots = links[0].select(F.col("a").alias("node"), F.col("b").alias("root"))
-        ids = ids.join(roots, ids["cid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cid"))
-    else:
-        ids = ids.withColumn("root", F.col("cid"))
+    ids = ids.join(roots, ids["cid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cid"))
     least = ids.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"))
     out = ids.join(least.withColumnRenamed("root", "own"), F.col("root") == F.col("own"), "left")
     component = F.when(F.col("cid").isNull(), F.col("doc")).otherwise(F.col("least"))
     return out.select("doc", "rk", "n_shingles", component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))
 
 
-def _members(df: DataFrame, rows: DataFrame, live: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cid, n, sketch, text) of the classes in lists, one row each."""
-    wanted = live.select("cid").distinct()
-    one = (rows.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("doc", "rk", "n", "sketch")).alias("one"))
+def _members(df: DataFrame, rows: DataFrame, group: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(cid, n, codes) of the classes in groups, one row each."""
+    wanted = group.select("cid").unionByName(group.select(F.col("hub").alias("cid"))).distinct()
+    one = (rows.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("doc", "rk", "n")).alias("one"))
            .select("cid", "one.*"))
     text = df.select(F.col(id_col).cast("bigint").alias("d"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    got = one.join(text, F.col("doc").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("k")))
-    return got.select("cid", "n", "sketch", F.when(F.col("n") > 0, F.col("text")).alias("text")).dropDuplicates(["cid"])
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def _round(live: DataFrame, parts: DataFrame, hubs: int, width: int, percent: int, k: int, shared: int):
-    """Compare each open list's hubs with its members of other components.
-    Returns the lists without these hubs, the links found (or None) and the
-    number of pairs met (0: nothing was open)."""
-    together = Window.partitionBy("v", "comp")
-    open_ = live.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v")
-    # hubs come from the list's smallest components, those with most common values first
-    order = Window.partitionBy("v").orderBy("size", F.desc("common"), "cid")
-    ranked = materialize(live.join(open_, "v").withColumn("size", F.count("*").over(together))
-                         .withColumn("place", F.row_number().over(order)).drop("size"))
-    if ranked.isEmpty():
-        return live, None, 0
-    hub = ranked.where(F.col("place") <= hubs).select("v", F.col("cid").alias("hub"), F.col("n").alias("hn"), F.col("comp").alias("hc"),
-                                                      F.col("place").alias("hp"))
-    fits = 100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")
-    pairs = materialize(ranked.join(hub, "v").where((F.col("comp") != F.col("hc")) & (F.col("place") > F.col("hp")) & fits)
-                        .select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct())
-    side = parts.select("cid", "n", "sketch")
-    both = (pairs.join(side.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-            .join(side.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-            .select("a", "b", "na", "nb", "sa", "sb"))
-    likely = materialize(both.mapInArrow(_estimate(k, shared, percent), "a bigint, b bigint, sure boolean"))
-    text = parts.select("cid", "text")
-    check = (likely.where("not sure").select("a", "b")
-             .join(text.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
-             .join(text.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb"))
-    linked = materialize(check.mapInArrow(_verify(width, percent), "a bigint, b bigint")
-                         .unionByName(likely.where("sure").select("a", "b")))
-    rest = materialize(ranked.where(F.col("place") > hubs).drop("place"))
-    for t in (ranked, pairs, likely):
-        drop_table(t)
-    drop_table(live)
-    return rest, None if linked.isEmpty() else linked, 1
+    got = one.join(text, F.col("doc").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("k"))).select("cid", "n", "text")
+    return got.mapInArrow(_sets(width), "cid bigint, n bigint, codes binary").dropDuplicates(["cid"])
+
+
+def _loose_links(group: DataFrame, sets: DataFrame, roots: DataFrame, k: int, shared: int, percent: int) -> DataFrame:
+    """Links of the members that are outside their hub's component with the
+    other members of their groups."""
+    root = roots.select("node", "root")
+    at = (group.select("hub", "cid").join(root, group["cid"] == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cid"))
+          .select("hub", "cid", "comp"))
+    of_hub = root.select(F.col("node").alias("h"), F.col("root").alias("hub_root"))
+    at = materialize(at.join(of_hub, F.col("hub") == F.col("h"), "left")
+                     .select("hub", "cid", "comp", (F.col("comp") != F.coalesce("hub_root", "hub")).alias("loose")))
+    size = at.groupBy("hub").agg(F.count("*").alias("m"), F.count(F.when(F.col("loose"), 1)).alias("l")).where("l > 0 and m > 1")
+    blocks = [F.ceil(F.col(c) / BLOCK) for c in ("m", "l")]
+    deal = [F.pmod(F.xxhash64("cid"), b).alias(name) for b, name in zip(blocks, ("mb", "lb"))]
+    dealt = at.join(size, "hub").select("hub", "cid", "comp", "loose", *deal).join(sets, "cid")
+    one = F.struct("cid", "comp", "codes")
+    members = dealt.groupBy("hub", "mb").agg(F.collect_list(one).alias("members"))
+    loose = dealt.where("loose").groupBy(F.col("hub").alias("lhub"), "lb").agg(F.collect_list(one).alias("loose_members"))
+    return (members.join(loose, F.col("hub") == F.col("lhub")).select("loose_members", "members")
+            .mapInArrow(_compare(k, shared, percent), "a bigint, b bigint").distinct())
 
 
 def drop_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
