@@ -164,14 +164,15 @@ def map_kept(df: DataFrame, fn: Callable[[str, int, int], tuple], out_schema: st
              text_col: str = "text") -> DataFrame:
     """``keep_cols`` of every row of ``df`` plus ``fn`` (kept text, lines,
     dropped lines) as the columns of ``out_schema``."""
-    marks = keep_bitmaps(df, min_docs, min_key_chars, id_col, text_col)
-    text, rk, keep = "text__", "rk__", "keep__"
-    src = df.select(*keep_cols, F.col(text_col).alias(text), F.col(id_col).cast("bigint").alias("doc__"),
+    used = list(keep_cols)
+    for base in ("text", "rk", "doc", "m_doc", "m_has", "m_rk", "keep"):
+        used.append(fresh(used, base))
+    text, rk, doc, m_doc, m_has, m_rk, keep = used[len(keep_cols):]
+    marks = keep_bitmaps(df, min_docs, min_key_chars, id_col, text_col).toDF(m_doc, m_has, m_rk, keep)
+    src = df.select(*keep_cols, F.col(text_col).alias(text), F.col(id_col).cast("bigint").alias(doc),
                     row_key(id_col, text_col).alias(rk))
-    joined = src.hint("shuffle_hash").join(
-        marks.hint("shuffle_hash"),
-        (F.coalesce(F.col("doc__"), F.lit(0)) == F.col("doc")) & (F.col("doc__").isNotNull() == F.col("has_doc"))
-        & (F.col(rk) == F.col("rk")), "left").select(*[f"`{c}`" for c in keep_cols], text, F.col("keep").alias(keep))
+    same = ((F.coalesce(F.col(doc), F.lit(0)) == F.col(m_doc)) & (F.col(doc).isNotNull() == F.col(m_has)) & (F.col(rk) == F.col(m_rk)))
+    joined = src.hint("shuffle_hash").join(marks.hint("shuffle_hash"), same, "left").select(*keep_cols, text, keep)
     kept = joined.select(*keep_cols).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), out_schema])
     k = len(keep_cols)
