@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,7 +28,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_spark(f"local[{cpus}]", int(cpus) * 2, app="kestrel-bench",
-                      extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
+                      extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g"),
+                             "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='kestrel-bench-')}"})
 
     from kestrel.operators import calibration as cal
     from kestrel.operators import datasets as ds
@@ -49,9 +51,9 @@ def main() -> None:
             fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), F.col("vec_id").alias("qid"), "embedding"),
             fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), F.col("vec_id").alias("qid"), "embedding"),
             k=40, exclude_self=True),
-        # answer containment for every retrieved (question, passage) pair
+        # retrieval at depth 20, then answer containment for every retrieved pair
         "has_answer": lambda: hits(spark, sf_dir),
-        # nDCG/MAP/recall/precision/MRR/hole at 1,3,5,10
+        # retrieval (for the run and for the judgments), then nDCG/MAP/recall/precision/MRR/hole at 1,3,5,10
         "ir_metrics": lambda: ev.ir_metrics(fx.run(spark, sf_dir).select("qid", "pid", "score"),
                                             qrels(spark, sf_dir), [1, 3, 5, 10]),
         # AUROC / ACC / ECE / Brier / NLL / abstain per dataset

@@ -25,14 +25,22 @@ def probe_features(features: str, temperature: str | None = None, fourier_k: int
 
 
 def fit_probe(df: DataFrame, features: str, label: str, weight: str | None = None,
-              max_iter: int = 100, reg: float = 0.0, temperature: str | None = None, fourier_k: int = 6):
+              max_iter: int = 100, reg: float = 0.0, temperature: str | None = None, fourier_k: int = 6,
+              hidden: list[int] | None = None, seed: int = 0):
     """Multinomial logistic regression probe (2 or 11 classes). ``weight``
-    takes class weights (G13) or soft-label row weights (H7)."""
-    from pyspark.ml.classification import LogisticRegression
+    takes class weights (G13) or soft-label row weights (H7). With ``hidden``
+    (sizes of hidden layers, may be empty) a multilayer perceptron."""
+    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
     from pyspark.ml.functions import array_to_vector
 
     x = df.withColumn("_f", array_to_vector(probe_features(features, temperature, fourier_k))) \
         .withColumn("_y", F.col(label).cast("double"))
+    if hidden is not None:
+        if weight:
+            raise ValueError("the multilayer probe takes no row weights; repeat rows instead")
+        sizes = x.select(F.max(F.size(probe_features(features, temperature, fourier_k))).alias("d"), (F.max("_y") + 1).alias("c")).first()
+        layers = [int(sizes["d"]), *hidden, int(sizes["c"])]
+        return MultilayerPerceptronClassifier(featuresCol="_f", labelCol="_y", layers=layers, maxIter=max_iter, seed=seed).fit(x)
     lr = LogisticRegression(featuresCol="_f", labelCol="_y", family="multinomial",
                             maxIter=max_iter, regParam=reg)
     if weight:

@@ -153,3 +153,35 @@ def test_scalars_are_bound_once(spark):
     r = spark.range(1).select(ar.softmax(F.array(F.lit(1.0), F.lit(2.0))).alias("s"), ar.l2_normalize(F.array(F.lit(3.0), F.lit(4.0))).alias("n"),
                               ar.l2_normalize(F.array(F.lit(0.0))).alias("z")).first()
     assert r.s == pytest.approx([1 / (1 + math.e), math.e / (1 + math.e)]) and r.n == pytest.approx([0.6, 0.8]) and r.z is None
+
+
+def test_multilayer_probe_learns_what_a_linear_one_cannot(spark):
+    rng = np.random.default_rng(1)
+    x = rng.uniform(-1, 1, size=(400, 2))
+    df = spark.createDataFrame([(list(map(float, v)), int((v[0] > 0) != (v[1] > 0))) for v in x], "v array<double>, y int")
+    right = {}
+    for hidden in (None, [8]):
+        p = models.probe_predict(models.fit_probe(df, "v", "y", hidden=hidden, max_iter=200, seed=3), df, "v")
+        right[bool(hidden)] = p.agg(F.avg((F.col("pred") == F.col("y")).cast("double"))).first()[0]
+    assert right[True] > 0.9 > 0.7 > right[False]
+    with pytest.raises(ValueError):
+        models.fit_probe(df, "v", "y", weight="y", hidden=[4])
+
+
+@pytest.mark.parametrize("text, want", [
+    ("['a', \"it's\"]", ["a", "it's"]), ("[\"a\", 'b']", ["a", "b"]), ("['say \"x\"', 'b']", ['say "x"', "b"]),
+    ("['it\\'s']", ["it's"]), ("[]", []), ("['a'", None), ("__import__('os')", None), (None, None), ('["x", "y"]', ["x", "y"]),
+])
+def test_list_literals(spark, text, want):
+    from kestrel.functions import text as tx
+
+    got = spark.createDataFrame([(text,)], "c string").select(tx.parse_list("c").alias("x")).first().x
+    assert got == want
+
+
+def test_numbered_slots(spark):
+    from kestrel.functions import text as tx
+
+    df = spark.createDataFrame([(["p", "q"],)], "p array<string>")
+    r = df.select(tx.judge_prompt("1 <prediction1> 2 <prediction2> 10 <prediction10>|<predictions>", "p").alias("x")).first().x
+    assert r == "1 p 2 q 10 |1. p\n2. q"
