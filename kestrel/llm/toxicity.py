@@ -1,18 +1,21 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text is the set of its hashed terms: words, and word beginnings of four and
-five letters. Its score is sigmoid(b + Σ w_i x_i + Σ_{i<j} <v_i, v_j> x_i x_j):
-besides a weight, every term has a vector, and the inner products add what two
-terms mean together (an insult and the mention of a group, say), which a sum
-of weights cannot. The pair sum costs O(terms · factors).
+five letters. Of these the machine uses the ones whose presence goes with the
+label in the fitted rows (chi-square). Its score is
+sigmoid(b + Σ w_i + Σ_{i<j} <v_i, v_j>) over the text's used terms: besides a
+weight, every term has a vector, and the inner products add what two terms
+mean together (an insult and the mention of a group, say), which a sum of
+weights cannot. The pair sum costs O(terms · factors).
 
 The machine is fitted on a bounded sample of labelled rows (``FIT_ROWS`` of
 each class, by a hash of the id); scoring maps over all rows with the model
-(``BUCKETS`` · (1 + ``FACTORS``) floats) broadcast.
+(``BUCKETS`` places and ``USED_TERMS`` · (1 + ``FACTORS``) numbers) broadcast.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from zlib import crc32
@@ -27,74 +30,102 @@ from kestrel.llm.common import fresh
 BUCKETS = 1 << 18
 FACTORS = 8
 FIT_ROWS = 4_000  # of each class
-EPOCHS = 8
+USED_TERMS = 3_000  # at most, those with the highest chi-square
+LEAST_CHI_SQUARE = 20.0
+EPOCHS = 15
 THRESHOLD = 0.3
 _word = re.compile(r"[^\W_]+")
-_MEMORY = 300_000
-_buckets: dict[str, tuple[int, ...]] = {}
+_MEMORY = 400_000
+
+
+def token_terms(token: str) -> list[int]:
+    """Buckets of the terms of a lower-case token without white space."""
+    return [crc32(x.encode()) % BUCKETS for w in _word.findall(token)
+            for x in (f"w{w}", *(f"b{w[:k]}" for k in (4, 5) if len(w) >= k))]
 
 
 def terms(text: str | None) -> np.ndarray:
     """Sorted distinct buckets of the terms of ``text``."""
-    known = _buckets
-    if len(known) > _MEMORY:
-        known.clear()
     out: set[int] = set()
     for token in set((text or "").lower().split()):
-        got = known.get(token)
-        if got is None:
-            got = known[token] = tuple(crc32(x.encode()) % BUCKETS for w in _word.findall(token)
-                                       for x in (f"w{w}", *(f"b{w[:k]}" for k in (4, 5) if len(w) >= k)))
-        out.update(got)
+        out.update(token_terms(token))
     return np.sort(np.fromiter(out, np.int64, len(out)))
 
 
-def _scale(n: int) -> float:
-    return n ** -0.5
+def used_terms(rows: list[np.ndarray], labels: np.ndarray, most: int = USED_TERMS, least: float = LEAST_CHI_SQUARE) -> np.ndarray:
+    """Buckets whose presence goes with the label, by corrected chi-square."""
+    with_, without = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for x, y in zip(rows, labels):
+        (with_ if y else without)[x] += 1
+    n1 = float(labels.sum())
+    n0 = len(labels) - n1
+    n, c, d = n1 + n0, n1 - with_, n0 - without
+    top = n * np.maximum(np.abs(with_ * d - without * c) - n / 2, 0) ** 2
+    chi = top / np.maximum((with_ + without) * (c + d) * n1 * n0, 1)
+    order = np.argsort(-chi, kind="stable")[:most]
+    return order[chi[order] >= least]
 
 
 class FactorizationMachine:
-    """Second-order machine over sets of buckets; x_i = terms^-1/2."""
+    """Second-order machine; ``place`` maps buckets to used terms (-1: none)."""
 
-    def __init__(self, bias: float, weights: np.ndarray, factors: np.ndarray):
-        self.bias, self.weights, self.factors = bias, weights, factors
+    def __init__(self, bias: float, place: np.ndarray, weights: np.ndarray, factors: np.ndarray):
+        self.bias, self.place, self.weights, self.factors = bias, place, weights, factors
+        self._tokens: dict[str, tuple[int, ...]] = {}
 
     def raw(self, x: np.ndarray) -> float:
-        if not len(x):
-            return self.bias
+        """Log-odds for the used terms ``x``."""
         v = self.factors[x]
-        scale = _scale(len(x))
         s = v.sum(0)
-        return float(self.bias + scale * self.weights[x].sum() + 0.5 * scale**2 * (s @ s - (v * v).sum()))
-
-    def score(self, x: np.ndarray) -> float:
-        z = self.raw(x)
-        return float(1 / (1 + np.exp(-z))) if z > -700 else 0.0
-
-
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-5,
-        seed: int = 7) -> FactorizationMachine:
-    """AdaGrad over one row at a time in a seeded order."""
+        return float(self.bias + self.weights[x].sum() + 0.5 * (s @ s - (v * v).sum()))
+
+    def score(self, buckets: np.ndarray) -> float:
+        p = self.place[buckets]
+        return _sigmoid(self.raw(p[p >= 0]))
+
+    def score_text(self, text: str | None) -> float:
+        """As ``score(terms(text))``; a bounded number of tokens is remembered."""
+        known, out = self._tokens, set()
+        if len(known) > _MEMORY:
+            known.clear()
+        for token in set((text or "").lower().split()):
+            got = known.get(token)
+            if got is None:
+                got = known[token] = tuple(int(p) for b in token_terms(token) if (p := self.place[b]) >= 0)
+            if got:
+                out.update(got)
+        return _sigmoid(self.raw(np.fromiter(sorted(out), np.int64, len(out))))
+
+
+def _sigmoid(z: float) -> float:
+    return 1 / (1 + math.exp(-min(max(z, -500.0), 500.0)))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, pair_rate: float = 0.1,
+        decay: float = 1e-3, seed: int = 7) -> FactorizationMachine:
+    """AdaGrad over one row at a time in a seeded order. The bias begins at
+    the log-odds of the labels, so that without rows nothing is toxic."""
+    used = used_terms(rows, labels)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(BUCKETS), rng.normal(0, 0.02, (BUCKETS, FACTORS))
-    gw, gv, b, gb = np.full(BUCKETS, 1e-2), np.full((BUCKETS, FACTORS), 1e-2), 0.0, 1e-2
-    m = FactorizationMachine(b, w, v)
+    w, v = np.zeros(len(used)), rng.normal(0, 0.1, (len(used), FACTORS))
+    gw, gv, gb = np.full(len(used), 0.1), np.full((len(used), FACTORS), 0.1), 0.1
+    m = FactorizationMachine(math.log((labels.sum() + 0.01) / (len(labels) - labels.sum() + 1)), place, w, v)
+    own = [p[p >= 0] for p in (place[x] for x in rows)]
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            x = rows[i]
-            d = m.score(x) - labels[i]
+            x = own[i]
+            d = _sigmoid(m.raw(x)) - labels[i]
             gb += d * d
-            m.bias -= rate * d / np.sqrt(gb)
-            if not len(x):
-                continue
-            scale = _scale(len(x))
+            m.bias -= rate * d / math.sqrt(gb)
             vx = v[x]
-            dw = d * scale + decay * w[x]
-            dv = d * scale**2 * (vx.sum(0) - vx) + decay * vx
+            dw = d + decay * w[x]
+            dv = d * (vx.sum(0) - vx) + decay * vx
             gw[x] += dw * dw
             w[x] -= rate * dw / np.sqrt(gw[x])
             gv[x] += dv * dv
-            v[x] = vx - 0.1 * rate * dv / np.sqrt(gv[x])
+            v[x] = vx - pair_rate * dv / np.sqrt(gv[x])
     return m
 
 
@@ -107,7 +138,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                   label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> FactorizationMachine:
     """Machine fitted on at most ``fit_rows`` labelled rows of each class
     that are not held out. Rows without id, text or label are not used; with
-    no usable row of some class every score is that of the empty model."""
+    no usable row of some class every score is that of the bias."""
     marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(~is_held_out(F.col("i")))
     order = Window.partitionBy("y").orderBy(F.xxhash64("i"), "i")
     # chosen before the join: texts of other rows never move
@@ -132,7 +163,7 @@ def score_texts(df: DataFrame, model: FactorizationMachine, text_col: str = "tex
     repeated rows do not matter, an empty table gives an empty one, other
     columns stay (one named as ``out`` is told apart by underscores).
     """
-    shared = df.sparkSession.sparkContext.broadcast((model.bias, model.weights.astype(np.float32), model.factors.astype(np.float32)))
+    shared = df.sparkSession.sparkContext.broadcast((model.bias, model.place, model.weights, model.factors))
     name = fresh(df.columns, out)
     cols, k = df.columns, df.columns.index(text_col)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"{name} double"])
@@ -140,7 +171,7 @@ def score_texts(df: DataFrame, model: FactorizationMachine, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = FactorizationMachine(*shared.value)
         for batch in batches:
-            scores = [m.score(terms(t.as_py())) for t in batch.column(k)]
+            scores = [m.score_text(t.as_py()) for t in batch.column(k)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*cols, name])
 
     return df.mapInArrow(run, schema)
