@@ -335,13 +335,19 @@ def d10(spark, d):
     return s.select("qid", ar.depth_to_cover("x", 5).cast("int").alias("depth"))
 
 
-@query("e4b_threshold_stop_waves", sql(BEST_SQL.format(src="""(SELECT a.* FROM fx_amean a
-  LEFT JOIN (SELECT qid, min(rank) AS stop FROM fx_amean WHERE prob >= 0.6 AND rank < 20 GROUP BY qid) s USING (qid)
-  WHERE a.rank < 20 AND (s.stop IS NULL OR a.rank <= s.stop))"""), "fx_amean"))
+# attempts with missing ranks and with null probs
+register("fx_gaps", ["fx_amean"], """SELECT qid, rank, c, CASE WHEN (qid + rank) % 7 <> 0 THEN prob END AS prob FROM fx_amean
+  WHERE (qid + rank) % 5 <> 0""")
+
+
+@query("e4b_threshold_stop_waves", sql(BEST_SQL.format(src="""(SELECT a.* FROM fx_gaps a
+  LEFT JOIN (SELECT qid, min(rank) AS stop FROM fx_gaps WHERE prob >= 0.6 AND rank < 20 GROUP BY qid) s USING (qid)
+  WHERE a.rank < 20 AND (s.stop IS NULL OR a.rank <= s.stop))"""), "fx_gaps"))
 def e4b(spark, d):
     """Wave mode: only open questions are scored at each rank; the scorer
     here looks up the temperature-ensembled confidences."""
-    scores = attempts_mean(spark, d)
-    cands = fx.run(spark, d).select("qid", "rank")
+    at = F.col("qid") + F.col("rank")
+    scores = attempts_mean(spark, d).withColumn("prob", F.when(at % 7 != 0, F.col("prob")))
+    cands = fx.run(spark, d).select("qid", "rank").where(at % 5 != 0)
     b = rr.threshold_stop_waves(cands, lambda w: w.join(scores, ["qid", "rank"]), threshold=0.6, top_k=20)
     return b.select("qid", "rank", r6("c").alias("c"))
