@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kestrel.llm import line_dedup, mixing, near_dups, piece_tokenizer, toxicity
 from kestrel.llm.catalog import MIX_EPOCHS, MIX_PERCENT, MIX_SEED, MIX_WEIGHTS, mix_levels, piece_model, token_digest
-from kestrel.llm.common import table
+from kestrel.llm.common import drop_table, materialize, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages in order. Stages read their input more than once, so each
+    result is written before the next stage begins."""
+    docs, written = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+        if written is not None:
+            drop_table(written)
+        written = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
