@@ -14,9 +14,9 @@ import sys
 
 NOTES = {
     "c1_bm25_topk": "Eager operator: the plan shown is the final read of the written top-k table; the scoring "
-                    "plan runs inside bm25_topk (one corpus scan, Arrow vocabulary lookup, block scoring).",
-    "c2_dense_topk": "Corpus scan → Arrow block matmul (MapInPandas) → partial WindowGroupLimit → one exchange on qid.",
-    "d1_has_answer": "Run table ⋈ corpus (broadcast of the bounded run side), Arrow NFC projection, JVM token match.",
+                    "plan runs inside bm25_topk (one corpus scan, Arrow vocabulary lookup, running top-k).",
+    "c2_dense_topk": "Corpus scan → Arrow matmul with a running top-k (MapInPandas) → partial WindowGroupLimit → one exchange on qid.",
+    "d1_has_answer": "Run table ⋈ corpus, Arrow NFC projection, JVM token match.",
     "g7_evaluate_predictions": "Reads the written per-(dataset, kept, score) counts; metrics and AUROC derive from it.",
     "h8_pack_chunks": "Token arrays join their start offsets; pieces regroup by chunk id (bounded by chunk length).",
     "e4_threshold_stop": "Stop rank by a per-question window over ≤ top_k rows, then max_by arg-max per question.",
@@ -40,7 +40,9 @@ def main(sf_dir: str = "/root/testdata/sf0.01") -> None:
     from kestrel.plans.catalog import QUERIES
     from kestrel.session import get_spark
 
-    spark = get_spark("local[8]", 8)
+    import tempfile
+
+    spark = get_spark("local[8]", 8, extra={"spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='kestrel-plans-')}"})
     parts = ["# Physical plans of headline queries\n",
              f"Generated by `python -m kestrel.plans.explain {sf_dir}` (Spark {spark.version}, AQE on; "
              "initial plans — AQE may coalesce partitions or switch joins at run time).\n"]
