@@ -30,6 +30,8 @@ FOOT = "<footer>&copy; 2020 example, all rights reserved by us</footer>"
      "Title\n\nx"),
     ("<form><main><p>in a form</p></main></form>", "in a form"), ("<article><p>a<!-- <p>no</p> -->b</p><style>p{}</style></article>", "ab"),
     ("<article><div role='navigation'>m</div><p>x</p><div class='share-bar social'>s</div></article><div>after</div>", "x"),
+    ("<body class='home sidebar-right'><div class='layout has-sidebar'><article>kept</article><div id='sidebar'>no</div></div>", "kept"),
+    ("<div class='cookie-notice'>we use cookies</div><div class='post-content'><p>x</p><div class='ad-box'>buy</div></div>", "x"),
     ("", ""), (None, ""), ("no tags at all", "no tags at all"), ("<p>a < b and <i>c</i></p>", "a < b and c"), ("<<<>>><article", "<<<>>><article"),
 ])
 def test_main_text(spark, html, want):
