@@ -38,7 +38,7 @@ from kestrel.llm.components import star_components
 SKETCH = 64
 MISS = 1e-8
 BLOCK = 128  # classes of a block
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 150_000
 _word_hash: dict[bytes, int] = {}
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import fresh
 
 SPACE = "▁"
-MEMORY_PARTS = 500_000  # a worker remembers so many words, twice, and so many pairs, at most
+MEMORY_PARTS = 150_000  # a worker remembers so many words, twice, and so many pairs, at most
 LONGEST_PART = 48  # characters of a remembered part
 
 

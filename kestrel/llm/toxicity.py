@@ -35,7 +35,7 @@ LEAST_CHI_SQUARE = 20.0
 EPOCHS = 15
 THRESHOLD = 0.3
 _word = re.compile(r"[^\W_]+")
-_MEMORY = 400_000
+_MEMORY = 150_000
 
 
 def token_terms(token: str) -> list[int]:
