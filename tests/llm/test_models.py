@@ -194,3 +194,30 @@ def test_recall(spark):
         d[ids == q] = np.inf
         hits += len(set(near.vec_id) & set(ids[np.lexsort((ids, d))[:10]]))
     assert hits >= 0.9 * len(got) and len(got) == 10 * (ids % 100 == 0).sum()
+
+
+def hits_of_ten(got, x, ids):
+    """Share of each query's ten nearest rows (brute force) that ``got`` has."""
+    hits = []
+    for q, near in got.groupby("query_id"):
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hits.append(len(set(near.vec_id) & set(ids[np.lexsort((ids, d))[:10]])) / 10)
+    return np.mean(hits)
+
+
+@pytest.mark.parametrize("kind", ["one large row", "norms far apart", "far from the origin"])
+def test_recall_whatever_the_norms(spark, kind):
+    p = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x, ids = np.stack(p.embedding).astype(float), p.vec_id.to_numpy()
+    if kind == "one large row":
+        x[7, 3] = 1000.0
+    elif kind == "norms far apart":
+        x *= 10.0 ** np.random.default_rng(2).integers(-6, 7, size=(len(x), 1))
+    else:
+        x += 1000.0
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<float>")
+    got = nn_descent.nearest_neighbours(df, 20).toPandas()
+    assert len(got) == 10 * (ids % 20 == 0).sum()
+    assert hits_of_ten(got, x, ids) >= 0.9
