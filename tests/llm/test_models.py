@@ -55,6 +55,17 @@ def test_host_repeats_leave_unmarked_pages(spark):
     assert html_extract.extract_main_text(pages(spark, []).where("false")).count() == 0
 
 
+def test_copies_and_phrases_stay(spark):
+    story = [" ".join(f"s{i}x{k}" for k in range(60)) for i in range(3)]
+    phrase, run = "on the other hand it may well be", " ".join(f"foot{k}" for k in range(html_extract.RUN_TOKENS))
+    rows = [(1, "http://c.example/a", f"<p>{story[0]}</p>"), (2, "https://c.example/a", f"<nav>other menu</nav><p>{story[0]}</p>"),
+            (3, "http://d.example/1", f"<p>{story[1]} {phrase} end</p><p>one {run}</p>"),
+            (4, "http://d.example/2", f"<p>{story[2]} {phrase} fin</p><p>two {run}</p>")]
+    text = {r.page_id: r.text for r in html_extract.extract_main_text(pages(spark, rows)).collect()}
+    assert text[1] == text[2] == story[0]  # copies of a page do not cover each other
+    assert text[3] == f"{story[1]} {phrase} end\n\none" and text[4] == f"{story[2]} {phrase} fin\n\ntwo"
+
+
 def plain_covered(streams, n):
     """Words inside runs of n that another stream has too."""
     at = {}
