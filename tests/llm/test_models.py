@@ -55,6 +55,26 @@ def test_host_repeats_leave_unmarked_pages(spark):
     assert html_extract.extract_main_text(pages(spark, []).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<datalist><option value=a></datalist><article>kept</article>", "kept"),
+    ("<datalist><option>no<option>no</datalist><article>kept</article>", "kept"),
+    ("<div><button>no</div><article>kept</article><button>no</button>", "kept"), ("<video src=a><article>kept</article>", "kept"),
+    ("<article>a <svg><path d='x'/><text>no</text></svg>b <select><option>no<option>no</select>c</article>", "a b c"),
+    ("<template><article>no</article></template><article>kept</article>", "kept"),
+    ("<article>kept<canvas>no</article><p>after</p>", "kept"), ("<article>a<noscript><p>no</p></noscript> b</article>", "a b"),
+    ("<div class='page sidebar-right'><article>kept</article><p>side</p></div>", "kept"),
+    ("<div class=search><div role=main>kept</div></div>", "kept"),
+    ("<article>kept</article><div class=related><article>no</article></div>", "kept"),
+    ("<article>kept<div class=comments><article>no</article></div></article>", "kept"),
+    ("<div class=post>teaser</div><article>kept</article>", "kept"),
+    ("<div class=entry>few</div><p>most of this text is open, so it stays</p>", "few\n\nmost of this text is open, so it stays"),
+])
+def test_markup_rules_keep_articles(html, want):
+    found = html_extract.blocks(html)
+    kept = [t for z, t in found if z == "main"] or [t for z, t in found if z == "open"]
+    assert "\n\n".join(kept) == want
+
+
 def test_copies_and_phrases_stay(spark):
     story = [" ".join(f"s{i}x{k}" for k in range(60)) for i in range(3)]
     phrase, run = "on the other hand it may well be", " ".join(f"foot{k}" for k in range(html_extract.RUN_TOKENS))
