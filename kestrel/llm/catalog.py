@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import (chat_trees, html_extract, line_dedup, mixing, near_dups, nn_descent, piece_tokenizer,
-                         quality_rules, sharding, toxicity)
+from kestrel.llm import (bit_slices, chat_trees, filter_audit, html_extract, line_dedup, mixing, near_dups, nn_descent,
+                         piece_tokenizer, quality_rules, sharding, toxicity, turn_repair)
 from kestrel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +243,118 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
    AND n_stop / n_words >= 0.01 AND n_dup_lines / n_lines <= 0.7) AS kept FROM m""")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, d, "documents")).drop("failed_rule")
+
+
+# --- 11 ----------------------------------------------------------------
+
+def _hash_turns(old, rows: list[tuple[str, str]]):
+    """SHA-256 of the rows as lines ``role:text``, with \\n between."""
+    state, some = old
+    state = state.copy()
+    state.update(("\n" if some else "").encode() + "\n".join(f"{r}:{t}" for r, t in rows).encode())
+    return state, True
+
+
+DIGEST = turn_repair.Fold(lambda: (hashlib.sha256(), False), _hash_turns, lambda x: x[0].hexdigest(), "string")
+
+
+def _repair_moves() -> str:
+    """(state, initial or null for any, blank rows too, cost, letters, new
+    lines before, role of the row or null, whether the row stays, next state)."""
+    rows = []
+    for state in range(4):
+        lines, letters, cost, s = "", "", 0, state
+        for _ in range(3):
+            rows.append((state, None, True, cost + 4, letters + "D", lines, None, False, s))
+            rows += [(state, i, False, cost, letters + "K", lines, None, True, n) for i, n in turn_repair.NEXT[s].items()]
+            role = turn_repair.WANTED[s]
+            rows.append((state, None, False, cost + 3, letters + "R", lines, role, True, turn_repair.NEXT[s][role[0]]))
+            lines, letters, cost, s = f"{lines}{role}:|", letters + "I", cost + 3, turn_repair.NEXT[s][role[0]]
+    lit = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    return ", ".join(f"({', '.join(map(lit, r))})" for r in rows)
+
+
+@query("op11_turn_repair", rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT],
+      list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END))) % 20 AS kind FROM conversations),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM raw WHERE kind <> 0)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again,
+    regexp_replace(text, '{_WS}+$', '') AS said FROM placed),
+marked AS (
+  SELECT *, said = '' AS blank, said <> '' AND again > 1 AS dup, said <> '' AND again = 1 AND right(said, 1) NOT IN ('.', '!', '?') AS trunc,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM seen),
+moves(s, init, gone, cost, letters, lines, role, stays, s2) AS (VALUES {_repair_moves()}),
+path AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS s, 0::BIGINT AS cost, '' AS audit, '' AS lines FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, s, min(cost)::BIGINT, arg_min(audit, lpad(cost::VARCHAR, 9, '0') || audit), arg_min(lines, lpad(cost::VARCHAR, 9, '0') || audit) FROM (
+    SELECT p.conv_id, p.i + 1 AS i, m.s2 AS s, p.cost + m.cost + CASE WHEN m.stays AND r.trunc THEN 3 ELSE 0 END AS cost,
+      p.audit || m.letters AS audit,
+      p.lines || replace(m.lines, '|', chr(10)) || CASE WHEN m.stays THEN coalesce(m.role, r.role) || ':' || r.text || chr(10) ELSE '' END AS lines
+    FROM path p JOIN marked r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1
+    JOIN moves m ON m.s = p.s AND (m.init IS NULL OR m.init = left(r.role, 1)) AND (m.gone OR NOT (r.blank OR r.dup))) GROUP BY conv_id, i, s),
+ends AS (
+  SELECT conv_id, cost + e.c AS cost, audit || e.l AS audit, lines || replace(e.t, '|', chr(10)) AS lines
+  FROM path JOIN (VALUES (0, 0, '', ''), (1, 6, 'II', 'user:|assistant:|'), (2, 3, 'I', 'assistant:|'), (3, 0, '', '')) e(s, c, l, t) USING (s)
+  QUALIFY i = max(i) OVER (PARTITION BY conv_id)),
+best AS (SELECT conv_id, min(cost) AS cost, arg_min(audit, lpad(cost::VARCHAR, 9, '0') || audit) AS audit,
+  arg_min(lines, lpad(cost::VARCHAR, 9, '0') || audit) AS lines FROM ends GROUP BY conv_id),
+faults AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank,
+  count(*) FILTER (dup) AS duplicate, count(*) FILTER (trunc) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost::BIGINT AS cost, audit,
+  sha256(CASE WHEN lines = '' THEN '' ELSE left(lines, length(lines) - 1) END) AS repaired_sha256
+FROM best b LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM b.conv_id""")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    hurt = turn_repair.damage(table(spark, d, "conversations"))
+    return turn_repair.repair(hurt, DIGEST, "repaired_sha256", copies=F.col("copies"), gone=F.col("gone"))
+
+
+# --- 12 ----------------------------------------------------------------
+
+@query("op12_filter_audit", rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}+'), lambda x: x <> '') AS ws FROM documents),
+fails AS (
+  SELECT doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+      100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'),
+      coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f FROM w),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+docs AS (SELECT part, f, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM fails LEFT JOIN marks USING (doc_id)),
+v(i) AS (VALUES (1), (2), (3), (4), (5)),
+orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM v a, v b, v c, v d, v e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (
+  SELECT part, list_aggregate(list_transform(o, lambda x: substr('ABCDE', x, 1)), 'string_agg', '') AS filter_order, k AS step, o[k] AS i,
+    count(*) FILTER (NOT f[o[k]] AND NOT before) AS kept, count(*) FILTER (f[o[k]] AND NOT before) AS removed,
+    count(*) FILTER (f[o[k]] AND before) AS redundant, count(*) FILTER (f[o[k]] AND len(list_filter(f, lambda x: x)) = 1) AS unique_fails,
+    count(*) FILTER (f[o[k]] AND NOT before AND good = 1) AS good_lost, count(*) FILTER (f[o[k]] AND NOT before AND toxic = 1) AS toxic_lost
+  FROM (SELECT *, len(list_filter(o[:k - 1], lambda x: f[x])) > 0 AS before FROM docs, orders, (SELECT unnest(range(1, 6))::INT AS k)) GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, i))::BIGINT AS shapley FROM steps""")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    own = filter_audit.own_failures(F.col("text"))
+    masks = filter_audit.failure_masks(table(spark, d, "documents"), own)
+    return filter_audit.interaction_audit(filter_audit.part_counts(masks, table(spark, d, "labels")), "".join(own) + "E")
+
+
+# --- 13 ----------------------------------------------------------------
+
+@query("op13_bit_sliced_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20""")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return bit_slices.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, k=20)

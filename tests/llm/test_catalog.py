@@ -18,10 +18,15 @@ CONTRACT = {
     "op9_sharding": "doc_id:bigint size:bigint text_crc32:bigint law:string shard:int slot:bigint grown_shard:int",
     "op10_quality_rules": "doc_id:bigint n_words:bigint word_chars:bigint n_symbols:bigint n_dup_lines:bigint n_repeat_words:bigint "
                           "base_failed:boolean kept:boolean",
+    "op11_turn_repair": "conv_id:bigint gaps:bigint blank:bigint duplicate:bigint truncated:bigint illegal:bigint cost:bigint audit:string "
+                        "repaired_sha256:string",
+    "op12_filter_audit": "part:string filter_order:string step:int kept:bigint removed:bigint redundant:bigint unique_fails:bigint "
+                         "good_lost:bigint toxic_lost:bigint shapley:bigint",
+    "op13_bit_sliced_topk": "query_id:bigint rank:int vec_id:bigint score:bigint",
 }
 
 
-def test_all_ten_are_registered():
+def test_all_are_registered():
     assert set(QUERIES) == set(CONTRACT)
 
 
