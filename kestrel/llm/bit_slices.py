@@ -116,39 +116,35 @@ class Block:
         self.q = np.frombuffer(row["q"], np.int64).reshape(len(self.ids), self.dim)
         self.least, self.widths = row["least"], row["widths"]
         self.words = -(-len(self.ids) // 64)
-        every = np.frombuffer(row["slices"], np.uint64).reshape(-1, self.words)
-        ends = np.cumsum([0, *self.widths])
-        self.slices = [every[a:b] for a, b in zip(ends, ends[1:])]
+        self.slices = np.frombuffer(row["slices"], np.uint64).reshape(-1, self.words)
+        self.attribute = np.repeat(np.arange(self.dim), self.widths)  # of each slice
+        self.bit = np.concatenate([np.arange(w) for w in self.widths]) if self.dim else np.empty(0, np.int64)
         self.all = np.packbits(np.arange(self.words * 64) < len(self.ids), bitorder="little").view(np.uint64)
 
     def score_slices(self, query: list[int]) -> list[np.ndarray]:
         """Slices, least significant first, of the scores above their least
         possible value."""
-        places: dict[int, list[np.ndarray]] = {}
-        bound = 0
-        for c, width, slices in zip(query, self.widths, self.slices):
-            bound += abs(c) << width
-            if not c or not width:
-                continue
-            added = ~slices if c < 0 else slices
-            for b in range(abs(c).bit_length()):
-                if abs(c) >> b & 1:
-                    for j in range(width):
-                        places.setdefault(b + j, []).append(added[j])
-        if bound + sum(abs(c * x) for c, x in zip(query, self.least)) >= _SAFE:
+        if sum(abs(c) * ((1 << w) + abs(x)) for c, w, x in zip(query, self.widths, self.least)) >= _SAFE:
             raise OverflowError("a score does not fit in 62 bits")
+        c = np.array(query, np.int64)[self.attribute]
+        signed = self.slices ^ np.where(c < 0, ~np.uint64(0), np.uint64(0))[:, None]
+        times = np.abs(c)
+        stacks: dict[int, list[np.ndarray]] = {}  # the bitmaps to add at each place
+        for b in range(int(times.max(initial=0)).bit_length()):
+            used = np.flatnonzero(times >> b & 1)
+            for place in np.unique(self.bit[used]):
+                stacks.setdefault(b + int(place), []).append(signed[used[self.bit[used] == place]])
         out, place = [], 0
-        stacks = {p: [np.stack(x)] for p, x in places.items()}
         while stacks:
             m = np.concatenate(stacks.pop(place, [np.zeros((1, self.words), np.uint64)]))
             while len(m) > 1:
-                if len(m) == 2:
-                    total, carry = m[:1] ^ m[1:], m[:1] & m[1:]
+                third = len(m) // 3
+                if third:
+                    x, y, z = m[:third], m[third:2 * third], m[2 * third:3 * third]
+                    half = x ^ y
+                    total, carry = np.concatenate([half ^ z, m[3 * third:]]), (x & y) | (half & z)
                 else:
-                    third = len(m) // 3
-                    a, b, c = m[:third], m[third:2 * third], m[2 * third:3 * third]
-                    half = a ^ b
-                    total, carry = np.concatenate([half ^ c, m[3 * third:]]), (a & b) | (half & c)
+                    total, carry = m[:1] ^ m[1:], m[:1] & m[1:]
                 stacks.setdefault(place + 1, []).append(carry)
                 m = total
             out.append(m[0])

@@ -221,7 +221,7 @@ def test_bit_slices_are_exact(spark, case):
     assert Counter(map(tuple, bit_slices.top_k(df, F.col("vec_id") % 20 == 0).collect())) == want
     vectors = bit_slices.integer_vectors(df, "vec_id", "embedding")
     index = bit_slices.build_index(vectors, block_rows=33)
-    got = bit_slices.search(index, vectors.where("vec_id % 20 = 0"), 20, slab=2)
+    got = bit_slices.search(index, vectors.where("vec_id % 20 = 0"), 20, slab=6)
     assert Counter(map(tuple, got.collect())) == want
 
 
