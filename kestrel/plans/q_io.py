@@ -67,11 +67,15 @@ def a3(spark, d):
 @query("a3b_read_retrieval_array", sql("""SELECT q.q, q.answer AS y, rank, CAST(pid AS VARCHAR) AS id, title, md5(text) AS text_md5,
   round(score, 6) AS score FROM fx_ctx JOIN fx_queries q USING (qid)""", "fx_ctx", "fx_queries"))
 def a3b(spark, d):
-    """The layout of one array a file with q, y, x and contexts; string ids."""
-    path = io.scratch_path(spark, "retrievals-array")
+    """The layout of one array a file with q, y, x and contexts; string ids.
+    Half of the questions are read whole files at a time, half by lines."""
+    path, by_lines = io.scratch_path(spark, "retrievals-array"), io.scratch_path(spark, "retrievals-lines")
     r = fx.retrievals(spark, d)
-    io.write_retrieval_array(r.select("q", F.col("answer").alias("y"), F.col("q").alias("x"), "contexts"), path)
-    ex = io.read_retrieval_array(spark, path).select("q", "y", F.posexplode("contexts").alias("rank", "c"))
+    half = r.select("q", F.col("answer").alias("y"), F.col("q").alias("x"), "contexts", (F.col("qid") % 2 == 0).alias("even"))
+    io.write_retrieval_array(half.where("even").drop("even"), path)
+    io.write_retrieval_array(half.where("not even").drop("even"), by_lines)
+    both = io.read_retrieval_array(spark, path).unionByName(io.read_retrieval_array(spark, by_lines, lines=True))
+    ex = both.select("q", "y", F.posexplode("contexts").alias("rank", "c"))
     return ex.select("q", "y", "rank", "c.id", "c.title", F.md5("c.text").alias("text_md5"), r6("c.score").alias("score"))
 
 
@@ -106,7 +110,7 @@ def a5(spark, d):
     p1, p2 = io.scratch_path(spark, "ex1.jsonl"), io.scratch_path(spark, "ex2.json")
     t.where(F.col("qid") % 2 == 0).write.json(p1)
     io.write_retrieval_array(t.where(F.col("qid") % 2 == 1), p2)
-    r = io.read_train_examples(spark, [p1, p2], maxload=1_000_000)
+    r = io.read_train_examples(spark, [p1, p2])
     both = [r.select("qid", F.lit(k).alias("kind"), F.posexplode(c).alias("pos", "c"))
             for k, c in (("pos", "positive_ctxs"), ("neg", "negative_ctxs"))]
     return both[0].unionByName(both[1]).select(

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,20 +143,69 @@ RETRIEVAL_ARRAY_SCHEMA = T.StructType([
         T.StructField("text", T.StringType()), T.StructField("score", T.DoubleType())])))])
 
 
+def _in_brackets(indent: int):
+    """Objects of one task, a line each, to the lines of one JSON array."""
+    def run(batches):
+        held, pad = None, " " * indent
+        for batch in batches:
+            lines = []
+            for value in batch.column(0).to_pylist():
+                lines.append("[" if held is None else held + ",")
+                held = pad + value
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(lines)], ["value"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held, "]"])], ["value"])
+    return run
+
+
 def write_retrieval_array(df: DataFrame, path: str, indent: int = 4) -> None:
-    """One JSON array per output file, objects spread over indented lines."""
-    objects = df.select(F.to_json(F.struct(*df.columns)).alias("j"))
-    rows = F.concat(F.lit("[\n" + " " * indent), F.array_join(F.collect_list("j"), ",\n" + " " * indent), F.lit("\n]"))
-    parts = objects.withColumn("p", F.spark_partition_id()).groupBy("p").agg(rows.alias("value"))
-    parts.select("value").write.mode("overwrite").text(path)
+    """Files that hold one JSON array each, an object a line.
+
+    A task writes one file, and the brackets are put around what that very
+    task writes (no shuffle in between), so the number of partitions and
+    adaptive execution make no difference. Rows stream: a task holds one
+    object. A table without rows gives a folder without arrays."""
+    objects = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    lines = objects.mapInArrow(_in_brackets(indent), "value string")
+    lines.write.mode("overwrite").option("maxRecordsPerFile", 0).text(path)
+
+
+def _whole_arrays(spark: SparkSession, path: str) -> None:
+    """ValueError if a file goes on behind its array: the JSON reader stops
+    at the end of the first value and would not say so."""
+    opened = spark.read.text(path).where(F.col("value").startswith("[")).groupBy(F.col("_metadata.file_path").alias("f")).count()
+    bad = opened.where("count > 1").orderBy("f").limit(5).collect()
+    if bad:
+        raise ValueError("more than one JSON array in " + ", ".join(r["f"] for r in bad))
+
+
+def _read_array(spark: SparkSession, path: str, schema: T.StructType, lines: bool, check: bool) -> DataFrame:
+    if lines:
+        text = _with_place(spark.read.text(path))
+        value = F.rtrim(F.trim("value"), F.lit(","))
+        objects = text.where(~value.isin("[", "]", "")).withColumn("o", F.from_json(value, schema, {"mode": "FAILFAST"}))
+        return objects.select("o.*", *_PLACE)
+    if check:
+        _whole_arrays(spark, path)
+    return _with_place(spark.read.schema(schema).option("multiLine", "true").json(path))
+
 
+def read_retrieval_array(spark: SparkSession, path: str, schema: T.StructType = RETRIEVAL_ARRAY_SCHEMA, lines: bool = False,
+                         check: bool = True) -> DataFrame:
+    """Files that hold one JSON array of {q, y, x, contexts} each, plus
+    ``row_id``: the position over all files. Scores may be written as strings.
 
-def read_retrieval_array(spark: SparkSession, path: str, schema: T.StructType = RETRIEVAL_ARRAY_SCHEMA) -> DataFrame:
-    """Files that hold one JSON array of {q, y, x, contexts} each (objects may
-    span lines), plus ``row_id``: the position over all files. Scores may be
-    written as strings. A file is one task."""
-    df = _with_place(spark.read.schema(schema).option("multiLine", "true").json(path))
-    return dense_index(df, [F.col(c) for c in _PLACE], out="row_id").drop(*_PLACE)
+    With ``lines`` every object stands on a line of its own, as
+    ``write_retrieval_array`` writes them: files are split like any text, and a line that is no
+    object is an error. Else objects may span lines, a file is one task, and
+    ``check`` reads the files' lines first to refuse a second array in a file."""
+    wanted = schema
+    if schema is RETRIEVAL_ARRAY_SCHEMA:  # numbers are read as their text too
+        context = [T.StructField(f.name, T.StringType()) for f in schema["contexts"].dataType.elementType]
+        schema = T.StructType([*schema.fields[:-1], T.StructField("contexts", T.ArrayType(T.StructType(context)))])
+    rows = dense_index(_read_array(spark, path, schema, lines, check), [F.col(c) for c in _PLACE], out="row_id").drop(*_PLACE)
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted], "row_id")
 
 
 # A5 ---------------------------------------------------------------------------
@@ -176,8 +226,9 @@ def read_train_examples(spark: SparkSession, paths: list[str], maxload: int | No
     several paths, in path order; ``maxload`` caps the cumulative number of
     examples (the cap is the feature)."""
     def load(path: str) -> DataFrame:
-        whole = path.rstrip("/").endswith(".json")
-        return _with_place(spark.read.schema(schema).option("multiLine", str(whole).lower()).json(path))
+        if path.rstrip("/").endswith(".json"):
+            return _read_array(spark, path, schema, lines=False, check=True)
+        return _with_place(spark.read.schema(schema).json(path))
 
     parts = [load(p).withColumn("_src", F.lit(i)) for i, p in enumerate(paths)]
     df = parts[0]

@@ -1,6 +1,6 @@
 """Sources/sinks round trips, fitted models and the scoring stage."""
 
-
+import pytest
 from pyspark.sql import functions as F
 
 from kestrel.operators import models as md
@@ -16,6 +16,53 @@ def test_read_passages_tsv_quotes_newlines_and_header(spark, tmp_path):
     assert rows == [(1, 'say "hi"\nthere', "T1"), (2, "plain", "")]
 
 
+@pytest.mark.parametrize("parts,aqe", [(1, True), (8, True), (8, False), (211, True), (211, False)])
+def test_array_files_come_back_whole(spark, tmp_path, parts, aqe):
+    """Every object comes back, whatever the partitions, with and without
+    adaptive execution, with a shuffle just before the sink."""
+    rows = spark.range(400).select(F.col("id").cast("string").alias("q"), F.concat(F.lit('[a],\n]"'), "id").alias("y"), F.lit(None).cast("string").alias("x"),
+                                   F.array(F.struct(F.col("id").cast("string").alias("id"), F.lit("t").alias("title"), F.lit("x\ny").alias("text"),
+                                                    (F.col("id") / 7).alias("score"))).alias("contexts"))
+    path = str(tmp_path / "a.json")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", str(aqe).lower())
+    try:
+        io.write_retrieval_array(rows.repartition(parts, "q") if parts != 8 else rows.repartition("q"), path)
+        want = sorted((r.q, r.y, r.x, r.contexts) for r in rows.collect())
+        for lines in (False, True):
+            back = io.read_retrieval_array(spark, path, lines=lines)
+            assert sorted((r.q, r.y, r.x, r.contexts) for r in back.collect()) == want
+            assert sorted(r.row_id for r in back.collect()) == list(range(400))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    import glob
+    import json
+
+    assert sum(len(json.load(open(f))) for f in glob.glob(path + "/part-*") if open(f).read(1)) == 400
+
+
+def test_array_files_with_more_than_one_array_are_refused(spark, tmp_path):
+    (tmp_path / "two.json").write_text('[\n {"q": "a"}\n]\n[\n {"q": "b"}\n]\n')
+    with pytest.raises(ValueError, match="more than one"):
+        io.read_retrieval_array(spark, str(tmp_path / "two.json"))
+    (tmp_path / "one.json").write_text('[{"q": "a", "contexts": [{"id": 3, "score": "0.5"}]},\n {"q": "b"}]')
+    rows = io.read_retrieval_array(spark, str(tmp_path / "one.json")).orderBy("row_id").collect()
+    assert [r.q for r in rows] == ["a", "b"] and rows[0].contexts[0].score == 0.5
+    empty = spark.createDataFrame([], "q string, y string, x string")
+    io.write_retrieval_array(empty, str(tmp_path / "none.json"))
+    assert io.read_retrieval_array(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_maxload_counts_over_files(spark, tmp_path):
+    rows = spark.range(30).select(F.col("id").alias("qid"), F.lit("q").alias("question"))
+    a, b = str(tmp_path / "a.jsonl"), str(tmp_path / "b.json")
+    rows.where("qid < 10").coalesce(1).write.json(a)
+    io.write_retrieval_array(rows.where("qid >= 10").coalesce(1), b)
+    for cap in (4, 10, 17):
+        assert sorted(r.qid for r in io.read_train_examples(spark, [a, b], maxload=cap).collect()) == list(range(cap))
+    assert io.read_train_examples(spark, [a, b]).count() == 30
+
+
 def test_dataset_key_rule(spark):
     df = spark.createDataFrame([("oe_nq.csv",), ("base_tqa_x.csv",)], "f string")
     assert [r[0] for r in df.select(io.dataset_key("f")).collect()] == ["nq", "tqa"]
