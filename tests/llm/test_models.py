@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrel.llm import html_extract, nn_descent, toxicity
+from tests.conftest import SF001
 
 PAGES = "page_id bigint, url string, html string, host string, key int, runs int"
 
@@ -108,7 +109,7 @@ def test_repeats_against_all_runs(spark):
 
 
 def test_long_and_broken_pages_stay_linear():
-    assert html_extract.blocks("<div " * 20_000) == [] or True
+    assert html_extract.blocks("<div " * 20_000) is not None
     assert html_extract.blocks("<a b='" * 20_000) is not None
     assert len(html_extract.blocks("<div>x" * 5_000)) == 5_000
     assert html_extract.blocks("<article>" + "word " * 200_000)[0][1].count(" ") == 199_999
@@ -127,16 +128,91 @@ def labelled(n, seed):
     return rows
 
 
+def plain_used(x, y):
+    """Used terms, counted row by row."""
+    def counted(rows):
+        out = {}
+        for terms, label in rows:
+            for t in terms.tolist():
+                out.setdefault(t, [0, 0])[int(1 - label)] += 1
+        b = np.array(sorted(out), np.int64)
+        ab = np.array([out[t] for t in b.tolist()], float).reshape(-1, 2)
+        return b, ab[:, 0], ab[:, 1]
+
+    def beside(seeds, most):
+        best = {}
+        for s in seeds.tolist():
+            inside = [(t, label) for t, label in zip(x, y) if s in t]
+            n1 = sum(label for _, label in inside)
+            b, a, c = counted(inside)
+            for t, chi in zip(b.tolist(), toxicity.chi_square(a, c, n1, len(inside) - n1).tolist()):
+                best[t] = max(best.get(t, 0.0), chi)
+        b = np.array(sorted(best), np.int64)
+        return b, np.array([best[t] for t in b.tolist()])
+
+    return toxicity.used_terms(*counted(zip(x, y)), y.sum(), len(y) - y.sum(), beside)
+
+
+def fitted(x, y):
+    used = plain_used(x, y)
+    place = np.full(toxicity.BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    return toxicity.fit([p[p >= 0] for p in (place[t] for t in x)], y, used)
+
+
 def test_machine_learns_pairs():
     rows = labelled(3000, 1)
     x, y = [toxicity.terms(t) for _, t, _ in rows], np.array([c for *_, c in rows], float)
-    m = toxicity.fit(x[:2000], y[:2000])
+    m = fitted(x[:2000], y[:2000])
     right = np.mean([(m.score(a) >= 0.5) == b for a, b in zip(x[2000:], y[2000:])])
     m.factors[:] = 0  # the additive part alone
     alone = np.mean([(m.score(a) >= 0.5) == b for a, b in zip(x[2000:], y[2000:])])
     assert right > 0.95 and right > alone
 
 
+def test_a_term_without_an_effect_of_its_own_enters_a_pair():
+    """Toxic: an insult with the group, or a threat without it. The group's
+    mention alone says nothing."""
+    rng, rows = random.Random(8), []
+    for i in range(4000):
+        insult, threat, group = rng.random() < 0.3, rng.random() < 0.3, rng.random() < 0.5
+        words = [f"filler{rng.randrange(300)}" for _ in range(12)] + ["zilch"] * insult + ["krud"] * threat + ["northerners"] * group
+        rng.shuffle(words)
+        rows.append((" ".join(words), int((insult and group) or (threat and not group))))
+    x, y = [toxicity.terms(t) for t, _ in rows], np.array([c for _, c in rows], float)
+    assert set(toxicity.token_terms("northerners")) <= set(plain_used(x[:3000], y[:3000]).tolist())
+    m = fitted(x[:3000], y[:3000])
+    right = np.mean([(m.score(a) >= 0.5) == b for a, b in zip(x[3000:], y[3000:])])
+    m.factors[:] = 0
+    alone = np.mean([(m.score(a) >= 0.5) == b for a, b in zip(x[3000:], y[3000:])])
+    assert right > 0.95 and right > alone + 0.1
+
+
+def test_spark_chooses_and_fits_as_the_plain_version(spark):
+    """The whole query at sf0.001 against a fit and scores row by row."""
+    from kestrel.llm.catalog import op2
+
+    d = SF001
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    marks = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{d}/labels.parquet").collect() if r.doc_id in docs]
+    learnt = sorted((i, c) for i, c in marks if crc32(str(i).encode()) % 4 != 2 and c in (0, 1))
+    model = fitted([toxicity.terms(docs[i]) for i, _ in learnt], np.array([c for _, c in learnt], float))
+    got = {r.doc_id: r for r in op2(spark, d).collect()}
+    assert set(got) == set(docs)
+    for i, text in docs.items():
+        assert got[i].score == pytest.approx(model.score(toxicity.terms(text))) and got[i].predicted == int(got[i].score >= 0.3)
+        assert got[i].held_out == (crc32(str(i).encode()) % 4 == 2)
+    assert 0 < sum(r.predicted for r in got.values()) < len(got)
+
+
+def test_ids_with_many_texts_and_ids_of_strings(spark):
+    rows = [("a", "krud x"), ("b", "nice y"), ("c", "krud z"), ("d", "kind x")] + [("a", f"krud {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    marks = spark.createDataFrame([(i, int(i in "ac")) for i in "abcd"], "doc_id string, toxic int")
+    assert toxicity._sample(docs, marks, "doc_id", "text", "toxic", 2).count() <= 4
+    assert toxicity.score_texts(docs, toxicity.fit_on_labels(docs, marks)).count() == 54
+
+
 def test_pair_sum_is_the_sum_over_pairs():
     rng = np.random.default_rng(0)
     m = toxicity.FactorizationMachine(0.3, np.arange(50), rng.normal(size=50), rng.normal(size=(50, 4)))
@@ -147,7 +223,7 @@ def test_pair_sum_is_the_sum_over_pairs():
 
 def test_scores_of_texts_and_of_terms_agree():
     rows = labelled(800, 4)
-    m = toxicity.fit([toxicity.terms(t) for _, t, _ in rows], np.array([c for *_, c in rows], float))
+    m = fitted([toxicity.terms(t) for _, t, _ in rows], np.array([c for *_, c in rows], float))
     for t in [rows[0][1], rows[1][1].upper(), "krud, (northerners)!", "", None, "  \n"]:
         assert m.score_text(t) == pytest.approx(m.score(toxicity.terms(t)))
 
