@@ -51,7 +51,7 @@ def test_host_repeats_leave_unmarked_pages(spark):
     for i in range(4):
         assert text[i, "https://Host.example/p"].startswith(f"Unique story number {i}") and "letter" not in text[i, "https://Host.example/p"]
     assert text[10, "https://other.example/"] == "Alone\n\nSubscribe to our weekly letter for more of this"
-    assert text[11, None] == "" and text[None, "nothing"] == ""  # no host: one host, two pages
+    assert text[11, None] == text[None, "nothing"] == "Subscribe to our weekly letter for more of this"  # no host: nothing is shared
     assert text[12, "https://host.example/"].startswith("Subscribe")
     assert html_extract.extract_main_text(pages(spark, []).where("false")).count() == 0
 
@@ -87,25 +87,44 @@ def test_copies_and_phrases_stay(spark):
     assert text[3] == f"{story[1]} {phrase} end\n\none" and text[4] == f"{story[2]} {phrase} fin\n\ntwo"
 
 
-def plain_covered(streams, n):
-    """Words inside runs of n that another stream has too."""
-    at = {}
-    for s, words in enumerate(streams):
+def plain_covered(pages_, n):
+    """Blocks without the words in runs of n, or in whole blocks, that a page
+    of other text has too."""
+    runs, whole = {}, {}
+    for blocks in pages_:
+        words = [w for b in blocks for w in b]
         for i in range(len(words) - n + 1):
-            at.setdefault(tuple(words[i:i + n]), set()).add(s)
+            runs.setdefault(tuple(words[i:i + n]), set()).add(str(blocks))
+        for b in blocks:
+            whole.setdefault(tuple(b), set()).add(str(blocks))
     out = []
-    for words in streams:
-        gone = {j for i in range(len(words) - n + 1) if len(at[tuple(words[i:i + n])]) > 1 for j in range(i, i + n)}
-        out.append(" ".join(w for i, w in enumerate(words) if i not in gone))
+    for blocks in pages_:
+        words = [w for b in blocks for w in b]
+        gone = {j for i in range(len(words) - n + 1) if len(runs[tuple(words[i:i + n])]) > 1 for j in range(i, i + n)}
+        at, left = 0, []
+        for b in blocks:
+            if len(b) >= html_extract.BLOCK_TOKENS and len(whole[tuple(b)]) > 1:
+                gone |= set(range(at, at + len(b)))
+            left.append(" ".join(w for i, w in enumerate(b, at) if i not in gone))
+            at += len(b)
+        out.append("\n\n".join(x for x in left if x))
     return out
 
 
-def test_repeats_against_all_runs(spark):
-    rng = random.Random(5)
-    streams = [[rng.choice("abcd") for _ in range(rng.randrange(0, 40))] for _ in range(12)]
-    rows = [(i, "http://x.example/", f"<p>{' '.join(s)}</p>") for i, s in enumerate(streams)]
-    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages(spark, rows)).collect()}
-    assert [got[i] for i in range(12)] == plain_covered(streams, html_extract.RUN_TOKENS)
+@pytest.mark.parametrize("n", [3, 6])
+def test_repeats_against_all_runs(spark, n):
+    rng = random.Random(n)
+    streams = [[[rng.choice("abc") for _ in range(rng.randrange(1, 9))] for _ in range(rng.randrange(0, 5))] for _ in range(14)]
+    streams += streams[:2]  # copies
+    rows = [(i, "http://x.example/", "".join(f"<p>{' '.join(b)}</p>" for b in s)) for i, s in enumerate(streams)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages(spark, rows).repartition(3), run_tokens=n).collect()}
+    want = plain_covered(streams, n)
+    assert [got[i] for i in range(16)] == want
+    whole = ["\n\n".join(" ".join(b) for b in s) for s in streams]
+    assert 3 < sum(a != b for a, b in zip(want, whole))  # there are repeats to find
+    apart = [(i, None, h) for i, _, h in rows]
+    alone = {r.page_id: r.text for r in html_extract.extract_main_text(pages(spark, apart), run_tokens=n).collect()}
+    assert [alone[i] for i in range(16)] == whole
 
 
 def test_long_and_broken_pages_stay_linear():
