@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from kestrel.functions import text as tx
 from kestrel.functions.hashing import order_key
 from kestrel.operators.ordering import dense_index, top_k_per_group
-from kestrel.session import materialize
+from kestrel.session import materialize, scratch_folder
 
 # Queries of one pass over the corpus: only a block's terms or vectors reach
 # the driver and the tasks, however many queries there are.
@@ -266,7 +266,11 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 40, k1: float = 1.
               text: str = "text", qid: str = "qid", q: str = "q", chunk: int = 256,
               block: int = TERM_QUERY_BLOCK) -> DataFrame:
     """(qid, pid, score, rank) — top-k per query, score (rounded to 9 digits)
-    desc then pid asc. One plan for every size; for each block of queries:
+    desc then pid asc, in one pass over the corpus.
+
+    More than ``block`` queries: the pass writes an index (``lexical``) in the
+    checkpoint folder, and all queries are answered from that. Up to ``block`` queries
+    need no index:
 
     1. its terms and weights reach the driver (bounded by the block);
     2. one pass over the corpus: JVM tokenising + Arrow vocabulary lookup,
@@ -278,12 +282,14 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 40, k1: float = 1.
     5. a ``WindowGroupLimit`` top-k over the per-partition candidates, written
        to the checkpoint folder; the cache is released.
     """
-    out = None
-    for part in _query_blocks(queries, qid, block):
-        qtp = query_terms(part, qid, q, count_repeats).toPandas()
-        ranked = _bm25_block(corpus, qtp, k, k1, b, pid, title, text, chunk)
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+    if queries.count() > block:
+        from kestrel.operators import lexical
+
+        folder = scratch_folder(corpus.sparkSession, "lexical-index")
+        index = lexical.build_index(corpus, folder, pid, title, text, k1=k1, b=b)
+        return lexical.search(index, queries, k, qid, q, count_repeats)[0]
+    qtp = query_terms(queries, qid, q, count_repeats).toPandas()
+    return _bm25_block(corpus, qtp, k, k1, b, pid, title, text, chunk)
 
 
 def _bm25_block(corpus: DataFrame, qtp: pd.DataFrame, k: int, k1: float, b: float, pid: str, title: str | None,

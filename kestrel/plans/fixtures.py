@@ -14,7 +14,7 @@ from kestrel.functions import text as tx
 from kestrel.functions.hashing import uniform
 from kestrel.operators import retrieval as rt
 
-RUN_DEPTH = 20
+RUN_DEPTH = 40
 N_TEMPS = 6
 
 

@@ -17,11 +17,11 @@ from kestrel.operators import rerank as rr
 from kestrel.plans import fixtures as fx
 
 
-def flagship(spark: SparkSession, d: str, k: int = 20, threshold: float = 0.6) -> DataFrame:
+def flagship(spark: SparkSession, d: str, k: int = fx.RUN_DEPTH, top_k: int = 20, threshold: float = 0.6) -> DataFrame:
     run = fx.run(spark, d, k)
     attempts = fx.attempts(spark, d)
     mean = attempts.groupBy("qid", "rank").agg(F.round(F.avg("c"), 9).alias("c"), F.round(F.avg("prob"), 9).alias("prob"))
-    best = rr.threshold_stop(mean, threshold=threshold, top_k=k)
+    best = rr.threshold_stop(mean, threshold=threshold, top_k=top_k)
     docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "lang", "text")
     q = fx.queries(spark, d).select("qid", F.array("answer").alias("answers"))
     chosen = (best.join(run.select("qid", "rank", "pid"), ["qid", "rank"])

@@ -50,7 +50,7 @@ _fx("bm_sc", ["bm_qt", "bm_tf", "bm_df", "bm_st"], """SELECT bm_qt.qid, bm_tf.pi
   FROM bm_qt JOIN bm_tf USING (term) JOIN bm_df USING (term), bm_st GROUP BY bm_qt.qid, bm_tf.pid""")
 _fx("fx_run", ["bm_sc"], """SELECT qid, pid, score, rank FROM (
   SELECT qid, pid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, pid ASC) - 1 AS INTEGER) AS rank
-  FROM bm_sc) WHERE rank < 20""")
+  FROM bm_sc) WHERE rank < 40""")
 _fx("fx_ctx", ["fx_run", "fx_corpus"], """SELECT r.qid, r.rank, r.pid, r.score, c.title, c.text
   FROM fx_run r JOIN fx_corpus c USING (pid)""")
 _fx("fx_attempts", ["fx_run"], f"""SELECT qid, rank, pid, t, (t + 10) / 10.0 AS temperature,

@@ -183,10 +183,10 @@ def d1(spark, d):
 
 
 @query("d2_topk_hits", sql("""SELECT CAST(k AS INTEGER) AS k, CAST(coalesce(sum(n) FILTER (WHERE best <= k), 0) AS BIGINT) AS hits
-FROM range(20) r(k), (SELECT best, count(*) AS n FROM (SELECT qid, min(rank) AS best FROM fx_hits WHERE hit GROUP BY qid) GROUP BY best)
+FROM range(40) r(k), (SELECT best, count(*) AS n FROM (SELECT qid, min(rank) AS best FROM fx_hits WHERE hit GROUP BY qid) GROUP BY best)
 GROUP BY k""", "fx_hits"))
 def d2(spark, d):
-    return ev.topk_hits(hits(spark, d), depth=20)
+    return ev.topk_hits(hits(spark, d), depth=40)
 
 
 KS = [1, 3, 5, 10]

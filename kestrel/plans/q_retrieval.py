@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kestrel.operators import lexical
 from kestrel.operators import retrieval as rt
 from kestrel.plans import fixtures as fx
 from kestrel.plans.registry import query, r6
 from kestrel.plans.oracle import sql
+from kestrel.session import scratch_folder
 
 
 @query("c1_bm25_topk", sql(
@@ -16,6 +18,24 @@ def c1_bm25_topk(spark, d):
     return fx.run(spark, d).select("qid", "pid", r6("score").alias("score"), "rank")
 
 
+@query("c1b_bm25_index", sql(
+    "SELECT qid, pid, round(score, 6) AS score, rank FROM fx_run", "fx_run"))
+def c1b(spark, d):
+    """The same run from an index that is written, closed and opened again."""
+    folder = scratch_folder(spark, "index")
+    lexical.build_index(fx.corpus(spark, d), folder, shard_passages=512)
+    run, _ = lexical.search(lexical.open_index(spark, folder), fx.queries(spark, d), fx.RUN_DEPTH)
+    return run.select("qid", "pid", r6("score").alias("score"), "rank")
+
+
+@query("c1c_bm25_english", None)
+def c1c(spark, d):
+    """Stop words dropped, terms stemmed (tests/ has the plain version)."""
+    index = lexical.build_index(fx.corpus(spark, d), scratch_folder(spark, "index"), analysis="english")
+    run, _ = lexical.search(index, fx.queries(spark, d), fx.RUN_DEPTH)
+    return run.select("qid", "pid", r6("score").alias("score"), "rank")
+
+
 @query("c8_assemble_contexts", sql(
     """SELECT qid, rank, pid AS id, title, text, round(score, 6) AS score FROM fx_ctx""", "fx_ctx"))
 def c8_assemble_contexts(spark, d):

@@ -85,13 +85,18 @@ def materialize(df: DataFrame) -> DataFrame:
     tables of an application share a folder that goes when the driver exits.
     """
     spark = df.sparkSession
+    path = scratch_folder(spark, "table")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path beside the materialized tables; it goes with them."""
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kestrel-tables/{spark.sparkContext.applicationId}"
     if folder not in _FOLDERS:
         _FOLDERS.add(folder)
         atexit.register(_remove, spark, folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return f"{folder}/{uuid.uuid4().hex}/{name}"
 
 
 _FOLDERS: set[str] = set()
