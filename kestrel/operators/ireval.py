@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kestrel.functions import arrays as ar
 from kestrel.functions import text as tx
 from kestrel.functions.arrays import bind
 from kestrel.operators.ordering import top_k_per_group
@@ -84,54 +85,46 @@ def rank_run(run: DataFrame, depth: int, ignore_identical_ids: bool = False) ->
 def ir_metrics(run: DataFrame, qrels: DataFrame, ks: list[int], group: list[str] | None = None,
                ignore_identical_ids: bool = False) -> DataFrame:
     """(group…, k, ndcg, map, recall, precision, mrr, recall_cap, hole)
-    averaged over the queries present in both the run and the qrels."""
+    averaged over the queries present in both the run and the qrels.
+
+    A query becomes one row: its first max(ks) passages with gain and whether
+    anybody judged them, and of its judgments the best max(ks) and the number of
+    relevant ones. Three joins bring that together; the metrics are array expressions on it."""
     group = list(group or [])
     kmax = max(ks)
     ranked = rank_run(run, kmax, ignore_identical_ids)
     q_rel = qrels.select("qid", "pid", F.col("rel").cast("double").alias("rel"))
-    judged_q = q_rel.select("qid").distinct()
-    judged_docs = q_rel.select("pid").distinct()
-    n_rel = q_rel.groupBy("qid").agg(F.sum(F.when(F.col("rel") > 0, 1).otherwise(0)).alias("n_rel"))
-
-    r = ranked.join(judged_q, "qid", "left_semi").join(q_rel, ["qid", "pid"], "left")
-    r = r.join(judged_docs.withColumn("_judged", F.lit(1)), "pid", "left")
-    w = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    relevant = (F.coalesce(F.col("rel"), F.lit(0.0)) > 0)
-    r = r.select(*group, "qid", "rank",
-                 F.coalesce(F.col("rel"), F.lit(0.0)).alias("gain"),
-                 relevant.cast("int").alias("hit"),
-                 F.sum(relevant.cast("int")).over(w).alias("cum_hits"),
-                 F.col("_judged").isNull().cast("int").alias("hole"))
-    ksarr = F.array(*[F.lit(k) for k in ks])
-    per = (r.select("*", F.explode(ksarr).alias("k")).where(F.col("rank") <= F.col("k"))
-           .groupBy(*group, "qid", "k").agg(
-               F.sum(F.col("gain") / F.log2(F.col("rank") + 1)).alias("dcg"),
-               F.sum(F.when(F.col("hit") == 1, F.col("cum_hits") / F.col("rank")).otherwise(0.0)).alias("ap_sum"),
-               F.sum("hit").alias("hits"),
-               F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first_hit"),
-               F.sum("hole").alias("holes")))
-    # ideal DCG from the qrels themselves: only the best max(ks) judgments of
-    # a query matter, so the WindowGroupLimit form keeps a query with a huge
-    # number of judgments from landing whole in one task
-    best = top_k_per_group(q_rel.where(F.col("rel") > 0), ["qid"], [F.col("rel").desc(), F.col("pid").asc()],
-                           kmax, rank_col="_i0").withColumn("_i", F.col("_i0") + 1)
-    ideal = (best.select("qid", "rel", "_i", F.explode(ksarr).alias("k")).where(F.col("_i") <= F.col("k"))
-             .groupBy("qid", "k").agg(F.sum(F.col("rel") / F.log2(F.col("_i") + 1)).alias("idcg")))
-    queries = ranked.join(judged_q, "qid", "left_semi").select(*group, "qid").distinct() \
-        .select("*", F.explode(ksarr).alias("k"))
-    m = (queries.join(per, [*group, "qid", "k"], "left").join(ideal, ["qid", "k"], "left")
-         .join(n_rel, "qid", "left"))
-    nr = F.coalesce("n_rel", F.lit(0))
-    hits = F.coalesce("hits", F.lit(0))
+    judged = q_rel.select("pid", F.lit(True).alias("_judged")).distinct()
+    seen = ranked.join(q_rel, ["qid", "pid"], "left").join(judged, "pid", "left")
+    rows = F.sort_array(F.collect_list(F.struct("rank", F.coalesce("rel", F.lit(0.0)).alias("gain"), F.col("_judged").isNull().alias("hole"))))
+    found = seen.groupBy(*group, "qid").agg(rows.alias("_rows"))  # max(ks) at most
+    # only the best max(ks) judgments of a query matter for the ideal: in WindowGroupLimit form a query with a huge
+    # number of judgments does not land whole in one task
+    best = top_k_per_group(q_rel.where(F.col("rel") > 0), ["qid"], [F.col("rel").desc(), F.col("pid").asc()], kmax, rank_col="_i")
+    ideal = (best.select("qid", F.struct("_i", "rel").alias("b"), F.lit(0).alias("n"))
+             .unionByName(q_rel.groupBy("qid").agg(F.sum(F.when(F.col("rel") > 0, 1).otherwise(0)).alias("n"))
+                          .select("qid", F.lit(None).cast("struct<_i:int,rel:double>").alias("b"), "n"))
+             .groupBy("qid").agg(F.sort_array(F.collect_list("b")).alias("_best"), F.sum("n").alias("n_rel")))
+    zero = F.lit(0.0)
+    total = lambda xs: F.aggregate(xs, zero, lambda s, x: s + x)
+    m = found.join(ideal, "qid").select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    at_k = F.filter("_rows", lambda r: r["rank"] <= F.col("k"))
+    m = m.withColumn("_rows", at_k).withColumn("_hit", F.filter("_rows", lambda r: r["gain"] > 0))
+    m = m.select(
+        *group, "qid", "k", "n_rel", F.size("_hit").alias("hits"), F.size(F.filter("_rows", lambda r: r["hole"])).alias("holes"),
+        total(F.transform("_rows", lambda r: r["gain"] / F.log2(r["rank"] + 1))).alias("dcg"),
+        total(F.transform(F.slice("_best", 1, F.col("k")), lambda r: r["rel"] / F.log2(r["_i"] + 2))).alias("idcg"),
+        total(F.transform("_hit", lambda r, i: (i + 1) / r["rank"])).alias("ap_sum"),
+        F.get("_hit", F.lit(0))["rank"].alias("first_hit"))
     m = m.select(
         *group, "qid", "k",
-        F.when(F.col("idcg") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")).otherwise(0.0).alias("ndcg"),
-        F.when(nr > 0, F.coalesce("ap_sum", F.lit(0.0)) / nr).otherwise(0.0).alias("map"),
-        F.when(nr > 0, hits / nr).otherwise(0.0).alias("recall"),
-        (hits / F.col("k")).alias("precision"),
-        F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0)).alias("mrr"),
-        F.when(nr > 0, hits / F.least(F.col("k"), nr)).otherwise(0.0).alias("recall_cap"),
-        (F.coalesce("holes", F.lit(0)) / F.col("k")).alias("hole"))
+        F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"),
+        F.when(F.col("n_rel") > 0, F.col("ap_sum") / F.col("n_rel")).otherwise(0.0).alias("map"),
+        F.when(F.col("n_rel") > 0, F.col("hits") / F.col("n_rel")).otherwise(0.0).alias("recall"),
+        (F.col("hits") / F.col("k")).alias("precision"),
+        F.coalesce(1.0 / F.col("first_hit"), zero).alias("mrr"),
+        F.when(F.col("n_rel") > 0, F.col("hits") / F.least(F.col("k"), F.col("n_rel"))).otherwise(0.0).alias("recall_cap"),
+        (F.col("holes") / F.col("k")).alias("hole"))
     return m.groupBy(*group, "k").agg(*[F.avg(c).alias(c) for c in
                                         ["ndcg", "map", "recall", "precision", "mrr", "recall_cap", "hole"]])
 
@@ -151,11 +144,20 @@ def exact_match(pred, golds) -> Column:
     return F.exists(_c(golds), lambda g: tx.normalize_answer(g) == p).cast("int")
 
 
+def _numbered(tokens: Column) -> Column:
+    """Each token with its occurrence (``the 1``, ``the 2``): equal bags have
+    equal sets. Linear behind the sort."""
+    def of(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
+        ends = lambda a: F.concat(F.slice(a, 2, F.size(a)), F.array(F.size(s)))
+        runs = ar.bind(starts, lambda a: F.flatten(F.zip_with(a, ends(a), lambda lo, hi: F.transform(
+            F.sequence(F.lit(1), hi - lo), lambda j: F.concat(F.get(s, lo), F.lit(" "), j)))))
+        return F.when(F.size(s) > 0, runs).otherwise(F.array().cast("array<string>"))
+    return ar.bind(F.array_sort(tokens), of)
+
+
 def _f1(pt: Column, gt: Column) -> Column:
-    common = F.aggregate(
-        F.array_distinct(pt), F.lit(0),
-        lambda acc, t: acc + F.least(F.size(F.filter(pt, lambda x: x == t)),
-                                     F.size(F.filter(gt, lambda x: x == t))))
+    common = F.size(F.array_intersect(pt, gt))
     prec = common / F.size(pt)
     rec = common / F.size(gt)
     return F.when(common == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
@@ -163,5 +165,5 @@ def _f1(pt: Column, gt: Column) -> Column:
 
 def token_f1(pred, golds) -> Column:
     """Bag-of-tokens F1 with multiplicity, max over golds."""
-    pt = tx.answer_tokens(_c(pred))
-    return F.array_max(F.transform(_c(golds), lambda g: _f1(pt, tx.answer_tokens(g))))
+    return ar.bind(_numbered(tx.answer_tokens(_c(pred))), lambda pt: F.array_max(
+        F.transform(_c(golds), lambda g: ar.bind(_numbered(tx.answer_tokens(g)), lambda gt: _f1(pt, gt)))))

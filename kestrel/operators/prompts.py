@@ -19,9 +19,12 @@ def render_chat(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
                 text: str = "text", system: str | None = None, add_generation_prompt: bool = True,
                 header: str = DEFAULT_HEADER, end: str = DEFAULT_END) -> DataFrame:
     pre, post = header.split("{role}")
+    """(conv, prompt, n_messages). A null role or text is empty: every
+    message of the table is in the prompt."""
+    empty = F.lit("")
     g = messages.groupBy(conv).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("r"),
-                                             F.col(text).alias("x")))).alias("_m"))
+        F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), F.coalesce(F.col(role), empty).alias("r"),
+                                             F.coalesce(F.col(text), empty).alias("x")))).alias("_m"))
     body = F.array_join(F.transform("_m", lambda m: F.concat(F.lit(pre), m["r"], F.lit(post), m["x"], F.lit(end))), "")
     parts = []
     if system is not None:

@@ -185,3 +185,28 @@ def test_numbered_slots(spark):
     df = spark.createDataFrame([(["p", "q"],)], "p array<string>")
     r = df.select(tx.judge_prompt("1 <prediction1> 2 <prediction2> 10 <prediction10>|<predictions>", "p").alias("x")).first().x
     assert r == "1 p 2 q 10 |1. p\n2. q"
+
+
+def test_chat_keeps_messages_with_nulls(spark):
+    from kestrel.operators.prompts import render_chat
+
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", None), (1, 2, None, "b")], "conv_id long, turn int, role string, text string")
+    r = render_chat(df, add_generation_prompt=False).first()
+    assert r.prompt == "<|user|>\na\n<|user|>\n\n<||>\nb\n" and r.n_messages == 3
+
+
+def test_token_f1_of_long_answers(spark):
+    from collections import Counter
+
+    from kestrel.operators import ireval as ev
+
+    long = " ".join(f"w{i % 7000}" for i in range(20_000))
+    rows = [(long, [long, "w1 w1 w2", ""]), ("", [""]), ("the", ["a"]), ("b b c", ["b c c", "b"]), (long, [long + " x y"])]
+    got = [r[0] for r in spark.createDataFrame(rows, "p string, g array<string>").coalesce(1).select(ev.token_f1("p", "g")).collect()]
+
+    def f1(p, g):
+        p, g = ([w for w in x.split() if w not in ("a", "an", "the")] for x in (p, g))
+        common = sum((Counter(p) & Counter(g)).values())
+        return 2 * common / (len(p) + len(g)) if common else 0.0
+
+    assert got == [__import__("pytest").approx(max(f1(p, g) for g in gs)) for p, gs in rows]
