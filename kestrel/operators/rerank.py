@@ -93,6 +93,19 @@ def merge_best_k(attempts: DataFrame, k: int, template: str, start: str, end: st
                                                   ("<title> - <context>", block)]).alias("z_prompt"))
 
 
+def merge_and_rescore(attempts: DataFrame, k: int, template: str, start: str, end: str, temperatures: list[float], score,
+                      key: str = "qid") -> DataFrame:
+    """(key, q, z_prompt, c): each question's best ``k`` attempts merged into
+    one prompt, and that prompt's confidence, the mean of its scores at every
+    temperature. ``score(df)`` adds ``c`` to rows with a ``prompt`` (the merged prompt with a
+    temperature line before ``end``); with ``score_stage`` a prompt is scored once."""
+    merged = merge_best_k(attempts, k, template, start, end, key).drop("context_block").na.drop("any")
+    at = merged.withColumn("temperature", F.explode(F.array(*[F.lit(float(t)) for t in temperatures])))
+    asked = at.withColumn("prompt", tx.inject_before("z_prompt", end, tx.temperature_line("temperature")))
+    c = ensemble_mean(score(asked.select(key, "temperature", "prompt")), [key])
+    return merged.join(c, key)
+
+
 def ensemble_mean(attempts: DataFrame, keys: list[str] | None = None, value: str = "c") -> DataFrame:
     keys = list(keys or ["qid", "rank"])
     return attempts.groupBy(*keys).agg(F.avg(value).alias(value))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kestrel.operators import calibration as cal
+from kestrel.operators import calls
 from kestrel.operators import models as md
 from kestrel.operators import scoring as scr
 from kestrel.plans import fixtures as fx
 from kestrel.plans.registry import query, r6
+from kestrel.operators import rerank as rr
 from kestrel.plans.oracle import sql
-from kestrel.plans.q_rerank import prompts
+from kestrel.plans.q_rerank import END, START, TEMPLATE, attempts_mean, prompts
 from kestrel.sources.io import scratch_path
 
 
@@ -51,3 +53,43 @@ def j1(spark, d):
     half.unionByName(half).write.parquet(cache)
     s = scr.score_stage(p, "z_prompt", scr.hash_scorer, cache_path=cache)
     return s.select("qid", "rank", r6("score").alias("score"))
+
+
+def flaky(prompt: str, attempt: int) -> float:
+    """Stand-in for a remote call: fails by a rule of prompt and attempt, else
+    the prompt's hash as a number."""
+    import hashlib
+
+    def first(text):
+        return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / 4294967296.0
+
+    if first(f"{prompt}-{attempt}") < 0.5:
+        raise TimeoutError(f"attempt {attempt}")
+    return first(prompt)
+
+
+@query("j1b_call_stage", sql("""SELECT qid, rank, round(CASE WHEN good IS NOT NULL THEN ('0x' || substr(md5(z_prompt), 1, 8))::BIGINT / 4294967296.0 END, 6) AS score,
+  CASE WHEN good IS NULL THEN 'TimeoutError: attempt 3' END AS error, CAST(coalesce(good, 3) AS INTEGER) AS calls
+FROM (SELECT *, list_min(list_filter([1, 2, 3], lambda a: ('0x' || substr(md5(z_prompt || '-' || a), 1, 8))::BIGINT / 4294967296.0 >= 0.5)) AS good
+  FROM fx_prompts)""", "fx_prompts"))
+def j1b(spark, d):
+    """Calls that fail half of the time, three attempts, waves of 500."""
+    p = prompts(spark, d).select("qid", "rank", "z_prompt")
+    s = calls.call_stage(p, "z_prompt", flaky, scratch_path(spark, "calls"), out="score", attempts=3, wait=0.001, wave_rows=500)
+    return s.select("qid", "rank", r6("score").alias("score"), F.col("score_error").alias("error"), F.col("score_calls").alias("calls"))
+
+
+_AT = ", ".join(str(1 + t / 10) for t in range(6))
+
+
+@query("e10_merge_rescore", sql(f"""SELECT qid, md5(z) AS z_md5, round(avg(('0x' || substr(md5(
+    replace(z, '{END}', printf('Temperature: %.4f', t) || chr(10) || '{END}')), 1, 8))::BIGINT / 4294967296.0), 6) AS c
+FROM (SELECT qid, replace(replace('{TEMPLATE.replace(chr(10), "' || chr(10) || '")}', '<question>', q), '<title> - <context>', block) AS z
+  FROM (SELECT qid, first(q ORDER BY pos) AS q, chr(10) || string_agg(sec, chr(10) ORDER BY pos) AS block FROM e6_top WHERE pos < 3 GROUP BY qid)),
+  (SELECT unnest([{_AT}])::DOUBLE AS t) GROUP BY qid, z""", "e6_top"))
+def e10(spark, d):
+    """Best three attempts merged, scored again at six temperatures, mean."""
+    a = prompts(spark, d).join(attempts_mean(spark, d), ["qid", "rank"]).join(fx.queries(spark, d).select("qid", "q"), "qid")
+    score = lambda df: scr.score_stage(df, "prompt", scr.hash_scorer, out="c")
+    m = rr.merge_and_rescore(a, 3, TEMPLATE, START, END, [1 + t / 10 for t in range(6)], score)
+    return m.select("qid", F.md5("z_prompt").alias("z_md5"), r6("c").alias("c"))
