@@ -26,18 +26,27 @@ def probe_features(features: str, temperature: str | None = None, fourier_k: int
 
 def fit_probe(df: DataFrame, features: str, label: str, weight: str | None = None,
               max_iter: int = 100, reg: float = 0.0, temperature: str | None = None, fourier_k: int = 6,
-              hidden: list[int] | None = None, seed: int = 0):
+              hidden: list[int] | None = None, seed: int = 0, n_classes: int | None = None):
     """Multinomial logistic regression probe (2 or 11 classes). ``weight``
     takes class weights (G13) or soft-label row weights (H7). With ``hidden``
-    (sizes of hidden layers, may be empty) a multilayer perceptron."""
+    (sizes of hidden layers, may be empty) a multilayer perceptron; if it has
+    weights or ``label`` is an array of shares (soft targets), the one of ``probe``."""
+    soft = df.schema[label].dataType.simpleString().startswith("array")
+    if soft and hidden is None:
+        raise ValueError("soft targets of a linear probe are weighted rows (soft_rows)")
+    if hidden is not None and (weight or soft):
+        from kestrel.operators.probe import fit_hidden_probe
+
+        if n_classes is None:
+            n_classes = int(df.select(F.max(F.size(label) if soft else F.col(label).cast("int") + 1)).first()[0])
+        return fit_hidden_probe(df, probe_features(features, temperature, fourier_k), F.col(label), n_classes, hidden,
+                                F.col(weight) if weight else None, reg, max_iter, seed=seed)
     from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
     from pyspark.ml.functions import array_to_vector
 
     x = df.withColumn("_f", array_to_vector(probe_features(features, temperature, fourier_k))) \
         .withColumn("_y", F.col(label).cast("double"))
     if hidden is not None:
-        if weight:
-            raise ValueError("the multilayer probe takes no row weights; repeat rows instead")
         sizes = x.select(F.max(F.size(probe_features(features, temperature, fourier_k))).alias("d"), (F.max("_y") + 1).alias("c")).first()
         layers = [int(sizes["d"]), *hidden, int(sizes["c"])]
         return MultilayerPerceptronClassifier(featuresCol="_f", labelCol="_y", layers=layers, maxIter=max_iter, seed=seed).fit(x)
@@ -53,6 +62,10 @@ def probe_predict(model, df: DataFrame, features: str, temperature: str | None =
     """Adds ``probs`` (array<double>, one entry per class) and ``pred``."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    from kestrel.operators.probe import HiddenProbe
+
+    if isinstance(model, HiddenProbe):
+        return model.predict(df, probe_features(features, temperature, fourier_k))
     x = df.withColumn("_f", array_to_vector(probe_features(features, temperature, fourier_k)))
     out = model.transform(x)
     return out.withColumn("probs", vector_to_array("probability")) \

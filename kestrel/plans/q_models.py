@@ -26,6 +26,18 @@ def i1(spark, d):
     return p.select("vec_id", "label", "pred", r6(F.array_max("probs")).alias("conf"))
 
 
+@query("i1b_weighted_probe", None)
+def i1b(spark, d):
+    """Hidden layers, class weights; quasi-Newton over all rows (a fixed number
+    of steps; tests/ compares weights with repeated rows)."""
+    e = fx.table(spark, d, "embeddings")
+    w = cal.class_weights(e, "label", 10)
+    x = e.join(F.broadcast(w), e.label == w.cls).drop("cls")
+    model = md.fit_probe(x, "embedding", "label", weight="weight", hidden=[32, 16], max_iter=20)
+    p = md.probe_predict(model, e.select("vec_id", "embedding", "label"), "embedding")
+    return p.select("vec_id", "label", "pred", r6(F.array_max("probs")).alias("conf"))
+
+
 # the mean NLL is convex in a = 1/T: a bisection on its slope in SQL
 @query("i2_fit_temperature", sql("""SELECT * FROM (WITH RECURSIVE z AS (SELECT list_transform(logits, lambda v: v * 20.0) AS z, y FROM fx_logits),
 slope AS (SELECT 1 AS step, 1e-3 AS lo, 1e3 AS hi UNION ALL

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from kestrel.functions.hashing import order_key
 from kestrel.operators import lexical
 from kestrel.operators import retrieval as rt
+from kestrel.operators import vector_index
 from kestrel.plans import fixtures as fx
 from kestrel.plans.registry import query, r6
 from kestrel.plans.oracle import sql
@@ -108,6 +111,31 @@ def c5(spark, d):
     return rt.pq_topk(codes, books, v, k=10).select("qid", "pid", r6("score").alias("score"), "rank")
 
 
+#: Codebooks that SQL can say too: the sub-vectors of 16 rows.
+_BOOKS = "SELECT row_number() OVER (ORDER BY md5('5-' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS code, CAST(embedding AS DOUBLE[]) AS b FROM embeddings"
+
+
+@query("c5b_pq_index", sql(f"""WITH books AS (SELECT code, s, b[s * 8 + 1:s * 8 + 8] AS c FROM ({_BOOKS}), range(8) r(s) WHERE code < 16),
+v AS (SELECT vec_id, s, CAST(embedding AS DOUBLE[])[s * 8 + 1:s * 8 + 8] AS x FROM embeddings, range(8) r(s)),
+coded AS (SELECT vec_id, s, arg_min(code, round(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 12) * 100 + code / 1e12) AS code
+  FROM v JOIN books USING (s) GROUP BY vec_id, s),
+lut AS (SELECT vec_id AS qid, s, code, list_dot_product(x, c) AS part FROM v JOIN books USING (s) WHERE vec_id % 10 = 0),
+scores AS (SELECT qid, vec_id AS pid, round(sum(part), 9) AS s9 FROM lut JOIN coded USING (s, code) GROUP BY qid, vec_id)
+SELECT qid, pid, round(s9, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s9 DESC, pid) - 1 AS rank FROM scores) WHERE rank < 10"""))
+def c5b(spark, d):
+    """A stored index: books first, two additions, opened again."""
+    v = vecs(spark, d)
+    first = v.orderBy(order_key(5, F.col("pid")), "pid").limit(16).select("embedding").collect()  # the books
+    rows = np.array([r["embedding"] for r in first], float)
+    books = rows.reshape(16, 8, -1).transpose(1, 0, 2)
+    folder = scratch_folder(spark, "vectors")
+    index = vector_index.create_vector_index(spark, folder, books)
+    index.add(v.where("pid % 3 = 0")).add(v.where("pid % 3 <> 0"))
+    index = vector_index.open_vector_index(spark, folder)
+    return index.search(v.where("qid % 10 = 0"), 10).select("qid", "pid", r6("score").alias("score"), "rank")
+
+
 @query("c6_sample_corpus", sql("SELECT doc_id AS pid FROM documents ORDER BY md5('3-' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 50"))
 def c6(spark, d):
     return rt.sample_corpus(fx.corpus(spark, d), 50, seed=3).select("pid")

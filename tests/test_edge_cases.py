@@ -164,8 +164,38 @@ def test_multilayer_probe_learns_what_a_linear_one_cannot(spark):
         p = models.probe_predict(models.fit_probe(df, "v", "y", hidden=hidden, max_iter=200, seed=3), df, "v")
         right[bool(hidden)] = p.agg(F.avg((F.col("pred") == F.col("y")).cast("double"))).first()[0]
     assert right[True] > 0.9 > 0.7 > right[False]
+
+
+def test_weighted_hidden_probe(spark):
+    """Weights equal repeated rows, soft targets learn what a linear probe
+    cannot, and sums that meet in several steps are the same."""
+    from kestrel.operators import probe
+
+    rng = np.random.default_rng(1)
+    x = rng.uniform(-1, 1, size=(300, 2))
+    rows = [(list(map(float, v)), int((v[0] > 0) != (v[1] > 0)), float(1 + i % 3)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "v array<double>, y int, w double").coalesce(2)
+    many = df.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
+    a = models.fit_probe(df, "v", "y", weight="w", hidden=[8], max_iter=8, seed=3)
+    b = models.fit_probe(many.withColumn("one", F.lit(1.0)), "v", "y", weight="one", hidden=[8], max_iter=8, seed=3)
+    assert np.abs(a.theta - b.theta).max() < 1e-6 and (a.iterations, a.converged) == (8, False)
+    soft = df.withColumn("t", F.when(F.col("y") == 1, F.array(F.lit(0.1), F.lit(0.9))).otherwise(F.array(F.lit(0.9), F.lit(0.1))))
+    m = models.fit_probe(soft, "v", "t", hidden=[8], max_iter=60, seed=3)
+    p = models.probe_predict(m, df, "v")
+    assert p.columns == ["v", "y", "w", "probs", "pred"]
+    assert p.agg(F.avg((F.col("pred") == F.col("y")).cast("double"))).first()[0] > 0.9
+    assert p.agg(F.max(F.array_max("probs"))).first()[0] < 0.99  # targets of 0.9 are met, not 1
+    table = df.repartition(40).select("v", F.array(F.lit(1.0), F.lit(0.0)).alias("t"), "w")
+    theta = rng.normal(size=2 * 8 + 8 + 8 * 2 + 2)
+    got = probe._Objective(table, [2, 8, 2], 0.1)(theta)
+    t = np.tile([1.0, 0.0], (300, 1))
+    w = np.array([r[2] for r in rows])
+    plain = lambda th: -(w * (t * probe._forward(probe._unpacked(th, [2, 8, 2]), x)[1]).sum(1)).sum() / w.sum() + 0.05 * th @ th
+    step = 1e-6 * np.eye(len(theta))
+    assert got[0] == pytest.approx(plain(theta))
+    assert got[1] == pytest.approx([(plain(theta + s) - plain(theta - s)) / 2e-6 for s in step], abs=1e-5)
     with pytest.raises(ValueError):
-        models.fit_probe(df, "v", "y", weight="y", hidden=[4])
+        models.fit_probe(soft, "v", "t")
 
 
 @pytest.mark.parametrize("text, want", [

@@ -180,3 +180,27 @@ def test_postings_counts_vocab_filter_and_doc_rows(spark):
     assert terms == {k: v for k, v in ref.items() if k[1] in ("apple", "cherry")}
     lens = {r.pid: r.dl for r in got if r.term is None}
     assert lens == {1: 4, 2: 3, 3: 4, 4: 2, 5: 0}
+
+
+def test_stored_vector_index(spark, tmp_path):
+    import numpy as np
+    import pytest
+
+    from kestrel.operators import vector_index as vi
+
+    e = spark.read.parquet(f"{SF001}/embeddings.parquet").select(F.col("vec_id").alias("pid"), F.col("vec_id").alias("qid"), "embedding")
+    books = rt.pq_train(e, m=8, nbits=4, seed=1)
+    folder = str(tmp_path / "index")
+    index = vi.create_vector_index(spark, folder, books)
+    assert index.search(e.limit(3), 5).collect() == []
+    index = index.add(e.where("pid < 300")).add(e.where("pid >= 300"))
+    again = vi.open_vector_index(spark, folder)
+    assert np.array_equal(again.books, books)
+    assert sorted(map(tuple, again.search(e, 5).collect())) == sorted(map(tuple, rt.pq_topk(rt.pq_encode(e, books), books, e, 5).collect()))
+    with pytest.raises(ValueError, match="already"):
+        again.add(e.where("pid = 7"))
+    assert vi.open_vector_index(spark, folder).codes.count() == 500  # the refused addition does not count
+    spark.createDataFrame([("lost", 3)], "addition string, n long").write.mode("append").parquet(f"{folder}/additions")
+    spark.createDataFrame([(9000, bytes(8))], "pid long, codes binary").write.parquet(f"{folder}/codes/lost")
+    with pytest.raises(ValueError, match="were written"):
+        vi.open_vector_index(spark, folder)
