@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions import arrays as ar
 from kestrel.functions import text as tx
-from kestrel.operators.ordering import prefix_sums
+from kestrel.operators.ordering import dense_index, prefix_sums
 from kestrel.session import join_null_safe, materialize
 
 EPS = 1e-15
@@ -301,16 +301,17 @@ def class_weights(df: DataFrame, label: str, n_classes: int) -> DataFrame:
 
 
 def embedding_spread(df: DataFrame, vec: str, group=None, dim: int | None = None) -> DataFrame:
-    """Mean over dimensions of the per-dimension sample std (n − 1)."""
+    """Mean over dimensions of the per-dimension sample std (n − 1); null for
+    a single vector. One vector aggregate, whatever the number of dimensions."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     group = list(group or [])
-    if dim is None:
-        dim = int(df.select(F.size(vec)).first()[0])
-    aggs = [F.stddev_samp(F.col(vec)[i].cast("double")).alias(f"_s{i}") for i in range(dim)]
-    g = df.groupBy(*group).agg(*aggs)
-    total = F.col("_s0")
-    for i in range(1, dim):
-        total = total + F.col(f"_s{i}")
-    return g.select(*group, (total / dim).alias("spread"))
+    rows = df.where(F.col(vec).isNotNull()).select(*group, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    g = rows.groupBy(*group).agg(Summarizer.metrics("std", "count").summary(F.col("_v")).alias("_s"))
+    std = vector_to_array(F.col("_s.std"))
+    mean = F.aggregate(std, F.lit(0.0), lambda a, x: a + x) / F.size(std)
+    return g.select(*group, F.when(F.col("_s.count") > 1, mean).alias("spread"))
 
 
 DIVERGENCES = ("reverse_kl", "forward_kl", "jsd")
@@ -414,6 +415,44 @@ def queue_contrast(df: DataFrame, q: str, k: str, queue: DataFrame, qvec: str,
     return x.select(F.col("_r").alias("row_id"), (F.col("_best") == -2).cast("double").alias("hit"), ce.alias("loss"))
 
 
+def _score_window(temperature: float):
+    """Query rows of a batch × a block of keys, of which those at positions
+    ``lo`` to ``hi`` - 1 count."""
+    def fn(batches):
+        for pdf in batches:
+            for lo, hi, qs, ks in zip(pdf["lo"], pdf["hi"], pdf["qs"], pdf["ks"]):
+                keys = [x["v"] for x in ks if lo <= x["p"] < hi]
+                if keys:
+                    s = np.array([x["v"] for x in qs], np.float64) @ np.array(keys, np.float64).T / temperature
+                    m = s.max(axis=1)
+                    yield pd.DataFrame({"_r": [x["r"] for x in qs], "m": m, "e": np.exp(s - m[:, None]).sum(axis=1), "t": s.sum(axis=1),
+                                        "n": s.shape[1], "best": -1, "own": [None] * len(m)}).astype({"own": "float64"})
+    return fn
+
+
+def moving_queue_contrast(df: DataFrame, batch: str, row: str, q: str, k: str, size: int, temperature: float = 1.0,
+                          label_smoothing: float = 0.0, block: int = BLOCK_ROWS) -> DataFrame:
+    """As ``queue_contrast`` with the queue that moves along: a batch meets
+    its own key and the last ``size`` keys of the batches before it (fewer at the
+    start; none in the first batch). Keys lie in blocks by their position, and a batch
+    is joined with the blocks that its window overlaps only."""
+    src = df.select(F.col(batch).alias("b"), F.col(row).cast("long").alias("r"), F.col(q).cast("array<double>").alias("_q"),
+                    F.col(k).cast("array<double>").alias("_k"))
+    placed = materialize(dense_index(src, ["b", "r"], out="p").withColumn("blk", F.floor(F.col("p") / block)))
+    keys = placed.groupBy("blk").agg(F.collect_list(F.struct("p", F.col("_k").alias("v"))).alias("ks"))
+    asked = placed.groupBy("b", "blk").agg(F.collect_list(F.struct("r", F.col("_q").alias("v"))).alias("qs")).drop("blk")
+    window = placed.groupBy("b").agg(F.min("p").alias("hi")).withColumn("lo", F.greatest(F.col("hi") - size, F.lit(0))).where("hi > 0")
+    needs = window.withColumn("blk", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
+    met = join_null_safe(asked, needs, ["b"]).join(keys, "blk").select("lo", "hi", "qs", "ks")
+    parts = met.mapInPandas(_score_window(temperature), "_r long, m double, e double, t double, n long, best long, own double")
+    own = placed.select(F.col("r").alias("_r"), (ar.dot("_q", "_k") / temperature).alias("s"))
+    first = own.select("_r", F.col("s").alias("m"), F.lit(1.0).alias("e"), F.col("s").alias("t"), F.lit(1).cast("long").alias("n"),
+                       F.lit(-2).cast("long").alias("best"), F.col("s").alias("own"))
+    x = _combine(parts.unionByName(first), ["_r"])
+    ce = (1 - label_smoothing) * (F.col("_lse") - F.col("_own")) + label_smoothing * (F.col("_lse") - F.col("_mean"))
+    return x.select(F.col("_r").alias(row), (F.col("_best") == -2).cast("double").alias("hit"), ce.alias("loss"))
+
+
 def calibration_report(df: DataFrame, y: str, p: str, group: list[str] | None = None,
                        n_bins: int = 15, zero_in_first_bin: bool = False) -> DataFrame:
     """n, acc, ece, brier, nll, auroc per group for numeric confidences — one

@@ -178,8 +178,7 @@ def pad_with_mask(df: DataFrame, tokens: str, batch: str, side: str = "right",
     """Pad each row to its batch's longest row; 1/0 mask.
 
     The batch width is a grouped ``max`` (partial aggregation, so a huge
-    batch is never one task) joined back — broadcast when the batch table is
-    small (checked)."""
+    batch is never one task) joined back."""
     widths = df.groupBy(batch).agg(F.max(F.size(tokens)).alias("_max"))
     x = join_null_safe(df, widths, [batch])
     pad = F.array_repeat(F.lit(pad_id), F.col("_max") - F.size(tokens))

@@ -395,18 +395,18 @@ def pool_vectors(df: DataFrame, key: str, pos: str, vec: str, mask: str | None =
     """Masked mean over positions (``mode='mean'``) or the first position
     (``mode='cls'``) per key → ``(key, pooled array<double>)``.
 
-    The mean is one hash aggregate with one ``avg`` per dimension (partial
-    aggregation map-side, no per-group collection of vectors).
-    """
-    src = df if mask is None else df.where(F.col(mask) == 1)
+    The mean is one vector aggregate (partial aggregation map-side, no
+    per-group collection of vectors, one expression whatever the number of
+    dimensions)."""
     if mode == "cls":
         first = df.groupBy(key).agg(F.min_by(F.col(vec), F.col(pos)).alias("pooled"))
         return first.select(key, F.col("pooled").cast("array<double>").alias("pooled"))
-    if dim is None:
-        dim = int(df.select(F.size(vec)).first()[0])
-    aggs = [F.avg(F.col(vec)[i].cast("double")).alias(f"_d{i}") for i in range(dim)]
-    g = src.groupBy(key).agg(*aggs)
-    return g.select(key, F.array(*[F.col(f"_d{i}") for i in range(dim)]).alias("pooled"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    src = (df if mask is None else df.where(F.col(mask) == 1)).where(F.col(vec).isNotNull())
+    rows = src.select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    return rows.groupBy(key).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(key, vector_to_array("_m").alias("pooled"))
 
 
 # ---------------------------------------------------------------------------
@@ -432,8 +432,8 @@ def assemble_contexts(run: DataFrame, corpus: DataFrame, pid: str = "pid",
                       title: str = "title", text: str = "text") -> DataFrame:
     """(qid, contexts) with contexts ordered by rank.
 
-    The run is small next to the corpus (queries × k), so after a size check
-    it is broadcast and the corpus is streamed through the join un-shuffled.
+    The run (queries × k rows) is joined with the corpus; Spark broadcasts or
+    shuffles it by its size.
     """
     docs = corpus.select(F.col(pid).alias("pid"), F.col(title).alias("title"), F.col(text).alias("text"))
     r = run.select("qid", "pid", "score", "rank")

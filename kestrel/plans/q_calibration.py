@@ -262,6 +262,22 @@ def g16(spark, d):
     return r.select("row_id", "hit", r6("loss").alias("loss"))
 
 
+# the queue as it moves: the 64 keys before each batch of 16
+register("g16b_s", ["fx_pairs"], """SELECT p.row_id, list_dot_product(p.q, p.k) / 0.1 AS pos,
+  list(list_dot_product(p.q, o.k) / 0.1) FILTER (o.row_id IS NOT NULL) AS negs
+  FROM (SELECT *, min(pl) OVER (PARTITION BY batch_id) AS first_pl FROM (SELECT *, row_number() OVER (ORDER BY batch_id, row_id) AS pl FROM fx_pairs)) p
+  LEFT JOIN (SELECT row_id, k, row_number() OVER (ORDER BY batch_id, row_id) AS pl FROM fx_pairs) o ON o.pl >= p.first_pl - 64 AND o.pl < p.first_pl
+  GROUP BY p.row_id, p.q, p.k""")
+
+
+@query("g16b_moving_queue", sql("""SELECT row_id, CAST(CASE WHEN negs IS NULL OR pos >= list_max(negs) THEN 1 ELSE 0 END AS DOUBLE) AS hit,
+  round(m + ln(exp(pos - m) + coalesce(list_sum(list_transform(negs, lambda x: exp(x - m))), 0)) - pos, 6) + 0.0 AS loss
+  FROM (SELECT *, greatest(pos, coalesce(list_max(negs), pos)) AS m FROM g16b_s)""", "g16b_s"))
+def g16b(spark, d):
+    r = cal.moving_queue_contrast(pairs(spark, d), "batch_id", "row_id", "q", "k", 64, temperature=0.1, block=50)
+    return r.select("row_id", "hit", (r6("loss") + F.lit(0.0)).alias("loss"))
+
+
 # ---------------------------------------------------------------------------
 # F1 – F7
 # ---------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.hashing import order_key
 from kestrel.operators import lexical
+from kestrel.operators import norm_search
 from kestrel.operators import retrieval as rt
 from kestrel.operators import vector_index
 from kestrel.plans import fixtures as fx
@@ -62,11 +63,22 @@ def vecs(spark, d):
                                                    "embedding", "label")
 
 
-@query("c2_dense_topk", sql("""SELECT qid, pid, round(s9, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+_DENSE = sql("""SELECT qid, pid, round(s9, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT qid, pid, s9, row_number() OVER (PARTITION BY qid ORDER BY s9 DESC, pid ASC) - 1 AS rank FROM (
     SELECT a.vec_id AS qid, b.vec_id AS pid,
            round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS s9
-    FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE rank < 10"""))
+    FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE rank < 10""")
+
+
+@query("c2b_bounded_topk", _DENSE)
+def c2b(spark, d):
+    """The same from blocks in order of norm, skipped by their bounds."""
+    v = vecs(spark, d)
+    r, _ = norm_search.bounded_topk(norm_search.norm_blocks(v), v, 10, exclude_self=True)
+    return r.select("qid", "pid", r6("score").alias("score"), "rank")
+
+
+@query("c2_dense_topk", _DENSE)
 def c2(spark, d):
     v = vecs(spark, d)
     r = rt.dense_topk(v, v, k=10, exclude_self=True)

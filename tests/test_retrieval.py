@@ -204,3 +204,63 @@ def test_stored_vector_index(spark, tmp_path):
     spark.createDataFrame([(9000, bytes(8))], "pid long, codes binary").write.parquet(f"{folder}/codes/lost")
     with pytest.raises(ValueError, match="were written"):
         vi.open_vector_index(spark, folder)
+
+
+def test_bounded_topk_is_exact_and_skips(spark):
+    """Norms over four powers of ten, ties, nulls, several slabs."""
+    import numpy as np
+
+    from kestrel.operators import norm_search as ns
+
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(1500, 8)) * 10.0 ** rng.uniform(-4, 0, size=(1500, 1))
+    m[700:720] = m[3]
+    rows = [(i, i, [float(x) for x in v]) for i, v in enumerate(m)] + [(2000, None, None), (2001, None, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "pid long, qid long, embedding array<double>")
+    blocks = ns.norm_blocks(df, block_rows=50)
+    asked = df.where("qid % 30 = 3")
+    run, pairs = ns.bounded_topk(blocks, asked, 5, exclude_self=True, slab=20)
+    got = {}
+    for r in run.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.pid)
+    assert len(got) == 50
+    for q in got:
+        s = np.round(m @ m[q], 9)
+        s[q] = -np.inf
+        assert got[q] == np.lexsort((np.arange(1500), -s))[:5].tolist()
+    c = pairs.first()
+    assert c.skipped > 0.5 * c.met
+    none, _ = ns.bounded_topk(blocks, asked.where("false"), 5)
+    assert none.collect() == []
+
+
+def test_pooling_and_spread_of_wide_vectors(spark):
+    import numpy as np
+
+    from kestrel.operators import calibration as cal
+
+    m = np.random.default_rng(2).normal(size=(40, 1024))
+    df = spark.createDataFrame([(i % 3, i, [float(x) for x in v]) for i, v in enumerate(m)] + [(9, 99, None)], "k int, i int, v array<double>")
+    got = {r.k: r.pooled for r in rt.pool_vectors(df, "k", "i", "v").collect()}
+    assert got.keys() == {0, 1, 2} and all(np.allclose(got[k], m[k::3].mean(0)) for k in got)
+    spread = {r.k: r.spread for r in cal.embedding_spread(df, "v", ["k"]).collect()}
+    assert all(np.isclose(spread[k], m[k::3].std(0, ddof=1).mean()) for k in range(3))
+    assert cal.embedding_spread(df.limit(1), "v").first().spread is None
+
+
+def test_moving_queue_meets_its_window_only(spark):
+    import numpy as np
+
+    from kestrel.operators import calibration as cal
+
+    rng = np.random.default_rng(3)
+    q, k = rng.normal(size=(2, 90, 4))
+    b = np.sort(rng.integers(0, 9, 90))
+    df = spark.createDataFrame([(int(b[i]), i, q[i].tolist(), k[i].tolist()) for i in range(90)], "b int, r long, q array<double>, k array<double>")
+    for size, block in ((25, 7), (1000, 16), (1, 1024)):
+        got = {x.r: x for x in cal.moving_queue_contrast(df.repartition(3), "b", "r", "q", "k", size, 0.5, block=block).collect()}
+        assert len(got) == 90
+        for i in range(90):
+            at = int(np.argmax(b == b[i]))
+            s = np.array([q[i] @ k[i], *(k[max(0, at - size):at] @ q[i])]) / 0.5
+            assert np.isclose(got[i].loss, np.log(np.exp(s - s.max()).sum()) + s.max() - s[0]) and got[i].hit == float(s[0] >= s.max())

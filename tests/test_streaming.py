@@ -26,3 +26,27 @@ def test_stream_matches_batch(spark, tmp_path):
         assert got[k]["n"] == ref[k]["n"]
         for m in ["acc", "ece", "brier", "nll"]:
             assert abs(got[k][m] - ref[k][m]) < 1e-12
+
+
+def test_report_follows_every_file(spark, tmp_path):
+    """One file at a time, the stream stopped and started in between; after
+    each file the report is the batch bundle of what came so far."""
+    rng = random.Random(5)
+    src, checkpoint, counts = (str(tmp_path / x) for x in ("src", "ckpt", "counts"))
+    rows = []
+    for i in range(3):
+        new = [("ab"[rng.randrange(2)], rng.randint(0, 1), round(rng.random(), 1)) for _ in range(50)] + [("late", 1, 0.5)] * (i == 2) + [("a", 1, None)]
+        rows += new
+        spark.createDataFrame(new, "dataset string, y int, p double").coalesce(1).write.mode("append").parquet(src)
+        q = cs.start_score_counts(spark, src, "dataset string, y int, p double", checkpoint, counts, state_partitions=2)
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        scored = spark.createDataFrame([r for r in rows if r[2] is not None], "dataset string, y int, p double")
+        want = {r.dataset: r for r in cal.calibration_report(scored, "y", "p", ["dataset"]).collect()}
+        got = {r.dataset: r for r in cs.counts_report(spark, counts).collect()}
+        assert got.keys() == want.keys()
+        for d, w in want.items():
+            for m in ("n", "acc", "ece", "brier", "nll", "auroc"):
+                assert got[d][m] == w[m] or abs(got[d][m] - w[m]) < 1e-12, (i, d, m)
