@@ -2,12 +2,14 @@
 
 Alternating the two star operations keeps the components and turns every one
 into a star around its smallest node; the number of rounds grows with the
-logarithm of the diameter. Edges stay in Spark throughout.
+logarithm of the diameter. Edges stay in Spark throughout. Minima are
+aggregates, combined before the shuffle; they are written and joined back to
+the edges, so that Spark can broadcast them or split a centre with many edges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import drop_table, materialize
@@ -20,18 +22,27 @@ def star_components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = F.least(F.col("a"), F.min("b").over(Window.partitionBy("a")))
-        large = both.withColumn("m", low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = F.min("b").over(Window.partitionBy("a"))
-        small = large.withColumn("m", low)
+        low = _smallest(both)
+        # the larger neighbours of each node to the smallest one it has, or itself
+        large = (both.where("b > a").join(low, F.col("a") == F.col("of"))
+                 .select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
+        large = materialize(large.distinct())
+        low_large = _smallest(large)
         # each node to its smallest neighbour, and its other neighbours to that one
+        small = large.join(low_large, F.col("a") == F.col("of"))
         nxt = small.select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
         after = materialize(nxt.where("a <> b").distinct())
         new = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        drop_table(now)
+        for t in (now, low, large, low_large):
+            drop_table(t)
         now = after
         if new == mark:
             break
         mark = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _smallest(edges: DataFrame) -> DataFrame:
+    """(of, m): the smallest neighbour of every node."""
+    return materialize(edges.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")))

@@ -14,8 +14,9 @@ common values (so lists of one group mostly have the same), and the classes of
 all lists with one hub are a star group. First every class is compared with
 its hubs only: linear work, which joins all but the outer members of a group
 of near copies into one component. Then the loose members, those still outside
-their hub's component, meet the members of their groups in blocks of bounded
-size inside tasks; a block pair sends on one link for each loose class and
+their hub's component, meet the members of their groups in blocks bounded in
+classes and bytes; a key of that join holds one loose block and up to ``RUN``
+member blocks, and a block pair sends on one link for each loose class and
 component at most. Two classes of a list are both in its hub's group, so no
 pair that might link two components is left out. Estimates come from the
 sketches; links are confirmed on whole sets.
@@ -38,6 +39,8 @@ from kestrel.llm.components import star_components
 SKETCH = 64
 MISS = 1e-8
 BLOCK = 128  # classes of a block
+BLOCK_BYTES = 4 << 20  # and bytes of their sets; a larger set is a block of its own size
+RUN = 16  # member blocks that meet a loose block under one key
 _WORDS_KEPT = 150_000
 _word_hash: dict[bytes, int] = {}
 
@@ -179,7 +182,7 @@ def _prefix_lists(classes: DataFrame, k: int, shared: int, percent: int) -> Data
     """(v, cid, n, common): classes under the rarest of their retained values
     that a partner must share one of; values of two classes or more."""
     posts = classes.select("cid", "n", F.explode("sketch").alias("v"))
-    often = posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    often = materialize(posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     # sets well below k are known whole, and so are those of all their possible partners
     whole = F.col("n") * 100 <= k * percent
     size = F.least(F.col("n"), F.lit(k))
@@ -189,7 +192,9 @@ def _prefix_lists(classes: DataFrame, k: int, shared: int, percent: int) -> Data
         "v", "cid", "n", F.row_number().over(by_rarity).alias("r"),
         F.count("*").over(Window.partitionBy("cid")).alias("common"))
     once = size - F.col("common")  # values of no other class come first
-    return ranked.where(F.col("r") + once <= size - needed + 1).select("v", "cid", "n", "common")
+    lists = materialize(ranked.where(F.col("r") + once <= size - needed + 1).select("v", "cid", "n", "common"))
+    drop_table(often)
+    return lists
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH, id_col: str = "doc_id",
@@ -210,9 +215,10 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, k: int = S
                                  F.col(text_col).alias("text"))
                        .mapInArrow(_sketches(width, k), "doc bigint, rk bigint, n bigint, cid bigint, sketch array<bigint>"))
     classes = rows.where("n > 0").select("cid", "n", "sketch").dropDuplicates(["cid"])
-    lists = materialize(_prefix_lists(classes, k, shared, percent))
+    lists = _prefix_lists(classes, k, shared, percent)
     hubs = (lists.groupBy("v").agg(F.max(F.struct("common", F.bitwise_not("cid").alias("low"), "n")).alias("top"), F.count("*").alias("c"))
             .where("c > 1").select("v", F.bitwise_not("top.low").alias("hub"), F.col("top.n").alias("hub_n")))
+    hubs = materialize(hubs)  # a table, so that the lists of a value in very many classes can be split
     group = materialize(lists.join(hubs, "v").where("hub <> cid").select("hub", "cid", "n", "hub_n").distinct())
     parts = materialize(_members(df, rows, group, width, id_col, text_col))
     sets = parts.select("cid", "codes")
@@ -221,12 +227,15 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, k: int = S
              .join(sets.select(F.col("cid").alias("hub"), F.col("codes").alias("hub_codes")), "hub").select("hub", "cid", "hub_codes", "codes"))
     links = materialize(stars.mapInArrow(_verify(k, shared, percent), "a bigint, b bigint"))
     first = materialize(star_components(links))
-    late = materialize(_loose_links(group, sets, first, k, shared, percent))
+    late = _loose_links(group, sets, first, k, shared, percent)
     roots = star_components(links.unionByName(late))
     ids = rows.select("doc", "rk", F.col("n").alias("n_shingles"), "cid")
-    ids = ids.join(roots, ids["cid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cid"))
-    least = ids.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"))
-    out = ids.join(least.withColumnRenamed("root", "own"), F.col("root") == F.col("own"), "left")
+    ids = materialize(ids.join(roots, ids["cid"] == roots["node"], "left")
+                      .select("doc", "rk", "n_shingles", "cid", F.coalesce("root", "cid").alias("root")))
+    least = materialize(ids.where("root is not null").groupBy(F.col("root").alias("own")).agg(F.min("doc").alias("least")))
+    for t in (rows, lists, hubs, group, parts, links, first, late, roots):
+        drop_table(t)
+    out = ids.join(least, F.col("root") == F.col("own"), "left")
     component = F.when(F.col("cid").isNull(), F.col("doc")).otherwise(F.col("least"))
     return out.select("doc", "rk", "n_shingles", component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))
 
@@ -245,20 +254,27 @@ def _loose_links(group: DataFrame, sets: DataFrame, roots: DataFrame, k: int, sh
     """Links of the members that are outside their hub's component with the
     other members of their groups."""
     root = roots.select("node", "root")
-    at = (group.select("hub", "cid").join(root, group["cid"] == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cid"))
-          .select("hub", "cid", "comp"))
+    at = (group.select("hub", "cid", "n").join(root, group["cid"] == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cid"))
+          .select("hub", "cid", "n", "comp"))
     of_hub = root.select(F.col("node").alias("h"), F.col("root").alias("hub_root"))
     at = materialize(at.join(of_hub, F.col("hub") == F.col("h"), "left")
-                     .select("hub", "cid", "comp", (F.col("comp") != F.coalesce("hub_root", "hub")).alias("loose")))
-    size = at.groupBy("hub").agg(F.count("*").alias("m"), F.count(F.when(F.col("loose"), 1)).alias("l")).where("l > 0 and m > 1")
-    blocks = [F.ceil(F.col(c) / BLOCK) for c in ("m", "l")]
-    deal = [F.pmod(F.xxhash64("cid"), b).alias(name) for b, name in zip(blocks, ("mb", "lb"))]
-    dealt = at.join(size, "hub").select("hub", "cid", "comp", "loose", *deal).join(sets, "cid")
+                     .select("hub", "cid", "n", "comp", (F.col("comp") != F.coalesce("hub_root", "hub")).alias("loose")))
+    is_loose = F.when(F.col("loose"), F.lit(1))
+    size = materialize(at.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("mn"), F.count(is_loose).alias("l"), F.sum(is_loose * F.col("n")).alias("ln"))
+                       .where("l > 0 and m > 1")
+                       .select("hub", *[F.ceil(F.greatest(F.col(c) / BLOCK, F.col(c + "n") * 8 / BLOCK_BYTES)).alias(c + "bs") for c in ("m", "l")]))
+    deal = [F.pmod(F.xxhash64("cid"), F.col(c + "bs")).alias(c + "b") for c in ("m", "l")]
+    dealt = at.join(size, "hub").select("hub", "cid", "comp", "loose", "mbs", "lbs", *deal).join(sets, "cid")
     one = F.struct("cid", "comp", "codes")
-    members = dealt.groupBy("hub", "mb").agg(F.collect_list(one).alias("members"))
-    loose = dealt.where("loose").groupBy(F.col("hub").alias("lhub"), "lb").agg(F.collect_list(one).alias("loose_members"))
-    return (members.join(loose, F.col("hub") == F.col("lhub")).select("loose_members", "members")
-            .mapInArrow(_compare(k, shared, percent), "a bigint, b bigint").distinct())
+    members = (dealt.groupBy("hub", "mb").agg(F.collect_list(one).alias("members"), F.max("lbs").alias("lbs"))
+               .select("hub", F.floor(F.col("mb") / RUN).alias("run"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lbs") - 1)).alias("lb"), "members"))
+    loose = (dealt.where("loose").groupBy("hub", "lb").agg(F.collect_list(one).alias("loose_members"), F.max("mbs").alias("mbs"))
+             .select("hub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("mbs") - 1) / RUN))).alias("run"), "lb", "loose_members"))
+    links = materialize(members.join(loose, ["hub", "run", "lb"]).select("loose_members", "members")
+                        .mapInArrow(_compare(k, shared, percent), "a bigint, b bigint").distinct())
+    drop_table(at)
+    drop_table(size)
+    return links
 
 
 def drop_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
