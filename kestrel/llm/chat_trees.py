@@ -1,16 +1,19 @@
 r"""Reply trees to training conversations.
 
 A tree's nodes name their parents. Root-to-leaf paths come from iterative
-self-joins: ``jump[k]`` holds each node's ancestor 2^k steps up
-(``jump[k+1] = jump[k] ⋈ jump[k]``), and every leaf's ancestors are listed by
-joining with ``jump[k]`` for falling k, so a path of d nodes takes about
-2·log2(d) joins. Branches are ranked by mean score and each chosen path is
-formatted as one conversation with its loss mask.
+self-joins: ``jump[k]`` holds each node's ancestor 2^k steps up and the sum of
+the scores on the way (``jump[k+1] = jump[k] ⋈ jump[k]``). Every leaf is
+carried to its root by joining with ``jump[k]`` for falling k, one row a leaf,
+which gives its depth and its score; branches are ranked by mean score, and only
+the chosen ones list their ancestors, again for falling k. A tree of n nodes
+and depth d takes about 3·log2(d) joins of at most n rows, besides the paths
+that are asked for. Each chosen path is formatted as one conversation with its
+loss mask.
 
 Template, one block a turn: ``<|im_start|>`` role ``\n`` text ``<|im_end|>\n``.
 Inside roles and texts a ``<``, any number of backslashes and a ``|`` get one
 more backslash, so control strings never occur there; one backslash less
-restores them. In roles a newline is written as ``<\\n|``-free ``\n`` escape.
+restores them. In roles a backslash is doubled and a newline written as ``\n``.
 """
 
 from __future__ import annotations
@@ -42,57 +45,84 @@ def _unescape_role(role: Column) -> Column:
     return F.replace(role, F.lit("\\\\"), F.lit("\\"))
 
 
-def branch_paths(nodes: DataFrame) -> DataFrame:
-    """All root-to-leaf paths of ``nodes`` (tree, node, parent): one row
-    (tree, leaf, node, depth) for each node of a path, depth 0 at the root.
+def _same(tree: str, node: str) -> Column:
+    """The tree (null equals null) and node that columns t and n name."""
+    return F.col(tree).eqNullSafe(F.col("t")) & (F.col(node) == F.col("n"))
 
-    A parent that the tree lacks counts as none. Nodes below a cycle have no
-    root and lie on no path. Null trees are one tree; null nodes are no nodes.
-    """
-    ids = nodes.where("node is not null").select("tree", "node", "parent")
-    edges = materialize(ids)
-    known = edges.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    up = materialize(edges.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")))
-                     .select("tree", "node", F.col("parent").alias("anc")))
-    largest = edges.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    jumps, tables, loops = [up], [edges, up], None
+
+def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Written tables (t, n, anc, steps_sum), one for each power of two, and
+    the nodes that lead into a cycle (None: there is no cycle).
+
+    ``steps_sum`` sums the scores from the node up to the one below ``anc``."""
+    own = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    up = materialize(nodes.where("parent is not null")
+                     .join(own, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")))
+                     .select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("parent").alias("anc"),
+                             F.col("score").alias("steps_sum")))
+    largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    jumps = [up]
     while not jumps[-1].isEmpty():
         if 2 ** (len(jumps) - 1) >= largest:  # a proper path has fewer steps: these run into a cycle
-            loops = jumps.pop().select(F.col("tree").alias("t"), F.col("node").alias("n")).distinct()
-            break
-        a = jumps[-1].select("tree", "node", F.col("anc").alias("mid"))
-        b = jumps[-1].select(F.col("tree").alias("t"), F.col("node").alias("n"), "anc")
-        tables.append(materialize(a.join(b, F.col("tree").eqNullSafe(F.col("t")) & (F.col("mid") == F.col("n")))
-                                  .select("tree", "node", "anc")))
-        jumps.append(tables[-1])
-    inner = up.select(F.col("tree").alias("t"), F.col("anc").alias("n")).distinct()
-    paths = edges.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
+            return jumps[:-1], jumps[-1]
+        a = jumps[-1].select(F.col("t").alias("tree"), F.col("n").alias("node"), F.col("anc").alias("mid"), F.col("steps_sum").alias("low"))
+        jumps.append(materialize(a.join(jumps[-1], _same("tree", "mid"))
+                                 .select(F.col("tree").alias("t"), F.col("node").alias("n"), "anc",
+                                         (F.col("low") + F.col("steps_sum")).alias("steps_sum"))))
+    drop_table(jumps[-1])
+    return jumps[:-1], None
+
+
+def _leaf_scores(nodes: DataFrame, jumps: list[DataFrame], loops: DataFrame | None) -> DataFrame:
+    """(tree, leaf, length, score): each leaf with a root, the nodes of its
+    path and their mean score."""
+    at = nodes
+    if jumps:
+        inner = jumps[0].select("t", F.col("anc").alias("n")).distinct()
+        at = at.join(inner, _same("tree", "node"), "left_anti")
     if loops is not None:
-        paths = paths.join(loops, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
-    paths = paths.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("steps"))
+        at = at.join(loops.select("t", "n"), _same("tree", "node"), "left_anti")
+    at = at.select("tree", F.col("node").alias("leaf"), "node", F.lit(1).cast("bigint").alias("length"), F.lit(0.0).alias("total"))
     for k in reversed(range(len(jumps))):
-        j = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "anc")
-        both = F.array(F.struct("node", "steps"), F.struct(F.col("anc").alias("node"), (F.col("steps") + 2 ** k).alias("steps")))
-        paths = (paths.join(j, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left")
-                 .select("tree", "leaf", F.inline(both)).where("node is not null"))
-    last = paths.groupBy("tree", "leaf").agg(F.max("steps").alias("length"))
-    last = last.select(F.col("tree").alias("t"), F.col("leaf").alias("n"), "length")
-    out = materialize(paths.join(last, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("n")))
-                      .select("tree", "leaf", "node", (F.col("length") - F.col("steps")).alias("depth")))
-    for t in tables:
-        drop_table(t)
-    return out
+        gone = F.col("anc").isNotNull()
+        at = at.join(jumps[k], _same("tree", "node"), "left").select(
+            "tree", "leaf", F.coalesce("anc", "node").alias("node"), F.when(gone, F.col("length") + 2 ** k).otherwise(F.col("length")).alias("length"),
+            F.when(gone, F.col("total") + F.col("steps_sum")).otherwise(F.col("total")).alias("total"))
+    root = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "score")
+    return (at.join(root, _same("tree", "node"))
+            .select("tree", "leaf", "length", ((F.col("total") + F.col("score")) / F.col("length")).alias("score")))
+
+
+def rank_branches(scores: DataFrame, top: int | None = 1) -> DataFrame:
+    """(tree, leaf, length, branch) of each tree's ``top`` rows of (tree, leaf,
+    length, score) (None: all) by score, then length, then smaller leaf."""
+    order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("length"), "leaf")
+    best = scores.withColumn("branch", F.row_number().over(order))
+    return (best if top is None else best.where(F.col("branch") <= top)).select("tree", "leaf", "length", "branch")
 
 
-def rank_branches(paths: DataFrame, nodes: DataFrame, top: int | None = 1) -> DataFrame:
-    """(tree, leaf, branch) of each tree's ``top`` paths (None: all) by mean
-    score, then length, then smaller leaf. Null scores count as 0."""
-    score = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    best = (paths.join(score, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
-            .groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.count("*").alias("length")))
-    order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("length"), "leaf")
-    best = best.withColumn("branch", F.row_number().over(order))
-    return (best if top is None else best.where(F.col("branch") <= top)).select("tree", "leaf", "branch")
+def branch_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
+    """The ``top`` root-to-leaf paths of every tree of ``nodes`` (tree, node,
+    parent, score), ranked by mean score: one row (tree, leaf, branch, node,
+    depth) for each node of a path, depth 0 at the root.
+
+    A parent that the tree lacks counts as none. Nodes below a cycle have no
+    root and lie on no path. Null trees are one tree; null nodes are no nodes;
+    null scores count as 0.
+    """
+    ids = materialize(nodes.where("node is not null")
+                      .select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")))
+    jumps, loops = _jumps(ids)
+    chosen = materialize(rank_branches(_leaf_scores(ids, jumps, loops), top))
+    paths = chosen.select("tree", "leaf", "branch", F.col("leaf").alias("node"), (F.col("length") - 1).alias("depth"))
+    for k in reversed(range(len(jumps))):
+        both = F.array(F.struct("node", "depth"), F.struct(F.col("anc").alias("node"), (F.col("depth") - 2 ** k).alias("depth")))
+        paths = (paths.join(jumps[k], _same("tree", "node"), "left")
+                 .select("tree", "leaf", "branch", F.inline(both)).where("node is not null"))
+    out = materialize(paths)
+    for t in (ids, chosen, *jumps, *([] if loops is None else [loops])):
+        drop_table(t)
+    return out
 
 
 def format_branches(nodes: DataFrame, top: int | None = 1) -> DataFrame:
@@ -108,12 +138,10 @@ def format_branches(nodes: DataFrame, top: int | None = 1) -> DataFrame:
     order = Window.partitionBy("tree", "node").orderBy("parent", "role", "text", "score")
     one = materialize(nodes.select("tree", "node", "parent", "role", "text", F.col("score").cast("double").alias("score"))
                       .withColumn("first", F.row_number().over(order)).where("first = 1").drop("first"))
-    paths = branch_paths(one)
-    chosen = rank_branches(paths, one, top).select(F.col("tree").alias("ct"), F.col("leaf").alias("cl"), "branch")
+    paths = branch_paths(one, top)
     own = one.select(F.col("tree").alias("t"), F.col("node").alias("n"),
                      empty_if_null("role").alias("role"), empty_if_null("text").alias("text"))
-    turns = (paths.join(chosen, F.col("tree").eqNullSafe(F.col("ct")) & (F.col("leaf") == F.col("cl")))
-             .join(own, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))))
+    turns = paths.join(own, _same("tree", "node"))
     head = F.concat(F.lit(START), _escape_role(F.col("role")), F.lit("\n"))
     turns = turns.select("tree", "leaf", "branch", "depth", F.col("role").eqNullSafe(F.lit(LOSS_ROLE)).alias("loss"),
                          head.alias("head"), escape(F.col("text")).alias("body"))

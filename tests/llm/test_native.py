@@ -175,6 +175,24 @@ def test_branches_ranked_and_formatted(spark):
     assert chat_trees.format_branches(df.where("false")).count() == 0
 
 
+def test_branches_of_a_spine_stay_linear(spark, monkeypatch):
+    n, written, plain = 600, [], chat_trees.materialize
+
+    def counted(df):
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(chat_trees, "materialize", counted)
+    spine = [(1, i, i - 1 if i else None, 0.5) for i in range(n)]
+    leaves = [(1, n + i, i, 1.0 if i == 400 else 0.0) for i in range(n)]  # a leaf at every node
+    df = spark.createDataFrame(spine + leaves, "tree int, node int, parent int, score double")
+    paths = chat_trees.branch_paths(df).collect()
+    assert sorted((r.depth, r.node) for r in paths) == [(i, i) for i in range(401)] + [(401, n + 400)]
+    assert {(r.leaf, r.branch) for r in paths} == {(n + 400, 1)}
+    assert max(written) <= 2 * n and sum(written) <= 2 * n * 14
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 40])
 def test_long_chains(spark, n):
     conv = spark.createDataFrame([(5, t, "assistant" if t % 2 else "user", f"t{t}<|\\") for t in range(n)] * 2, "conv_id bigint, turn int, role string, text string")
