@@ -228,7 +228,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, k: int = S
     links = materialize(stars.mapInArrow(_verify(k, shared, percent), "a bigint, b bigint"))
     first = materialize(star_components(links))
     late = _loose_links(group, sets, first, k, shared, percent)
-    roots = star_components(links.unionByName(late))
+    roots = star_components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
     ids = rows.select("doc", "rk", F.col("n").alias("n_shingles"), "cid")
     ids = materialize(ids.join(roots, ids["cid"] == roots["node"], "left")
                       .select("doc", "rk", "n_shingles", "cid", F.coalesce("root", "cid").alias("root")))
