@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions import text as tx
 from kestrel.operators import prompts as pr
+from kestrel.operators import templates as tp
 from kestrel.plans import fixtures as fx
 from kestrel.plans.registry import query
 from kestrel.plans.oracle import LABELS_SQL, register, sql, toks
@@ -116,6 +117,24 @@ def b9(spark, d):
     return r.select("conv_id", F.md5("prompt").alias("prompt_md5"), F.col("n_messages").cast("long").alias("n_messages"))
 
 
+TURN_TEMPLATE = """{% if messages[0]['role'] != 'system' %}<|im_start|>system
+Be brief.<|im_end|>
+{% endif %}{% for message in messages %}{{ '<|im_start|>' + message['role'] + '\\n' + message['content'] | trim + '<|im_end|>' }}
+{% if loop.last and add_generation_prompt and message['role'] != 'assistant' %}<|im_start|>assistant
+{% endif %}{% endfor %}"""
+_blanks = " || ".join(f"chr({ord(c)})" for c in tp.BLANKS)
+
+
+@query("b9b_chat_template", sql(f"""SELECT conv_id, md5(
+    CASE WHEN first(r ORDER BY turn, r, x) <> 'system' THEN '<|im_start|>system' || chr(10) || 'Be brief.<|im_end|>' || chr(10) ELSE '' END
+    || string_agg('<|im_start|>' || r || chr(10) || trim(x, {_blanks}) || '<|im_end|>' || chr(10), '' ORDER BY turn, r, x)
+    || CASE WHEN last(r ORDER BY turn, r, x) <> 'assistant' THEN '<|im_start|>assistant' || chr(10) ELSE '' END) AS prompt_md5,
+  count(*) AS n_messages FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations) GROUP BY conv_id"""))
+def b9b(spark, d):
+    r = tp.render_template_chat(fx.table(spark, d, "conversations"), TURN_TEMPLATE, add_generation_prompt=True)
+    return r.select("conv_id", F.md5("prompt").alias("prompt_md5"), F.col("n_messages").cast("long").alias("n_messages"))
+
+
 @query("b10_inject_before", sql("""SELECT a.qid, a.rank, a.t,
   md5(replace(p.z_prompt, 'Answer:', printf('Temperature: %.4f', a.temperature) || chr(10) || 'Answer:')) AS prompt_md5
   FROM fx_attempts a JOIN fx_prompts p USING (qid, rank)""", "fx_attempts", "fx_prompts"))
