@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kestrel.functions import arrays as ar
 from kestrel.functions.hashing import uniform
 from kestrel.operators import datasets as ds
+from kestrel.operators import subwords as sw
 from kestrel.plans import fixtures as fx
 from kestrel.plans.registry import query, r6
 from kestrel.plans.oracle import register, sql, u
@@ -284,3 +285,38 @@ def h16(spark, d):
 def h17(spark, d):
     t = fx.tokens(spark, d).select("doc_id", ar.truncate_tokens("tokens", 32).alias("t"))
     return t.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", ",")).alias("tokens_md5"))
+
+
+def byte_ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def subwords(spark, d):
+    return sw.encode_subwords(fx.table(spark, d, "documents").select("doc_id", "text"), "text", byte_ranks())
+
+
+@query("h12b_subword_batch", None)
+def h12b(spark, d):
+    """Texts cut at 200 sub-words, batches of 8 documents padded."""
+    t = subwords(spark, d).select("doc_id", ar.truncate_tokens(F.coalesce("tokens", F.array().cast("array<int>")), 200).alias("t"),
+                                  F.floor(F.col("doc_id") / 8).alias("batch"))
+    p = ds.pad_with_mask(t, "t", "batch")
+    return p.select("doc_id", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"),
+                    F.md5(F.array_join("attention_mask", ",")).alias("mask_md5"), F.size("input_ids").alias("width"))
+
+
+@query("h17b_subword_truncate", None)
+def h17b(spark, d):
+    """Sub-words of whole texts, and the 512 that a reader takes."""
+    t = subwords(spark, d).select("doc_id", F.coalesce("tokens", F.array().cast("array<int>")).alias("t"))
+    cut = ar.truncate_tokens("t", 512)
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(cut).alias("n"), F.md5(F.array_join(cut, ",")).alias("tokens_md5"))
+
+
+@query("h17c_subword_round_trip", sql("SELECT doc_id, md5(text) AS text_md5 FROM documents"))
+def h17c(spark, d):
+    """Whole texts to ids and back."""
+    ids = subwords(spark, d).select("doc_id", "tokens")
+    return sw.decode_subwords(ids, "tokens", byte_ranks()).select("doc_id", F.md5("text").alias("text_md5"))

@@ -28,10 +28,19 @@ def a1b(spark, d):
     return p.select("pid", "title", F.md5("text").alias("text_md5"))
 
 
+@query("a1d_read_passages_split", sql("SELECT doc_id AS pid, source AS title, md5(text) AS text_md5 FROM documents"))
+def a1d(spark, d):
+    """One large file with quoted newlines, read in byte ranges."""
+    path = io.scratch_path(spark, "passages.tsv")
+    io.write_passages(fx.corpus(spark, d).coalesce(1), path, "tsv")
+    p = io.read_passages(spark, path, split=True, range_bytes=1 << 20)
+    return p.select("pid", "title", F.md5("text").alias("text_md5"))
+
+
 QA_SCHEMA = "id long, x string, y string"
 
 
-def qa_dir(spark, d):
+def qa_dir(spark, d, **how):
     docs = fx.table(spark, d, "documents")
     lab = fx.table(spark, d, "labels")
     qa = lab.join(docs, "doc_id").select(
@@ -40,7 +49,7 @@ def qa_dir(spark, d):
     path = io.scratch_path(spark, "qa")
     ordered = qa.repartitionByRange("dataset", "id").sortWithinPartitions("dataset", "id")
     io.write_by_dataset(ordered, path, fmt="csv")
-    return io.read_qa_dir(spark, path, QA_SCHEMA, dataset_from="partition")
+    return io.read_qa_dir(spark, path, QA_SCHEMA, dataset_from="partition", **how)
 
 
 QA_ORACLE = """SELECT lang AS dataset, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS BIGINT) AS row_id,
@@ -53,6 +62,13 @@ def a2(spark, d):
     return q.select("dataset", "row_id", "id", "y", F.md5("x").alias("x_md5"))
 
 
+@query("a2b_read_qa_split", sql(QA_ORACLE))
+def a2b(spark, d):
+    """The same directory, its files read in byte ranges."""
+    q = qa_dir(spark, d, split=True, range_bytes=256 << 10)
+    return q.select("dataset", "row_id", "id", "y", F.md5("x").alias("x_md5"))
+
+
 @query("a3_read_write_retrievals", sql("""SELECT qid, rank, pid AS id, title, md5(text) AS text_md5, round(score, 6) AS score
   FROM fx_ctx""", "fx_ctx"))
 def a3(spark, d):

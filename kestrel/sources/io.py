@@ -4,8 +4,8 @@ Readers always take explicit schemas (no inference pass over 100 TB).
 Row positions inside files — needed to pair files row by row — come from the
 file name, the offset of the split in the file and
 ``monotonically_increasing_id`` (increasing inside a split), turned into dense
-per-dataset positions by the two-level index. CSV with quoted newlines is not
-splittable: a file is one task, so large tables should come as many files.
+per-dataset positions by the two-level index. CSV with quoted newlines is one
+task a file for Spark's own reader; ``quoted_csv`` reads it in byte ranges.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from kestrel.operators.ordering import dense_index
 from kestrel.operators.retrieval import CONTEXT_TYPE
 from kestrel.session import ensure_checkpoint_dir
+from kestrel.sources.quoted_csv import PLACE as _PLACE
+from kestrel.sources.quoted_csv import read_quoted_csv
 
 CSV_OPTS = {"quote": '"', "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false",
             "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": None}
@@ -30,6 +32,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/kestrel-io/{uuid.uuid4().hex}/{name}"
 
 
+def _csv_opts() -> dict[str, str]:
+    return {k: v for k, v in CSV_OPTS.items() if v is not None}
+
+
 def _csv_reader(spark, schema, sep=",", header=False):
     r = spark.read.schema(schema).option("sep", sep).option("header", str(header).lower())
     for k, v in CSV_OPTS.items():
@@ -48,19 +54,30 @@ def _csv_writer(df, sep=",", header=True):
 
 # A1 ---------------------------------------------------------------------------
 
-def read_passages(spark: SparkSession, path: str, fmt: str | None = None, id_type: str = "long") -> DataFrame:
+def read_passages(spark: SparkSession, path: str, fmt: str | None = None, id_type: str = "long", split: bool = True,
+                  range_bytes: int | None = None) -> DataFrame:
     """Passage pool → (pid, title, text).
 
     TSV: columns id, text, title; doubled-quote escaping and quoted newlines;
     any row whose first cell is ``id`` is skipped. JSONL: one {id,title,text}
     object per line; ids may be numbers or strings. ``id_type`` "string"
     keeps ids as they are written; with "long" an id that is no number is an
-    error."""
+    error.
+
+    A TSV file is read in byte ranges of ``range_bytes``, quoted newlines or not, by
+    two jobs that run at once (see ``quoted_csv``). Without ``split`` Spark's
+    multi-line reader takes it: one lazy task a file, stray quotes allowed; but it guesses the
+    line end from the first one it sees, and a bare carriage return in a
+    quoted field before that costs rows."""
     fmt = fmt or ("jsonl" if path.rstrip("/").endswith(".jsonl") else "tsv")
     if fmt == "jsonl":
         df = spark.read.schema("id string, title string, text string").json(path)
         return df.select(F.col("id").cast(id_type).alias("pid"), "title", "text")
-    df = _csv_reader(spark, "id string, text string, title string", sep="\t").csv(path)
+    columns = "id string, text string, title string"
+    if split:
+        df = read_quoted_csv(spark, path, columns, _csv_opts(), sep="\t", range_bytes=range_bytes)
+    else:
+        df = _csv_reader(spark, columns, sep="\t").csv(path)
     # like Python's csv module an empty field is "", never null
     return df.where(F.col("id") != "id").select(
         F.col("id").cast(id_type).alias("pid"), F.coalesce("title", F.lit("")).alias("title"),
@@ -89,9 +106,6 @@ def with_positions(df: DataFrame, dataset_col: str = "dataset") -> DataFrame:
     return dense_index(_with_place(df), [F.col(c) for c in _PLACE], group_cols=[dataset_col], out="row_id").drop(*_PLACE)
 
 
-_PLACE = ["_file", "_offset", "_mono"]
-
-
 def _with_place(df: DataFrame) -> DataFrame:
     """Where each row stands: file, offset of its split, order inside that."""
     return (df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_offset", F.col("_metadata.file_block_start"))
@@ -99,19 +113,27 @@ def _with_place(df: DataFrame) -> DataFrame:
 
 
 def read_qa_dir(spark: SparkSession, path: str, schema: str | T.StructType, dropna: bool = True,
-                dataset_from: str = "file") -> DataFrame:
+                dataset_from: str = "file", split: bool = True, range_bytes: int | None = None) -> DataFrame:
     """Every CSV under ``path`` with a ``dataset`` column (from the file name,
     or from a ``dataset=…`` partition folder); rows with any null dropped, then
-    per-dataset ``row_id`` over the remaining rows."""
-    df = _csv_reader(spark, schema, header=True).csv(path)
+    per-dataset ``row_id`` over the remaining rows. ``split`` and
+    ``range_bytes`` as in ``read_passages``."""
+    if split:
+        df = read_quoted_csv(spark, path, schema, _csv_opts(), header=True, range_bytes=range_bytes)
+        file_path, file_name = F.col("_file"), F.element_at(F.split("_file", "/"), -1)
+    else:
+        df = _csv_reader(spark, schema, header=True).csv(path)
+        file_path, file_name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
     if dataset_from == "partition":
-        ds = F.regexp_extract(F.col("_metadata.file_path"), r"dataset=([^/]+)/", 1)
+        ds = F.regexp_extract(file_path, r"dataset=([^/]+)/", 1)
     else:
-        ds = dataset_key(F.col("_metadata.file_name"))
+        ds = dataset_key(file_name)
     df = df.withColumn("dataset", ds)
     if dropna:
         df = df.na.drop("any")
     # positions count the rows that remain, like dropna + a fresh index
+    if split:
+        return dense_index(df, [F.col(c) for c in _PLACE], group_cols=["dataset"], out="row_id").drop(*_PLACE)
     return with_positions(df)
 
 

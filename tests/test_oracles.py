@@ -14,8 +14,8 @@ from tests.conftest import SF001, SF01
 
 DEFAULT = ["c1_bm25_topk", "c2_dense_topk", "b1_normalize_text", "b4_normalize_answer", "d1_has_answer",
            "d3_ir_metrics", "e4_threshold_stop", "e6_merge_best_k", "f6_distribution_divergence",
-           "g4_auroc", "g7_evaluate_predictions", "h8_pack_chunks", "h15_pick_contrast", "j1_score_stage",
-           "a2_read_qa_dir", "a3b_read_retrieval_array", "a5_read_train_examples", "b15_parse_list", "g15_inbatch_accuracy",
+           "g4_auroc", "g7_evaluate_predictions", "h8_pack_chunks", "h15_pick_contrast", "h17c_subword_round_trip", "j1_score_stage",
+           "a1d_read_passages_split", "a2_read_qa_dir", "a2b_read_qa_split", "a3b_read_retrieval_array", "a5_read_train_examples", "b15_parse_list", "g15_inbatch_accuracy",
            "g16_queue_contrast", "i2_fit_temperature"]
 NAMES = sorted(ORACLES) if os.environ.get("KESTREL_ALL_ORACLES") else DEFAULT
 
@@ -33,7 +33,8 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_every_query_has_an_oracle_or_is_rows_only():
     rows_only = set(QUERIES) - set(ORACLES)
-    assert rows_only == {"c1c_bm25_english", "c5_pq_topk", "i1_fit_probe", "i1b_weighted_probe"}
+    assert rows_only == {"c1c_bm25_english", "c5_pq_topk", "h12b_subword_batch", "h17b_subword_truncate", "i1_fit_probe",
+                         "i1b_weighted_probe"}
 
 
 def test_entry_smoke(spark):
