@@ -35,11 +35,26 @@ MEMORY_PARTS = 150_000  # a worker remembers so many words, twice, and so many p
 LONGEST_PART = 48  # characters of a remembered part
 
 
+#: Texts on which other normaliser settings than identity, kept white space and a leading mark show.
+PROBES = ["", "a", " a", "a ", "  a  b  ", "ﬁ", "Ａ１", "é e\u0301", "a\tb\nc", "\u3000a\u00a0b", "\u200ba"]
+
+
+def refuse_other_settings(m) -> None:
+    """ValueError for a model that normalises in a way ``PieceTokenizer`` does
+    not."""
+    for text in PROBES:
+        want, got = SPACE + text.replace(" ", SPACE) if text else "", m.normalize(text)
+        if got != want:
+            raise ValueError(f"the model makes {got!r} of {text!r}; only identity normalisation, kept white space and a leading mark are known")
+
+
 def read_vocabulary(model_path: str) -> list[tuple[str, float, str]]:
-    """(piece, score, kind) by id; kind: normal, byte, unknown or control."""
+    """(piece, score, kind) by id; kind: normal, byte, unknown or control.
+    Models with other normaliser settings are refused."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=model_path)
+    refuse_other_settings(m)
     kinds = [(m.is_byte, "byte"), (m.is_unknown, "unknown"), (m.is_control, "control"), (m.is_unused, "unused")]
     return [(m.id_to_piece(i), m.get_score(i), next((k for f, k in kinds if f(i)), "normal"))
             for i in range(m.get_piece_size())]

@@ -2,12 +2,14 @@
 
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from kestrel.llm import line_dedup, near_dups, piece_tokenizer
+from kestrel.llm.catalog import piece_model
 from kestrel.llm.components import star_components
 
 DOCS = "doc_id bigint, text string, h1 string, doc string, n int"
@@ -202,3 +204,21 @@ def test_memory_is_bounded(model, monkeypatch):
     text = " ".join(f"word{i}x" for i in range(2000))
     assert tok.decode(tok.encode(text)) == text
     assert len(tok.words) <= 50 and len(tok.older) <= 50 and len(tok.pairs) <= 50
+
+
+@pytest.mark.parametrize("other", [
+    lambda t: "▁" + unicodedata.normalize("NFKC", t).replace(" ", "▁") if t else "",  # another rule
+    lambda t: "▁" + "▁".join(t.split(" ")).strip("▁") if t else "",  # outer white space goes
+    lambda t: "▁" + re.sub(" +", "▁", t) if t else "",  # runs become one
+    lambda t: t.replace(" ", "▁"),  # no mark in front
+    lambda t: "▁" + t if t else ""])  # spaces stay
+def test_models_with_other_settings_are_refused(other):
+    class Model:
+        normalize = staticmethod(other)
+
+    with pytest.raises(ValueError, match="normalisation"):
+        piece_tokenizer.refuse_other_settings(Model)
+
+
+def test_the_given_model_is_taken():
+    assert len(piece_tokenizer.read_vocabulary(piece_model())) == 32_000
