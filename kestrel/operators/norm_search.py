@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.operators.ordering import dense_index, top_k_per_group
-from kestrel.operators.retrieval import SCORE_DIGITS, VECTOR_QUERY_BLOCK, _RunningTopK
+from kestrel.operators.retrieval import SCORE_DIGITS, VECTOR_QUERY_BLOCK, VECTOR_ROWS, _pairs_of_equals, _RunningTopK
 from kestrel.session import materialize
 
 BLOCK_ROWS = 1_024
@@ -78,11 +78,13 @@ def _searched(sent, k: int, exclude_self: bool):
                 if not len(open_):
                     continue
                 pids = np.frombuffer(row["pids"], np.int64)
-                scores = np.full((len(qids), len(pids)), -np.inf)
-                scores[open_] = np.round(q[open_] @ np.frombuffer(row["vectors"]).reshape(len(pids), -1).T, SCORE_DIGITS)
-                if exclude_self:
-                    scores[qids[:, None] == pids[None, :]] = -np.inf
-                top.add(scores, pids)
+                vectors = np.frombuffer(row["vectors"]).reshape(len(pids), -1)
+                for at in range(0, len(pids), VECTOR_ROWS):
+                    some = pids[at:at + VECTOR_ROWS]
+                    scores = q[open_] @ vectors[at:at + VECTOR_ROWS].T
+                    if exclude_self:
+                        scores[_pairs_of_equals(qids[open_], some)] = -np.inf
+                    top.add(scores, some, open_)
                 top.compact()
         at, p, s = top.compact()
         yield pa.RecordBatch.from_arrays(
