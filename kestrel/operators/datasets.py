@@ -140,13 +140,20 @@ def crop_pairs(chunks: DataFrame, key: str, tokens: str, ratio_min: float = 0.1,
                          k.alias("k_tokens"), ks.alias("k_start"), kl.alias("k_len"))
 
 
+def augment_draws(tokens, seed, key) -> Column:
+    """The draw of each token that ``augment_tokens`` goes by, as an array:
+    for callers who augment one row in several ways."""
+    return F.transform(_c(tokens), lambda x, i: uniform(f"aug-{seed}", key, i))
+
+
 def augment_tokens(tokens, mode: str, p: float, seed, key, mask_id: int = 0,
-                   min_id: int = 0, max_id: int = 29999) -> Column:
-    """delete / replace / mask / shuffle each token with probability p."""
+                   min_id: int = 0, max_id: int = 29999, draws=None) -> Column:
+    """delete / replace / mask / shuffle each token with probability p.
+    ``draws``: a column of ``augment_draws``, else they are made here."""
     t = _c(tokens)
 
     def u(i):
-        return uniform(f"aug-{seed}", key, i)
+        return uniform(f"aug-{seed}", key, i) if draws is None else F.get(_c(draws), i)
 
     if mode == "delete":
         return F.filter(t, lambda x, i: u(i) > p)

@@ -11,6 +11,7 @@ from kestrel.operators import subwords as sw
 from kestrel.plans import fixtures as fx
 from kestrel.plans.registry import query, r6
 from kestrel.plans.oracle import register, sql, u
+from kestrel.session import materialize
 
 SEED = 7
 CHUNK, OFFSET = 64, 5
@@ -163,14 +164,13 @@ UNION ALL
 SELECT a.chunk_id, 'shuffle', count(*), md5(string_agg(CAST(coalesce(s.tok, a.tok) AS VARCHAR), ',' ORDER BY a.i))
 FROM fx_aug a LEFT JOIN fx_aug_shuf s USING (chunk_id, i) GROUP BY a.chunk_id""", "fx_aug", "fx_aug_shuf"))
 def h10(spark, d):
-    c = chunks(spark, d)
-    out = None
-    for mode in ["delete", "mask", "replace", "shuffle"]:
-        t = ds.augment_tokens("tokens", mode, P_AUG, 3, F.col("chunk_id"), mask_id=0, min_id=0, max_id=29999)
-        x = c.select("chunk_id", F.lit(mode).alias("mode"), t.alias("_t")).select(
-            "chunk_id", "mode", F.size("_t").cast("long").alias("n"), F.md5(F.array_join("_t", ",")).alias("tokens_md5"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    """All modes in one pass over the written chunks, the draws made once."""
+    modes = ["delete", "mask", "replace", "shuffle"]
+    c = materialize(chunks(spark, d).withColumn("draws", ds.augment_draws("tokens", 3, F.col("chunk_id"))))
+    made = c.select("chunk_id", *[ds.augment_tokens("tokens", mode, P_AUG, 3, F.col("chunk_id"), mask_id=0, min_id=0, max_id=29999,
+                                                    draws="draws").alias(mode) for mode in modes])
+    rows = made.select("chunk_id", F.inline(F.array(*[F.struct(F.lit(mode).alias("mode"), F.col(mode).alias("_t")) for mode in modes])))
+    return rows.select("chunk_id", "mode", F.size("_t").cast("long").alias("n"), F.md5(F.array_join("_t", ",")).alias("tokens_md5"))
 
 
 @query("h11_add_bos_eos", sql("""SELECT chunk_id, md5(array_to_string(list_concat([1], tokens, [2]), ',')) AS both_md5,
