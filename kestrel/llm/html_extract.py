@@ -6,28 +6,30 @@ host that finds what its pages repeat.
    headers, footers, sidebars, notices, adverts, forms, comments) or ``open``.
 2. The words of all blocks outside ``main`` are the page's stream. A host's
    suffix array is the suffixes of its pages' streams in order of their words:
-   a range partition by (host, suffix) and a sort inside. Neighbours from pages
-   of different text whose common prefix is ``RUN_TOKENS`` words or more are a
-   repeated substring; all maximal repeats are unions of such beginnings, so
-   suffixes are cut behind that many words (a word is a 64-bit code). A whole
-   block of ``BLOCK_TOKENS`` words or more that two pages have is a repeat too.
-   Pages whose text outside chrome is the same are copies and cover nothing of
-   each other. Pages without a host share nothing.
+   a range partition by (host, suffix) and a sort inside, for every host.
+   Neighbours from pages of different text whose common prefix is ``RUN_TOKENS``
+   words or more are a repeated substring; all maximal repeats are unions of
+   such beginnings, so suffixes are cut behind that many words (a word is a
+   64-bit code). A whole block of ``BLOCK_TOKENS`` words or more that two pages
+   have is a repeat too. Pages whose text outside chrome is the same are copies
+   and cover nothing of each other. Pages without a host share nothing.
 3. Words covered by repeats are boilerplate. Open blocks keep their unique
-   runs; chrome goes even if unique (a menu that only one page has); main
-   blocks stay even if repeated (copies of an article are articles).
-
-Only hosts that have a page without a main part are sorted: of other hosts no
-result hangs on repeats. A task reads its range of suffixes once and holds two
-of them, so a passage that a third of a host's pages share is a long run of one
-task and no group in memory.
+   runs; chrome goes even if unique (a menu that only one page has). Of a main
+   part, blocks that consist of repeated runs go if they stand in ``ARTICLES``
+   articles or more: a notice inside the article. Passages that only articles
+   share stay (copies of an article are articles), and so does the beginning
+   of an article that sidebars repeat as a teaser.
+
+A task reads its range of suffixes once and holds two of them, so a passage
+that a third of a host's pages share is a long run of one task and no group in
+memory.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ from kestrel.llm.common import materialize
 
 RUN_TOKENS = 20
 BLOCK_TOKENS = 5  # a whole block repeats from so many words on
+ARTICLES = 3  # a notice inside main parts stands in so many articles (told apart by their first block)
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -220,56 +223,74 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
+def _kept(found: list[tuple[str, str]]) -> tuple[bool, list[str]]:
+    """Whether the page marks a main part, and the blocks of that, or else the
+    open ones."""
+    main = [t for z, t in found if z == "main"]
+    return bool(main), main or [t for z, t in found if z == "open"]
+
+
+def _runs(host: str, words: list[str], starts: Iterable[int], run_tokens: int) -> list[int]:
+    """Codes of the runs that begin at the given words."""
+    return [_hash(f"{host}\n{' '.join(words[i:i + run_tokens])}") for i in starts]
+
+
+_FOUND = ("host string, key bigint, marked boolean, content bigint, head bigint, stream array<bigint>, runs array<bigint>, places array<int>, "
+          "blocks array<struct<h:bigint,lo:int,hi:int>>, passages array<struct<lo:int,hi:int,runs:array<bigint>>>")
+_BLOCKS = pa.list_(pa.struct([("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
+_PASSAGES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("runs", pa.list_(pa.int64()))]))
+
+
 def _scan(run_tokens: int):
+    """What the repeats need of every page: its stream as word codes, the runs
+    and blocks in it, and the blocks of the main part as the runs they consist
+    of. Ranges count the words of the blocks to keep (main, or else open)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            zones, texts, contents, streams, places, wholes = [], [], [], [], [], []
-            for page in batch.column(batch.num_columns - 1):
+            out = [[] for _ in range(8)]
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(2)):
                 found = blocks(page.as_py())
-                marked = any(z == "main" for z, _ in found)
-                zones.append("main" if marked else "open")
-                texts.append(None if marked else [t for z, t in found if z == "open"])
-                contents.append(_hash("\n".join(t for z, t in found if z != "chrome")))
-                # the stream's words as codes, the open words before each, and its blocks with the range of open words in them
-                stream, before, whole = [], [0], []
+                marked, kept = _kept(found)
+                words, before, whole, passages, k = [], [0], [], [], 0
+                for t in kept if marked else ():
+                    inner, lo = t.split(), k
+                    k += len(inner)
+                    if len(inner) >= run_tokens:
+                        starts = [*range(0, len(inner) - run_tokens, run_tokens), len(inner) - run_tokens]
+                        passages.append({"lo": lo, "hi": k, "runs": list(dict.fromkeys(_runs(host, inner, starts, run_tokens)))})
                 for z, t in found:
                     if z != "main":
-                        words, k = t.split(), before[-1]
-                        stream += map(_hash, words)
-                        before.extend(range(k + 1, k + len(words) + 1) if z == "open" else [k] * len(words))
-                        if len(words) >= BLOCK_TOKENS:
-                            whole.append({"h": _hash("\n" + t), "lo": k, "hi": before[-1]})
-                streams.append(stream)
-                places.append(before)
-                wholes.append(whole)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(zones, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(contents, pa.int64()),
-                 pa.array(streams, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())),
-                 pa.array(wholes, pa.list_(pa.struct([("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])))],
-                ["page_id", "url", "host", "key", "zone", "parts", "content", "stream", "places", "blocks"])
+                        inner, lo = t.split(), before[-1]
+                        words += inner
+                        before.extend(range(lo + 1, lo + len(inner) + 1) if z == "open" else [lo] * len(inner))
+                        if len(inner) >= BLOCK_TOKENS:
+                            whole.append({"h": _hash("\n" + t), "lo": lo, "hi": before[-1]})
+                for column, value in zip(out, (
+                        marked, _hash("\n".join(t for z, t in found if z != "chrome")), _hash(kept[0]) if kept else None, [_hash(w) for w in words],
+                        _runs(host, words, range(len(words) - run_tokens + 1), run_tokens), None if marked else before, whole, passages)):
+                    column.append(value)
+            types = [pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), _BLOCKS, _PASSAGES]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(out, types))],
+                                             ["host", "key", "marked", "content", "head", "stream", "runs", "places", "blocks", "passages"])
     return run
 
 
-_SUFFIX = "host string, suffix binary, content bigint, key bigint, lo int, hi int"
-
-
 def _suffixes(run_tokens: int):
-    """(host, suffix, content, key, lo, hi) of every position that
-    ``run_tokens`` words follow: the suffix as far as it matters, its first
-    words' codes in bytes (equal words, equal bytes), and the open words in it."""
+    """(host, suffix, content, run) of every position that ``run_tokens`` words
+    follow: the suffix as far as it matters, its first words' codes in bytes
+    (equal words, equal bytes)."""
     width = 8 * run_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, content, key, stream, places in zip(*(c.to_pylist() for c in batch.columns)):
-                codes, n = np.array(stream, ">i8").tobytes(), len(stream) - run_tokens + 1
-                for at in range(0, n, 5_000):
-                    to = min(at + 5_000, n)
-                    rows = [host] * (to - at), [codes[8 * i:8 * i + width] for i in range(at, to)], [content] * (to - at), [key] * (to - at)
+            for host, content, stream, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                codes = np.array(stream, ">i8").tobytes()
+                for at in range(0, len(runs), 5_000):
+                    to = min(at + 5_000, len(runs))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows[0], pa.string()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()),
-                         pa.array(places[at:to], pa.int32()), pa.array(places[at + run_tokens:to + run_tokens], pa.int32())],
-                        ["host", "suffix", "content", "key", "lo", "hi"])
+                        [pa.array([host] * (to - at), pa.string()), pa.array([codes[8 * i:8 * i + width] for i in range(at, to)], pa.binary()),
+                         pa.array([content] * (to - at), pa.int64()), pa.array(runs[at:to], pa.int64())],
+                        ["host", "suffix", "content", "run"])
     return run
 
 
@@ -282,48 +303,36 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 def _repeated(run_tokens: int):
-    """Suffixes in order of host, words and page to those whose common prefix
-    with a neighbour from another page is long, each once."""
+    """Suffixes in order of host, words and page to the runs of those whose
+    common prefix with a neighbour from another page is long, each once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, told = None, None
         for batch in batches:
-            hosts, found = [], []
-            for host, suffix, content in zip(*(c.to_pylist() for c in batch.columns)):
+            found = []
+            for host, suffix, content, code in zip(*(c.to_pylist() for c in batch.columns)):
                 if (before is not None and before[0] == host and before[2] != content and told != (host, suffix)
                         and _common(before[1], suffix) >= run_tokens):
                     told = host, suffix
-                    hosts.append(host)
-                    found.append(suffix)
+                    found.append(code)
                 before = host, suffix, content
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.binary())], ["host", "suffix"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["run"])
     return run
 
 
-def _main_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the pages that mark their main part."""
-    for batch in batches:
-        keep, texts = [], []
-        for i, page in enumerate(batch.column(2)):
-            main = [t for z, t in blocks(page.as_py()) if z == "main"]
-            if main:
-                keep.append(i)
-                texts.append("\n\n".join(main))
-        out = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-
-def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Open blocks without their covered words."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of pages without their covered words."""
     for batch in batches:
         texts = []
-        for parts, covered in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            drop, k, kept = {i for r in covered or () for i in range(r["lo"], r["hi"])}, 0, []
-            for part in parts:
-                words = part.split()
-                left = [w for i, w in enumerate(words, k) if i not in drop]
-                k += len(words)
-                if left:
-                    kept.append(" ".join(left))
+        for page, covered in zip(batch.column(2), batch.column(3).to_pylist()):
+            _, kept = _kept(blocks(page.as_py()))
+            if covered:
+                drop, k, parts, kept = {i for r in covered for i in range(r["lo"], r["hi"])}, 0, kept, []
+                for part in parts:
+                    words = part.split()
+                    left = [w for i, w in enumerate(words, k) if i not in drop]
+                    k += len(words)
+                    if left:
+                        kept.append(" ".join(left))
             texts.append("\n\n".join(kept))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
@@ -332,35 +341,39 @@ def extract_main_text(pages: DataFrame, run_tokens: int = RUN_TOKENS, id_col: st
                       html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    ``text``: the blocks of the main part joined by two newlines; of a page
-    that marks none, the open blocks without what its host repeats (in pages
-    of either kind): runs of ``run_tokens`` words and whole blocks. Null and
-    empty pages have an empty text. Pages of one host with the same text
-    outside chrome count once for repeats, and each is returned; pages whose
-    url is null or has no host keep their open blocks whole. An empty table
-    gives an empty one; extra columns are not read.
+    ``text``: the blocks of the main part joined by two newlines, without the
+    notices that its host repeats outside main parts; of a page that marks
+    none, the open blocks without what its host repeats (in pages of either
+    kind): runs of ``run_tokens`` words and whole blocks. Null and empty pages
+    have an empty text. Pages of one host with the same text outside chrome
+    count once for repeats, and each is returned; pages whose url is null or
+    has no host keep their blocks whole. An empty table gives an empty one;
+    extra columns are not read.
     """
     host = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"),
                        F.xxhash64(id_col, url_col, html_col).alias("key"), F.col(html_col).alias("html"))
     id_type = src.schema["page_id"].dataType.simpleString()
-    found = materialize(src.mapInArrow(
-        _scan(run_tokens), f"page_id {id_type}, url string, host string, key bigint, zone string, parts array<string>, content bigint, "
-                           "stream array<bigint>, places array<int>, blocks array<struct<h:bigint,lo:int,hi:int>>"))
-    # the suffix array of every host that has a page whose result hangs on it; pages without a host share nothing
-    open_pages = found.where("zone = 'open' and host <> ''")
-    of_hosts = found.join(open_pages.select("host").distinct(), "host", "left_semi")
-    suffixes = lambda rows: rows.select("host", "content", "key", "stream", "places").mapInArrow(_suffixes(run_tokens), _SUFFIX)
-    array = (suffixes(of_hosts).select("host", "suffix", "content")
+    found = materialize(src.where("host <> ''").select("host", "key", "html").mapInArrow(_scan(run_tokens), _FOUND))
+    # the suffix array of every host; pages without a host share nothing
+    array = (found.select("host", "content", "stream", "runs").mapInArrow(_suffixes(run_tokens), "host string, suffix binary, content bigint, run bigint")
              .repartitionByRange("host", "suffix").sortWithinPartitions("host", "suffix", "content"))  # equal suffixes are in one range
-    repeats = array.mapInArrow(_repeated(run_tokens), "host string, suffix binary")
-    blocks_twice = (of_hosts.select("host", "content", F.inline("blocks")).groupBy("host", "h")
+    repeats = materialize(array.mapInArrow(_repeated(run_tokens), "run bigint"))
+    # pages without a main part: runs and blocks with open words in them
+    plain = found.where("not marked")
+    asked = plain.select("key", "places", F.posexplode("runs").alias("at", "run")).select(
+        "key", "run", F.expr("places[at]").alias("lo"), F.expr(f"places[at + {run_tokens}]").alias("hi")).where("lo < hi")
+    asked = asked.join(repeats, "run", "left_semi").select("key", "lo", "hi")
+    blocks_twice = (found.select("host", "content", F.inline("blocks")).groupBy("host", "h")
                     .agg(F.min("content").alias("least"), F.max("content").alias("most")).where("least <> most").select("host", "h"))
-    asked = suffixes(open_pages).where("lo < hi").join(repeats, ["host", "suffix"], "left_semi").select("key", "lo", "hi")
-    asked_blocks = open_pages.select("host", "key", F.inline("blocks")).where("lo < hi").join(blocks_twice, ["host", "h"], "left_semi")
-    covered = asked.unionByName(asked_blocks.select("key", "lo", "hi")).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("covered"))
-    schema = f"page_id {id_type}, url string, text string"
-    plain = (found.where("zone = 'open'").select("page_id", "url", "key", "parts").join(covered, "key", "left")
-             .select("page_id", "url", "parts", "covered").mapInArrow(_unique_runs, schema))
-    marked = src.select("page_id", "url", "html").mapInArrow(_main_blocks, schema)
-    return marked.unionByName(plain).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+    asked_blocks = plain.select("host", "key", F.inline("blocks")).where("lo < hi").join(blocks_twice, ["host", "h"], "left_semi").select("key", "lo", "hi")
+    # main parts: blocks all of whose runs are repeats that stand in several articles; first those that begin with a repeat
+    begun = materialize(found.where("marked").select("key", "head", F.inline("passages")).withColumn("run", F.col("runs")[0])
+                        .join(repeats, "run", "left_semi").select("key", "head", "lo", "hi", "runs"))
+    inner = begun.select("key", "head", "lo", "hi", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    spread = inner.groupBy("run").agg(F.count_distinct("head").alias("articles")).where(F.col("articles") >= ARTICLES).select("run")
+    notices = (inner.join(repeats, "run", "left_semi").join(spread, "run", "left_semi").groupBy("key", "lo", "hi", "n")
+               .agg(F.count_distinct("run").alias("met")).where("met = n").select("key", "lo", "hi"))
+    covered = materialize(asked.unionByName(asked_blocks).unionByName(notices).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("covered")))
+    texts = src.join(covered, "key", "left").select("page_id", "url", "html", "covered").mapInArrow(_texts, f"page_id {id_type}, url string, text string")
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))

@@ -127,6 +127,53 @@ def test_repeats_against_all_runs(spark, n):
     assert [alone[i] for i in range(16)] == whole
 
 
+def test_notices_inside_marked_articles(spark):
+    notice, shared = (" ".join(f"{w}{k}" for k in range(html_extract.RUN_TOKENS + 7)) for w in ("notice", "passage"))
+    lead = [" ".join(f"lead{i}x{k}" for k in range(30)) for i in range(6)]
+    page = lambda i, host, side: (i, f"http://{host}/{i}", f"<aside>{side}</aside><article><h1>Story {i}</h1><p>{lead[i]}</p><p>{notice}</p>"
+                                                           f"<p>{shared}</p><p>End of {i}</p></article>")
+    whole = [f"Story {i}\n\n{lead[i]}\n\n{notice}\n\n{shared}\n\nEnd of {i}" for i in range(6)]
+    # four articles hold a notice that two pages have in a sidebar, next to a teaser of article 0
+    rows = [page(i, "n.example", f"menu {notice} more {lead[0]}" if i < 2 else "menu") for i in range(4)]
+    rows += [page(i, "two.example", f"menu {notice}") for i in (4, 5)]  # two articles only
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages(spark, rows).repartition(3)).collect()}
+    assert [got[i] for i in range(6)] == [t.replace(notice + "\n\n", "") if i < 4 else t for i, t in enumerate(whole)]
+    apart = {r.page_id: r.text for r in html_extract.extract_main_text(pages(spark, [(i, None, h) for i, _, h in rows])).collect()}
+    assert [apart[i] for i in range(6)] == whole  # pages without a host share nothing
+
+
+def plain_articles(pages_, n):
+    """Main parts without the blocks whose runs of n words, laid end to end,
+    all stand outside main parts of two texts and in three articles."""
+    outside, begun, articles = {}, [], {}
+    for side, main in pages_:
+        for i in range(len(side) - n + 1):
+            outside.setdefault(tuple(side[i:i + n]), set()).add(str(main))
+    twice = {r for r, texts in outside.items() if len(texts) > 1}
+    tiles = lambda b: [tuple(b[i:i + n]) for i in [*range(0, len(b) - n, n), len(b) - n]] if len(b) >= n else []
+    for _, main in pages_:
+        for b in main:
+            if tiles(b) and tiles(b)[0] in twice:
+                for r in tiles(b):
+                    articles.setdefault(r, set()).add(str(main[0]))
+    gone = lambda b: bool(tiles(b)) and all(r in twice and len(articles.get(r, ())) >= html_extract.ARTICLES for r in tiles(b))
+    return ["\n\n".join(" ".join(b) for b in main if not gone(b)) for _, main in pages_]
+
+
+@pytest.mark.parametrize("n", [3, 4])
+def test_marked_pages_against_all_runs(spark, n):
+    rng = random.Random(n)
+    made = [([rng.choice("ab") for _ in range(rng.randrange(0, 12))], [[rng.choice("ab") for _ in range(rng.randrange(1, 9))] for _ in range(rng.randrange(1, 6))])
+            for _ in range(16)]
+    made += made[:2]  # copies
+    rows = [(i, "http://x.example/", f"<nav>{' '.join(side)}</nav><main>{''.join(f'<p>' + ' '.join(b) for b in main)}</main>") for i, (side, main) in enumerate(made)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages(spark, rows).repartition(3), run_tokens=n).collect()}
+    want = plain_articles(made, n)
+    assert [got[i] for i in range(18)] == want
+    whole = ["\n\n".join(" ".join(b) for b in main) for _, main in made]
+    assert 3 < sum(a != b for a, b in zip(want, whole)) and any(a == b for a, b in zip(want, whole))
+
+
 def test_long_and_broken_pages_stay_linear():
     assert html_extract.blocks("<div " * 20_000) is not None
     assert html_extract.blocks("<a b='" * 20_000) is not None
